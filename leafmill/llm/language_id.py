@@ -191,10 +191,12 @@ class Crf:
         return list(zip(words, out, strict=True))
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+        if not self.labels:
+            return ["und"] * len(texts), [0.0] * len(texts)
         langs, scores = [], []
         for words, post in self.label_words(texts):
             told = np.fromiter(map(has_letter, words), bool, len(words))
-            if not told.any() or not self.labels:
+            if not told.any():
                 langs.append("und")
                 scores.append(0.0)
                 continue
