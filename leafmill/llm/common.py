@@ -70,19 +70,12 @@ def row_key(doc_id: str = "doc_id", text: str = "text") -> list[Column]:
 
 
 class WordHash(dict):
-    """Word (bytes) to 64-bit hash, remembered up to a fixed number of words."""
-
-    LIMIT = 400_000
+    """Word (bytes) to 64-bit hash, for small vocabularies that are held anyway."""
 
     def __missing__(self, word: bytes) -> int:
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
 
-    def of(self, words: list[bytes]) -> np.ndarray:
-        if len(self) > self.LIMIT:
-            self.clear()
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-
 
 def mix(x: np.ndarray) -> np.ndarray:
     """Finalise 64-bit values (the murmur3 finaliser), elementwise."""
@@ -118,7 +111,55 @@ def range_hash(h: np.ndarray, lo: np.ndarray, hi: np.ndarray, base: int) -> np.n
     return mix((s[hi] - s[lo]) * down[lo] + (hi - lo).astype(np.uint64))
 
 
-BASE_1, BASE_2 = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
+BASE_1, BASE_2, BASE_3 = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F
+
+_SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+_CODE = mix(np.arange(1, 257, dtype=np.uint64))
+_GROUP, _LONG = 1 << 18, 1 << 22
+
+
+def word_hashes(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words `[^\\x20\\x09-\\x0D]+` of all texts, one after another, and the number of words of each.
+
+    A word's hash is a polynomial over its bytes, finalised; all words of about _GROUP bytes are
+    hashed at once, without a Python object for each.
+    """
+    flat, counts, group, size = [], [], [], 0
+    for t in texts:
+        t = t or b""
+        if len(t) > _LONG:
+            flat.append(_hash_group(group, counts))
+            words = t.split()
+            parts = [_hash_group([b" ".join(words[i : i + 20_000])], []) for i in range(0, len(words), 20_000)]
+            flat += parts
+            counts.append(len(words))
+            group, size = [], 0
+            continue
+        group.append(t)
+        size += len(t)
+        if size > _GROUP:
+            flat.append(_hash_group(group, counts))
+            group, size = [], 0
+    flat.append(_hash_group(group, counts))
+    return np.concatenate(flat), np.array(counts, np.int64)
+
+
+def _hash_group(group: list[bytes], counts: list[int]) -> np.ndarray:
+    a = np.frombuffer(b" " + b" ".join(group) + b" ", np.uint8)
+    space = _SPACE[a]
+    starts = np.flatnonzero(space[:-1] & ~space[1:]) + 1
+    ends = np.flatnonzero(~space[:-1] & space[1:]) + 1
+    up, down = powers(BASE_3, len(a))
+    s = np.cumsum(_CODE[a] * up[: len(a)])
+    edges = np.cumsum([1] + [len(t) + 1 for t in group])
+    counts.extend(np.diff(np.searchsorted(starts, edges)).tolist())
+    return mix((s[ends - 1] - s[starts - 1]) * down[starts] + (ends - starts).astype(np.uint64))
+
+
+def split_words(texts: list[bytes | None]) -> list[np.ndarray]:
+    """word_hashes as one array for each text."""
+    flat, counts = word_hashes(texts)
+    return np.split(flat, np.cumsum(counts)[:-1]) if len(counts) else []
 
 
 def shingle_hashes(h: np.ndarray, n: int) -> np.ndarray:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from leafmill.llm.common import BASE_1, BASE_2, WordHash, materialize, mix, range_hash, read, row_key, small_batches
+from leafmill.llm.common import BASE_1, BASE_2, materialize, mix, range_hash, read, row_key, small_batches, split_words
 
 WINDOW, GRAM = 35, 12
 GRAMS = WINDOW - GRAM + 1  # grams in a window: 24
@@ -67,9 +67,8 @@ def _index(docs: DataFrame) -> DataFrame:
     """(rk_id, rk_hash, i, a, c): the phrases of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHash()
         for b in batches:
-            found = [phrases(hashes.of(words(t)))[3:] for t in b.column(2).to_pylist()]
+            found = [phrases(h)[3:] for h in split_words(b.column(2).to_pylist())]
             n = np.array([len(x[0]) for x in found])
             owner = np.repeat(np.arange(len(n)), n)
             i = np.concatenate([np.arange(k) for k in n]) if len(n) else n
@@ -83,11 +82,9 @@ def _boundary_windows(docs: DataFrame) -> DataFrame:
     """(rk_id, rk_hash, text, check: phrases) to (rk_id, rk_hash, s, k1, k2): their windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHash()
         for b in batches:
             owner, s, k1, k2 = [], [], [], []
-            for d, (t, check) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)):
-                h = hashes.of(words(t))
+            for d, (h, check) in enumerate(zip(split_words(b.column(2).to_pylist()), b.column(3).to_pylist(), strict=True)):
                 anchor, first, last, key, _ = phrases(h)
                 for i in check:
                     x = window_keys(h, anchor[i], first[i], last[i], key[i])
@@ -137,7 +134,6 @@ def dedup_substrings(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "te
     schema = T.StructType([keyed.schema[f"c{i}"] for i in range(len(own))]).add("n_words", "long").add("dup_spans", T.ArrayType(span)).add("kept_text", "string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHash()
         for b in batches:
             n, spans, kept = [], [], []
             for t, whole, at in zip(b.column(0).to_pylist(), b.column(len(own) + 1).to_pylist(), b.column(len(own) + 2).to_pylist(), strict=True):
@@ -147,7 +143,7 @@ def dedup_substrings(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "te
                     spans.append([])
                     kept.append(b" ".join(ws).decode())
                     continue
-                _, first, last, _, _ = phrases(hashes.of(ws))
+                _, first, last, _, _ = phrases(split_words([t])[0])
                 gone = repeated_spans(len(ws), first, last, whole or [], at or [])
                 edge = np.flatnonzero(np.diff(np.concatenate(([0], gone.view(np.int8), [0]))))
                 spans.append([{"start": x, "end": y} for x, y in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True)])
