@@ -31,16 +31,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import WordHash, materialize, read, row_key, shingle_hashes, small_batches
+from leafmill.llm.common import materialize, read, row_key, shingle_hashes, small_batches, split_words
 from leafmill.llm.components import Forest, components
 
 N, PERCENT = 5, 80
 CELLS, SLICE = 1 << 20, 1 << 12
-MOST_MATCHES, SMALL, BLOCK, BITS, GROUP_BYTES = 4, 32, 4096, 2048, 32 << 20
+MOST_MATCHES, SMALL, BLOCK, LEAST_BITS, GROUP_BYTES = 4, 32, 4096, 512, 32 << 20
 
 
-def shingles(text: bytes | None, hashes: WordHash, n: int = N) -> np.ndarray:
-    return shingle_hashes(hashes.of(text.lower().split()), n) if text else np.empty(0, np.uint64)
+def shingle_sets(texts: list[bytes | None], n: int = N) -> list[np.ndarray]:
+    return [shingle_hashes(h, n) for h in split_words([t.lower() if t else t for t in texts])]
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
@@ -78,27 +78,27 @@ def prefix(s: np.ndarray, heavy: np.ndarray, percent: int) -> tuple[np.ndarray,
 
 
 def _classes_and_sketch(docs: DataFrame, n: int) -> DataFrame:
-    """Rows of documents (rk_id, rk_hash, n_shingles, cls), and at each task's end its sketch in slices."""
+    """Rows of documents (rk_id, rk_hash, n_shingles, cls, bitmap), and at each task's end its sketch in slices."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, cells = WordHash(), np.zeros(CELLS, np.int64)
-        names = ["rk_id", "rk_hash", "n_shingles", "cls", "slice", "cells"]
+        cells = np.zeros(CELLS, np.int64)
+        names = ["rk_id", "rk_hash", "n_shingles", "cls", "bitmap", "slice", "cells"]
         for b in batches:
-            sizes, classes, held = [], [], []
-            for t in b.column(2).to_pylist():
-                s = shingles(t, hashes, n)
+            sizes, classes, maps, held = [], [], [], []
+            for s in shingle_sets(b.column(2).to_pylist(), n):
                 sizes.append(len(s))
                 classes.append(_class(s) if len(s) else None)
+                maps.append(parity(s) if len(s) else None)
                 held.append(s >> np.uint64(44))
             if held:
                 cells += np.bincount(np.concatenate(held).astype(np.int64), minlength=CELLS)
             none = pa.nulls(len(sizes))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), none.cast(pa.int32()), none.cast(pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), pa.array(maps, pa.list_(pa.int64())), none.cast(pa.int32()), none.cast(pa.binary())], names=names)
         k = CELLS // SLICE
         none = pa.nulls(k).cast(pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(range(k), pa.int32()), pa.array([cells[i * SLICE : (i + 1) * SLICE].astype(np.uint32).tobytes() for i in range(k)], pa.binary())], names=names)
+        yield pa.RecordBatch.from_arrays([none, none, none, none, pa.nulls(k, pa.list_(pa.int64())), pa.array(range(k), pa.int32()), pa.array([cells[i * SLICE : (i + 1) * SLICE].astype(np.uint32).tobytes() for i in range(k)], pa.binary())], names=names)
 
-    return docs.mapInArrow(run, "rk_id long, rk_hash long, n_shingles long, cls long, slice int, cells binary")
+    return docs.mapInArrow(run, "rk_id long, rk_hash long, n_shingles long, cls long, bitmap array<long>, slice int, cells binary")
 
 
 def _heavy(rows: DataFrame) -> np.ndarray:
@@ -123,13 +123,12 @@ def _prefixes(docs: DataFrame, heavy, n: int, percent: int) -> DataFrame:
     """(token, cls, meta): prefix shingles of each class once a task; meta = 8 * set size + matches asked for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, done, levels = WordHash(), set(), heavy.value
+        done, levels = set(), heavy.value
         for b in batches:
             tokens, classes, metas = [], [], []
             if len(done) > 1_000_000:
                 done.clear()
-            for t in b.column(2).to_pylist():
-                s = shingles(t, hashes, n)
+            for s in shingle_sets(b.column(2).to_pylist(), n):
                 if not len(s) or (c := _class(s)) in done:
                     continue
                 done.add(c)
@@ -143,31 +142,61 @@ def _prefixes(docs: DataFrame, heavy, n: int, percent: int) -> DataFrame:
     return docs.mapInArrow(run, "token long, cls long, meta long")
 
 
-def _sets(docs: DataFrame, n: int) -> DataFrame:
-    """(cls, n, bitmap, hashes) of the given documents; bit b of bitmap: parity of the hashes in cell b."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHash()
-        for b in batches:
-            sets = [shingles(t, hashes, n) for t in b.column(2).to_pylist()]
-            maps = [np.packbits((np.bincount((s % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1).astype(np.uint8)).view(np.int64) for s in sets]
-            cols = [pa.array([_class(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(maps, pa.list_(pa.int64())), pa.array([s.tobytes() for s in sets], pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, names=["cls", "n", "bitmap", "hashes"])
-
-    return docs.mapInArrow(run, "cls long, n long, bitmap array<long>, hashes binary")
+def parity(s: np.ndarray) -> np.ndarray:
+    """Bit b: parity of the hashes that are b modulo the number of bits, a power of two of at least 4 a hash.
 
+    Halves combined by exclusive or are the bitmap of half the size, so bitmaps of unequal sizes compare.
+    """
+    bits = max(LEAST_BITS, 1 << (4 * len(s) - 1).bit_length())
+    return np.packbits((np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).view(np.int64)
 
-def _maybe(maps: np.ndarray, sizes: np.ndarray, i: int, js: np.ndarray, percent: int) -> np.ndarray:
-    """Those of js that may link with i: differing bits are differing shingles, so they bound the overlap."""
-    differ = np.bitwise_count(maps[js] ^ maps[i]).sum(1)
-    both = sizes[js] + sizes[i]
-    overlap = np.minimum((both - differ) // 2, np.minimum(sizes[js], sizes[i]))
-    return js[100 * overlap >= percent * (both - overlap)]
 
+def _sets(docs: DataFrame, n: int) -> DataFrame:
+    """(cls, cluster, blocks, text) to (cls, cluster, blocks, n, bitmap, hashes)."""
 
-def _columns(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    maps = t.column("bitmap").combine_chunks()
-    return t.column("cls").to_numpy(), t.column("n").to_numpy(), maps.flatten().to_numpy().reshape(len(t), -1).view(np.uint64)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = shingle_sets(b.column(3).to_pylist(), n)
+            cols = [pa.array([len(s) for s in sets], pa.int64()), pa.array([parity(s) for s in sets], pa.list_(pa.int64())), pa.array([s.tobytes() for s in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], *cols], names=["cls", "cluster", "blocks", "n", "bitmap", "hashes"])
+
+    return docs.select("cls", "cluster", "blocks", "text").mapInArrow(run, "cls long, cluster long, blocks int, n long, bitmap array<long>, hashes binary")
+
+
+class Bitmaps:
+    """The bitmaps of a block by size, with an upper bound of the overlap of one row with others."""
+
+    def __init__(self, t: pa.Table) -> None:
+        maps = t.column("bitmap").combine_chunks()
+        flat, ends = maps.flatten().to_numpy().view(np.uint64), np.concatenate(([0], np.cumsum(maps.value_lengths().to_numpy())))
+        self.sizes = t.column("n").to_numpy()
+        self.width = np.diff(ends)
+        self.at = np.zeros(len(t), np.int64)
+        self.held: dict[tuple[int, int], np.ndarray] = {}
+        for w in np.unique(self.width).tolist():
+            mine = np.flatnonzero(self.width == w)
+            self.at[mine] = np.arange(len(mine))
+            self.held[w, w] = flat[ends[mine][:, None] + np.arange(w)]
+
+    def _folded(self, w: int, to: int) -> np.ndarray:
+        if (w, to) not in self.held:
+            m = self._folded(w, 2 * to)
+            self.held[w, to] = m[:, :to] ^ m[:, to:]
+        return self.held[w, to]
+
+    def maybe(self, i: int, js: np.ndarray, percent: int) -> np.ndarray:
+        """Those of js that may link with i: differing bits are differing shingles, so they bound the overlap."""
+        n, mine = self.sizes, int(self.width[i])
+        js = js[100 * np.minimum(n[js], n[i]) >= percent * np.maximum(n[js], n[i])]
+        out = []
+        for w in np.unique(self.width[js]).tolist():
+            of = js[self.width[js] == w]
+            to = min(w, mine)
+            differ = np.bitwise_count(self._folded(w, to)[self.at[of]] ^ self._folded(mine, to)[self.at[i]]).sum(1, dtype=np.int64)
+            both = n[of] + n[i]
+            overlap = np.minimum((both - differ) // 2, np.minimum(n[of], n[i]))
+            out.append(of[100 * overlap >= percent * (both - overlap)])
+        return np.concatenate(out) if out else js
 
 
 def _edges(cls: np.ndarray, forest: Forest) -> pa.Table:
@@ -176,7 +205,7 @@ def _edges(cls: np.ndarray, forest: Forest) -> pa.Table:
     return pa.table({"u": cls[at], "v": cls[root[at]]})
 
 
-def _crossing(t: pa.Table, i: int, block: np.ndarray, split: bool) -> np.ndarray:
+def _crossing(i: int, block: np.ndarray, split: bool) -> np.ndarray:
     """Row numbers below i to compare with row i: all, or in a pair of different blocks those of the other."""
     js = np.arange(i)
     return js[block[:i] != block[i]] if split else js
@@ -194,30 +223,27 @@ def _long_lists(lists: DataFrame, percent: int) -> DataFrame:
     """(token, cls, n, bitmap, blocks) to candidate edges: a forest of what may link, for each list and pair of blocks."""
 
     def run(t: pa.Table) -> pa.Table:
-        cls, sizes, maps = _columns(t)
+        cls, maps = t.column("cls").to_numpy(), Bitmaps(t)
         block, forest = t.column("own").to_numpy(), Forest(len(cls))
         split = t.column("b1")[0].as_py() != t.column("b2")[0].as_py()
         for i in range(1, len(cls)):
-            js = _crossing(t, i, block, split)
-            js = js[forest.roots()[js] != forest.root(i)] if len(js) else js
-            while len(js):
-                found = _maybe(maps, sizes, i, js, percent)
-                if not len(found):
-                    break
-                roots, first = np.unique(forest.roots()[found], return_index=True)
+            js = _crossing(i, block, split)
+            js = js[forest.roots()[js] != forest.root(i)]
+            found = maps.maybe(i, js, percent)
+            if len(found):
+                _, first = np.unique(forest.roots()[found], return_index=True)
                 for j in found[first]:
                     forest.join(i, int(j))
-                break
         return _edges(cls, forest)
 
     return _in_blocks(lists, "token", "blocks").groupBy("token", "b1", "b2").applyInArrow(run, "u long, v long")
 
 
 def _verify(rows: DataFrame, percent: int) -> DataFrame:
-    """(cluster, cls, n, bitmap, hashes, blocks) to verified links, enough to connect what links."""
+    """(cls, cluster, blocks, n, bitmap, hashes) to verified links, enough to connect what links."""
 
     def run(t: pa.Table) -> pa.Table:
-        cls, sizes, maps = _columns(t)
+        cls, maps, sizes = t.column("cls").to_numpy(), Bitmaps(t), t.column("n").to_numpy()
         block, forest = t.column("own").to_numpy(), Forest(len(cls))
         split = t.column("b1")[0].as_py() != t.column("b2")[0].as_py()
         raw = t.column("hashes")
@@ -229,9 +255,9 @@ def _verify(rows: DataFrame, percent: int) -> DataFrame:
             return sets[i]
 
         for i in range(1, len(cls)):
-            js = _crossing(t, i, block, split)
-            js = js[forest.roots()[js] != forest.root(i)] if len(js) else js
-            for j in _maybe(maps, sizes, i, js, percent) if len(js) else ():
+            js = _crossing(i, block, split)
+            js = js[forest.roots()[js] != forest.root(i)]
+            for j in maps.maybe(i, js, percent):
                 if forest.root(i) != forest.root(int(j)):
                     both = len(np.intersect1d(of(i), of(int(j)), assume_unique=True))
                     if 100 * both >= percent * (sizes[i] + sizes[j] - both):
@@ -245,23 +271,25 @@ def components_by_row(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "t
     """(rk_id, rk_hash, n_shingles, component_id, root: a class of the component), one row for each row key of docs."""
     spark = docs.sparkSession
     small_batches(spark)
+    if not 50 <= percent <= 100:
+        raise ValueError("percent is from 50 to 100: bitmaps are halved once at most")
     keyed = docs.select(*row_key(doc_id, text), F.col(text).cast("binary").alias("text"))
     rows = materialize(_classes_and_sketch(keyed, n), "classes")
     heavy = spark.sparkContext.broadcast(_heavy(rows))
     members = rows.filter("slice IS NULL").select("rk_id", "rk_hash", "n_shingles", "cls")
 
     # lists of classes that share a prefix shingle; one for each set of members
-    tokens = _prefixes(keyed, heavy, n, percent).repartition("token").dropDuplicates(["token", "cls"])
-    lists = tokens.groupBy("token").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("cls")).alias("x1"), F.bit_xor(F.xxhash64("cls", F.lit(1))).alias("x2")).filter("m > 1")
+    tokens = _prefixes(keyed, heavy, n, percent).filter("token IS NOT NULL").repartition("token").dropDuplicates(["token", "cls"])
+    lists = tokens.groupBy("token").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("cls")).alias("x1"), F.bit_xor(F.xxhash64("cls", F.lit(1))).alias("x2"), F.min("meta").alias("meta"))
+    lists = lists.filter("m > 1 AND meta > 0")  # as meta is used and tokens aren't null, both uses of `tokens` read the same shuffle
     chosen = lists.groupBy("m", "x1", "x2").agg(F.min("token").alias("token"), F.count("*").alias("shared")).select("token", "m", "shared")
     lists = materialize(tokens.join(chosen, "token"), "lists")
 
-    # sets of the classes in lists, from one document each
-    one = members.filter("cls IS NOT NULL").groupBy("cls").agg(F.min(F.struct("rk_id", "rk_hash")).alias("k"))
-    wanted = one.join(lists.select("cls").distinct(), "cls", "left_semi").select(F.col("k.rk_id").alias("rk_id"), F.col("k.rk_hash").alias("rk_hash"))
-    picked = keyed.join(wanted, ["rk_id", "rk_hash"], "left_semi").select("rk_id", "rk_hash", "text")
-    sets = materialize(_sets(picked, n).dropDuplicates(["cls"]), "sets")
-    maps = sets.select("cls", "n", "bitmap")
+    # bitmaps of the classes in lists, from one row each
+    one = members.filter("cls IS NOT NULL").groupBy("cls").agg(F.min(F.struct("rk_id", "rk_hash")).alias("k")).select("cls", "k.*")
+    listed = one.join(lists.select("cls").distinct(), "cls", "left_semi")
+    maps = rows.select("rk_id", "rk_hash", "cls", F.col("n_shingles").alias("n"), "bitmap").join(listed, ["cls", "rk_id", "rk_hash"], "left_semi")
+    maps = materialize(maps.select("cls", "n", "bitmap"), "bitmaps")
 
     # candidates that may link
     few = lists.filter(F.col("m") <= small).select("token", "cls", "shared", F.floor(F.col("meta") / 8).alias("n"), F.pmod("meta", F.lit(8)).alias("l"))
@@ -269,7 +297,8 @@ def components_by_row(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "t
     pairs = few.withColumnRenamed("cls", "u").join(other, "token").filter((F.col("u") < F.col("v")) & (100 * F.least("n", "vn") >= percent * F.greatest("n", "vn")))
     pairs = pairs.groupBy("u", "v").agg(F.sum("shared").alias("shared"), F.min(F.least("l", "vl")).alias("asked")).filter("shared >= asked").select("u", "v")
     pairs = pairs.join(maps.select(F.col("cls").alias("u"), F.col("n"), F.col("bitmap")), "u").join(maps.select(F.col("cls").alias("v"), F.col("n").alias("vn"), F.col("bitmap").alias("vbitmap")), "v")
-    differ = F.aggregate(F.zip_with("bitmap", "vbitmap", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, x: a + x)
+    half = lambda c, other: F.when(F.size(c) > F.size(other), F.zip_with(F.slice(c, 1, F.size(other)), F.slice(c, F.size(other) + 1, F.size(other)), lambda a, b: a.bitwiseXOR(b))).otherwise(F.col(c))
+    differ = F.aggregate(F.zip_with(half("bitmap", "vbitmap"), half("vbitmap", "bitmap"), lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, x: a + x)
     overlap = F.least(F.floor((F.col("n") + F.col("vn") - differ) / 2), F.col("n"), F.col("vn"))
     pairs = pairs.withColumn("o", overlap).filter(100 * F.col("o") >= percent * (F.col("n") + F.col("vn") - F.col("o"))).select("u", "v")
     many = lists.filter(F.col("m") > small).select("token", "cls", F.ceil(F.col("m") / block).cast("int").alias("blocks")).join(maps, "cls")
@@ -277,9 +306,11 @@ def components_by_row(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "t
 
     # links inside the clusters
     inside = clusters.select(F.col("u").alias("cls"), F.col("root").alias("cluster")).unionByName(clusters.select(F.col("root").alias("cls"), F.col("root").alias("cluster")).distinct())
-    held = inside.join(sets.select("cls", F.length("hashes").alias("size")), "cls")
-    blocks = held.groupBy("cluster").agg(F.ceil(F.sum(F.col("size") + BITS // 8) / group_bytes).cast("int").alias("blocks"))
-    links = components(_verify(inside.join(blocks, "cluster").join(sets, "cls"), percent))
+    sized = inside.join(maps.select("cls", "n"), "cls")
+    blocks = sized.groupBy("cluster").agg(F.ceil(F.sum(9 * F.col("n") + LEAST_BITS // 8) / group_bytes).cast("int").alias("blocks"))
+    wanted = inside.join(blocks, "cluster").join(one, "cls")
+    picked = keyed.join(wanted, ["rk_id", "rk_hash"]).dropDuplicates(["rk_id", "rk_hash"])
+    links = components(_verify(_sets(picked, n), percent))
 
     # back to documents
     ids = members.join(links.withColumnRenamed("u", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
