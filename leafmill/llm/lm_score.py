@@ -11,7 +11,7 @@ Pretrained scoring is distributed. The trie is a set of tables (gram, count), on
 all grams of the corpus get their log-probability by joins of those tables. Documents are dealt
 into groups of bounded size by a hash; a group asks for the distinct grams and words it holds,
 buckets of the model answer them, and the group sums the answers per document. No table of the
-corpus is broadcast or collected.
+corpus is broadcast or collected. Words of the base model are told apart by 64-bit hashes.
 
 `adaptive_code_length` is the other mode: each text is coded by a trie that starts empty and learns
 from the text itself.
@@ -29,17 +29,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import materialize, read, small_batches
+from leafmill.llm.common import materialize, read, small_batches, word_hashes
 
 ORDER = 5
 PAD = b"\xff" * ORDER
-GROUP_BYTES, SLICE, MERGE_KEYS, BUCKET_KEYS = 16 << 20, 1 << 20, 1 << 20, 200_000
-#: The end of a text among the words of the base model; no word has a space.
-END = b" "
+GROUP_BYTES, SLICE, MERGE_KEYS, BUCKET_KEYS = 8 << 20, 1 << 18, 1 << 20, 200_000
+#: The end of a text among the hashes of words.
+END = 0
+_NONE = (np.empty(0, np.int64), np.empty(0, np.int64))
 
 
 # -- one text after another: adaptive mode, and the definition that tests compare with -------------
@@ -128,66 +128,78 @@ def _grams(held: list[tuple[int, bytes]]) -> tuple[np.ndarray, np.ndarray]:
 
 def _distinct(g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     g = np.sort(g)
+    if not len(g):
+        return _NONE
     at = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1])))
     return g[at], np.diff(np.append(at, len(g)))
 
 
 def _merge(a: tuple, b: tuple) -> tuple[np.ndarray, np.ndarray]:
     keys, counts = np.concatenate((a[0], b[0])), np.concatenate((a[1], b[1]))
+    if not len(keys):
+        return _NONE
     order = np.argsort(keys, kind="stable")
     keys, counts = keys[order], counts[order]
     at = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
     return keys[at], np.add.reduceat(counts, at)
 
 
+def _counted(table: tuple, learnt: list[np.ndarray], others: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    keys = _distinct(np.concatenate(others))[0]
+    return _merge(_merge(table, _distinct(np.concatenate(learnt))), (keys, np.zeros(len(keys), np.int64)))
+
+
 def count_grams(docs: DataFrame) -> DataFrame:
     """text (binary), held_out to (g, n): every gram of the corpus, counted in training texts."""
-    none = (np.empty(0, np.int64), np.empty(0, np.int64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = none
+        table, learnt, others, size = _NONE, [], [], 0
         for b in batches:
             held = b.column(1).to_numpy(zero_copy_only=False).astype(bool)
             for g, owner in gram_chunks(b.column(0).to_pylist()):
                 out = held[owner]
-                table = _merge(table, _distinct(g[~out])) if not out.all() else table
-                if out.any():
-                    keys = _distinct(g[out])[0]
-                    table = _merge(table, (keys, np.zeros(len(keys), np.int64)))
-                if len(table[0]) > MERGE_KEYS:
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in table], names=["g", "n"])
-                    table = none
+                learnt.append(g[~out])
+                others.append(g[out])
+                size += len(g)
+                if size > 2 * MERGE_KEYS:
+                    table, learnt, others, size = _counted(table, learnt, others), [], [], 0
+                    if len(table[0]) > MERGE_KEYS:
+                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in table], names=["g", "n"])
+                        table = _NONE
+        if learnt:
+            table = _counted(table, learnt, others)
         if len(table[0]):
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in table], names=["g", "n"])
 
     return docs.select("text", "held_out").mapInArrow(run, "g long, n long").groupBy("g").agg(F.sum("n").alias("n"))
 
 
-def words(text: bytes | None) -> list[bytes]:
-    """Lower-cased words and one end."""
-    out = (text or b"").lower().split()
-    out.append(END)
-    return out
+def word_keys(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all lower-cased words, and the number of words of each text (without the end)."""
+    flat, n = word_hashes([t.lower() if t else t for t in texts])
+    return flat.view(np.int64), n
 
 
 def count_words(docs: DataFrame) -> DataFrame:
-    """text (binary), held_out to (w, c): the words of training texts."""
-
-    def batch(table: Counter) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(table), pa.binary()), pa.array(list(table.values()), pa.int64())], names=["w", "c"])
+    """text (binary), held_out to (w, c): the words of training texts, by hash, and their ends."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table: Counter = Counter()
+        table, held, size = _NONE, [], 0
         for b in batches:
-            for t in b.column(0).to_pylist():
-                table.update(words(t))
-                if len(table) > 400_000:
-                    yield batch(table)
-                    table.clear()
-        if table:
-            yield batch(table)
+            flat, n = word_keys(b.column(0).to_pylist())
+            held += [flat, np.full(len(n), END)]
+            size += len(flat) + len(n)
+            if size > MERGE_KEYS:
+                table, held, size = _merge(table, _distinct(np.concatenate(held))), [], 0
+                if len(table[0]) > MERGE_KEYS:
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in table], names=["w", "c"])
+                    table = _NONE
+        if held:
+            table = _merge(table, _distinct(np.concatenate(held)))
+        if len(table[0]):
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in table], names=["w", "c"])
 
-    return docs.filter("NOT held_out").select("text").mapInArrow(run, "w binary, c long").groupBy("w").agg(F.sum("c").alias("c"))
+    return docs.filter("NOT held_out").select("text").mapInArrow(run, "w long, c long").groupBy("w").agg(F.sum("c").alias("c"))
 
 
 # -- the trie as tables ----------------------------------------------------------------------------
@@ -243,73 +255,62 @@ def log_probabilities(grams: DataFrame) -> DataFrame:
 # -- asking and answering ----------------------------------------------------------------------------
 
 
-def _group_keys(texts: list[bytes | None], n_grams: int, n_words: int) -> tuple[np.ndarray, np.ndarray, list[bytes], np.ndarray]:
-    """The distinct grams and words of a group, each sorted, with the buckets that answer for them."""
-    g = np.empty(0, np.int64)
-    for part, _ in gram_chunks(texts):
-        g = _distinct(np.concatenate((g, _distinct(part)[0])))[0]
-    vocab: set[bytes] = set()
-    for t in texts:
-        vocab.update(words(t))
-    w = sorted(vocab)
-    return g, g % n_grams, w, np.fromiter((xxhash.xxh3_64_intdigest(x) % n_words for x in w), np.int64, len(w))
+def _group_keys(texts: list[bytes | None]) -> dict[str, np.ndarray]:
+    """The distinct grams and words of a group, each sorted."""
+    grams = [_distinct(g)[0] for g, _ in gram_chunks(texts)]
+    flat, _ = word_keys(texts)
+    return {"g": _distinct(np.concatenate(grams))[0], "w": _distinct(np.append(flat, END))[0]}
 
 
-def _ask(docs: DataFrame, n_grams: int, n_words: int) -> DataFrame:
+def _ask(docs: DataFrame, n_buckets: dict[str, int]) -> DataFrame:
     def run(t: pa.Table) -> pa.Table:
-        g, gb, w, wb = _group_keys(t.column("text").to_pylist(), n_grams, n_words)
-        rows = [("g", int(b), g[gb == b].tobytes()) for b in np.unique(gb)]
-        by: dict[int, list[bytes]] = defaultdict(list)
-        for x, b in zip(w, wb.tolist(), strict=True):
-            by[b].append(x if x != END else b"")
-        rows += [("w", b, b" ".join(x)) for b, x in by.items()]
+        rows = []
+        for kind, keys in _group_keys(t.column("text").to_pylist()).items():
+            of = keys % n_buckets[kind]
+            order = np.argsort(of, kind="stable")
+            cuts = np.flatnonzero(np.diff(of[order])) + 1
+            rows += [(kind, int(of[x[0]]), keys[x].tobytes()) for x in np.split(order, cuts)]
         part = t.column("part")[0].as_py()
         return pa.table({"kind": [r[0] for r in rows], "bucket": pa.array([r[1] for r in rows], pa.int64()), "part": pa.array([part] * len(rows), pa.int64()), "asked": pa.array([r[2] for r in rows], pa.binary())})
 
     return docs.groupBy("part").applyInArrow(run, "kind string, bucket long, part long, asked binary")
 
 
-def _answer(asked: DataFrame, grams: DataFrame, vocab: DataFrame, n_grams: int, n_words: int) -> DataFrame:
-    """Rows of the model come first in each bucket; the bucket's table is held while its questions stream by."""
+def _answer(asked: DataFrame, models: dict[str, DataFrame], n_buckets: dict[str, int]) -> DataFrame:
+    """Rows of the model come first in each bucket; the bucket's table is held while its questions stream by.
+
+    models: by kind, (key, value).
+    """
     spark = asked.sparkSession
     none = lambda t: F.lit(None).cast(t)
-    model = grams.select(F.lit("g").alias("kind"), F.pmod("g", F.lit(n_grams)).alias("bucket"), none("long").alias("part"), none("binary").alias("asked"), "g", "lp", none("binary").alias("w"), none("long").alias("c"))
-    bucket = F.col("bucket_w")
-    model = model.unionByName(vocab.select(F.lit("w").alias("kind"), bucket.alias("bucket"), none("long").alias("part"), none("binary").alias("asked"), none("long").alias("g"), none("double").alias("lp"), "w", "c"))
-    both = model.unionByName(asked.select("kind", "bucket", "part", "asked", none("long").alias("g"), none("double").alias("lp"), none("binary").alias("w"), none("long").alias("c")))
-    n = max(n_grams + n_words, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    both = asked.select("kind", "bucket", "part", "asked", none("long").alias("key"), none("double").alias("value"))
+    for kind, m in models.items():
+        both = both.unionByName(m.select(F.lit(kind).alias("kind"), F.pmod("key", F.lit(n_buckets[kind])).alias("bucket"), none("long").alias("part"), none("binary").alias("asked"), "key", F.col("value").cast("double").alias("value")))
+    n = max(sum(n_buckets.values()), int(spark.conf.get("spark.sql.shuffle.partitions")))
     both = both.repartition(n, "kind", "bucket").sortWithinPartitions("kind", "bucket", F.col("part").asc_nulls_first())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, keys, values, table, ready = None, [], [], {}, None
+        at, held, ready = None, [], None
         for b in batches:
             kinds, buckets, parts = b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()
             i, out = 0, []
             while i < b.num_rows:
                 if (kinds[i], buckets[i]) != at:
-                    at, keys, values, table, ready = (kinds[i], buckets[i]), [], [], {}, None
+                    at, held, ready = (kinds[i], buckets[i]), [], None
                 if parts[i] is None:
                     j = i
                     while j < b.num_rows and parts[j] is None and (kinds[j], buckets[j]) == at:
                         j += 1
-                    if at[0] == "g":
-                        keys.append(b.column(4)[i:j].to_numpy())
-                        values.append(b.column(5)[i:j].to_numpy())
-                    else:
-                        table.update(zip(b.column(6)[i:j].to_pylist(), b.column(7)[i:j].to_pylist(), strict=True))
+                    held.append((b.column(4)[i:j].to_numpy(), b.column(5)[i:j].to_numpy()))
                     i = j
                     continue
-                raw = b.column(3)[i].as_py()
-                if at[0] == "g":
-                    if ready is None:
-                        k, v = np.concatenate(keys), np.concatenate(values)
-                        o = np.argsort(k)
-                        ready = k[o], v[o]
-                    a = ready[1][np.searchsorted(ready[0], np.frombuffer(raw, np.int64))]
-                    out.append((at[0], at[1], parts[i], a.tobytes()))
-                else:
-                    a = np.fromiter((table.get(x or END, 0) for x in raw.split(b" ")), np.int64)
-                    out.append((at[0], at[1], parts[i], a.tobytes()))
+                if ready is None:
+                    keys, values = (np.concatenate([x[k] for x in held] or [np.empty(0)]) for k in (0, 1))
+                    order = np.argsort(keys)
+                    ready = np.append(keys[order].astype(np.int64), np.iinfo(np.int64).max), np.append(values[order], 0.0)
+                want = np.frombuffer(b.column(3)[i].as_buffer(), np.int64)
+                near = np.minimum(np.searchsorted(ready[0], want), len(ready[0]) - 1)
+                out.append((*at, parts[i], np.where(ready[0][near] == want, ready[1][near], 0.0).tobytes()))
                 i += 1
             if out:
                 k, bk, p, a = zip(*out, strict=True)
@@ -352,43 +353,32 @@ def score(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", test:
     counted = materialize(count_grams(slim), "grams")
     vocab = materialize(count_words(slim), "words")
     n_tokens, n_types = vocab.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    grams = log_probabilities(counted)
-    n_grams = _prime(1 + counted.count() // BUCKET_KEYS)
-    n_words = 1 + n_types // BUCKET_KEYS
+    models = {"g": log_probabilities(counted).select(F.col("g").alias("key"), F.col("lp").alias("value")), "w": vocab.select(F.col("w").alias("key"), F.col("c").alias("value"))}
+    n_buckets = {"g": _prime(1 + counted.count() // BUCKET_KEYS), "w": _prime(1 + n_types // BUCKET_KEYS)}
     size = slim.agg(F.sum(F.length("text"))).first()[0] or 0
     parts = 1 + size // group_bytes
     dealt = slim.withColumn("part", F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)))
-
-    def buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            k = [xxhash.xxh3_64_intdigest(w) % n_words for w in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(k, pa.int64())], names=["w", "c", "bucket_w"])
-
-    answers = _answer(_ask(dealt, n_grams, n_words), grams, vocab.select("w", "c").mapInArrow(buckets, "w binary, c long, bucket_w long"), n_grams, n_words)
+    answers = _answer(_ask(dealt, n_buckets), models, n_buckets)
     log_all = math.log10(n_tokens + n_types + 1)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         texts = left.column("text").to_pylist()
-        g, gb, w, wb = _group_keys(texts, n_grams, n_words)
-        lp, count = np.zeros(len(g)), np.zeros(len(w), np.int64)
+        keys = _group_keys(texts)
+        values = {k: np.zeros(len(v)) for k, v in keys.items()}
+        of = {k: v % n_buckets[k] for k, v in keys.items()}
         for kind, bucket, answer in zip(*(right.column(c).to_pylist() for c in ("kind", "bucket", "answer")), strict=True):
-            if kind == "g":
-                lp[gb == bucket] = np.frombuffer(answer, np.float64)
-            else:
-                count[wb == bucket] = np.frombuffer(answer, np.int64)
-        total, find = np.zeros(len(texts)), _Lookup(g)
+            values[kind][of[kind] == bucket] = np.frombuffer(answer)
+        total, find = np.zeros(len(texts)), _Lookup(keys["g"])
         for part, owner in gram_chunks(texts):
-            total += np.bincount(owner, lp[find(part)], len(texts))
-        counts = dict(zip(w, count.tolist(), strict=True))
-        n, known, base = [], [], []
-        for t in texts:
-            ws = words(t)
-            c = np.fromiter(map(counts.__getitem__, ws), np.int64, len(ws))
-            n.append(len(ws))
-            known.append(int(np.count_nonzero(c)))
-            base.append(float(np.log10(c + 1).sum() - len(ws) * log_all))
-        cols = {"doc_id": left.column("doc_id"), "held_out": left.column("held_out"), "n_tokens": pa.array(n, pa.int64()), "n_known": pa.array(known, pa.int64())}
-        return pa.table(cols | {"train_tokens": pa.array([n_tokens] * len(n), pa.int64()), "base_score": pa.array(base), "score": pa.array(total / math.log(10))})
+            total += np.bincount(owner, values["g"][find(part)], len(texts))
+        flat, n = word_keys(texts)
+        owner = np.repeat(np.arange(len(n)), n)
+        counts = values["w"][_Lookup(keys["w"])(flat)]
+        end = values["w"][np.searchsorted(keys["w"], END)]
+        base = np.bincount(owner, np.log10(counts + 1), len(n)) + math.log10(end + 1) - (n + 1) * log_all
+        known = np.bincount(owner, counts > 0, len(n)).astype(np.int64) + int(end > 0)
+        cols = {"doc_id": left.column("doc_id"), "held_out": left.column("held_out"), "n_tokens": pa.array(n + 1), "n_known": pa.array(known)}
+        return pa.table(cols | {"train_tokens": pa.array(np.full(len(n), n_tokens)), "base_score": pa.array(base), "score": pa.array(total / math.log(10))})
 
     kind = f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return dealt.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(run, kind)
