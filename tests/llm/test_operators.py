@@ -58,17 +58,21 @@ def counted(df, *cols):
 # -- 1 ------------------------------------------------------------------------------------------------
 
 
+def words_and_end(text):
+    return [*lower(text).split(), None]
+
+
 def test_lm_score_is_the_trie_s(docs, rows):
     held = {r[0]: zlib.crc32(("" if r[0] is None else str(r[0])).encode()) % 7 == 2 for r in rows}
     trie, seen = lm_score.Ppm(), Counter()
     for r in rows:
         if not held[r[0]]:
             trie.code((r[1] or "").encode(), score=False, learn=True)
-            seen.update(lm_score.words((r[1] or "").encode()))
+            seen.update(words_and_end(r[1]))
     n, v = sum(seen.values()), len(seen)
     for r in lm_score.score(docs, group_bytes=20_000).collect():
         text = next(x[1] for x in rows if x[0] == r.doc_id)
-        ws = lm_score.words((text or "").encode())
+        ws = words_and_end(text)
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[r.doc_id], len(ws), sum(seen[w] > 0 for w in ws), n)
         assert r.base_score == pytest.approx(sum(math.log10((seen[w] + 1) / (n + v + 1)) for w in ws))
         assert r.score == pytest.approx(trie.code((text or "").encode()), rel=1e-9)
@@ -207,6 +211,24 @@ def test_ngram_join_empty(empty):
     assert ngram_join.keep_one(empty).count() == 0
 
 
+def test_word_hashes(monkeypatch):
+    import numpy as np
+
+    from leafmill.llm import common
+
+    texts = [b"one two  one\n", None, b"", b" ", b"\x0b two\x0cone ", "été\u00a0x y".encode(), b"a b " * 50]
+    whole, n = common.word_hashes(texts)
+    assert n.tolist() == [len((t or b"").split()) for t in texts]
+    ids = {}
+    for w, h in zip([w for t in texts for w in (t or b"").split()], whole.tolist(), strict=True):
+        assert ids.setdefault(w, h) == h
+    assert len(set(ids.values())) == len(ids)
+    monkeypatch.setattr(common, "_LONG", 20)
+    monkeypatch.setattr(common, "_GROUP", 5)
+    again, m = common.word_hashes(texts)
+    assert np.array_equal(again, whole) and m.tolist() == n.tolist()
+
+
 def test_components(spark):
     rng = random.Random(3)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(400, 440)] + [(500, 500)]
