@@ -14,7 +14,6 @@ rows are predicted alike; other columns pass through; an empty table gives an em
 
 from __future__ import annotations
 
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -24,10 +23,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from leafmill.llm.common import read, small_batches
+from leafmill.llm.common import BASE_1, mix, powers, read, small_batches
 
 DIM, SEGMENT, PER_LANG, EPOCHS, RATE, L2 = 1 << 16, 256, 250, 3, 0.2, 1e-6
-_CACHE = 150_000
+_CACHE = 300_000
 
 
 def tokens(text: str | None) -> list[str]:
@@ -38,13 +37,39 @@ def has_letter(word: str) -> bool:
     return word.isalpha() or any(c.isalpha() for c in word)
 
 
-def word_features(word: str) -> list[int]:
-    """Hashed affixes (1 to 4 characters) and inner trigrams of a word; none for a word without a letter."""
-    if not has_letter(word):
-        return []
-    w = f"^{word}$"
-    grams = {w[:k] for k in (2, 3, 4, 5)} | {w[-k:] for k in (2, 3, 4, 5)} | {w[i : i + 3] for i in range(len(w) - 2)}
-    return [zlib.crc32(g.encode("utf-8", "surrogatepass")) % DIM for g in grams]
+def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed features of all words, one after another, and their number for each word.
+
+    Of `^word$`: prefixes and suffixes of 2 to 5 characters and all trigrams. A word without a letter
+    has none. All words are hashed at once.
+    """
+    told = np.fromiter(map(has_letter, words), bool, len(words))
+    sizes = np.zeros(len(words), np.int64)
+    mine = [f"^{w}$" for w, x in zip(words, told.tolist(), strict=True) if x]
+    if not mine:
+        return np.empty(0, np.int64), sizes
+    c = np.frombuffer("".join(mine).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    n = np.fromiter(map(len, mine), np.int64, len(mine))
+    first = np.cumsum(n) - n
+    up, down = powers(BASE_1, len(c))
+    s = np.zeros(len(c) + 1, np.uint64)
+    np.cumsum(mix(c + np.uint64(1)) * up[: len(c)], out=s[1:])
+    gram = lambda lo, hi, kind: (mix((s[hi] - s[lo]) * down[lo] + np.uint64(kind)) % np.uint64(DIM)).astype(np.int64)
+    each = n - 2 + 8  # trigrams, prefixes and suffixes
+    start = np.cumsum(each) - each
+    out = np.empty(int(each.sum()), np.int64)
+    lo = np.repeat(first, n - 2) + _ramp(n - 2)
+    out[np.repeat(start, n - 2) + _ramp(n - 2)] = gram(lo, lo + 3, 0)
+    for k in range(2, 6):
+        out[start + n - 4 + k] = gram(first, first + np.minimum(k, n), k)
+        out[start + n + k] = gram(first + np.maximum(n - k, 0), first + n, 8 + k)
+    sizes[told] = each
+    return out, sizes
+
+
+def _ramp(n: np.ndarray) -> np.ndarray:
+    """0..n[0]-1, 0..n[1]-1 and so on."""
+    return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
 
 
 class Crf:
@@ -56,32 +81,35 @@ class Crf:
         self.trans, self.start, self.lexicon = np.zeros((n, n)), np.zeros(n), {}
         self.lex_weight = np.zeros(n)
         self._index: dict[str, int] = {}
-        self._rows = np.zeros((0, n))
+        self._rows, self._told = np.zeros((0, n)), np.zeros(0, bool)
 
     # -- emissions ----------------------------------------------------------------------------
 
-    def _emissions(self, words: list[str]) -> np.ndarray:
-        """Rows for distinct words."""
-        feats = [word_features(w) for w in words]
-        sizes = np.array([len(f) for f in feats])
-        flat = np.fromiter((i for f in feats for i in f), np.int64, sizes.sum())
+    def _emissions(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Rows for distinct words, and which have a letter."""
+        flat, sizes = features(words)
         out = np.zeros((len(words), len(self.labels)))
-        some = np.flatnonzero(sizes)
-        if len(some):
-            out[some] = np.add.reduceat(self.weights[flat], np.concatenate(([0], np.cumsum(sizes[some])[:-1])))
-        for i, w in enumerate(words):
-            if (lex := self.lexicon.get(w)) is not None:
+        told = sizes > 0
+        if told.any():
+            n = sizes[told]
+            out[told] = np.add.reduceat(self.weights[flat], np.cumsum(n) - n)
+        get = self.lexicon.get
+        for i, lex in enumerate(map(get, words)):
+            if lex is not None:
                 out[i] += lex * self.lex_weight
-        return out
+        return out, told
 
-    def emissions(self, words: list[str]) -> np.ndarray:
+    def emissions(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """A row for each word, and which have a letter; rows of seen words are kept, up to a fixed number."""
         if len(self._index) > _CACHE:
-            self._index, self._rows = {}, self._rows[:0]
-        new = list({w for w in words if w not in self._index})
+            self._index, self._rows, self._told = {}, self._rows[:0], self._told[:0]
+        new = list(set(words).difference(self._index))
         if new:
-            self._index.update((w, len(self._rows) + i) for i, w in enumerate(new))
-            self._rows = np.concatenate((self._rows, self._emissions(new)))
-        return self._rows[np.fromiter(map(self._index.__getitem__, words), np.int64, len(words))]
+            rows, told = self._emissions(new)
+            self._index.update(zip(new, range(len(self._rows), len(self._rows) + len(new)), strict=True))
+            self._rows, self._told = np.concatenate((self._rows, rows)), np.concatenate((self._told, told))
+        at = np.fromiter(map(self._index.__getitem__, words), np.int64, len(words))
+        return self._rows[at], self._told[at]
 
     # -- forward-backward -----------------------------------------------------------------------
 
@@ -129,9 +157,8 @@ class Crf:
         many = lex.sum(1) >= 2
         lex = np.where(many[:, None], (lex + 0.1) / (lex.sum(1, keepdims=True) + 0.1 * n) - 1 / n, 0.0)
         self.lexicon = {w: lex[i] for w, i in types.items() if many[i]}
-        feats = [word_features(w) for w in types]
-        ends = np.concatenate(([0], np.cumsum([len(f) for f in feats])))
-        flat = np.fromiter((i for f in feats for i in f), np.int64, ends[-1])
+        flat, sizes = features(list(types))
+        ends = np.concatenate(([0], np.cumsum(sizes)))
         sq = [np.full(x.shape, 1e-8) for x in (self.weights, self.trans, self.start, self.lex_weight)]
         for _ in range(EPOCHS):
             order = rng.permutation(len(segs))
@@ -168,34 +195,40 @@ class Crf:
                 for x, g, s in zip((self.weights, self.trans, self.start, self.lex_weight), grads, sq, strict=True):
                     s += g * g
                     x += RATE * g / np.sqrt(s)
-        self.weights, self._index, self._rows = self.weights.astype(np.float32), {}, np.zeros((0, n))
+        self.weights = self.weights.astype(np.float32)
         return self
 
     # -- prediction ------------------------------------------------------------------------------
 
+    def _label(self, texts: list[str | None]) -> list[tuple[list[str], np.ndarray, np.ndarray]]:
+        """For each text, its words, their marginals (n_words, L) and which have a letter."""
+        words = [tokens(t) for t in texts]
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        emit, told = self.emissions([w for ws in words for w in ws])
+        post = np.zeros_like(emit)
+        parts = -(-sizes // SEGMENT)
+        start = np.repeat(np.cumsum(sizes) - sizes, parts) + SEGMENT * _ramp(parts)
+        size = np.minimum(SEGMENT, np.repeat(np.cumsum(sizes), parts) - start)
+        order = np.argsort(size, kind="stable")
+        for at in range(0, len(order), 512):
+            part = order[at : at + 512]
+            mask = np.arange(size[part[-1]]) < size[part][:, None]
+            rows = np.repeat(start[part], size[part]) + _ramp(size[part])
+            block = np.zeros((*mask.shape, len(self.labels)))
+            block[mask] = emit[rows]
+            post[rows] = self.marginals(block, mask)[mask]
+        cuts = np.cumsum(sizes)[:-1]
+        return list(zip(words, np.split(post, cuts), np.split(told, cuts), strict=True)) if len(texts) else []
+
     def label_words(self, texts: list[str | None]) -> list[tuple[list[str], np.ndarray]]:
         """For each text, its words and their marginals (n_words, L)."""
-        words = [tokens(t) for t in texts]
-        segs = [(d, i, w[i : i + SEGMENT]) for d, w in enumerate(words) for i in range(0, len(w), SEGMENT)]
-        out = [np.zeros((len(w), len(self.labels))) for w in words]
-        segs.sort(key=lambda s: len(s[2]))
-        for at in range(0, len(segs), 512):
-            part = segs[at : at + 512]
-            t = len(part[-1][2])
-            mask = np.arange(t) < np.array([len(s) for _, _, s in part])[:, None]
-            emit = np.zeros((len(part), t, len(self.labels)))
-            emit[mask] = self.emissions([w for _, _, s in part for w in s])
-            post = self.marginals(emit, mask)
-            for r, (d, i, s) in enumerate(part):
-                out[d][i : i + len(s)] = post[r, : len(s)]
-        return list(zip(words, out, strict=True))
+        return [(w, p) for w, p, _ in self._label(texts)]
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         if not self.labels:
             return ["und"] * len(texts), [0.0] * len(texts)
         langs, scores = [], []
-        for words, post in self.label_words(texts):
-            told = np.fromiter(map(has_letter, words), bool, len(words))
+        for _, post, told in self._label(texts):
             if not told.any():
                 langs.append("und")
                 scores.append(0.0)
