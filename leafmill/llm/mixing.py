@@ -10,7 +10,7 @@ The cut in the ranking is found without sorting a source in one place: words are
 
 Edge cases: a null text has size 0 and is never counted; a null source is a source of its own, last
 in order; sources of size 0 get target 0; rows with equal ids share a rank and are ordered by size;
-an empty table gives an empty mix; other columns pass through if they are named in `carry`.
+an empty table gives an empty mix; other columns pass through `mixed_documents`.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import materialize, read
+from leafmill.llm.common import materialize, read, row_key
 
 SEED, BUCKETS = "mix-1", 65536
 WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2
@@ -48,13 +48,13 @@ def targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, mo
     return ranked.select("source", "source_size", F.least("cap", F.col("w") * F.coalesce(level, F.lit(float("inf")))).alias("target"))
 
 
-def mix_sources(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", weight: Column | None = None, seed: str = SEED, carry: tuple[str, ...] = (), **shares) -> DataFrame:
-    """One row per document: doc_id, size, source, source_size, target, copies, taken, and the columns of carry.
+def mix_sources(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", weight: Column | None = None, seed: str = SEED, keys: bool = False, **shares) -> DataFrame:
+    """One row per document: doc_id, size, source, source_size, target, copies, taken; with keys also rk_id, rk_hash.
 
     weight multiplies a document's inclusion probability inside its source (default: all alike).
     """
     u = (F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(doc_id).cast("string"), F.lit("")))), 1, 13), 16, 10).cast("double") + 0.5) / F.lit(float(2**52))
-    slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), size_of(text).alias("size"), u.alias("u"), (weight if weight is not None else F.lit(1.0)).cast("double").alias("wt"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(carry)])
+    slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), size_of(text).alias("size"), u.alias("u"), (weight if weight is not None else F.lit(1.0)).cast("double").alias("wt"), *(row_key(doc_id, text) if keys else []))
     slim = materialize(slim, "mix")
     by = slim.groupBy("source").agg(F.sum("size").alias("source_size"))
     goal = targets(by, **shares).withColumn("ratio", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)))
@@ -75,7 +75,19 @@ def mix_sources(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     w = W.partitionBy("source").orderBy("rank", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
     edge = edge.withColumn("extra", ((F.col("p") > 0) & (F.col("before") + F.coalesce(F.sum("size").over(w), F.lit(0)) + F.col("size") / 2 <= F.col("rest"))).cast("int"))
     out = sure.unionByName(edge).withColumn("copies", (F.col("whole") + F.col("extra")).cast("int"))
-    return out.select("doc_id", "size", "source", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"), *[F.col(f"c{i}").alias(c) for i, c in enumerate(carry)])
+    return out.select("doc_id", "size", "source", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"), *(["rk_id", "rk_hash"] if keys else []))
+
+
+def mixed_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """docs that the mix takes, with `copies`; texts are shuffled once, to meet the decisions on them."""
+    told = mix_sources(docs, doc_id=doc_id, text=text, keys=True, **options)
+    told = told.groupBy("rk_id", "rk_hash").agg(F.sort_array(F.collect_list("copies"), asc=False).alias("all"))  # equal rows share a key
+    told = materialize(told.filter("all[0] > 0"), "taken")
+    own = [c for c in docs.columns if c != "copies"]
+    full = docs.select(*row_key(doc_id, text), *[F.col(c).alias(f"c{i}") for i, c in enumerate(own)]).join(told, ["rk_id", "rk_hash"])
+    nth = F.row_number().over(W.partitionBy("rk_id", "rk_hash").orderBy("rk_id"))
+    taken = full.withColumn("nth", F.when(F.size("all") > 1, nth).otherwise(F.lit(1))).withColumn("copies", F.get("all", F.col("nth") - 1))
+    return taken.filter("copies > 0").select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(own)], "copies")
 
 
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -245,11 +245,14 @@ def test_components(spark):
 
 
 def test_mixing(docs, rows, empty):
-    out = mixing.mix_sources(docs, carry=("lang", "text")).collect()
+    out = mixing.mix_sources(docs).collect()
     assert len(out) == len(rows)
+    assert Counter((r.doc_id, r.size) for r in out) == Counter((r[0], len((r[1] or "").split())) for r in rows)
+    full = mixing.mixed_documents(docs.withColumn("copies", F.lit("clash")))
+    assert counted(full, "doc_id", "copies") == Counter((r.doc_id, r.copies) for r in out if r.copies)
     by = defaultdict(list)
     for r in out:
-        assert r.size == len((r.text or "").split()) and r.taken == r.size * r.copies and 0 <= r.copies <= 2
+        assert r.taken == r.size * r.copies and 0 <= r.copies <= 2
         by[r.source].append(r)
     total = sum(r.size for r in out)
     assert sum(v[0].target for v in by.values()) == pytest.approx(1.5 * total)
