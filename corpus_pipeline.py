@@ -41,8 +41,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the mix takes, with copies: how often each is to be repeated."""
-    mixed = mixing.mix_sources(docs, carry=("text", "lang", "n_chars"))
-    return mixed.filter("copies > 0").select(*COLUMNS, "copies")
+    return mixing.mixed_documents(docs).select(*COLUMNS, "copies")
 
 
 STAGES = [
