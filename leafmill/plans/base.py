@@ -17,6 +17,12 @@ BLOCKS = E(
 )
 
 
+def spread(df: DataFrame, name: str) -> DataFrame:
+    """Texts of a file or two (fewer scan tasks than cores) are dealt to all cores; larger tables are read as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if name in ("documents", "pages") and df.rdd.getNumPartitions() < min(cores, 8) else df
+
+
 class Plan:
     def __init__(self, sql: str, **parts: E) -> None:
         self.sql = E(t(t(sql, **parts).s, blocks=BLOCKS).s, t(t(sql, **parts).d, blocks=BLOCKS).d.replace("AS STRING", "AS VARCHAR"))
@@ -24,5 +30,5 @@ class Plan:
 
     def __call__(self, spark: SparkSession, sf_dir: str) -> DataFrame:
         for n in self.tables:
-            spark.read.parquet(f"{sf_dir}/{n}.parquet").createOrReplaceTempView(n)
+            spread(spark.read.parquet(f"{sf_dir}/{n}.parquet"), n).createOrReplaceTempView(n)
         return spark.sql(self.sql.s)
