@@ -14,6 +14,16 @@ METRIC_WORDS = (
     r"|baseline|ours|chronos|kronos|m2xfp|nvfp|mxfp|smx|olive|tender|mant|bitmod|total|average|avg|cost|latency|throughput"
 )
 SENTENCE_END = ".!?。！？"
+VENUES = (
+    "AAAI|ACL|ASPLOS|ATC|CHI|COLING|CVPR|DAC|DATE|ECCV|EMNLP|EuroSys|FAST|HPCA|ICCV|ICDE|ICLR|ICML|IJCAI|ISCA|KDD|MICRO|MLSys|NAACL|NeurIPS|NIPS|NSDI|OSDI|PLDI|POPL"
+    "|SIGCOMM|SIGGRAPH|SIGIR|SIGMOD|SOSP|UIST|USENIX|VLDB|WSDM|WWW"
+)
+MONTHS = "Jan(?:uary)?|Feb(?:ruary)?|Mar(?:ch)?|Apr(?:il)?|May|Jun(?:e)?|Jul(?:y)?|Aug(?:ust)?|Sep(?:t(?:ember)?)?|Oct(?:ober)?|Nov(?:ember)?|Dec(?:ember)?"
+COUNTRIES = r"USA|U\.S\.A\.|US|United States|Canada|UK|China|Japan|Korea|Germany|France|Italy|Spain|Austria|Australia|Virtual|Online"
+VENUE_DATE_PLACE = rf"(?i)\b(?:{VENUES})\s*[’\x27‘]?\d{{2,4}}\b\s*,\s*(?:{MONTHS})\b[^.!?。！？\n]{{0,42}}\b\d{{4}}\b\s*,\s*[^.!?。！？\n]{{2,90}}\b(?:{COUNTRIES})\b"
+ARXIV_STAMP = rf"(?i)\s*arXiv:\d{{4}}\.\d{{4,5}}(?:v\d+)?(?:\s*\[[^\]]{{1,80}}\])?(?:\s+\d{{1,2}}\s+(?:{MONTHS})\s+\d{{4}})?\s*"
+VENUE_HEADER = rf"(?i)(?:^(?:\d{{1,2}}(?:st|nd|rd|th)\s+)?(?:(?:ACM|IEEE|USENIX|AAAI|SIAM)\s+)?(?:International\s+)?(?:Conference|Symposium|Workshop)\b|^(?:{VENUES})\s*[’\x27‘]?\d{{2,4}}\b)"
+TITLE_STOP_WORDS = ["a", "an", "and", "as", "for", "in", "of", "on", "the", "to", "with"]
 URL = r"(?:https?://|www\.)\S+"
 
 
@@ -97,6 +107,97 @@ def fingerprint(c: E, n: int = 24) -> E:
     return t(f"substring(sha1(<c>), 1, {n})", c=c)
 
 
+def strip_metadata(c: E) -> E:
+    """Without preprint stamps and venue-date-place strings; empty if what is left, at most 260 characters, is metadata; no dangling `such as`."""
+    clean = collapse(replace(replace(c, ARXIV_STAMP, " "), VENUE_DATE_PLACE, " "))
+    rest = collapse(replace(clean, r"(?i)\b(?:such as|including|e\.g\.,?|for example)\s*$", ""))
+    return t("CASE WHEN <m> AND length(<c>) <= 260 THEN '' ELSE <r> END", m=is_publication_metadata(clean), c=clean, r=rest)
+
+
+def section_hint(c: E) -> E:
+    """Title of 2 to 90 characters without its number; empty for placeholders."""
+    clean = t("trim(<r>)", r=replace(replace(paragraph(c), r"^\d+(?:\.\d+)*\.?\s+", ""), "[:：]+$", ""))
+    return t("CASE WHEN <ok> AND NOT <stop> THEN <c> ELSE '' END", c=clean, ok=between(clean, 2, 90), stop=matches(clean, "(?i)^(?:正文|body|unknown|n/a|null|none)$"))
+
+
+def comparable(c: E) -> E:
+    """Lower case without spaces, common punctuation and quotes."""
+    return replace(t("lower(<c>)", c=collapse(c)), r"[\s\-_:：.,，。()\[\]{}（）【】\x22\x27“”‘’]", "")
+
+
+def title_tokens(c: E) -> E:
+    stop = ", ".join(f"'{w}'" for w in TITLE_STOP_WORDS)
+    key = letters_key(c)
+    return E(f"filter(split({key.s}, ' '), v -> length(v) >= 2 AND v NOT IN ({stop}))", f"list_filter(string_split({key.d}, ' '), lambda v: length(v) >= 2 AND v NOT IN ({stop}))")
+
+
+def is_title_header(c: E, title: E, page: E) -> E:
+    """The document's title repeated at the head of a later page: equal or contained, or four tokens and 0.78 of all shared."""
+    clean, name = paragraph(c), paragraph(title)
+    a, b = title_tokens(clean), title_tokens(name)
+    ka, kb = letters_key(clean), letters_key(name)
+    shared = E(f"size(filter({a.s}, v -> array_contains({b.s}, v)))", f"len(list_filter({a.d}, lambda v: list_contains({b.d}, v)))")
+    na, nb = size(a), size(b)
+    return t(
+        "(<p> > 1 AND <ok> AND <n> <> '' AND NOT <open> AND NOT (<end> AND NOT <mark>) AND <ka> <> '' AND <kb> <> '' AND (<ka> = <kb> OR (<na> >= 3 AND <nb> >= 4 AND "
+        "((<na> >= 4 AND (contains(<kb>, <ka>) OR contains(<ka>, <kb>))) OR (<sh> >= 4 AND <sh> >= 0.78 * <na>)))))",
+        p=page, ok=between(clean, 12, 180), n=name, end=matches(clean, "[.!?。！？]$"), mark=matches(name, "[?:：]$"), ka=ka, kb=kb, na=na, nb=nb, sh=shared,
+        open=matches(clean, r"(?i)^(?:abstract|introduction|background|method|approach|evaluation|experiments?|results?|discussion|conclusion|appendix|references)\b"),
+    )
+
+
+# -- lists -----------------------------------------------------------------------------------------
+
+
+def size(array: E) -> E:
+    return E(f"CAST(size({array.s}) AS BIGINT)", f"CAST(len({array.d}) AS BIGINT)")
+
+
+def first_by(array: E, key) -> E:
+    """Items whose key (an expression of the item) no earlier item has."""
+    v = key(x("v"))
+    s, d = f"transform({array.s}, v -> {v.s})", f"list_transform({array.d}, lambda v: {v.d})"
+    return E(f"filter({array.s}, (v, i) -> array_position({s}, {v.s}) = i + 1)", f"list_filter({array.d}, lambda v, i: list_position({d}, {v.d}) = i)")
+
+
+def _items(c: E, marks: str, clean, most: int) -> E:
+    v = clean(x("v"))
+    return E(
+        f"filter(transform(split({c.s}, r'{marks}'), v -> {v.s}), v -> length(v) BETWEEN 1 AND {most})",
+        f"list_filter(list_transform(regexp_split_to_array({c.d}, '{marks}'), lambda v: {v.d}), lambda v: length(v) BETWEEN 1 AND {most})",
+    )
+
+
+def keywords(c: E) -> E:
+    """Items between commas, semicolons and line breaks, at most 80 characters, first spelling of each."""
+    return first_by(_items(c, r"[,，;；、\n]", collapse, 80), lambda v: t("lower(<v>)", v=v))
+
+
+def tags(c: E, most: int = 12) -> E:
+    """Items between commas, hashes and line breaks, cut to 32 characters, first spelling of each, `most` at most."""
+    cut = lambda v: t("substring(<v>, 1, 32)", v=collapse(replace(v, "^#+", "")))
+    all_ = first_by(_items(c, r"[,，#\n]", cut, 32), lambda v: t("lower(<v>)", v=v))
+    return E(f"slice({all_.s}, 1, {most})", f"list_slice({all_.d}, 1, {most})")
+
+
+def reference_tokens(c: E, most: int = 8) -> E:
+    """Figures and tables, then equations, then bracketed citations, first of each key."""
+    found = [extract_all(c, p) for p in (r"(?i)\b(?:figure|fig\.|table|tab\.?)\s*\d+[a-z]?(?:\s*\([a-z]\))?", r"(?i)\b(?:eq\.?|equation)\s*\(?\d+[a-z]?\)?", r"\[[0-9,\s-]{1,32}\]")]
+    one = collapse(x("v"))
+    every = E(f"transform(concat({', '.join(f.s for f in found)}), v -> {one.s})", f"list_transform({' || '.join(f.d for f in found)}, lambda v: {one.d})")
+    uniq = first_by(every, reference_key)
+    return E(f"slice({uniq.s}, 1, {most})", f"list_slice({uniq.d}, 1, {most})")
+
+
+def cue_kind(c: E) -> E:
+    """Kind of artifact that a text speaks of without a number."""
+    clean = collapse(c)
+    figure = any_of(
+        matches(clean, r"(?i)\b(?:figure|fig\.|diagram|chart|plot|visualization|illustration)\b"), matches(clean, r"(?i)\b(?:shown|illustrated|depicted|visualized)\s+(?:above|below|here)\b"), matches(clean, r"(?i)\b(?:above|below)\s+(?:shows|illustrates|depicts)\b"),
+    )
+    return t("CASE WHEN <e> THEN 'equation' WHEN <t> THEN 'table' WHEN <f> THEN 'figure' ELSE '' END", e=matches(clean, r"(?i)\b(?:equation|eq\.|formula|objective|loss function)\b"), t=matches(clean, r"(?i)\b(?:table|tabular)\b"), f=figure)
+
+
 # -- measures --------------------------------------------------------------------------------------
 
 
@@ -152,6 +253,24 @@ def is_author_line(c: E, page: E) -> E:
     )
 
 
+def is_section_opening(c: E) -> E:
+    return matches(t("trim(<c>)", c=c), r"(?i)^(?:abstract|introduction|related work|background|method|methods|methodology|experiments|results|discussion|conclusion|references|appendix)\b")
+
+
+def ends_sentence(c: E) -> E:
+    return matches(t("trim(<c>)", c=c), r"[.!?。！？][\x22\x27)\]]*$")
+
+
+def starts_continuation(c: E) -> E:
+    clean = t("trim(<c>)", c=c)
+    return any_of(matches(clean, r"^[a-z0-9,;:()\[\]\-–—]"), matches(clean, r"(?i)^(?:et\s+al\.|i\.e\.|e\.g\.)"))
+
+
+def is_resource_link(c: E) -> E:
+    clean = collapse(c)
+    return all_of(matches(clean, "(?i)" + URL), matches(clean, r"(?i)\b(?:github|gitlab|huggingface|kaggle|zenodo|osf\.io|openreview|paperswithcode|dataset|datasets|code|repository|repo|artifact|checkpoint|model|models|benchmark)\b"))
+
+
 def is_link_line(c: E) -> E:
     """A URL in under 260 characters, with ten other words at most or more than 0.35 of the characters in URLs."""
     rest = t("trim(<r>)", r=replace(replace(replace(c, "(?i)" + URL, " "), r"\b\d+\b", " "), r"[^\p{L}]+", " "))
@@ -176,6 +295,8 @@ def is_publication_metadata(c: E) -> E:
     return any_of(
         matches(clean, r"(?i)\b(?:ACM Reference Format|Permission to make digital|Copyright held by|Proceedings of|ISBN|ISSN|DOI:|https://doi\.org|arXiv:\d|Creative Commons|©)\b"),
         matches(clean, r"(?i)^EUROSYS\s+[’\x27\d]"),
+        matches(clean, VENUE_DATE_PLACE),
+        all_of(between(clean, 1, 180), matches(clean, VENUE_HEADER), t("NOT <m>", m=matches(clean, "[.!?。！？]"))),
         all_of(between(clean, 1, 220), matches(clean, rf"(?i)^(?:the\s+)?(?:\d{{1,2}}(?:st|nd|rd|th)|{nth})\s+international\s+conference\s+on\b")),
     )
 

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from leafmill.plans import folds, relational, rules, textual
+from leafmill.plans import folds, layout, relational, rules, textual
 
-PLANS = textual.QUERIES | relational.QUERIES | rules.QUERIES
+PLANS = textual.QUERIES | relational.QUERIES | rules.QUERIES | layout.QUERIES
 QUERIES = dict(PLANS) | folds.QUERIES
 ORACLES = {k: p.sql.d for k, p in PLANS.items()} | folds.ORACLES

@@ -12,7 +12,6 @@ _continues = matches(LINE, r"^[a-z0-9,;:)\]]")
 _lead_in = matches(LINE, r"(?i)^(?:definition|theorem|lemma|proposition|corollary|remark|example|proof|assumption|claim)\b(?:\s+\S+){4,}")
 _risk = "CAST(<a> % 2 AS BIGINT) AS odd_dollars, <b> - <c> AS braces, <d> - <e> AS environments"
 _letters = count(LINE, r"\p{L}")
-_box = "(SELECT doc_id, pos, CAST(30 + length(line) AS DOUBLE) AS w, CAST(20 + pos % 8 * 60 AS DOUBLE) AS h FROM <blocks> q)"
 _joined = lambda a, sep=",": E(f"array_join({a.s}, '{sep}')", f"coalesce(array_to_string({a.d}, '{sep}'), '')")
 _symbols = extract_all(x("substring(text, 1, 400)"), r"\b[A-Z]{2,6}\b")
 _distinct_sorted = E(f"array_sort(array_distinct({_symbols.s}))", f"list_sort(list_distinct({_symbols.d}))")
@@ -44,13 +43,7 @@ QUERIES = {
     "issue_order": Plan("SELECT o_orderpriority, place FROM (SELECT o_orderpriority, row_number() OVER (ORDER BY rank_, n DESC, o_orderpriority) AS place FROM (SELECT o_orderpriority, CASE WHEN o_orderpriority LIKE '1%' THEN 0 WHEN o_orderpriority LIKE '2%' THEN 1 ELSE 2 END AS rank_, count(*) AS n FROM orders GROUP BY 1, 2) s) r"),
     "symbols": Plan("SELECT doc_id, <s> AS symbols, <n> AS n_symbols FROM documents", s=_joined(_distinct_sorted), n=E(f"CAST(size({_distinct_sorted.s}) AS BIGINT)", f"CAST(len({_distinct_sorted.d}) AS BIGINT)")),
     "redaction": Plan("SELECT doc_id, sha1(<r>) AS redacted, <n> AS n_found FROM documents", r=replace(replace(T.TEXT, r"(?i)(?:password|token|secret|api_key)=\S+", "[redacted]"), r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "[email]"), n=count(T.TEXT, r"(?i)(?:password|token|secret|api_key)=\S+")),
-    "crop_quality": Plan(
-        "SELECT doc_id, pos, CAST(greatest(0, least(100, 72 + 14 - CASE WHEN area < 0.01 THEN 32 WHEN area > 0.85 THEN 24 ELSE 0 END - CASE WHEN h < 30 THEN 28 ELSE 0 END - CASE WHEN w < 40 THEN 12 ELSE 0 END)) AS BIGINT) AS score FROM (SELECT doc_id, pos, w, h, least(w, 612) * least(h, 792) / (612.0 * 792.0) AS area FROM <box>) s".replace("<box>", f"{_box} b"),
-    ),
     "adaptive_batch": Plan("SELECT user_id, n, CAST(greatest(1, least(12, ceil(n * 45.0 / (20 * 60 * 3)))) AS BIGINT) AS batch FROM (SELECT user_id, count(*) AS n FROM events GROUP BY user_id) s"),
-    "verify_one": Plan(
-        "SELECT doc_id, s >= 120 AND o < greatest(36, 0.2 * s) AS short_translation, o < 42 AS short_explanation, NOT c AS incomplete FROM (SELECT d.doc_id, length(d.text) AS s, length(d.text) % 200 AS o, l.quality IS NOT NULL AS c FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id) q",
-    ),
     "coverage_codes": Plan("SELECT source, CAST(round(100.0 * sum(CASE WHEN quality IS NOT NULL THEN 1 ELSE 0 END) / count(*)) AS BIGINT) AS percent, CAST(sum(coalesce(toxic, 0)) AS BIGINT) AS codes FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id GROUP BY source"),
     "cell_rollup": Plan("SELECT l_returnflag, l_linestatus, count(*) AS n, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS quantity FROM lineitem GROUP BY l_returnflag, l_linestatus"),
 }
