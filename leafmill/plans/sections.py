@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 from leafmill.functions import text as T
 from leafmill.functions.dual import E, count, t, x
 from leafmill.operators import providers, structure
-from leafmill.plans.base import BLOCKS, Plan
+from leafmill.plans.base import BLOCKS, Plan, spread
 
 _TITLED = "SELECT doc_id, page, pos, CASE WHEN pos % 5 = 0 THEN concat(CAST(1 + CAST(floor(pos / 10) AS BIGINT) AS STRING), '. Method') WHEN pos % 7 = 3 THEN 'Results' WHEN pos = 60 THEN 'References' ELSE line END AS text FROM <blocks> b"
 
 
 def infer_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spark.read.parquet(f"{sf_dir}/documents.parquet").createOrReplaceTempView("documents")
+    spread(spark.read.parquet(f"{sf_dir}/documents.parquet"), "documents").createOrReplaceTempView("documents")
     return structure.infer_sections(spark.sql(t(_TITLED, blocks=BLOCKS).s), ["doc_id"], most=1000)
 
 
