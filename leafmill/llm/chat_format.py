@@ -3,35 +3,37 @@
 Messages are rows (conv_id, turn, role, text). A message whose text is a JSON object may carry
 `tool_calls` ([{"id", "name", "arguments"}]), and one of role `tool`, or with a `tool_call_id`,
 is a result. Calls and results are hash-joined by (conversation, identifier); a result is placed
-directly after the message of its call, even if it was stored before it; calls whose arguments
-quote the identifier of another call (`"$ref:<id>"`) come after that call's results. Arguments are
+directly after the message of its call, even if it was stored before it; a message with calls whose
+arguments quote the identifier of another call (`"$ref:<id>"`) comes after that call's results, over
+chains of any length. Arguments are
 checked against the tool's schema (required names, types, no further names). Each message is
 written as canonical JSON: keys sorted, no spaces, UTF-8.
 
-The order is a sortable key per message, so a conversation is never gathered in one task; a
-writer that sorts by (conv_id, order_key) gets the transcript.
+The order is a sortable key per message, so the messages of a conversation are never gathered in one
+task; a writer that sorts by (conv_id, order_key) gets the transcript. Only the references of a
+conversation (pairs of hashes and turns, no texts) are ranked in one task.
 
 Edge cases: null text is the empty string, a null role is `unknown`; text that isn't a JSON object
 is plain content; a result without call is kept at its own place with status `orphan`; a call
 without result is `unanswered`; results that share an identifier keep the order of their turns,
 ties broken by text; the first of several calls with one identifier is linked, the others are
-`duplicate`; cyclic references fall back to the order of turns; an empty table gives an empty
-result; other columns are ignored.
+`duplicate`; rows equal in all columns are one message; references within a cycle don't count, so its
+calls keep the order of turns, while messages outside still come after the calls they quote; a result
+that has calls with references itself stands where these allow; an empty table gives an empty result;
+other columns are ignored.
 """
 
 from __future__ import annotations
 
 import json
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmill.llm.common import materialize, read, small_batches
 
-#: Rounds of references between calls that are followed; deeper chains keep the order of turns.
-MOST_DEPTH = 16
-
 TYPES = {"string": str, "number": (int, float), "integer": int, "boolean": bool, "object": dict, "array": list}
 
 MESSAGE = "conv_id long, turn long, role string, content string, calls array<struct<id:string,name:string,arguments:string,refs:array<string>,faults:array<string>>>, result_of string"
@@ -115,50 +117,108 @@ def parse(messages: DataFrame, schemas: dict[str, dict]) -> DataFrame:
 def link(messages: DataFrame, schemas: dict[str, dict]) -> DataFrame:
     """(conv_id, turn, role, order_key, status, n_calls, n_faults, json), one row for each message.
 
-    status: plain, call, unanswered (a call of it has no result), linked (a result), orphan.
-    order_key: the keys of the messages it depends on, then its own turn.
+    status: plain, call, unanswered (a call of it has no result), duplicate (else, a call of it repeats
+    an identifier), linked (a result), orphan.
+    order_key: the last turn it must not come before, its rank among what it refers to, its own turn.
     """
-    rows = materialize(parse(messages, schemas), "messages")
-    conv = F.coalesce("conv_id", F.lit(-(2**63)))
-    calls = rows.select(conv.alias("conv"), "turn", F.explode("calls").alias("c")).select("conv", "turn", F.col("c.id").alias("id"), F.col("c.name").alias("name"), F.col("c.refs").alias("refs"))
-    calls = calls.groupBy("conv", "id").agg(F.min(F.struct("turn", "name", "refs")).alias("first"), F.count("*").alias("copies")).select("conv", "id", F.col("first.turn").alias("turn"), F.col("first.name").alias("name"), F.col("first.refs").alias("refs"))
-    placed = materialize(_levels(calls), "calls")
+    node = F.xxhash64("turn", "role", "content", "calls", "result_of")
+    rows = materialize(parse(messages, schemas), "messages").select("*", F.coalesce("conv_id", F.lit(-(2**63))).alias("conv"), node.alias("node"), F.coalesce("turn", F.lit(-1)).alias("own"))
+    calls = rows.select("conv", "node", "own", F.posexplode("calls").alias("k", "c")).select("conv", "node", "own", "k", F.col("c.id").alias("id"), F.col("c.name").alias("name"), F.col("c.refs").alias("refs"))
+    first = calls.groupBy("conv", "id").agg(F.min(F.struct("own", "node", "k", "name")).alias("first"))
+    first = materialize(first.select("conv", "id", F.col("first.node").alias("call_node"), F.col("first.own").alias("call_turn"), F.col("first.k").alias("call_k"), F.col("first.name").alias("call_name")), "calls")
+    ranks = _ranks(rows, calls, first)
     # results by (conversation, identifier)
-    asked = placed.select("conv", F.col("id").alias("result_of"), F.col("turn").alias("call_turn"), F.col("name").alias("call_name"), "level")
-    joined = rows.withColumn("conv", conv).join(asked, ["conv", "result_of"], "left")
-    answered = rows.filter("result_of IS NOT NULL").select(conv.alias("conv"), F.col("result_of").alias("id")).distinct().withColumn("answered", F.lit(True))
-    open_calls = placed.join(answered, ["conv", "id"], "left").groupBy("conv", "turn").agg(F.max("level").alias("own_level"), F.sum(F.when(F.col("answered").isNull(), 1).otherwise(0)).alias("n_open"))
-    joined = joined.join(open_calls, ["conv", "turn"], "left")
-    # a message stands at its turn, a message of calls not before what it refers to, a result after its call
-    base = F.coalesce("call_turn", "turn", F.lit(-1))
-    joined = joined.withColumn("order_key", F.struct(
-        F.greatest(F.when(F.col("call_turn").isNotNull(), F.col("level")).otherwise(F.coalesce("own_level", F.lit(0))), base).alias("at"),
-        base.alias("turn"), F.col("call_turn").isNotNull().cast("int").alias("after"), F.coalesce("turn", F.lit(-1)).alias("own"),
-    ))
+    joined = rows.join(first.drop("call_k").withColumnRenamed("id", "result_of"), ["conv", "result_of"], "left")
+    answered = rows.filter("result_of IS NOT NULL").select("conv", F.col("result_of").alias("id")).distinct().withColumn("answered", F.lit(True))
+    linked = first.join(answered, ["conv", "id"], "left")
+    told = calls.join(linked, ["conv", "id"]).withColumn("is_first", (F.col("node") == F.col("call_node")) & (F.col("k") == F.col("call_k")))
+    told = told.groupBy("conv", "node").agg(F.count(F.when(F.col("is_first") & F.col("answered").isNull(), 1)).alias("n_open"), F.count(F.when(~F.col("is_first"), 1)).alias("n_again"))
+    joined = joined.join(told, ["conv", "node"], "left")
+    # a message stands with its own calls, a result with its call's message unless its own calls quote others
+    is_linked = F.col("call_turn").isNotNull()
+    after = is_linked & ~F.exists("calls", lambda c: F.size(c["refs"]) > 0)
+    joined = joined.withColumns({"place": F.when(after, F.col("call_node")).otherwise(F.col("node")), "base": F.when(after, F.col("call_turn")).otherwise(F.col("own"))})
+    if ranks is not None:
+        joined = joined.join(ranks.withColumnRenamed("node", "place"), ["conv", "place"], "left")
+    else:
+        joined = joined.withColumns({"at": F.lit(None).cast("long"), "rank": F.lit(None).cast("long")})
+    joined = joined.withColumn("order_key", F.struct(F.coalesce("at", "base").alias("at"), F.coalesce("rank", F.lit(0)).alias("rank"), F.col("base").alias("turn"), after.cast("int").alias("after"), F.col("own").alias("own")))
     status = (
-        F.when(F.col("call_turn").isNotNull(), "linked").when(F.col("result_of").isNotNull(), "orphan")
-        .when(F.size("calls") == 0, "plain").when(F.col("n_open") > 0, "unanswered").otherwise("call")
+        F.when(is_linked, "linked").when(F.col("result_of").isNotNull(), "orphan")
+        .when(F.size("calls") == 0, "plain").when(F.col("n_open") > 0, "unanswered").when(F.col("n_again") > 0, "duplicate").otherwise("call")
     )
     n_faults = F.aggregate("calls", F.lit(0).cast("long"), lambda a, c: a + F.size(c["faults"]))
     told = joined.select("conv_id", "turn", "role", "order_key", status.alias("status"), F.size("calls").cast("long").alias("n_calls"), n_faults.alias("n_faults"), "content", "calls", "result_of", "call_name")
     return told.withColumn("json", _json()).drop("content", "calls", "result_of", "call_name")
 
 
-def _levels(calls: DataFrame) -> DataFrame:
-    """calls with level: the last turn that a call must not come before, over its references, by rounds."""
-    level = calls.withColumn("level", F.col("turn"))
-    if not calls.filter(F.size("refs") > 0).limit(1).count():
-        return level
-    level = materialize(level, "levels")
-    for _ in range(MOST_DEPTH):
-        needs = level.select("conv", "id", F.explode("refs").alias("ref")).join(level.select("conv", F.col("id").alias("ref"), F.col("level").alias("ref_level")), ["conv", "ref"])
-        most = needs.groupBy("conv", "id").agg(F.max("ref_level").alias("most"))
-        new = level.join(most, ["conv", "id"], "left").withColumn("new", F.greatest("level", "most"))
-        new = materialize(new.select("conv", "id", "turn", "name", "refs", F.col("new").alias("level"), (F.col("new") > F.col("level")).alias("moved")), "levels")
-        level = new.drop("moved")
-        if not new.filter("moved").limit(1).count():
-            break
-    return level
+def rank_references(turns: dict[int, int], needs: dict[int, set[int]]) -> dict[int, tuple[int, int]]:
+    """node: (last turn among it and all it needs, length of the longest chain of needs); needs within a cycle don't count.
+
+    Strongly connected components (Tarjan's, without recursion) come out after the ones they need.
+    """
+    index: dict[int, int] = {}
+    low: dict[int, int] = {}
+    stack: list[int] = []
+    on: set[int] = set()
+    out: dict[int, tuple[int, int]] = {}
+    for root in turns:
+        if root in index:
+            continue
+        index[root] = low[root] = len(index)
+        stack.append(root)
+        on.add(root)
+        work = [(root, iter(needs.get(root, ())))]
+        while work:
+            v, rest = work[-1]
+            for w in rest:
+                if w not in index:
+                    index[w] = low[w] = len(index)
+                    stack.append(w)
+                    on.add(w)
+                    work.append((w, iter(needs.get(w, ()))))
+                    break
+                if w in on:
+                    low[v] = min(low[v], index[w])
+            else:
+                work.pop()
+                if work:
+                    low[work[-1][0]] = min(low[work[-1][0]], low[v])
+                if low[v] == index[v]:
+                    part = []
+                    while True:
+                        w = stack.pop()
+                        on.discard(w)
+                        part.append(w)
+                        if w == v:
+                            break
+                    got = {}
+                    for w in part:
+                        done = [out[d] for d in needs.get(w, ()) if d in out]
+                        got[w] = (max([turns[w], *(d[0] for d in done)]), max([0, *(d[1] + 1 for d in done)]))
+                    out |= got
+    return out
+
+
+def _ranks(rows: DataFrame, calls: DataFrame, first: DataFrame) -> DataFrame | None:
+    """(conv, node, at, rank) of the messages that take part in references, if there are any."""
+    target = first.select("conv", F.col("id").alias("ref"), F.col("call_node").alias("need"), F.col("call_turn").alias("need_turn"))
+    quotes = calls.select("conv", "node", "own", F.explode("refs").alias("ref"))
+    replies = rows.filter("result_of IS NOT NULL AND size(calls) > 0").select("conv", "node", "own", F.col("result_of").alias("ref"))
+    edges = quotes.unionByName(replies).join(target, ["conv", "ref"]).filter("node <> need").select("conv", "node", "own", "need", "need_turn").distinct()
+    edges = materialize(edges, "references")
+    if not edges.limit(1).count():
+        return None
+
+    def run(e: pd.DataFrame) -> pd.DataFrame:
+        turns, needs = {}, {}
+        for node, own, need, need_turn in zip(e["node"].tolist(), e["own"].tolist(), e["need"].tolist(), e["need_turn"].tolist(), strict=True):
+            turns[node], turns[need] = own, need_turn
+            needs.setdefault(node, set()).add(need)
+        got = rank_references(turns, needs)
+        return pd.DataFrame({"conv": e["conv"].iat[0], "node": list(got), "at": [v[0] for v in got.values()], "rank": [v[1] for v in got.values()]})
+
+    return materialize(edges.groupBy("conv").applyInPandas(run, "conv long, node long, at long, rank long"), "ranks")
 
 
 def _quoted(c):

@@ -371,6 +371,31 @@ def test_chat_links(spark):
     assert chat_format.link(spark.createDataFrame([], "conv_id long, turn long, role string, text string"), SCHEMAS).count() == 0
 
 
+def test_chat_order_follows_references(spark):
+    call = lambda i, **a: {"id": i, "name": "add", "arguments": a}
+    asks = lambda *c: json.dumps({"tool_calls": c})
+    result = lambda i: json.dumps({"tool_call_id": i, "content": "1"})
+    msgs = [
+        (1, 0, "user", "u"), (1, 1, "assistant", asks(call("b", x="$ref:z", y=1))), (1, 2, "tool", result("b")), (1, 3, "user", "v"), (1, 6, "assistant", asks(call("z", x=1, y=1))), (1, 7, "tool", result("z")),
+        (1, 8, "assistant", asks(call("z", x=2, y=2))), (1, 9, "assistant", asks(call("n", x=1, y=1), call("n", x=1, y=1))), (1, 10, "tool", result("n")),
+        # a cycle keeps its turns, what quotes it comes after it
+        (2, 0, "assistant", asks(call("w", x="$ref:p", y=1))), (2, 1, "assistant", asks(call("q", x="$ref:p", y=1))), (2, 2, "user", "u"), (2, 3, "assistant", asks(call("p", x="$ref:q", y="$ref:p"))), (2, 4, "tool", result("p")),
+        # a result with calls: after what they quote, before their results
+        (4, 0, "tool", json.dumps({"tool_call_id": "s", "tool_calls": [call("m", x="$ref:e", y=1)]})), (4, 1, "tool", result("m")), (4, 2, "assistant", asks(call("s", x=1, y=1))), (4, 3, "assistant", asks(call("e", x=1, y=1))), (4, 4, "tool", result("e")),
+    ]
+    # each call quotes the next one: deeper than any number of rounds
+    msgs += [(3, i, "assistant", asks(call(f"c{i}", x=f"$ref:c{i + 1}", y=1))) for i in range(60)] + [(3, 100 + i, "tool", result(f"c{i}")) for i in range(60)]
+    out = chat_format.link(spark.createDataFrame(msgs, "conv_id long, turn long, role string, text string"), SCHEMAS).orderBy("conv_id", "order_key").collect()
+    turns = {c: [r.turn for r in out if r.conv_id == c] for c in (1, 2, 3, 4)}
+    at = {t: i for i, t in enumerate(turns[1])}
+    assert at[6] < at[7] < at[1] < at[2] and turns[1] == [0, 3, 6, 7, 1, 2, 8, 9, 10]
+    assert turns[2] == [1, 2, 3, 4, 0]
+    assert turns[3] == [t for i in range(59, -1, -1) for t in (i, 100 + i)]
+    assert turns[4] == [2, 3, 4, 0, 1]
+    status = {(r.conv_id, r.turn): r.status for r in out}
+    assert status[1, 6] == "call" and status[1, 8] == status[1, 9] == "duplicate" and status[2, 1] == "unanswered"
+
+
 def test_chat_query_is_brute_force(spark, tmp_path):
     rng = random.Random(8)
     chats = [(c, t, ("system" if t == 0 and c % 3 == 0 else "user" if t % 2 == 0 else "assistant"), f'"{rng.random()}\\ é') for c in range(30) for t in range(rng.randint(1, 6))]
