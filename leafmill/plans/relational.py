@@ -7,8 +7,7 @@ from leafmill.functions.dual import E, t, x
 from leafmill.plans.base import Plan
 
 LINE = x("line")
-_words = E("filter(split(lower(regexp_replace(text, r'[^A-Za-z0-9]+', ' ')), ' '), v -> length(v) >= 4)", "list_filter(string_split(lower(regexp_replace(text, '[^A-Za-z0-9]+', ' ', 'g')), ' '), lambda v: length(v) >= 4)")
-_explode = E("SELECT doc_id, item, explode(array_distinct(ws)) AS w FROM", "SELECT doc_id, item, unnest(list_distinct(ws)) AS w FROM")
+_words = E(r"filter(split(regexp_replace(lower(text), r'[^\p{L}\p{N}_]+', ' '), ' '), v -> length(v) >= 3)", r"list_filter(string_split(regexp_replace(lower(text), '[^\p{L}\p{N}_]+', ' ', 'g'), ' '), lambda v: length(v) >= 3)")
 _pages = E("explode(sequence(a, least(b, a + 24)))", "unnest(range(a, least(b, a + 24) + 1))")
 _secs = E("CAST(unix_timestamp(<b>) - unix_timestamp(<a>) AS BIGINT)", "CAST(floor(epoch(<b>)) - floor(epoch(<a>)) AS BIGINT)")
 
@@ -111,8 +110,9 @@ QUERIES = {
         "SELECT doc_id, pos, row_number() OVER (PARTITION BY doc_id, page ORDER BY band, side, y, pos) AS ord FROM (SELECT doc_id, pos, page, y, side, sum(CASE WHEN side = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, page ORDER BY y, pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS band FROM (SELECT doc_id, pos, page, y, CASE WHEN length(line) > 300 THEN 0 WHEN pos % 2 = 0 THEN 1 ELSE 2 END AS side FROM <blocks> b) s) r",
     ),
 }
+# Documents are the source, items of 36 characters the blocks; every token of both counts, and every match stays.
 QUERIES["token_overlap_match"] = Plan(
-    "WITH d AS (<e> (SELECT doc_id, doc_id % 40 AS item, <words> AS ws FROM documents) q), b AS (<e> (SELECT item_id AS doc_id, item_id AS item, <words> AS ws FROM benchmark) q), n AS (SELECT item, count(*) AS n FROM b GROUP BY item) "
-    "SELECT d.doc_id, d.item, count(*) AS shared, round(CAST(count(*) AS DOUBLE) / max(n.n), 6) AS score FROM d JOIN b ON d.item = b.item AND d.w = b.w JOIN n ON n.item = d.item GROUP BY d.doc_id, d.item",
-    e=_explode, words=_words,
+    "WITH d AS (SELECT doc_id, <n> AS n_doc, <each> AS w FROM (SELECT doc_id, <distinct> AS ws FROM documents) q), i AS (SELECT item_id AS item, <n> AS n_item, <each> AS w FROM (SELECT item_id, <words> AS ws FROM benchmark WHERE length(text) >= 36) q), b AS (SELECT item, n_item, w, count(*) AS c FROM i GROUP BY item, n_item, w) "
+    "SELECT doc_id, item, shared, round(score, 6) AS score FROM (SELECT doc_id, item, CAST(sum(c) AS BIGINT) AS shared, CAST(sum(c) AS DOUBLE) / least(n_doc, n_item) AS score FROM d JOIN b ON d.w = b.w GROUP BY doc_id, item, n_doc, n_item) s WHERE score >= CAST(0.62 AS DOUBLE)",
+    n=T.size(x("ws")), each=E("explode(ws)", "unnest(ws)"), distinct=E(f"array_distinct({_words.s})", f"list_distinct({_words.d})"), words=_words,
 )
