@@ -35,3 +35,8 @@ def test_token_overlap_meets_all_items(spark, tmp_path):
     got = answer(spark, tmp_path, "token_overlap_match", documents=docs(*texts), benchmark=([(77, item), (1, other), (2, "zeta but short")], "item_id long, text string"))
     # 77 is no document's number modulo 40; theta counts twice; five of eight tokens are 0.625; a whole small source
     assert got == [(1, 77, 8, 1.0), (2, 77, 5, 0.625), (3, 77, 1, 1.0)]
+
+
+def test_box_clusters_of_every_page(spark, tmp_path):
+    got = answer(spark, tmp_path, "box_clusters", documents=docs("\n".join("x" * (1 + i % 5) for i in range(29)), "one"))
+    assert [r[:3] for r in got] == [(0, 1 + i // 8, i) for i in range(29)] + [(1, 1, 0)]
