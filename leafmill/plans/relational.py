@@ -23,12 +23,6 @@ QUERIES = {
     # joins
     "coverage_join": Plan("SELECT d.doc_id, l.quality, l.toxic, l.doc_id IS NULL AS missing FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id"),
     "missing_results": Plan("SELECT d.doc_id, d.source FROM documents d LEFT ANTI JOIN labels l ON d.doc_id = l.doc_id".replace("LEFT ANTI", "<anti>"), anti=E("LEFT ANTI", "ANTI")),
-    "containment_match": Plan(
-        "WITH k AS (SELECT doc_id, <k> AS k FROM documents), f AS (SELECT substring(k, 1, 36) AS p, min(doc_id) AS doc_id FROM k WHERE length(k) >= 36 GROUP BY substring(k, 1, 36)), h AS (SELECT f.p, f.doc_id AS first_doc, k.k AS first_k FROM f JOIN k ON f.doc_id = k.doc_id) "
-        "SELECT k.doc_id, h.first_doc, k.k = h.first_k AS equal_keys FROM k JOIN h ON substring(k.k, 1, 36) = h.p WHERE k.doc_id <> h.first_doc "
-        "AND (k.k = h.first_k OR contains(k.k, substring(h.first_k, 1, CAST(greatest(36, least(140, floor(0.7 * length(h.first_k)))) AS INT))) OR contains(h.first_k, substring(k.k, 1, CAST(greatest(36, least(140, floor(0.7 * length(k.k)))) AS INT))))",
-        k=T.coverage_key(T.TEXT),
-    ),
     "interval_assign": Plan(
         f"SELECT doc_id, page, n_lines, k AS section, role FROM (SELECT b.doc_id, b.page, b.n_lines, p.k, p.role, row_number() OVER (PARTITION BY b.doc_id, b.page ORDER BY CASE WHEN p.start_page <= b.page AND b.page <= p.end_page THEN 0 WHEN p.start_page <= b.page THEN 1 ELSE 2 END, p.start_page DESC) AS rn FROM (SELECT doc_id, page, count(*) AS n_lines FROM <blocks> x GROUP BY doc_id, page) b JOIN {_plan_rows} p ON b.doc_id = p.doc_id) r WHERE rn = 1",
     ),
