@@ -156,8 +156,10 @@ def size(array: E) -> E:
 def first_by(array: E, key) -> E:
     """Items whose key (an expression of the item) no earlier item has."""
     v = key(x("v"))
-    s, d = f"transform({array.s}, v -> {v.s})", f"list_transform({array.d}, lambda v: {v.d})"
-    return E(f"filter({array.s}, (v, i) -> array_position({s}, {v.s}) = i + 1)", f"list_filter({array.d}, lambda v, i: list_position({d}, {v.d}) = i)")
+    d = f"list_transform({array.d}, lambda v: {v.d})"
+    # the array and its keys are each bound once: inside the filter they would be made again for every item
+    once = f"transform(array(transform(a, v -> {v.s})), k -> filter(a, (v, i) -> array_position(k, k[i]) = i + 1))[0]"
+    return E(f"transform(array({array.s}), a -> {once})[0]", f"list_filter({array.d}, lambda v, i: list_position({d}, {v.d}) = i)")
 
 
 def _items(c: E, marks: str, clean, most: int) -> E:
@@ -180,6 +182,27 @@ def tags(c: E, most: int = 12) -> E:
     return E(f"slice({all_.s}, 1, {most})", f"list_slice({all_.d}, 1, {most})")
 
 
+SYMBOL_STOP_WORDS = ["a", "an", "and", "are", "as", "at", "by", "for", "from", "in", "is", "it", "of", "on", "or", "the", "to", "with"]
+
+
+def symbols(c: E) -> E:
+    """Acronyms, names with sub- or superscripts and single letters between operators, at most 24 characters, no stop words; distinct and sorted."""
+    # an operator between two letters ends one match and starts the next: each is written twice
+    twice = E(f"regexp_replace({c.s}, r'([=+\\-*/^,()])', '$1$1')", f"regexp_replace({c.d}, '([=+\\-*/^,()])', '\\1\\1', 'g')")
+    found = [
+        extract_all(c, r"\b[A-Z][A-Z0-9]{1,14}\b"),
+        extract_all(c, r"\b[A-Za-z][A-Za-z0-9]*(?:[_^][A-Za-z0-9{}]+)+\b"),
+        extract_all(twice, r"(?:^|[=+\-*/^,(])\s*([A-Za-z])\s*(?:[=+\-*/^,)]|\z)", 1),
+    ]
+    clean = replace(x("v"), r"[.,;:()\[\]{}]+$", "")
+    stop = ", ".join(f"'{w}'" for w in SYMBOL_STOP_WORDS)
+    kept = f"length(v) BETWEEN 1 AND 24 AND lower(v) NOT IN ({stop})"
+    return E(
+        f"array_sort(array_distinct(filter(transform(concat({', '.join(f.s for f in found)}), v -> {clean.s}), v -> {kept})))",
+        f"list_sort(list_distinct(list_filter(list_transform({' || '.join(f.d for f in found)}, lambda v: {clean.d}), lambda v: {kept})))",
+    )
+
+
 def reference_tokens(c: E, most: int = 8) -> E:
     """Figures and tables, then equations, then bracketed citations, first of each key."""
     found = [extract_all(c, p) for p in (r"(?i)\b(?:figure|fig\.|table|tab\.?)\s*\d+[a-z]?(?:\s*\([a-z]\))?", r"(?i)\b(?:eq\.?|equation)\s*\(?\d+[a-z]?\)?", r"\[[0-9,\s-]{1,32}\]")]

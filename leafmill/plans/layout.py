@@ -71,16 +71,16 @@ QUERIES = {
         **{k: scoring.layered(_BUDGET_ROWS, scoring.budget("n", "tok", k == "low", *r)) for k, r in RATES.items()},
     ),
     "strip_metadata": Plan(
-        "SELECT doc_id, pos, <s> AS stripped, <m> AS metadata FROM (SELECT doc_id, pos, CASE pos % 4 WHEN 0 THEN concat('arXiv:2401.01234v2 [cs.LG] 3 Jan 2024 ', substring(line, 1, 80)) WHEN 1 THEN concat(substring(line, 1, 60), ' ICML 24, July 21-27, 2024, Vienna, Austria') ELSE substring(line, 1, 90) END AS line FROM <blocks> b) q",
+        "SELECT doc_id, pos, <s> AS stripped, <m> AS metadata FROM (SELECT doc_id, pos, CASE pos % 4 WHEN 0 THEN concat('arXiv:2401.01234v2 [cs.LG] 3 Jan 2024 ', line) WHEN 1 THEN concat(line, ' ICML 24, July 21-27, 2024, Vienna, Austria') ELSE line END AS line FROM <blocks> b) q",
         s=T.strip_metadata(LINE), m=T.is_publication_metadata(LINE),
     ),
     "title_headers": Plan(
         "SELECT doc_id, pos, <h> AS header, <o> AS opening, <l> AS resource FROM (SELECT doc_id, pos, page, substring(line, 1, CAST(30 + pos % 60 AS INT)) AS line, substring(first_value(line) OVER (PARTITION BY doc_id ORDER BY pos), 1, 80) AS title FROM <blocks> b) q",
         h=T.is_title_header(LINE, x("title"), x("page")), o=T.is_section_opening(LINE), l=T.is_resource_link(LINE),
     ),
-    "keyword_lists": Plan("SELECT doc_id, <k> AS keywords, <g> AS tags, <h> AS hint, <c> AS comparable FROM (SELECT doc_id, substring(text, 1, 400) AS line FROM documents) q", k=_listed(T.keywords(LINE), "|"), g=_listed(T.tags(LINE), "|"), h=T.section_hint(x("substring(line, 1, 60)")), c=T.comparable(LINE)),
+    "keyword_lists": Plan("SELECT doc_id, <k> AS keywords, <g> AS tags, <h> AS hint, <c> AS comparable FROM (SELECT doc_id, text AS line FROM documents) q", k=_listed(T.keywords(LINE), "|"), g=_listed(T.tags(LINE), "|"), h=T.section_hint(x("substring(line, 1, 60)")), c=T.comparable(LINE)),
     "reference_tokens": Plan(
-        "SELECT doc_id, <r> AS refs, <k> AS cue FROM (SELECT doc_id, concat(substring(text, 1, 60), ' as Figure ', CAST(doc_id % 7 AS STRING), 'a, fig. 2 and FIG. 2; eq. (', CAST(doc_id % 3 AS STRING), ') see [1, 2]', CASE doc_id % 4 WHEN 0 THEN ' shown above' WHEN 1 THEN ' table' ELSE '' END) AS line FROM documents) q",
+        "SELECT doc_id, <r> AS refs, <k> AS cue FROM (SELECT doc_id, concat(text, ' as Figure ', CAST(doc_id % 7 AS STRING), 'a, fig. 2 and FIG. 2; eq. (', CAST(doc_id % 3 AS STRING), ') see [1, 2]', CASE doc_id % 4 WHEN 0 THEN ' shown above' WHEN 1 THEN ' table' ELSE '' END) AS line FROM documents) q",
         r=_listed(T.reference_tokens(LINE), "|"), k=T.cue_kind(LINE),
     ),
     # Ways in order: told id, equal title, title contained (of the ranges that overlap), range that overlaps, last start before the page, first row.

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from leafmill.functions import text as T
-from leafmill.functions.dual import E, count, extract_all, matches, replace, t, x
+from leafmill.functions.dual import E, count, matches, replace, t, x
 from leafmill.plans.base import Plan
 
 LINE = x("line")
@@ -13,8 +13,7 @@ _lead_in = matches(LINE, r"(?i)^(?:definition|theorem|lemma|proposition|corollar
 _risk = "CAST(<a> % 2 AS BIGINT) AS odd_dollars, <b> - <c> AS braces, <d> - <e> AS environments"
 _letters = count(LINE, r"\p{L}")
 _joined = lambda a, sep=",": E(f"array_join({a.s}, '{sep}')", f"coalesce(array_to_string({a.d}, '{sep}'), '')")
-_symbols = extract_all(x("substring(text, 1, 400)"), r"\b[A-Z]{2,6}\b")
-_distinct_sorted = E(f"array_sort(array_distinct({_symbols.s}))", f"list_sort(list_distinct({_symbols.d}))")
+_symbols = T.symbols(T.TEXT)
 
 QUERIES = {
     "sentence_edges": Plan("SELECT doc_id, pos, <a> AS ends, <b> AS continues, <c> AS lead_in FROM <blocks> b", a=_sentence_end, b=_continues, c=_lead_in),
@@ -41,7 +40,7 @@ QUERIES = {
     "ocr_score": Plan("SELECT source, CAST(greatest(0, least(100, 100 - 18 * e - 6 * i + CASE WHEN mean > 600 THEN 6 ELSE 0 END)) AS BIGINT) AS score FROM (SELECT source, sum(CASE WHEN n_chars < 20 THEN 1 ELSE 0 END) AS e, sum(CASE WHEN n_chars BETWEEN 20 AND 80 THEN 1 ELSE 0 END) AS i, avg(n_chars) AS mean FROM documents GROUP BY source) s"),
     "first_samples": Plan("SELECT source, doc_id FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn FROM documents) r WHERE rn <= 20"),
     "issue_order": Plan("SELECT o_orderpriority, place FROM (SELECT o_orderpriority, row_number() OVER (ORDER BY rank_, n DESC, o_orderpriority) AS place FROM (SELECT o_orderpriority, CASE WHEN o_orderpriority LIKE '1%' THEN 0 WHEN o_orderpriority LIKE '2%' THEN 1 ELSE 2 END AS rank_, count(*) AS n FROM orders GROUP BY 1, 2) s) r"),
-    "symbols": Plan("SELECT doc_id, <s> AS symbols, <n> AS n_symbols FROM documents", s=_joined(_distinct_sorted), n=E(f"CAST(size({_distinct_sorted.s}) AS BIGINT)", f"CAST(len({_distinct_sorted.d}) AS BIGINT)")),
+    "symbols": Plan("SELECT doc_id, <s> AS symbols, <n> AS n_symbols FROM documents", s=_joined(_symbols), n=T.size(_symbols)),
     "redaction": Plan("SELECT doc_id, sha1(<r>) AS redacted, <n> AS n_found FROM documents", r=replace(replace(T.TEXT, r"(?i)(?:password|token|secret|api_key)=\S+", "[redacted]"), r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "[email]"), n=count(T.TEXT, r"(?i)(?:password|token|secret|api_key)=\S+")),
     "adaptive_batch": Plan("SELECT user_id, n, CAST(greatest(1, least(12, ceil(n * 45.0 / (20 * 60 * 3)))) AS BIGINT) AS batch FROM (SELECT user_id, count(*) AS n FROM events GROUP BY user_id) s"),
     "coverage_codes": Plan("SELECT source, CAST(round(100.0 * sum(CASE WHEN quality IS NOT NULL THEN 1 ELSE 0 END) / count(*)) AS BIGINT) AS percent, CAST(sum(coalesce(toxic, 0)) AS BIGINT) AS codes FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id GROUP BY source"),

@@ -29,7 +29,7 @@ QUERIES = {
     ),
     "text_keys": Plan(
         "SELECT doc_id, pos, <r> AS repeat_key, <d> AS dedupe_key, <f> AS fingerprint, <k> AS reference_key, <s> AS slug FROM <blocks> b",
-        r=T.repeated_key(LINE), d=T.dedupe_key(x("'paragraph'"), PAGE, LINE), f=T.fingerprint(LINE), k=T.reference_key(x("substring(line, 1, 60)")), s=T.slug(LINE),
+        r=T.repeated_key(LINE), d=T.dedupe_key(x("'paragraph'"), PAGE, LINE), f=T.fingerprint(LINE), k=T.reference_key(LINE), s=T.slug(LINE),
     ),
     "text_edges": Plan(
         "SELECT doc_id, pos, <t> AS truncated, <e> AS escaped, <j> AS joined FROM (SELECT doc_id, pos, line, coalesce(lead(line) OVER (PARTITION BY doc_id ORDER BY pos), '') AS nxt FROM <blocks> b) w",

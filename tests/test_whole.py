@@ -57,3 +57,15 @@ def test_containment_is_brute_force(spark, tmp_path):
     base = "".join(rng.choice("ab") for _ in range(3000))
     texts = [base[(i := rng.randint(0, 2800)) : i + rng.randint(20, 400)] for _ in range(60)] + ["ab" * 200, "a" * 300, "a" * 50]
     assert len(answer(spark, tmp_path, "containment_match", documents=docs(*texts))) > 20
+
+
+def test_symbols_and_lists_of_whole_texts(spark, tmp_path):
+    pad = "some plain words in a row " * 40
+    texts = [pad + "THE GPT4 model, x_{i}^2 and W_q with a+b+c = (k) , y / z", "IN x", "q"]
+    assert answer(spark, tmp_path, "symbols", documents=docs(*texts)) == [(0, "GPT4,W_q,b,c,k,x_{i}^2,y,z", 8), (1, "", 0), (2, "q", 1)]
+    got = answer(spark, tmp_path, "keyword_lists", documents=docs(pad + ", Late Key; late key;" + "#tag, last"))
+    assert got[0][1] == "Late Key|#tag|last" and got[0][2].endswith("|tag|last") and got[0][4].endswith("last")
+    line = pad + "tail such as"
+    assert answer(spark, tmp_path, "strip_metadata", documents=docs(line))[0][2] == pad + "tail"
+    assert answer(spark, tmp_path, "text_keys", documents=docs(pad + "Figure 3"))[0][5].endswith("fig3")
+    assert "[41]" in answer(spark, tmp_path, "reference_tokens", documents=docs(pad + "[41]"))[0][1]
