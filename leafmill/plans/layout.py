@@ -18,11 +18,11 @@ def _listed(array: E, sep: str = ",") -> E:
     return E(f"array_join({array.s}, '{sep}')", f"coalesce(array_to_string({array.d}, '{sep}'), '')")
 
 
-#: Lines of a page in one text, with a stand-in head by page and document.
+#: Lines of a page in one text, all of them, after a stand-in head by page and document.
 _BR = E("'\\n'", "chr(10)")
 _HEAD = t(
-    "CASE (doc_id + page) % 9 WHEN 0 THEN concat('1: x <- 0', <br>, '2: while x < n', <br>, '3: x <- x + 1') WHEN 1 THEN 'L(θ) = Σ log p(x | θ)' WHEN 2 THEN concat('Model MAE MSE', <br>, '0.1 0.2', <br>, '0.3 0.4', <br>, '5 6') "
-    "WHEN 3 THEN concat('query -> encoder', <br>, 'memory', <br>, 'agent', <br>, 'answer') WHEN 4 THEN 'Table 3: Results.' WHEN 5 THEN '(12)' ELSE substring(txt, 1, 700) END", br=_BR,
+    "concat(CASE (doc_id + page) % 9 WHEN 0 THEN concat('1: x <- 0', <br>, '2: while x < n', <br>, '3: x <- x + 1', <br>) WHEN 1 THEN concat('L(θ) = Σ log p(x | θ)', <br>) WHEN 2 THEN concat('Model MAE MSE', <br>, '0.1 0.2', <br>, '0.3 0.4', <br>, '5 6', <br>) "
+    "WHEN 3 THEN concat('query -> encoder', <br>, 'memory', <br>, 'agent', <br>, 'answer', <br>) WHEN 4 THEN concat('Table 3: Results.', <br>) WHEN 5 THEN concat('(12)', <br>) ELSE '' END, txt)", br=_BR,
 )
 _TEXTS = E("array_join(transform(array_sort(collect_list(struct(pos, line))), v -> v.line), '\\n')", "string_agg(line, chr(10) ORDER BY pos)")
 _PAGE_TEXT = t("(SELECT doc_id, page, n_lines, <head> AS raw FROM (SELECT doc_id, page, count(*) AS n_lines, <texts> AS txt FROM <blocks> b GROUP BY doc_id, page) g)", head=_HEAD, texts=_TEXTS)

@@ -69,3 +69,11 @@ def test_symbols_and_lists_of_whole_texts(spark, tmp_path):
     assert answer(spark, tmp_path, "strip_metadata", documents=docs(line))[0][2] == pad + "tail"
     assert answer(spark, tmp_path, "text_keys", documents=docs(pad + "Figure 3"))[0][5].endswith("fig3")
     assert "[41]" in answer(spark, tmp_path, "reference_tokens", documents=docs(pad + "[41]"))[0][1]
+
+
+def test_block_classes_read_the_whole_page(spark, tmp_path):
+    long = "\n".join(["plain words " * 20] * 7 + ["alpha = beta + gamma"])
+    texts = ["nothing"] * 9 + [long] * 9
+    got = [r[8:] for r in answer(spark, tmp_path, "block_classes", documents=docs(*texts), labels=([(0, 1, 0)], "doc_id long, quality int, toxic int"))]
+    # the last line's signs count behind every stand-in (and behind none), 1700 characters on
+    assert all(b[1] > a[1] for a, b in zip(got[:9], got[9:], strict=True))
