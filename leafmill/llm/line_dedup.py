@@ -1,7 +1,9 @@
 """Line dedup by content-defined chunks of lines.
 
-A rolling hash over the hashes of the last lines ends a chunk where it is 0 modulo `mean_lines`, so
-the same run of lines is cut alike wherever it stands. Chunks of at least `min_lines` lines whose
+A rolling hash over the hashes of the last lines ends a chunk where it is 0 modulo `mean_lines`, unless
+the chunk has fewer than `min_lines` lines yet. So the same run of lines is cut alike wherever it stands,
+but for the chunks at its ends. Only the last chunk of a text can be shorter; it is compared together
+with the one before it, and goes if both together occur earlier. Chunks of at least `min_lines` lines whose
 bytes occur more than once in the corpus are removed, all but the first by (doc_id, position).
 Chunks are first counted by hash; only those whose hash repeats are compared byte for byte.
 
@@ -27,8 +29,8 @@ MEAN_LINES, MIN_LINES, ROLL = 4, 2, 2
 _MASK = (1 << 64) - 1
 
 
-def line_chunks(text: str, mean_lines: int = MEAN_LINES, roll: int = ROLL) -> list[list[str]]:
-    """The lines of text, in chunks; a boundary depends on the `roll` lines before it alone."""
+def line_chunks(text: str, mean_lines: int = MEAN_LINES, roll: int = ROLL, min_lines: int = MIN_LINES) -> list[list[str]]:
+    """The lines of text, in chunks of at least min_lines but for the last; a boundary depends on the `roll` lines before it and on the chunk's length."""
     chunks: list[list[str]] = [[]]
     window = [0] * roll
     lines = text.split("\n")
@@ -39,13 +41,17 @@ def line_chunks(text: str, mean_lines: int = MEAN_LINES, roll: int = ROLL) -> li
         rolled = 0
         for x in window:
             rolled = (rolled * 0x9E3779B97F4A7C15 + x) & _MASK
-        if ((rolled ^ (rolled >> 29)) * 0xBF58476D1CE4E5B9 & _MASK) >> 32 & 0xFFFFFF < 0x1000000 // mean_lines and i + 1 < len(lines):
+        if ((rolled ^ (rolled >> 29)) * 0xBF58476D1CE4E5B9 & _MASK) >> 32 & 0xFFFFFF < 0x1000000 // mean_lines and i + 1 < len(lines) and len(chunks[-1]) >= min_lines:
             chunks.append([])
     return chunks
 
 
 def _multi(text: str | None, min_lines: int) -> Iterator[tuple[int, str]]:
-    for i, c in enumerate(line_chunks(text) if text else ()):
+    """(position, lines to compare) of the chunks of a text; a short last one is compared with the one before it."""
+    chunks = line_chunks(text, min_lines=min_lines) if text else []
+    for i, c in enumerate(chunks):
+        if i and len(c) < min_lines:
+            c = chunks[i - 1] + c
         if len(c) >= min_lines and (body := "\n".join(c)).strip():
             yield i, body
 
@@ -102,7 +108,7 @@ def dedup_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
 
     def cut(row: dict) -> Iterator[tuple]:
         t, gone = row[f"c{at}"], set(row["drop"] or ())
-        chunks = line_chunks(t) if t else []
+        chunks = line_chunks(t, min_lines=min_lines) if t else []
         n_removed = sum(len(chunks[i]) for i in gone)
         new = "\n".join("\n".join(c) for i, c in enumerate(chunks) if i not in gone) if gone else t
         yield (*[new if i == at else row[f"c{i}"] for i in range(len(own))], sum(map(len, chunks)), n_removed)

@@ -294,6 +294,15 @@ def test_line_dedup(docs, rows, empty):
     assert line_dedup.dedup_lines(empty).count() == 0
 
 
+def test_line_dedup_removes_whole_copies(spark):
+    rng = random.Random(2)
+    texts = ["\n".join(str(rng.random()) for _ in range(n)) for n in range(2, 40)]
+    rows = [(i, t) for i, t in enumerate(texts + texts)]
+    out = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    # not a line of an exact copy stays, whatever its length
+    assert all((r.n_removed, r.text) == ((0, texts[r.doc_id]) if r.doc_id < len(texts) else (r.n_lines, "")) for r in out)
+
+
 def test_line_chunks_resist_shifts():
     rng = random.Random(1)
     lines = [str(rng.random()) for _ in range(200)]
