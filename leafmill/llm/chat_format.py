@@ -5,19 +5,23 @@ Messages are rows (conv_id, turn, role, text). A message whose text is a JSON ob
 is a result. Calls and results are hash-joined by (conversation, identifier); a result is placed
 directly after the message of its call, even if it was stored before it; a message with calls whose
 arguments quote the identifier of another call (`"$ref:<id>"`) comes after that call's results, over
-chains of any length. Arguments are
-checked against the tool's schema (required names, types, no further names). Each message is
-written as canonical JSON: keys sorted, no spaces, UTF-8.
+chains of any length. Arguments are checked against the tool's schema, nested objects and lists
+included. Each message is written as canonical JSON: keys sorted by code point, no spaces, UTF-8,
+every string escaped by the one writer `canonical`.
 
 The order is a sortable key per message, so the messages of a conversation are never gathered in one
-task; a writer that sorts by (conv_id, order_key) gets the transcript. Only the references of a
-conversation (pairs of hashes and turns, no texts) are ranked in one task.
-
-Edge cases: null text is the empty string, a null role is `unknown`; text that isn't a JSON object
-is plain content; a result without call is kept at its own place with status `orphan`; a call
+task; a writer that sorts by (conv_id, order_key) gets the transcript. The references of a
+conversation (pairs of hashes and turns, no texts) are ranked in one task if they are at most
+`TASK_REFERENCES`; those of larger ones are ranked by the same steps as joins over all executors.
+
+Edge cases: null text is the empty string, a null role is `unknown`; text that isn't a JSON object,
+or holds NaN, an infinite number, half a surrogate pair or more than `NESTING` levels, is plain
+content, and arguments given as such a string stay a string (a fault);
+a result without call is kept at its own place with status `orphan`; a call
 without result is `unanswered`; results that share an identifier keep the order of their turns,
-ties broken by text; the first of several calls with one identifier is linked, the others are
-`duplicate`; rows equal in all columns are one message; references within a cycle don't count, so its
+messages of one turn are ordered by a hash of the row; the first of several calls with one identifier
+is linked, the others are `duplicate`; rows equal in all columns share a place and a status; references
+within a cycle, or on a way from one cycle to another, don't count, so such
 calls keep the order of turns, while messages outside still come after the calls they quote; a result
 that has calls with references itself stands where these allow; an empty table gives an empty result;
 other columns are ignored.
@@ -26,6 +30,7 @@ other columns are ignored.
 from __future__ import annotations
 
 import json
+import math
 
 import pandas as pd
 import pyarrow as pa
@@ -34,13 +39,68 @@ from pyspark.sql import functions as F
 
 from leafmill.llm.common import materialize, read, small_batches
 
-TYPES = {"string": str, "number": (int, float), "integer": int, "boolean": bool, "object": dict, "array": list}
+TYPES = {"string": str, "number": (int, float), "integer": int, "boolean": bool, "object": dict, "array": list, "null": type(None)}
+NESTING, TASK_REFERENCES = 100, 500_000
 
-MESSAGE = "conv_id long, turn long, role string, content string, calls array<struct<id:string,name:string,arguments:string,refs:array<string>,faults:array<string>>>, result_of string"
+MESSAGE = "conv_id long, turn long, role string, content string, calls array<struct<id:string,name:string,refs:array<string>,faults:array<string>,json:string>>, result_of string, parts array<string>"
 
 
 def canonical(value) -> str:
-    return json.dumps(value, ensure_ascii=False, sort_keys=True, separators=(",", ":"))
+    return json.dumps(value, ensure_ascii=False, sort_keys=True, separators=(",", ":"), allow_nan=False)
+
+
+def _refuse(_: str):
+    raise ValueError("no JSON number")
+
+
+def _finite(digits: str) -> float:
+    x = float(digits)
+    return x if math.isfinite(x) else _refuse(digits)
+
+
+def load(text: str):
+    """The value of a JSON text; ValueError if it is none, or none that can be written again."""
+    try:
+        value = json.loads(text, parse_constant=_refuse, parse_float=_finite)
+    except RecursionError:
+        raise ValueError("too deep") from None
+    level = [value]
+    for _ in range(NESTING):
+        strings = [v for v in level if isinstance(v, str)] + [k for v in level if isinstance(v, dict) for k in v]
+        if any("\ud800" <= c <= "\udfff" for v in strings for c in v):
+            raise ValueError("half a surrogate pair")
+        level = [w for v in level if isinstance(v, dict | list) for w in (v.values() if isinstance(v, dict) else v)]
+        if not level:
+            return value
+    raise ValueError("too deep")
+
+
+def _is(value, kind: str) -> bool:
+    return isinstance(value, TYPES.get(kind, object)) and not (isinstance(value, bool) and kind in ("number", "integer"))
+
+
+def _faults(value, schema: dict, path: str) -> list[str]:
+    if isinstance(value, str) and value.startswith("$ref:"):
+        return []  # known only when the quoted call is answered
+    kinds = schema.get("type")
+    if kinds is not None and not any(_is(value, k) for k in ([kinds] if isinstance(kinds, str) else kinds)):
+        return [f"type of {path}"]
+    found = []
+    if "enum" in schema and not any(type(v) is type(value) and v == value for v in schema["enum"]):
+        found.append(f"value of {path}")
+    if isinstance(value, str) and not schema.get("minLength", 0) <= len(value) <= schema.get("maxLength", len(value)):
+        found.append(f"length of {path}")
+    if _is(value, "number") and not schema.get("minimum", value) <= value <= schema.get("maximum", value):
+        found.append(f"range of {path}")
+    if isinstance(value, dict) and ("properties" in schema or "required" in schema):
+        props = schema.get("properties", {})
+        at = f"{path}." if path else ""
+        found += [f"missing {at}{k}" for k in schema.get("required", []) if k not in value]
+        for k, v in value.items():
+            found += _faults(v, props[k], f"{at}{k}") if k in props else [f"unknown {at}{k}"]
+    if isinstance(value, list) and "items" in schema:
+        found += [f for i, v in enumerate(value) for f in _faults(v, schema["items"], f"{path}[{i}]")]
+    return found
 
 
 def argument_faults(arguments, schema: dict | None) -> list[str]:
@@ -49,21 +109,7 @@ def argument_faults(arguments, schema: dict | None) -> list[str]:
         return ["unknown tool"]
     if not isinstance(arguments, dict):
         return ["arguments are no object"]
-    props = schema.get("properties", {})
-    found = [f"missing {k}" for k in schema.get("required", []) if k not in arguments]
-    for k, v in arguments.items():
-        if k not in props:
-            found.append(f"unknown {k}")
-        else:
-            kind = props[k].get("type")
-            fits = isinstance(v, TYPES.get(kind, object)) and not (isinstance(v, bool) and kind in ("number", "integer"))
-            if isinstance(v, str) and v.startswith("$ref:"):
-                fits = True
-            if not fits:
-                found.append(f"type of {k}")
-            elif "enum" in props[k] and v not in props[k]["enum"]:
-                found.append(f"value of {k}")
-    return sorted(found)
+    return sorted(_faults(arguments, {"properties": {}} | schema, ""))
 
 
 def _refs(value) -> list[str]:
@@ -77,8 +123,8 @@ def parse_message(role: str | None, text: str | None, schemas: dict[str, dict])
     """(role, content, calls, identifier that it answers)."""
     role, text = role if role is not None else "unknown", text or ""
     try:
-        body = json.loads(text) if text.lstrip().startswith("{") else None
-    except (ValueError, RecursionError):
+        body = load(text) if text.lstrip().startswith("{") else None
+    except ValueError:
         body = None
     if not isinstance(body, dict):
         return role, text, [], None
@@ -88,16 +134,27 @@ def parse_message(role: str | None, text: str | None, schemas: dict[str, dict])
             arguments = c.get("arguments", {})
             if isinstance(arguments, str):
                 try:
-                    arguments = json.loads(arguments)
+                    arguments = load(arguments)
                 except ValueError:
                     pass
-            name = str(c.get("name", ""))
-            calls.append({"id": str(c["id"]), "name": name, "arguments": canonical(arguments), "refs": sorted(set(_refs(arguments))), "faults": argument_faults(arguments, schemas.get(name))})
+            name, own = _name(c.get("name", "")), _name(c["id"])
+            calls.append({"id": own, "name": canonical(name), "refs": sorted(set(_refs(arguments))), "faults": argument_faults(arguments, schemas.get(name)), "json": canonical({"arguments": arguments, "id": own, "name": name})})
     of = body.get("tool_call_id")
     if not calls and of is None:
         return role, text, [], None
     content = body.get("content", "")
-    return role, content if isinstance(content, str) else canonical(content), calls, str(of) if of is not None else None
+    return role, content if isinstance(content, str) else canonical(content), calls, _name(of) if of is not None else None
+
+
+def _name(value) -> str:
+    return value if isinstance(value, str) else canonical(value)
+
+
+def _parts(role: str, content: str, calls: list[dict], of: str | None) -> list[str | None]:
+    """The message's JSON before and after the name of the tool it answers, which only the join tells."""
+    head = ['"calls":[' + ",".join(c["json"] for c in calls) + "]"] if calls else []
+    tail = ['"role":' + canonical(role)] + (['"tool_call_id":' + canonical(of)] if of is not None else [])
+    return [",".join([*head, '"content":' + canonical(content)]), ",".join(tail)]
 
 
 def parse(messages: DataFrame, schemas: dict[str, dict]) -> DataFrame:
@@ -105,16 +162,16 @@ def parse(messages: DataFrame, schemas: dict[str, dict]) -> DataFrame:
     small_batches(messages.sparkSession)
 
     def run(batches):
-        kinds = pa.list_(pa.struct([("id", pa.string()), ("name", pa.string()), ("arguments", pa.string()), ("refs", pa.list_(pa.string())), ("faults", pa.list_(pa.string()))]))
+        kinds = pa.list_(pa.struct([("id", pa.string()), ("name", pa.string()), ("refs", pa.list_(pa.string())), ("faults", pa.list_(pa.string())), ("json", pa.string())]))
         for b in batches:
             got = [parse_message(r, t, schemas) for r, t in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
             role, content, calls, of = zip(*got, strict=True) if got else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(role, pa.string()), pa.array(content, pa.string()), pa.array(calls, kinds), pa.array(of, pa.string())], names=["conv_id", "turn", "role", "content", "calls", "result_of"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(role, pa.string()), pa.array(content, pa.string()), pa.array(calls, kinds), pa.array(of, pa.string()), pa.array([_parts(*g) for g in got], pa.list_(pa.string()))], names=["conv_id", "turn", "role", "content", "calls", "result_of", "parts"])
 
     return messages.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), F.col("text").cast("string")).mapInArrow(run, MESSAGE)
 
 
-def link(messages: DataFrame, schemas: dict[str, dict]) -> DataFrame:
+def link(messages: DataFrame, schemas: dict[str, dict], in_task: int = TASK_REFERENCES) -> DataFrame:
     """(conv_id, turn, role, order_key, status, n_calls, n_faults, json), one row for each message.
 
     status: plain, call, unanswered (a call of it has no result), duplicate (else, a call of it repeats
@@ -126,7 +183,7 @@ def link(messages: DataFrame, schemas: dict[str, dict]) -> DataFrame:
     calls = rows.select("conv", "node", "own", F.posexplode("calls").alias("k", "c")).select("conv", "node", "own", "k", F.col("c.id").alias("id"), F.col("c.name").alias("name"), F.col("c.refs").alias("refs"))
     first = calls.groupBy("conv", "id").agg(F.min(F.struct("own", "node", "k", "name")).alias("first"))
     first = materialize(first.select("conv", "id", F.col("first.node").alias("call_node"), F.col("first.own").alias("call_turn"), F.col("first.k").alias("call_k"), F.col("first.name").alias("call_name")), "calls")
-    ranks = _ranks(rows, calls, first)
+    ranks = _ranks(rows, calls, first, in_task)
     # results by (conversation, identifier)
     joined = rows.join(first.drop("call_k").withColumnRenamed("id", "result_of"), ["conv", "result_of"], "left")
     answered = rows.filter("result_of IS NOT NULL").select("conv", F.col("result_of").alias("id")).distinct().withColumn("answered", F.lit(True))
@@ -142,72 +199,106 @@ def link(messages: DataFrame, schemas: dict[str, dict]) -> DataFrame:
         joined = joined.join(ranks.withColumnRenamed("node", "place"), ["conv", "place"], "left")
     else:
         joined = joined.withColumns({"at": F.lit(None).cast("long"), "rank": F.lit(None).cast("long")})
-    joined = joined.withColumn("order_key", F.struct(F.coalesce("at", "base").alias("at"), F.coalesce("rank", F.lit(0)).alias("rank"), F.col("base").alias("turn"), after.cast("int").alias("after"), F.col("own").alias("own")))
+    joined = joined.withColumn("order_key", F.struct(F.coalesce("at", "base").alias("at"), F.coalesce("rank", F.lit(0)).alias("rank"), F.col("base").alias("turn"), after.cast("int").alias("after"), F.col("own").alias("own"), F.col("node").alias("row")))
     status = (
         F.when(is_linked, "linked").when(F.col("result_of").isNotNull(), "orphan")
         .when(F.size("calls") == 0, "plain").when(F.col("n_open") > 0, "unanswered").when(F.col("n_again") > 0, "duplicate").otherwise("call")
     )
     n_faults = F.aggregate("calls", F.lit(0).cast("long"), lambda a, c: a + F.size(c["faults"]))
-    told = joined.select("conv_id", "turn", "role", "order_key", status.alias("status"), F.size("calls").cast("long").alias("n_calls"), n_faults.alias("n_faults"), "content", "calls", "result_of", "call_name")
-    return told.withColumn("json", _json()).drop("content", "calls", "result_of", "call_name")
+    told = joined.select("conv_id", "turn", "role", "order_key", status.alias("status"), F.size("calls").cast("long").alias("n_calls"), n_faults.alias("n_faults"), _json().alias("json"))
+    return told
 
 
 def rank_references(turns: dict[int, int], needs: dict[int, set[int]]) -> dict[int, tuple[int, int]]:
-    """node: (last turn among it and all it needs, length of the longest chain of needs); needs within a cycle don't count.
+    """node: (last turn among it and all it needs, length of the longest chain of needs).
 
-    Strongly connected components (Tarjan's, without recursion) come out after the ones they need.
+    Nodes are taken off once all they need is. What can't be taken off so, and is needed by others of
+    its kind, lies in cycles or between them: needs among these don't count.
     """
-    index: dict[int, int] = {}
-    low: dict[int, int] = {}
-    stack: list[int] = []
-    on: set[int] = set()
+    left = {v: set(needs.get(v, ())) for v in turns}
+    users: dict[int, list[int]] = {v: [] for v in turns}
+    for v, ws in left.items():
+        for w in ws:
+            users[w].append(v)
     out: dict[int, tuple[int, int]] = {}
-    for root in turns:
-        if root in index:
-            continue
-        index[root] = low[root] = len(index)
-        stack.append(root)
-        on.add(root)
-        work = [(root, iter(needs.get(root, ())))]
-        while work:
-            v, rest = work[-1]
-            for w in rest:
-                if w not in index:
-                    index[w] = low[w] = len(index)
-                    stack.append(w)
-                    on.add(w)
-                    work.append((w, iter(needs.get(w, ()))))
-                    break
-                if w in on:
-                    low[v] = min(low[v], index[w])
-            else:
-                work.pop()
-                if work:
-                    low[work[-1][0]] = min(low[work[-1][0]], low[v])
-                if low[v] == index[v]:
-                    part = []
-                    while True:
-                        w = stack.pop()
-                        on.discard(w)
-                        part.append(w)
-                        if w == v:
-                            break
-                    got = {}
-                    for w in part:
-                        done = [out[d] for d in needs.get(w, ()) if d in out]
-                        got[w] = (max([turns[w], *(d[0] for d in done)]), max([0, *(d[1] + 1 for d in done)]))
-                    out |= got
+
+    def peel(ready: list[int]) -> None:
+        while ready:
+            v = ready.pop()
+            done = [out[w] for w in needs.get(v, ()) if w in out]
+            out[v] = max([turns[v], *(d[0] for d in done)]), max([0, *(d[1] + 1 for d in done)])
+            for u in users[v]:
+                left[u].discard(v)
+                if not left[u] and u not in out:
+                    ready.append(u)
+
+    peel([v for v, ws in left.items() if not ws])
+    core = set(turns) - set(out)
+    n_users = {v: sum(u in core for u in users[v]) for v in core}
+    free = [v for v, n in n_users.items() if not n]
+    while free:
+        v = free.pop()
+        core.discard(v)
+        for w in left[v]:
+            n_users[w] -= 1
+            if not n_users[w]:
+                free.append(w)
+    for v in core:
+        done = [out[w] for w in needs[v] if w not in core]
+        out[v] = max([turns[v], *(d[0] for d in done)]), max([0, *(d[1] + 1 for d in done)])
+    for v in core:
+        for u in users[v]:
+            left[u].discard(v)
+    peel([v for v, ws in left.items() if not ws and v not in out])
     return out
 
 
-def _ranks(rows: DataFrame, calls: DataFrame, first: DataFrame) -> DataFrame | None:
+def _rank_by_joins(edges: DataFrame) -> DataFrame:
+    """rank_references for all conversations of edges at once; a round of joins for each link of the longest chain."""
+    own = edges.select("conv", "node", "own").unionByName(edges.select("conv", F.col("need").alias("node"), F.col("need_turn").alias("own")))
+    nodes = materialize(own.groupBy("conv", "node").agg(F.min("own").alias("own")), "nodes")
+    known = nodes.limit(0).select("conv", "node", F.col("own").alias("at"), F.lit(0).cast("long").alias("rank"))
+    key = ["conv", "node"]
+    edges = edges.select("conv", "node", "need")
+
+    def taken(which: DataFrame, known: DataFrame) -> DataFrame:
+        """at and rank of nodes by what they need and is known."""
+        of = edges.join(which.select(*key), key, "left_semi").join(known.withColumnRenamed("node", "need"), ["conv", "need"])
+        got = of.groupBy(*key).agg(F.max("at").alias("a"), F.max("rank").alias("r"))
+        return which.join(got, key, "left").select(*key, F.greatest("own", "a").alias("at"), F.coalesce(F.col("r") + 1, F.lit(0)).cast("long").alias("rank"))
+
+    def peel(known: DataFrame, open_: DataFrame) -> tuple[DataFrame, DataFrame]:
+        while True:
+            waits = edges.join(open_.select("conv", F.col("node").alias("need")), ["conv", "need"], "left_semi").select(*key).distinct()
+            ready = materialize(open_.join(waits, key, "left_anti"), "ready")
+            if ready.isEmpty():
+                return known, open_
+            known = materialize(known.unionByName(taken(ready, known)), "ranked")
+            open_ = materialize(open_.join(ready, key, "left_anti"), "open")
+
+    known, rest = peel(known, nodes)
+    core = rest
+    while True:
+        used = edges.join(core, key, "left_semi").select("conv", F.col("need").alias("node")).distinct()
+        fewer = materialize(core.join(used, key, "left_semi"), "core")
+        if fewer.count() == core.count():
+            break
+        core = fewer
+    if not core.isEmpty():
+        known = materialize(known.unionByName(taken(core, known)), "ranked")
+        known, _ = peel(known, rest.join(core, key, "left_anti"))
+    return known
+
+
+def _ranks(rows: DataFrame, calls: DataFrame, first: DataFrame, in_task: int) -> DataFrame | None:
     """(conv, node, at, rank) of the messages that take part in references, if there are any."""
     target = first.select("conv", F.col("id").alias("ref"), F.col("call_node").alias("need"), F.col("call_turn").alias("need_turn"))
     quotes = calls.select("conv", "node", "own", F.explode("refs").alias("ref"))
     replies = rows.filter("result_of IS NOT NULL AND size(calls) > 0").select("conv", "node", "own", F.col("result_of").alias("ref"))
     edges = quotes.unionByName(replies).join(target, ["conv", "ref"]).filter("node <> need").select("conv", "node", "own", "need", "need_turn").distinct()
     edges = materialize(edges, "references")
-    if not edges.limit(1).count():
+    large = materialize(edges.groupBy("conv").agg(F.count("*").alias("n")).filter(F.col("n") > in_task), "large")
+    if edges.isEmpty():
         return None
 
     def run(e: pd.DataFrame) -> pd.DataFrame:
@@ -218,44 +309,48 @@ def _ranks(rows: DataFrame, calls: DataFrame, first: DataFrame) -> DataFrame | N
         got = rank_references(turns, needs)
         return pd.DataFrame({"conv": e["conv"].iat[0], "node": list(got), "at": [v[0] for v in got.values()], "rank": [v[1] for v in got.values()]})
 
-    return materialize(edges.groupBy("conv").applyInPandas(run, "conv long, node long, at long, rank long"), "ranks")
-
-
-def _quoted(c):
-    """JSON string of a column, escaped as json.dumps(ensure_ascii=False) does."""
-    # to_json of a one-field struct escapes the value; its frame is cut off
-    whole = F.to_json(F.struct(c.alias("k")))
-    return F.when(c.isNull(), F.lit("null")).otherwise(F.substring(whole, F.lit(6), F.length(whole) - 6))
+    few = edges.join(large, "conv", "left_anti").groupBy("conv").applyInPandas(run, "conv long, node long, at long, rank long")
+    if not large.isEmpty():
+        few = few.unionByName(_rank_by_joins(materialize(edges.join(large, "conv", "left_semi"), "references")))
+    return materialize(few, "ranks")
 
 
 def _json():
     """Canonical JSON of a message, keys in order: calls, content, name, role, tool_call_id."""
-    call = F.transform("calls", lambda c: F.concat(F.lit('{"arguments":'), c["arguments"], F.lit(',"id":'), _quoted(c["id"]), F.lit(',"name":'), _quoted(c["name"]), F.lit("}")))
-    parts = F.array_compact(F.array(
-        F.when(F.size("calls") > 0, F.concat(F.lit('"calls":['), F.array_join(call, ","), F.lit("]"))),
-        F.concat(F.lit('"content":'), _quoted(F.col("content"))),
-        F.when(F.col("call_name").isNotNull(), F.concat(F.lit('"name":'), _quoted(F.col("call_name")))),
-        F.concat(F.lit('"role":'), _quoted(F.col("role"))),
-        F.when(F.col("result_of").isNotNull(), F.concat(F.lit('"tool_call_id":'), _quoted(F.col("result_of")))),
-    ))
-    return F.concat(F.lit("{"), F.array_join(parts, ","), F.lit("}"))
+    name = F.when(F.col("call_name").isNotNull(), F.concat(F.lit('"name":'), F.col("call_name")))
+    return F.concat(F.lit("{"), F.concat_ws(",", F.get("parts", 0), name, F.get("parts", 1)), F.lit("}"))
 
 
 #: The tool of the query below.
-REPLY = {"reply": {"properties": {"conversation": {"type": "integer"}, "turn": {"type": "integer"}, "text": {"type": "string"}}, "required": ["conversation", "text", "turn"]}}
+REPLY = {
+    "reply": {
+        "properties": {"conversation": {"type": "integer"}, "turn": {"type": "integer"}, "text": {"type": "string", "minLength": 1, "maxLength": 500}, "follows": {"type": "object"}},
+        "required": ["conversation", "text", "turn"],
+    }
+}
 
 
 def as_tool_traffic(conversations: DataFrame) -> DataFrame:
-    """Dialogues as tool traffic: an assistant turn is a call, a user turn the result of the turn before it."""
-    c = conversations
-    name = F.concat(F.coalesce(F.col("conv_id").cast("string"), F.lit("")), F.lit(":"), F.col("turn").cast("string"))
-    before = F.concat(F.coalesce(F.col("conv_id").cast("string"), F.lit("")), F.lit(":"), (F.col("turn") - 1).cast("string"))
-    call = F.to_json(F.struct(F.array(F.struct(name.alias("id"), F.lit("reply").alias("name"), F.struct(F.col("conv_id").alias("conversation"), "turn", F.coalesce("text", F.lit("")).alias("text")).alias("arguments"))).alias("tool_calls")))
-    result = F.to_json(F.struct(before.alias("tool_call_id"), F.coalesce("text", F.lit("")).alias("content")))
-    return c.withColumn("text", F.when(F.col("role") == "assistant", call).when((F.col("role") == "user") & (F.col("turn") > 0), result).otherwise(F.col("text")))
+    """Dialogues as tool traffic: an assistant turn is a call, a user turn the result of the turn before it.
+
+    Of sixteen turns the 1st, 7th and 9th quote the call two turns on, the 5th and 11th the one two
+    turns back (the 9th and 11th quote each other); a system turn makes the call of the turn two on, whose own is then a duplicate.
+    """
+    conv = F.coalesce(F.col("conv_id").cast("string"), F.lit(""))
+    turn = F.col("turn")
+    name = lambda step: F.concat(conv, F.lit(":"), (turn + step).cast("string"))
+    of = F.pmod(turn, F.lit(16))
+    quoted = F.when(of.isin(1, 7, 9), name(2)).when(of.isin(5, 11), name(-2))
+    arguments = F.struct(F.col("conv_id").alias("conversation"), "turn", "text", F.when(F.col("role") == "assistant", F.concat(F.lit("$ref:"), quoted)).alias("follows"))
+    own = F.when(F.col("role") == "system", name(2)).otherwise(name(0))
+    call = F.to_json(F.struct(F.array(F.struct(own.alias("id"), F.lit("reply").alias("name"), arguments.alias("arguments"))).alias("tool_calls")))
+    result = F.to_json(F.struct(name(-1).alias("tool_call_id"), F.coalesce("text", F.lit("")).alias("content")))
+    return conversations.withColumn("text", F.when(F.col("role").isin("assistant", "system"), call).when((F.col("role") == "user") & (turn > 0), result).otherwise(F.col("text")))
 
 
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ordered by (conv_id, at, rank, base, after, turn), the rows are the formatted transcripts."""
     chats = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     out = link(as_tool_traffic(chats), REPLY)
-    return out.select("conv_id", "turn", "role", F.col("order_key.at").alias("at"), F.col("order_key.after").alias("after"), "status", "n_calls", "n_faults", "json")
+    key = [F.col(f"order_key.{k}").alias(k if k != "turn" else "base") for k in ("at", "rank", "turn", "after")]
+    return out.select("conv_id", "turn", "role", *key, "status", "n_calls", "n_faults", "json")

@@ -367,9 +367,7 @@ def test_chat_links(spark):
     out = chat_format.link(spark.createDataFrame(msgs, "conv_id long, turn long, role string, text string"), SCHEMAS).orderBy("conv_id", "order_key", "json").collect()
     assert len(out) == len(msgs)
     one = [r for r in out if r.conv_id == 1]
-    assert [r.turn for r in one] == [0, 0, 1, 5, 6, 7, 8] or [r.turn for r in one] == [0, 0, 6, 1, 5, 7, 8]
-    at = {r.turn: i for i, r in enumerate(one)}
-    assert at[1] < at[5] and at[6] < at[7]
+    assert [r.turn for r in one] == [0, 0, 6, 7, 1, 5, 8]
     by = {(r.conv_id, r.turn): r for r in out}
     assert by[1, 1].status == "unanswered" and by[1, 1].n_calls == 2 and by[1, 1].n_faults == 2
     assert by[1, 5].status == by[1, 7].status == "linked" and by[1, 8].status == "orphan" and by[2, 1].status == "plain"
@@ -405,22 +403,104 @@ def test_chat_order_follows_references(spark):
     assert status[1, 6] == "call" and status[1, 8] == status[1, 9] == "duplicate" and status[2, 1] == "unanswered"
 
 
+def test_chat_hostile_texts(spark):
+    call = lambda a: json.dumps({"tool_calls": [{"id": "i", "name": "add", "arguments": a}]})
+    deep = "[" * 3000 + "]" * 3000
+    texts = ['{"tool_call_id": "i", "content": "\\ud800"}', '{"tool_call_id": "i", "content": NaN}', '{"tool_call_id": "i", "content": 1e999}', f'{{"tool_call_id": "i", "content": {deep}}}', call(deep), call('{"x": NaN, "y": 1}'),
+             json.dumps({"tool_call_id": "i", "content": "\x1f"}), json.dumps({"tool_call_id": 7, "content": "\U0001f600"}), "\x1f", "{" * 50_000]
+    msgs = [(1, i, "tool", t) for i, t in enumerate(texts)]
+    out = {r.turn: r for r in chat_format.link(spark.createDataFrame(msgs, "conv_id long, turn long, role string, text string"), SCHEMAS).collect()}
+    assert [out[i].n_calls for i in range(len(texts))] == [0, 0, 0, 0, 1, 1, 0, 0, 0, 0]
+    assert all(out[i].status == "plain" and json.loads(out[i].json)["content"] == texts[i] for i in (0, 1, 2, 3, 8, 9))
+    assert out[4].n_faults == out[5].n_faults == 1
+    for r in out.values():
+        assert r.json == chat_format.canonical(json.loads(r.json)) and r.json.encode()
+
+
+def test_argument_faults():
+    schema = {"properties": {"a": {"type": ["integer", "null"], "minimum": 0}, "b": {"type": "array", "items": {"type": "object", "properties": {"c": {"enum": [1, "x"]}}, "required": ["c"]}}, "t": {"type": "string", "maxLength": 2}}, "required": ["a"]}
+    faults = lambda v: chat_format.argument_faults(v, schema)
+    assert faults({"a": None, "b": [{"c": 1}, {"c": "x"}]}) == [] and faults({"a": "$ref:q", "b": "$ref:q"}) == []
+    assert faults({"a": -1, "b": [{}, {"c": True}, {"c": 2, "d": 1}, 5], "t": "xyz", "u": 1}) == ["length of t", "missing b[0].c", "range of a", "type of b[3]", "unknown b[2].d", "unknown u", "value of b[1].c", "value of b[2].c"]
+    assert faults({"a": True}) == ["type of a"] and faults([1]) == ["arguments are no object"] and chat_format.argument_faults({}, None) == ["unknown tool"]
+
+
+def reference_order(turns, needs):
+    """node: (at, rank), by reachability alone."""
+    reach = {}
+    for v in turns:
+        seen, todo = set(), list(needs.get(v, ()))
+        while todo:
+            w = todo.pop()
+            if w not in seen:
+                seen.add(w)
+                todo += needs.get(w, ())
+        reach[v] = seen
+    loops = {v for v in turns if v in reach[v]}
+    core = {v for v in turns if (v in loops or reach[v] & loops) and (v in loops or any(v in reach[x] for x in loops))}
+    cut = {v: {w for w in needs.get(v, ()) if not (v in core and w in core)} for v in turns}
+
+    def at(v):
+        below = [at(w) for w in cut[v]]
+        return max([turns[v], *(b[0] for b in below)]), max([0, *(b[1] + 1 for b in below)])
+
+    return {v: at(v) for v in turns}
+
+
+def test_reference_ranks(spark):
+    rng, rows = random.Random(5), []
+    for conv in range(60):
+        n = rng.randint(2, 9)
+        turns = {v: rng.randint(0, 6) for v in range(n)}
+        needs = {v: {rng.randrange(n) for _ in range(rng.randint(0, 2))} - {v} for v in range(n)}
+        want = reference_order(turns, needs)
+        assert chat_format.rank_references(turns, needs) == want
+        if conv < 12:
+            rows += [(conv, v, turns[v], w, turns[w]) for v in needs for w in needs[v]]
+    got = {(r.conv, r.node): (r.at, r["rank"]) for r in chat_format._rank_by_joins(spark.createDataFrame(rows, "conv long, node long, own long, need long, need_turn long")).collect()}
+    for conv in {r[0] for r in rows}:
+        mine = [r for r in rows if r[0] == conv]
+        turns, needs = {}, {}
+        for _, v, own, w, wown in mine:
+            turns[v], turns[w] = own, wown
+            needs.setdefault(v, set()).add(w)
+        assert {v: got[conv, v] for v in turns} == reference_order(turns, needs)
+
+
 def test_chat_query_is_brute_force(spark, tmp_path):
     rng = random.Random(8)
-    chats = [(c, t, ("system" if t == 0 and c % 3 == 0 else "user" if t % 2 == 0 else "assistant"), f'"{rng.random()}\\ é') for c in range(30) for t in range(rng.randint(1, 6))]
+    chats = [(c, t, ("system" if t == 0 and c % 3 == 0 else "user" if (t + (c % 3 == 0)) % 2 == 0 else "assistant"), [f'"{rng.random()}\\ é', "x" * 501, "", None][rng.choice((0, 0, 0, 1, 2, 3))]) for c in range(30) for t in range(rng.randint(1, 24))]
     spark.createDataFrame(chats, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
-    roles = {(c, t): r for c, t, r, _ in chats}
     want = Counter()
-    for c, t, role, text in chats:
-        msg = {"content": text, "role": role}
-        if role == "assistant":
-            msg = {"calls": [{"arguments": {"conversation": c, "turn": t, "text": text}, "id": f"{c}:{t}", "name": "reply"}], "content": "", "role": role}
-        elif role == "user" and t > 0:
-            msg["tool_call_id"] = f"{c}:{t - 1}"
-            if roles.get((c, t - 1)) == "assistant":
-                msg["name"] = "reply"
-        want[chat_format.canonical(msg)] += 1
-    assert Counter(r.json for r in chat_format.op9_chat_format(spark, str(tmp_path)).collect()) == want
+    for c in range(30):
+        mine = {t: (role, text) for cc, t, role, text in chats if cc == c}
+        makes = {t: (t + 2 if role == "system" else t) for t, (role, _) in mine.items() if role in ("assistant", "system")}
+        maker = {}
+        for t in sorted(makes):
+            maker.setdefault(makes[t], t)
+        quotes = {t: (t + 2 if t % 16 in (1, 7, 9) else t - 2) for t, (role, _) in mine.items() if role == "assistant" and t % 16 in (1, 5, 7, 9, 11)}
+        needs = {t: {maker[q]} - {t} for t, q in quotes.items() if q in maker}
+        place = reference_order({t: t for t in mine}, needs)
+        for t, (role, text) in mine.items():
+            msg, of, n_faults = {"content": text or "", "role": role}, None, 0
+            if t in makes:
+                arguments = {"conversation": c, "turn": t} | ({"text": text} if text is not None else {}) | ({"follows": f"$ref:{c}:{quotes[t]}"} if t in quotes else {})
+                n_faults = int(text is None or not 1 <= len(text) <= 500)
+                msg = {"calls": [{"arguments": arguments, "id": f"{c}:{makes[t]}", "name": "reply"}], "content": "", "role": role}
+                answered = any(r == "user" and u == makes[t] + 1 for u, (r, _) in mine.items())
+                status = "duplicate" if maker[makes[t]] != t else "call" if answered else "unanswered"
+            elif role == "user" and t > 0:
+                msg["tool_call_id"] = f"{c}:{t - 1}"
+                status = "linked" if t - 1 in maker else "orphan"
+                if status == "linked":
+                    of, msg["name"] = maker[t - 1], "reply"
+            else:
+                status = "plain"
+            base = t if of is None else of
+            want[c, t, *place[base], base, int(of is not None), status, int(t in makes), n_faults, json.dumps(msg, ensure_ascii=False, sort_keys=True, separators=(",", ":"))] += 1
+    got = chat_format.op9_chat_format(spark, str(tmp_path)).collect()
+    assert Counter((r.conv_id, r.turn, r["at"], r["rank"], r.base, r.after, r.status, r.n_calls, r.n_faults, r.json) for r in got) == want
+    assert {k[6] for k in want} == {"plain", "call", "unanswered", "duplicate", "linked", "orphan"} and any(k[8] for k in want) and any(k[2] > k[4] for k in want)
 
 
 # -- 10 -----------------------------------------------------------------------------------------------
