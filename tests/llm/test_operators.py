@@ -271,6 +271,19 @@ def test_mixing_targets_share_the_excess(spark):
     assert got["a"] == 20 and got["c"] == pytest.approx(200) and got[None] == pytest.approx(1000) and got["b"] == pytest.approx(2415 - 1220)
 
 
+def test_mixing_prefers_by_weight(spark):
+    # one source at its target of 1.5 times its size: long texts are expected more often, short ones less
+    rows = [(i, "w " * (4 if i % 2 else 100), None, "s", 0) for i in range(3000)]
+    out = mixing.mix_sources(spark.createDataFrame(rows, DOCS)).collect()
+    mean = {size: sum(r.copies for r in out if r.size == size) / 1500 for size in (4, 100)}
+    # weights 4 and 8; 100 words at two copies would leave (1.5 * 104 - 200) below 0, so all are open
+    level = 1.5 * 104 / (4 * 4 + 8 * 100)
+    assert mean[4] == pytest.approx(4 * level, abs=0.05) and mean[100] == pytest.approx(8 * level, abs=0.01)
+    odd = mixing.mix_sources(spark.createDataFrame([(None, "a b c", None, "s", 0)] * 40 + [(None, f"a {i}", None, "t", 0) for i in range(40)], DOCS)).collect()
+    assert all(0 <= r.copies <= 2 for r in odd) and {r.source: r.target for r in odd} == pytest.approx({"s": 300 * 5 / 7, "t": 300 * 2 / 7})
+    assert all(abs(sum(r.taken for r in odd if r.source == s) - n) <= 3 for s, n in (("s", 300 * 5 / 7), ("t", 300 * 2 / 7)))
+
+
 # -- 7 ------------------------------------------------------------------------------------------------
 
 
