@@ -64,6 +64,23 @@ def drop_scratch() -> None:
             return
 
 
+HOT_SHARE = 10_000
+
+
+def join_uneven(rows: DataFrame, keys: DataFrame, on: list[str], n: str = "n") -> DataFrame:
+    """Inner join of rows with keys, one row for each value of `on`, where keys[n] is how many rows have it.
+
+    Keys of more than a HOT_SHARE-th of all rows, at most HOT_SHARE of them, are broadcast; for the others
+    no task gets more than that share by one key. Both sides must be written tables: each is read twice.
+    """
+    total = keys.agg(F.sum(n)).first()[0] or 0
+    is_hot = F.col(n) > F.lit(max(1000, total // HOT_SHARE))
+    hot = F.broadcast(keys.filter(is_hot))
+    if keys.filter(is_hot).isEmpty():
+        return rows.join(keys, on)
+    return rows.join(hot, on).unionByName(rows.join(hot.select(*on), on, "left_anti").join(keys.filter(~is_hot), on))
+
+
 def row_key(doc_id: str = "doc_id", text: str = "text") -> list[Column]:
     """Two columns that tell rows apart: rows with equal id and text count as the same document."""
     return [F.coalesce(F.col(doc_id).cast("long"), F.lit(-(2**63))).alias("rk_id"), F.xxhash64(text).alias("rk_hash")]

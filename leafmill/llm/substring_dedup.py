@@ -1,20 +1,27 @@
-"""Substring dedup by relative Lempel-Ziv parsing against an index of the corpus' phrases.
-
-Every document is both parsed and, in blocks, the reference. The reference index holds phrases: of
-each window of `WINDOW` words the 12-word gram with the least hash (the leftmost of equals) is its
-anchor, so equal windows have the same anchor at the same place; an anchor with all windows it
-serves is a phrase. Phrases are indexed by anchor and by a fingerprint of all their words.
-
-A document is factored from left to right into its phrases. A phrase that stands elsewhere as a
-whole is a factor, and all its windows repeat. At factor boundaries, where an anchor is known
-elsewhere but in other surroundings, the phrase's windows are checked one by one, against those of
-one representative of each different phrase with that anchor. Words covered by a repeated window
-are removed. Results are those of comparing all windows with all others (up to collisions of
-128 bits of hashes), but only phrases, about one in thirteen words, are shuffled.
+"""Substring dedup by relative Lempel-Ziv parsing against an index of the corpus' repeated phrases.
+
+The reference is the corpus itself with every repeated phrase once. Of each window of `WINDOW` words
+the 12-word gram with the least hash (the leftmost of equals) is its anchor, so equal windows have
+the same anchor at the same place; an anchor with all windows it serves is a phrase. The reference
+holds each phrase that occurs more than once at its first place; its blocks are the buckets of a hash
+partitioning by anchor, all of which are asked by one join.
+
+A document is factored greedily from left to right: at a phrase that the reference holds, the factor
+grows as long as the document's next phrase stands in the reference directly after the one before.
+As the reference has each phrase once, that is the longest match at that place. Every window of a
+factor repeats. At factor boundaries, where an anchor is known elsewhere but in other surroundings, the
+windows are checked one by one, against those of one representative of each different phrase with
+that anchor. Words covered by a repeated window are removed. Results are those of comparing all
+windows with all others (up to collisions of 128 bits of hashes), but only phrases, about one in
+thirteen words, are shuffled.
+
+Anchors and phrases that are common in many documents are joined by broadcast: only those with more
+than a `HOT_SHARE`-th of all rows, so at most that many.
 
 Edge cases: null and empty texts have no words; texts of fewer than `WINDOW` words have no window
 and lose nothing; repeated rows repeat each other, so their windows are removed from both; other
-columns pass through; an empty table gives an empty result.
+columns pass through; a factor of a text in the reference itself refers to its own place; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from leafmill.llm.common import BASE_1, BASE_2, materialize, mix, range_hash, read, row_key, small_batches, split_words
+from leafmill.llm.common import BASE_1, BASE_2, join_uneven, materialize, mix, range_hash, read, row_key, small_batches, split_words
 
 WINDOW, GRAM = 35, 12
 GRAMS = WINDOW - GRAM + 1  # grams in a window: 24
@@ -98,12 +105,25 @@ def _boundary_windows(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "rk_id long, rk_hash long, s int, k1 long, k2 long")
 
 
-def repeated_spans(h_len: int, first: np.ndarray, last: np.ndarray, whole: list[int], starts: list[int]) -> np.ndarray:
-    """Mask of the words that repeated windows cover."""
-    edge = np.zeros(h_len + 1, np.int64)
-    for i in whole:
-        edge[first[i]] += 1
-        edge[last[i] + WINDOW] -= 1
+def parse(first: np.ndarray, last: np.ndarray, found: list[tuple[int, tuple, int]]) -> list[tuple[int, int, tuple, int]]:
+    """Factors (start, end in words, reference text, phrase there) of a text; found: (phrase, reference text, phrase there)."""
+    out: list[tuple[int, int, tuple, int]] = []
+    before = None
+    for i, ref, k in sorted(found):
+        if before == (i - 1, ref, k - 1):
+            out[-1] = (out[-1][0], int(last[i]) + WINDOW, *out[-1][2:])
+        else:
+            out.append((int(first[i]), int(last[i]) + WINDOW, ref, k))
+        before = (i, ref, k)
+    return out
+
+
+def covered(n: int, factors: list[tuple], starts: list[int]) -> np.ndarray:
+    """Mask of the words that factors and repeated windows cover."""
+    edge = np.zeros(n + 1, np.int64)
+    for x, y, *_ in factors:
+        edge[x] += 1
+        edge[y] -= 1
     for s in starts:
         edge[s] += 1
         edge[s + WINDOW] -= 1
@@ -111,55 +131,64 @@ def repeated_spans(h_len: int, first: np.ndarray, last: np.ndarray, whole: list[
 
 
 def dedup_substrings(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with n_words, dup_spans (array of (start, end) in words) and kept_text (kept words, one space between)."""
+    """docs with n_words, dup_spans (start, end in words), factors (start, end, ref_id: the id of the text they refer to) and kept_text (kept words, one space between)."""
     small_batches(docs.sparkSession)
-    own = [c for c in docs.columns if c not in ("n_words", "dup_spans", "kept_text")]
+    own = [c for c in docs.columns if c not in ("n_words", "dup_spans", "factors", "kept_text")]
     keyed = docs.select(*row_key(doc_id, text), F.col(text).cast("binary").alias("_text"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(own)])
+    # the reference: phrases of anchors that occur more than once
     index = _index(keyed.select("rk_id", "rk_hash", "_text"))
     twice = index.groupBy("a").agg(F.count("*").alias("n")).filter("n > 1").select("a")
     live = materialize(index.join(twice, "a"), "phrases")
     place = F.struct("rk_id", "rk_hash", "i")
     by_phrase = live.groupBy("a", "c").agg(F.count("*").alias("n"), F.min(place).alias("one"))
     by_anchor = by_phrase.groupBy("a").agg(F.count("*").alias("kinds"))
-    told = live.join(by_phrase, ["a", "c"]).join(by_anchor, "a")
-    told = told.withColumn("whole", F.col("n") > 1).withColumn("check", (F.col("kinds") > 1) & (~F.col("whole") | (F.col("one") == place)))
-    told = told.filter("whole OR check").groupBy("rk_id", "rk_hash").agg(F.collect_set(F.when(F.col("whole"), F.col("i"))).alias("whole"), F.collect_set(F.when(F.col("check"), F.col("i"))).alias("check"))
-    told = materialize(told, "factors")
+    reference = materialize(by_phrase.join(by_anchor, "a").filter("n > 1 OR kinds > 1"), "reference")
+    told = join_uneven(live, reference, ["a", "c"])
+    ref = F.when(F.col("n") > 1, F.struct("i", F.col("one.rk_id").alias("ref_id"), F.col("one.rk_hash").alias("ref_hash"), F.col("one.i").alias("ref_i")))
+    check = F.when((F.col("kinds") > 1) & ((F.col("n") == 1) | (F.col("one") == place)), F.col("i"))
+    told = told.select("rk_id", "rk_hash", ref.alias("ref"), check.alias("check")).filter("ref IS NOT NULL OR check IS NOT NULL")
+    told = materialize(told.groupBy("rk_id", "rk_hash").agg(F.collect_set("ref").alias("found"), F.collect_set("check").alias("check")), "factors")
+    # boundaries
     unsure = keyed.select("rk_id", "rk_hash", "_text").join(told.filter(F.size("check") > 0).select("rk_id", "rk_hash", "check"), ["rk_id", "rk_hash"])
     windows = materialize(_boundary_windows(unsure.dropDuplicates(["rk_id", "rk_hash"])), "windows")
-    again = windows.groupBy("k1", "k2").agg(F.count("*").alias("n")).filter("n > 1").select("k1", "k2")
-    starts = windows.join(again, ["k1", "k2"]).groupBy("rk_id", "rk_hash").agg(F.collect_set("s").alias("starts"))
-    both = keyed.join(told.select("rk_id", "rk_hash", "whole").join(starts, ["rk_id", "rk_hash"], "full"), ["rk_id", "rk_hash"], "left").drop("rk_id", "rk_hash")
-    span = T.StructType().add("start", "long").add("end", "long")
-    schema = T.StructType([keyed.schema[f"c{i}"] for i in range(len(own))]).add("n_words", "long").add("dup_spans", T.ArrayType(span)).add("kept_text", "string")
+    again = materialize(windows.groupBy("k1", "k2").agg(F.count("*").alias("n")).filter("n > 1"), "again")
+    starts = join_uneven(windows, again, ["k1", "k2"]).groupBy("rk_id", "rk_hash").agg(F.collect_set("s").alias("starts"))
+    # factors and what is left
+    both = keyed.join(told.select("rk_id", "rk_hash", "found").join(starts, ["rk_id", "rk_hash"], "full"), ["rk_id", "rk_hash"], "left").drop("rk_id", "rk_hash")
+    span, factor = (T.StructType().add("start", "long").add("end", "long") for _ in range(2))
+    factor.add("ref_id", "long")
+    schema = T.StructType([keyed.schema[f"c{i}"] for i in range(len(own))]).add("n_words", "long").add("dup_spans", T.ArrayType(span)).add("factors", T.ArrayType(factor)).add("kept_text", "string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, spans, kept = [], [], []
-            for t, whole, at in zip(b.column(0).to_pylist(), b.column(len(own) + 1).to_pylist(), b.column(len(own) + 2).to_pylist(), strict=True):
+            n, spans, parsed, kept = [], [], [], []
+            for t, found, at in zip(b.column(0).to_pylist(), b.column(len(own) + 1).to_pylist(), b.column(len(own) + 2).to_pylist(), strict=True):
                 ws = words(t)
                 n.append(len(ws))
-                if not whole and not at:
+                if not found and not at:
                     spans.append([])
+                    parsed.append([])
                     kept.append(b" ".join(ws).decode())
                     continue
                 _, first, last, _, _ = phrases(split_words([t])[0])
-                gone = repeated_spans(len(ws), first, last, whole or [], at or [])
-                edge = np.flatnonzero(np.diff(np.concatenate(([0], gone.view(np.int8), [0]))))
+                factors = parse(first, last, [(r["i"], (r["ref_id"], r["ref_hash"]), r["ref_i"]) for r in found or ()])
+                edge = np.flatnonzero(np.diff(np.concatenate(([0], covered(len(ws), factors, at or []).view(np.int8), [0]))))
                 spans.append([{"start": x, "end": y} for x, y in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True)])
+                parsed.append([{"start": x, "end": y, "ref_id": r[0] if r[0] != -(2**63) else None} for x, y, r, _ in factors])
                 ends = [0, *edge.tolist(), len(ws)]
                 kept.append(b" ".join([w for x, y in zip(ends[::2], ends[1::2], strict=True) for w in ws[x:y]]).decode())
             cols = [b.column(i + 1) for i in range(len(own))]
-            kinds = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(n, pa.int64()), pa.array(spans, kinds), pa.array(kept, pa.string())], names=schema.names)
+            fields = [("start", pa.int64()), ("end", pa.int64())]
+            kinds = pa.list_(pa.struct(fields)), pa.list_(pa.struct([*fields, ("ref_id", pa.int64())]))
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(n, pa.int64()), pa.array(spans, kinds[0]), pa.array(parsed, kinds[1]), pa.array(kept, pa.string())], names=schema.names)
 
     out = both.mapInArrow(run, schema)
-    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(own)], "n_words", "dup_spans", "kept_text")
+    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(own)], "n_words", "dup_spans", "factors", "kept_text")
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dedup_substrings(read(spark, sf_dir, "documents").select("doc_id", "text"))
-    # the text itself isn't returned
+    # neither the text itself nor the factors are returned
     removed = F.aggregate("dup_spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
     return out.select("doc_id", "n_words", removed.alias("n_removed"), F.sha2("kept_text", 256).alias("kept_sha256"))
 
