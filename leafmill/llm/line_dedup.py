@@ -5,7 +5,10 @@ the chunk has fewer than `min_lines` lines yet. So the same run of lines is cut
 but for the chunks at its ends. Only the last chunk of a text can be shorter; it is compared together
 with the one before it, and goes if both together occur earlier. Chunks of at least `min_lines` lines whose
 bytes occur more than once in the corpus are removed, all but the first by (doc_id, position).
-Chunks are first counted by hash; only those whose hash repeats are compared byte for byte.
+
+Texts are cut once, to chunks with their places in bytes and 64-bit hashes. Only chunks whose hash repeats
+are compared byte for byte: those are aggregated by their bytes to the first place of each, and a document
+keeps the chunks that are first. So a chunk that stands everywhere is met by partial sums, never as rows of one task.
 
 Edge cases: null and empty texts have no chunks and stay as they are; chunks without any word are
 never removed; a text that is a single line is never a multi-line chunk; of rows with equal id and
@@ -17,104 +20,129 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from leafmill.llm.common import read, row_key, small_batches
+from leafmill.llm.common import join_uneven, materialize, mix, read, row_key, small_batches
 
 MEAN_LINES, MIN_LINES, ROLL = 4, 2, 2
-_MASK = (1 << 64) - 1
+_ROLL_BASE = np.uint64(0x9E3779B97F4A7C15)
+_KEY = ["rk_id", "rk_hash"]
+
+
+def boundaries(text: bytes, mean_lines: int = MEAN_LINES, roll: int = ROLL, min_lines: int = MIN_LINES) -> tuple[list[int], list[int]]:
+    """First line of each chunk of a text, with the number of lines at the end; and the places of lines in bytes.
+
+    A boundary depends on the `roll` lines before it and on the chunk's length.
+    """
+    lines = text.split(b"\n")
+    n = len(lines)
+    at = [0]
+    for x in lines:
+        at.append(at[-1] + len(x) + 1)
+    if n <= min_lines:
+        return [0, n], at
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, lines), np.uint64, n)
+    rolled = np.zeros(n, np.uint64)
+    for k in range(roll - 1, -1, -1):
+        rolled *= _ROLL_BASE
+        rolled[k:] += h[: n - k]
+    cuts = np.flatnonzero((mix(rolled) >> np.uint64(32)) % np.uint64(mean_lines) == 0) + 1
+    first = [0]
+    for c in cuts.tolist():
+        if c < n and c - first[-1] >= min_lines:
+            first.append(c)
+    return [*first, n], at
 
 
 def line_chunks(text: str, mean_lines: int = MEAN_LINES, roll: int = ROLL, min_lines: int = MIN_LINES) -> list[list[str]]:
-    """The lines of text, in chunks of at least min_lines but for the last; a boundary depends on the `roll` lines before it and on the chunk's length."""
-    chunks: list[list[str]] = [[]]
-    window = [0] * roll
+    """The lines of text, in chunks of at least min_lines but for the last."""
     lines = text.split("\n")
-    for i, line in enumerate(lines):
-        chunks[-1].append(line)
-        h = xxhash.xxh3_64_intdigest(line.encode())
-        window = [*window[1:], h]
-        rolled = 0
-        for x in window:
-            rolled = (rolled * 0x9E3779B97F4A7C15 + x) & _MASK
-        if ((rolled ^ (rolled >> 29)) * 0xBF58476D1CE4E5B9 & _MASK) >> 32 & 0xFFFFFF < 0x1000000 // mean_lines and i + 1 < len(lines) and len(chunks[-1]) >= min_lines:
-            chunks.append([])
-    return chunks
-
-
-def _multi(text: str | None, min_lines: int) -> Iterator[tuple[int, str]]:
-    """(position, lines to compare) of the chunks of a text; a short last one is compared with the one before it."""
-    chunks = line_chunks(text, min_lines=min_lines) if text else []
-    for i, c in enumerate(chunks):
-        if i and len(c) < min_lines:
-            c = chunks[i - 1] + c
-        if len(c) >= min_lines and (body := "\n".join(c)).strip():
-            yield i, body
-
-
-def _scan(df: DataFrame, schema: T.StructType, rows_of) -> DataFrame:
-    """mapInArrow of a function of a row's dictionary that gives rows."""
-    names = schema.names
+    first, _ = boundaries(text.encode(), mean_lines, roll, min_lines)
+    return [lines[x:y] for x, y in zip(first, first[1:], strict=False)]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark.sql.pandas.types import to_arrow_schema
-
-        kinds = to_arrow_schema(schema)
-        for batch in batches:
-            out: list[list] = [[] for _ in names]
-            for row in batch.to_pylist():
-                for r in rows_of(row):
-                    for col, v in zip(out, r, strict=True):
-                        col.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(out, kinds, strict=True)], names=names)
 
-    return df.mapInArrow(run, schema)
+def compared(first: list[int], at: list[int], min_lines: int) -> list[tuple[int, int, int]]:
+    """(chunk, start, end in bytes) of what is compared; a short last chunk is compared with the one before it."""
+    out = []
+    for i in range(len(first) - 1):
+        x = first[i - 1] if i and first[i + 1] - first[i] < min_lines else first[i]
+        if first[i + 1] - x >= min_lines:
+            out.append((i, at[x], at[first[i + 1]] - 1))
+    return out
 
 
-def repeated_chunks(keyed: DataFrame, min_lines: int = MIN_LINES) -> tuple[DataFrame, DataFrame]:
-    """keyed: rk_id, rk_hash, text. (keyed with the chunks to compare, (rk_id, rk_hash, drop: positions)).
+def _chunks(keyed: DataFrame, min_lines: int) -> DataFrame:
+    """rk_id, rk_hash, text to (rk_id, rk_hash, pos, start, size, h): the chunks that hold a word; positions in bytes."""
 
-    drop holds the chunks that equal, byte for byte, an earlier one of the corpus.
-    """
-    key = T.StructType().add("rk_id", "long").add("rk_hash", "long")
-    chunks = _scan(keyed, T.StructType([*key.fields]).add("pos", "integer").add("h", "long"), lambda r: ((r["rk_id"], r["rk_hash"], i, xxhash.xxh3_64_intdigest(body.encode()) - (1 << 63)) for i, body in _multi(r["text"], min_lines)))
-    often = chunks.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
-    wanted = chunks.join(often, "h").groupBy("rk_id", "rk_hash").agg(F.collect_set("pos").alias("wanted"))
-    both = keyed.join(wanted, ["rk_id", "rk_hash"], "left")
-    bodies = _scan(
-        both.filter("wanted IS NOT NULL"),
-        T.StructType([*key.fields]).add("pos", "integer").add("body", "string"),
-        lambda r: ((r["rk_id"], r["rk_hash"], i, body) for w in [set(r["wanted"])] for i, body in _multi(r["text"], min_lines) if i in w),
-    )
-    place = F.struct("rk_id", "rk_hash", "pos")
-    first = bodies.groupBy("body").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1")
-    later = bodies.join(first, "body").filter(place != F.col("first"))
-    return both, later.groupBy("rk_id", "rk_hash").agg(F.collect_set("pos").alias("drop"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            owner, pos, start, size, h = [], [], [], [], []
+            for d, t in enumerate(b.column(2).to_pylist()):
+                for i, x, y in compared(*boundaries(t), min_lines) if t else ():
+                    body = t[x:y]
+                    if body.strip():
+                        owner.append(d)
+                        pos.append(i)
+                        start.append(x)
+                        size.append(y - x)
+                        h.append(xxhash.xxh3_64_intdigest(body))
+            o = pa.array(owner, pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(o), b.column(1).take(o), pa.array(pos, pa.int32()), pa.array(start, pa.int32()), pa.array(size, pa.int32()), pa.array(np.array(h, np.uint64).view(np.int64))], names=[*_KEY, "pos", "start", "size", "h"])
+
+    return keyed.mapInArrow(run, "rk_id long, rk_hash long, pos int, start int, size int, h long")
+
+
+def repeated_chunks(keyed: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
+    """keyed: rk_id, rk_hash, text (binary). (rk_id, rk_hash, drop: positions of chunks that equal, byte for byte, an earlier one of the corpus)."""
+    chunks = materialize(_chunks(keyed, min_lines).dropDuplicates([*_KEY, "pos"]), "chunks")
+    often = materialize(chunks.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1"), "often")
+    wanted = join_uneven(chunks, often, ["h"]).groupBy(*_KEY).agg(F.collect_list(F.struct("pos", "start", "size")).alias("wanted"))
+    wanted = materialize(wanted, "wanted")
+    texts = keyed.join(wanted, _KEY).dropDuplicates(_KEY)
+    bodies = texts.select(*_KEY, "text", F.explode("wanted").alias("w")).select(*_KEY, F.col("w.pos").alias("pos"), F.expr("substring(text, w.start + 1, w.size)").alias("body"))
+    first = bodies.groupBy("body").agg(F.min(F.struct(*_KEY, "pos")).alias("p")).select("p.*")
+    kept = first.groupBy(*_KEY).agg(F.collect_list("pos").alias("kept"))
+    drop = F.array_except(F.transform("wanted", lambda w: w["pos"]), F.coalesce("kept", F.array().cast("array<int>")))
+    return wanted.join(kept, _KEY, "left").select(*_KEY, drop.alias("drop")).filter(F.size("drop") > 0)
 
 
 def dedup_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", min_lines: int = MIN_LINES) -> DataFrame:
     """docs with the later copies of repeated chunks cut from the text; adds n_lines and n_removed (lines)."""
     small_batches(docs.sparkSession)
     own = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    keyed = docs.select(*row_key(doc_id, text), F.struct(*own).alias("row"), F.col(text).alias("text"))
-    both, drop = repeated_chunks(keyed.select("rk_id", "rk_hash", "text"), min_lines)
-    del both
-    joined = keyed.select("rk_id", "rk_hash", *[F.col("row").getField(c).alias(f"c{i}") for i, c in enumerate(own)]).join(drop, ["rk_id", "rk_hash"], "left").drop("rk_id", "rk_hash")
+    keyed = docs.select(*row_key(doc_id, text), F.col(text).cast("binary").alias("text"))
+    drop = repeated_chunks(keyed, min_lines)
+    mine = docs.select(*row_key(doc_id, text), *[F.col(c).alias(f"c{i}") for i, c in enumerate(own)])
+    joined = mine.join(drop, _KEY, "left").drop(*_KEY)
     at = own.index(text)
 
-    def cut(row: dict) -> Iterator[tuple]:
-        t, gone = row[f"c{at}"], set(row["drop"] or ())
-        chunks = line_chunks(t, min_lines=min_lines) if t else []
-        n_removed = sum(len(chunks[i]) for i in gone)
-        new = "\n".join("\n".join(c) for i, c in enumerate(chunks) if i not in gone) if gone else t
-        yield (*[new if i == at else row[f"c{i}"] for i in range(len(own))], sum(map(len, chunks)), n_removed)
+    def cut(t: str, gone: list[int]) -> tuple[str, int]:
+        first, edge = boundaries(raw := t.encode(), min_lines=min_lines)
+        gone, n = set(gone), len(first) - 1
+        kept = [raw[edge[first[i]] : edge[first[i + 1]] - 1] for i in range(n) if i not in gone]
+        return b"\n".join(kept).decode(), sum(first[i + 1] - first[i] for i in gone)
 
-    schema = T.StructType([docs.schema[c] for c in own]).add("n_lines", "long").add("n_removed", "long")
-    return _scan(joined, schema, cut)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            gone = b.column(len(own)).to_pylist()
+            texts, removed = b.column(at), [0] * b.num_rows
+            if any(gone):
+                new = texts.to_pylist()
+                for i, g in enumerate(gone):
+                    if g:
+                        new[i], removed[i] = cut(new[i], g)
+                texts = pa.array(new, texts.type)
+            yield pa.RecordBatch.from_arrays([*b.columns[:at], texts, *b.columns[at + 1 : len(own)], b.column(len(own) + 1), pa.array(removed, pa.int64())], names=[*[f"c{i}" for i in range(len(own))], "n_lines", "n_removed"])
+
+    whole = F.coalesce(F.col(f"c{at}"), F.lit(""))
+    n_lines = F.when(whole == "", F.lit(0)).otherwise(1 + F.length(whole) - F.length(F.translate(whole, "\n", ""))).cast("long")
+    joined = joined.select(*[f"c{i}" for i in range(len(own))], "drop", n_lines.alias("n_lines"))
+    out = joined.mapInArrow(run, joined.drop("drop").schema.add("n_removed", "long"))
+    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(own)], "n_lines", "n_removed")
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -143,6 +143,43 @@ def test_substring_dedup(docs, rows, empty):
     assert substring_dedup.dedup_substrings(empty).count() == 0
 
 
+def test_factors_are_a_greedy_parse(spark):
+    rng = random.Random(11)
+    text = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    a, b = text(900), text(700)
+    texts = [a, b, text(40) + a[100:400] + text(30) + b[50:350], a[500:800] + a[200:450], text(60) + b[300:600] + a[0:40] + text(9), text(500)]
+    docs = spark.createDataFrame([(i, " ".join(t), None, None, 0) for i, t in enumerate(texts)], DOCS).repartition(3)
+    got = {r.doc_id: r for r in substring_dedup.dedup_substrings(docs).collect()}
+
+    def lempel_ziv(t):
+        """Greedy longest matches of at least 35 words against the two texts that come first."""
+        out, i = [], 0
+        while i < len(t):
+            best = (0, -1)
+            for k, ref in enumerate((a, b)):
+                for j in range(len(ref)):
+                    n = 0
+                    while i + n < len(t) and j + n < len(ref) and t[i + n] == ref[j + n]:
+                        n += 1
+                    best = max(best, (n, k))
+            if best[0] >= 35:
+                out.append((i, i + best[0], best[1]))
+            i += max(1, best[0])
+        return out
+
+    phrase = substring_dedup.WINDOW + substring_dedup.GRAMS - 1
+    for i in (2, 3, 4, 5):
+        want = [f for f in lempel_ziv(texts[i]) if f[1] - f[0] >= 2 * phrase]
+        mine = [f for f in got[i].factors if f.end - f.start >= phrase]
+        assert len(mine) == len(want)
+        for f, (x, y, k) in zip(mine, want, strict=True):
+            assert f.ref_id == k and x <= f.start < x + phrase and y - phrase < f.end <= y
+            assert f" {' '.join(texts[i][f.start : f.end])} " in f" {' '.join(texts[k])} "
+        spans = [(s.start, s.end) for s in got[i].dup_spans]
+        assert all(any(s <= x and y <= e for s, e in spans) for x, y, _ in lempel_ziv(texts[i]))
+    assert [(s.start, s.end) for s in got[2].dup_spans] == [(40, 340), (370, 670)] and not got[5].factors
+
+
 # -- 4 ------------------------------------------------------------------------------------------------
 
 
@@ -287,26 +324,61 @@ def test_mixing_prefers_by_weight(spark):
 # -- 7 ------------------------------------------------------------------------------------------------
 
 
+def cut_by_rule(text, mean=4, least=2):
+    """Chunks of lines by the rule alone, line by line."""
+    from xxhash import xxh3_64_intdigest
+
+    m, out, before = (1 << 64) - 1, [[]], 0
+    lines = text.split("\n")
+    for i, line in enumerate(lines):
+        out[-1].append(line)
+        h = xxh3_64_intdigest(line.encode())
+        x = (before * 0x9E3779B97F4A7C15 + h) & m
+        before = h
+        x ^= x >> 33
+        x = x * 0xFF51AFD7ED558CCD & m
+        x ^= x >> 33
+        x = x * 0xC4CEB9FE1A85EC53 & m
+        x ^= x >> 33
+        if (x >> 32) % mean == 0 and i + 1 < len(lines) and len(out[-1]) >= least:
+            out.append([])
+    return out
+
+
 def test_line_dedup(docs, rows, empty):
     first, keep = {}, {}
-    order = sorted({(r[0] if r[0] is not None else -(2**63), r[1] or "") for r in rows})
-    for doc, text in order:
-        for i, c in enumerate(line_dedup.line_chunks(text)):
-            body = "\n".join(c)
-            if len(c) > 1 and body.strip():
-                first.setdefault(body, (doc, text, i))
-    for r in rows:
-        key = (r[0] if r[0] is not None else -(2**63), r[1] or "")
-        chunks = line_dedup.line_chunks(r[1]) if r[1] else []
-        keep[key] = "\n".join("\n".join(c) for i, c in enumerate(chunks) if len(c) < 2 or not "\n".join(c).strip() or first["\n".join(c)] == (*key, i)) if r[1] else r[1]
+    places = sorted({(r[0] if r[0] is not None else -(2**63), r[1] or "") for r in rows})
+
+    def bodies(text):
+        chunks = cut_by_rule(text) if text else []
+        for i, c in enumerate(chunks):
+            body = chunks[i - 1] + c if i and len(c) < 2 else c
+            yield c, "\n".join(body) if len(body) > 1 and "\n".join(body).strip() else None
+
+    for doc, text in places:
+        for i, (_, body) in enumerate(bodies(text)):
+            first.setdefault(body, (doc, text, i))
+    for key in places:
+        keep[key] = [c for i, (c, body) in enumerate(bodies(key[1])) if body is None or first[body] == (*key, i)]
     out = line_dedup.dedup_lines(docs.withColumn("n_removed", F.lit("clash"))).collect()
     assert len(out) == len(rows) and sum(r.n_removed for r in out) > 0
     texts = {r[0]: r[1] for r in rows}
     for r in out:
-        assert r.text == keep[r.doc_id if r.doc_id is not None else -(2**63), texts[r.doc_id] or ""]
+        text = texts[r.doc_id]
+        kept = keep[r.doc_id if r.doc_id is not None else -(2**63), text or ""]
+        assert r.text == ("\n".join(x for c in kept for x in c) if text else text)
+        assert r.n_lines == (len(text.split("\n")) if text else 0) and r.n_removed == r.n_lines - sum(map(len, kept))
     assert line_dedup.dedup_lines(empty).count() == 0
 
 
+def test_line_chunks_survive_shifts():
+    rng = random.Random(4)
+    run = [str(rng.random()) for _ in range(400)]
+    whole = {"\n".join(c) for c in line_dedup.line_chunks("\n".join(run))}
+    shifted = line_dedup.line_chunks("\n".join([str(rng.random()) for _ in range(7)] + run))
+    assert sum("\n".join(c) in whole for c in shifted) >= 0.9 * len(whole)
+
+
 def test_line_dedup_removes_whole_copies(spark):
     rng = random.Random(2)
     texts = ["\n".join(str(rng.random()) for _ in range(n)) for n in range(2, 40)]
