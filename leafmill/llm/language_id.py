@@ -3,12 +3,14 @@
 Emissions are sums of weights of hashed affixes and character n-grams, and of a lexicon feature (the
 languages that a word was seen in); transitions between the labels of neighbouring words are learned
 with them. Training maximises the likelihood on a bounded sample (`per_lang` documents of each
-language, whole texts, chosen by hash); each word carries its document's label. Prediction runs
-forward-backward over all words: the marginals label every word, so code-switched texts get both
-labels, and a document gets the language with the largest mean marginal.
-
-Edge cases: a null text, or one without a letter, is `und` with score 0; chains restart every
-`SEGMENT` words, so memory doesn't grow with a text; without labelled rows all is `und`; repeated
+language, whole texts, chosen by hash); each word carries its document's label. Half of the training
+chains are spliced of two pieces, so that transitions see switches. Prediction runs
+forward-backward over the whole chain of a text's words: the marginals label every word, so code-switched texts get both
+labels, and a document gets the language with the largest mean marginal. Long chains are cut into
+segments that are run side by side; messages between segments come from products of their transfer
+matrices, so the marginals are those of the whole chain.
+
+Edge cases: a null text, or one without a letter, is `und` with score 0; memory is linear in a batch's words; without labelled rows all is `und`; repeated
 rows are predicted alike; other columns pass through; an empty table gives an empty result.
 """
 
@@ -113,22 +115,28 @@ class Crf:
 
     # -- forward-backward -----------------------------------------------------------------------
 
-    def marginals(self, emit: np.ndarray, mask: np.ndarray, pairs: bool = False):
-        """emit (B, T, L), mask (B, T): label marginals (B, T, L), and summed pair marginals if asked for."""
+    def marginals(self, emit: np.ndarray, mask: np.ndarray, pairs: bool = False, before: np.ndarray | None = None, after: np.ndarray | None = None):
+        """emit (B, T, L), mask (B, T): label marginals (B, T, L), and summed pair marginals if asked for.
+
+        before (B, L): weights of the first labels by what comes before the segment (default: the start);
+        after (B, L): of the last ones by what comes after it (default: all alike).
+        """
         b, t, n = emit.shape
         e = np.exp(emit - emit.max(2, keepdims=True))
         move = np.exp(self.trans)
         fwd, bwd = np.empty((t, b, n)), np.ones((t, b, n))
-        a = e[:, 0] * np.exp(self.start)
+        end = np.ones((b, n)) if after is None else after
+        a = e[:, 0] * (np.exp(self.start) if before is None else before)
         fwd[0] = a / a.sum(1, keepdims=True)
         for k in range(1, t):
             a = (fwd[k - 1] @ move) * e[:, k]
             fwd[k] = a / a.sum(1, keepdims=True)
         back = move.T
+        bwd[t - 1] = end
         for k in range(t - 2, -1, -1):
             a = (bwd[k + 1] * e[:, k + 1]) @ back
             a /= a.sum(1, keepdims=True)
-            bwd[k] = np.where(mask[:, k + 1, None], a, 1.0)
+            bwd[k] = np.where(mask[:, k + 1, None], a, end)
         post = fwd * bwd
         post /= post.sum(2, keepdims=True)
         post = post.transpose(1, 0, 2)
@@ -141,6 +149,29 @@ class Crf:
             total += (p * mask[:, k, None, None]).sum(0)
         return post, total
 
+    def transfer(self, emit: np.ndarray, mask: np.ndarray) -> np.ndarray:
+        """(B, L, L): for each label of a segment's first word, the weights of those of its last word, up to a factor."""
+        e = np.exp(emit - emit.max(2, keepdims=True))
+        out, move = e[:, 0, :, None] * np.eye(len(self.labels)), np.exp(self.trans)
+        for k in range(1, emit.shape[1]):
+            a = (out @ move) * e[:, k, None, :]
+            out = np.where(mask[:, k, None, None], a / a.sum((1, 2), keepdims=True), out)
+        return out
+
+    def messages(self, matrices: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """before and after of segments in a row, by their transfer matrices; first: which begin a chain."""
+        move, n = np.exp(self.trans), len(self.labels)
+        before, after = np.tile(np.exp(self.start), (len(first), 1)), np.ones((len(first), n))
+        for i in range(1, len(first)):
+            if not first[i]:
+                a = before[i - 1] @ matrices[i - 1] @ move
+                before[i] = a / a.sum()
+        for i in range(len(first) - 2, -1, -1):
+            if not first[i + 1]:
+                a = move @ (matrices[i + 1] @ after[i + 1])
+                after[i] = a / a.sum()
+        return before, after
+
     # -- training --------------------------------------------------------------------------------
 
     def fit(self, docs: list[tuple[str, int]], segment: int = 64, batch: int = 256) -> "Crf":
@@ -150,7 +181,12 @@ class Crf:
         for text, label in docs:
             ids = [types.setdefault(w, len(types)) for w in tokens(text)]
             seen.update((i, label) for i in set(ids))
-            segs += [(ids[i : i + segment], label) for i in range(0, len(ids), segment)]
+            segs += [(ids[i : i + segment], [label] * len(ids[i : i + segment])) for i in range(0, len(ids), segment)]
+        for i in rng.permutation(len(segs))[: len(segs) // 2].tolist() if n > 1 else ():
+            # the first words of one chain, then those of another
+            (ids, labels), (ids_2, labels_2) = segs[i], segs[int(rng.integers(len(segs)))]
+            k = int(rng.integers(len(ids) + 1))
+            segs[i] = (ids[:k] + ids_2[: segment - k], labels[:k] + labels_2[: segment - k])
         lex = np.zeros((len(types), n))
         for (i, label), c in seen.items():
             lex[i, label] = c
@@ -165,9 +201,9 @@ class Crf:
             for at in range(0, len(order), batch):
                 part = [segs[i] for i in order[at : at + batch]]
                 t = max(len(s) for s, _ in part)
-                ids, mask = np.zeros((len(part), t), np.int64), np.zeros((len(part), t), bool)
-                for r, (s, _) in enumerate(part):
-                    ids[r, : len(s)], mask[r, : len(s)] = s, True
+                ids, mask, label = np.zeros((len(part), t), np.int64), np.zeros((len(part), t), bool), np.zeros((len(part), t), np.int64)
+                for r, (s, of) in enumerate(part):
+                    ids[r, : len(s)], mask[r, : len(s)], label[r, : len(s)] = s, True, of
                 used, inv = np.unique(ids[mask], return_inverse=True)
                 spans = [flat[ends[u] : ends[u + 1]] for u in used]
                 size = np.array([len(s) for s in spans])
@@ -179,9 +215,7 @@ class Crf:
                 emit = np.zeros((*ids.shape, n))
                 emit[mask] = rows[inv]
                 post, pair = self.marginals(emit, mask, pairs=True)
-                label = np.array([x for _, x in part])
-                gold = np.zeros_like(post)
-                gold[np.arange(len(part)), :, label] = 1
+                gold = np.eye(n)[label]
                 diff = (gold - post) * mask[:, :, None] / len(part)
                 g_rows = np.zeros((len(used), n))
                 for k in range(n):
@@ -190,7 +224,7 @@ class Crf:
                 for k in range(n):
                     gw[:, k] = np.bincount(idx, g_rows[owner, k], DIM)
                 gp = np.zeros((n, n))
-                np.add.at(gp, (label, label), mask[:, 1:].sum(1))
+                np.add.at(gp, (label[:, :-1][mask[:, 1:]], label[:, 1:][mask[:, 1:]]), 1)
                 grads = gw - L2 * self.weights, (gp - pair) / len(part) - 0.01 * self.trans, diff[:, 0].sum(0), (g_rows * lex[used]).sum(0)
                 for x, g, s in zip((self.weights, self.trans, self.start, self.lex_weight), grads, sq, strict=True):
                     s += g * g
@@ -209,14 +243,27 @@ class Crf:
         parts = -(-sizes // SEGMENT)
         start = np.repeat(np.cumsum(sizes) - sizes, parts) + SEGMENT * _ramp(parts)
         size = np.minimum(SEGMENT, np.repeat(np.cumsum(sizes), parts) - start)
-        order = np.argsort(size, kind="stable")
-        for at in range(0, len(order), 512):
-            part = order[at : at + 512]
-            mask = np.arange(size[part[-1]]) < size[part][:, None]
-            rows = np.repeat(start[part], size[part]) + _ramp(size[part])
-            block = np.zeros((*mask.shape, len(self.labels)))
-            block[mask] = emit[rows]
-            post[rows] = self.marginals(block, mask)[mask]
+        n = len(self.labels)
+
+        def blocks(which: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+            order = which[np.argsort(size[which], kind="stable")]
+            for at in range(0, len(order), 512):
+                part = order[at : at + 512]
+                mask = np.arange(size[part[-1]]) < size[part][:, None]
+                rows = np.repeat(start[part], size[part]) + _ramp(size[part])
+                block = np.zeros((*mask.shape, n))
+                block[mask] = emit[rows]
+                yield part, mask, rows, block
+
+        before, after = np.tile(np.exp(self.start), (len(size), 1)), np.ones((len(size), n))
+        long = np.flatnonzero(np.repeat(parts > 1, parts))
+        if len(long):
+            matrices = np.empty((len(size), n, n))
+            for part, mask, _, block in blocks(long):
+                matrices[part] = self.transfer(block, mask)
+            before[long], after[long] = self.messages(matrices[long], _ramp(parts)[long] == 0)
+        for part, mask, rows, block in blocks(np.arange(len(size))):
+            post[rows] = self.marginals(block, mask, before=before[part], after=after[part])[mask]
         cuts = np.cumsum(sizes)[:-1]
         return list(zip(words, np.split(post, cuts), np.split(told, cuts), strict=True)) if len(texts) else []
 

@@ -430,6 +430,69 @@ def test_forward_backward_is_enumeration():
     assert np.allclose(crf.marginals(emit, np.ones((1, 5), bool))[0], total / total.sum(1, keepdims=True))
 
 
+def test_long_chains_are_whole_chains():
+    import numpy as np
+
+    rng, crf = np.random.default_rng(3), language_id.Crf(["a", "b", "c"])
+    crf.trans, crf.start = rng.normal(size=(3, 3)) * 2, rng.normal(size=3)
+    crf.weights = rng.normal(size=crf.weights.shape)
+    texts = [" ".join(f"w{rng.integers(50)}" if i % 9 else "12" for i in range(n)) for n in (1, 255, 256, 257, 513, 1900, 0, 3)]
+    for (ws, post), text in zip(crf.label_words(texts), texts, strict=True):
+        if ws:
+            emit, _ = crf._emissions(ws)
+            assert np.allclose(post, crf.marginals(emit[None], np.ones((1, len(ws)), bool))[0], atol=1e-9), text
+
+
+def test_switches_are_learnt():
+    rng = random.Random(6)
+    make = lambda letters, n: " ".join("".join(rng.choice(letters) for _ in range(rng.randint(3, 7))) for _ in range(n))
+    crf = language_id.Crf(["x", "y"]).fit([(make("abcde", 90), 0) for _ in range(60)] + [(make("defgh", 90), 1) for _ in range(60)])
+    stays, moves = (crf.trans[0, 0] + crf.trans[1, 1]) / 2, (crf.trans[0, 1] + crf.trans[1, 0]) / 2
+    assert 0.2 < stays - moves < 8
+    right = total = 0
+    for _ in range(40):
+        a, b = rng.randint(3, 30), rng.randint(3, 30)
+        _, post = crf.label_words([f"{make('abcde', a)} {make('defgh', b)} {make('abcde', a)}"])[0]
+        right += int((post.argmax(1) == [0] * a + [1] * b + [0] * a).sum())
+        total += 2 * a + b
+    assert right >= 0.97 * total
+
+
+def test_language_query_is_the_row_by_row_model(spark, tmp_path):
+    rng = random.Random(9)
+    make = lambda letters, n: " ".join("".join(rng.choice(letters) for _ in range(rng.randint(1, 7))) for _ in range(n))
+    rows = [(i, make(("abcde", "cdefg")[i % 2], rng.randint(1, 700)), "xy"[i % 2], None, 0) for i in range(120)] + [(500, None, "x", None, 0), (501, "12 - 5", "y", None, 0), (502, "", None, None, 0), (None, make("abc", 5), "x", None, 0)]
+    docs = spark.createDataFrame(rows, DOCS)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    crf = language_id.train(docs)
+    got = {r.doc_id: r for r in language_id.op8_language_id(spark, str(tmp_path)).collect()}
+    right = total = 0
+    for doc_id, text, lang, *_ in rows:
+        ws = (text or "").lower().split()
+        told = [any(c.isalpha() for c in w) for w in ws]
+        held = zlib.crc32(("" if doc_id is None else str(doc_id)).encode()) % 3 == 1
+        assert got[doc_id].held_out == held
+        if not any(told):
+            assert (got[doc_id].lang_pred, got[doc_id].score) == ("und", 0.0)
+            continue
+        # forward-backward word by word in plain Python
+        emit = [crf._emissions([w])[0][0].tolist() for w in ws]
+        fwd, bwd = [], [[1.0, 1.0]]
+        for i, e in enumerate(emit):
+            a = [math.exp(crf.start[k]) if not i else sum(fwd[-1][j] * math.exp(crf.trans[j, k]) for j in (0, 1)) for k in (0, 1)]
+            a = [x * math.exp(e[k] - max(e)) for k, x in enumerate(a)]
+            fwd.append([x / sum(a) for x in a])
+        for e in reversed(emit[1:]):
+            a = [sum(math.exp(crf.trans[j, k]) * math.exp(e[k] - max(e)) * bwd[0][k] for k in (0, 1)) for j in (0, 1)]
+            bwd.insert(0, [x / sum(a) for x in a])
+        post = [[f[k] * b[k] / sum(f[j] * b[j] for j in (0, 1)) for k in (0, 1)] for f, b in zip(fwd, bwd, strict=True)]
+        mean = [sum(p[k] for p, t in zip(post, told, strict=True) if t) / sum(told) for k in (0, 1)]
+        assert got[doc_id].lang_pred == "xy"[mean.index(max(mean))] and got[doc_id].score == pytest.approx(max(mean), abs=1e-6)
+        if held:
+            right, total = right + (got[doc_id].lang_pred == lang), total + 1
+    assert right >= 0.95 * total
+
+
 def test_language_id_without_labels(empty, docs):
     crf = language_id.train(empty)
     assert {r.lang_pred for r in language_id.predict(docs, crf).collect()} == {"und"} and language_id.predict(empty, crf).count() == 0
