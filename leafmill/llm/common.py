@@ -26,9 +26,13 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Bound the Arrow batches, so that a batch of very long texts fits a Python worker."""
+def small_batches(spark: SparkSession, rows: int = 512, size: int = 8 << 20) -> None:
+    """Bound the Arrow batches of the session by rows and bytes, so that a batch of very long texts fits a Python worker.
+
+    The settings stay: plans read them when they run.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
 
 
 def scratch_dir(spark: SparkSession) -> str:

@@ -1,13 +1,19 @@
 """Benchmark decontamination: a broadcast hash set of benchmark n-grams, scanned against all windows.
 
-The benchmark's size is measured before it is collected; beyond `max_broadcast_bytes` it is dealt
-into blocks of at most that size (by hash of its text), the documents are scanned once per block,
-and the words hit by each block are united.
+The set is arrays: the sorted 64-bit hashes of all windows by their length, for each the place of its
+words, and the benchmark's text: 16 bytes a word besides the text itself, some four bytes for each byte of
+a block of at most `max_block_bytes`. It is built once, on the driver, and broadcast. Hash hits are
+verified word by word against the benchmark's text.
+
+The benchmark's size is measured before it is collected; beyond `max_block_bytes` it is dealt
+into blocks of at most about that size (by hash of its text; items of more than `piece_words` words are cut
+into pieces that overlap by a window first). The documents are scanned once per block, each scan
+writes its hits alone, and the hits of all blocks are united by document.
 
 Edge cases: null and empty texts have no words and are never contaminated; an item without words
-matches nothing; an item of fewer than `n` words is one window; items with equal ids count once;
-an empty benchmark hits nothing; repeated document rows are judged one by one; other columns pass
-through unchanged, and columns with the names of the added ones are replaced.
+matches nothing; an item of fewer than `n` words is one window; items with equal ids count once, and
+a null id counts as the id ''; an empty benchmark hits nothing; repeated document rows are judged one
+by one; other columns pass through unchanged, and columns with the names of the added ones are replaced.
 """
 
 from __future__ import annotations
@@ -21,10 +27,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from leafmill.llm.common import BASE_1, WordHash, mix, powers, read, small_batches
+from leafmill.llm.common import BASE_1, materialize, range_hash, read, small_batches, word_hashes
 
 N = 13
-MAX_BROADCAST_BYTES = 32 << 20
+MAX_BLOCK_BYTES, PIECE_WORDS = 4 << 20, 100_000
 
 #: Bytes of words `[^\x00-\x2F\x3A-\x60\x7B-\x7F]+` stay (upper-case ones lowered), all others become spaces.
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -34,106 +40,143 @@ def words_of(text: bytes | None) -> list[bytes]:
     return text.translate(_TABLE).split() if text else []
 
 
+def _flat(text: bytes | None) -> bytes:
+    """The words of a text, one space between."""
+    return b" ".join(words_of(text))
+
+
 class NgramSet:
-    """The benchmark's windows: their vocabulary, their hashes by length, and the windows themselves."""
+    """The benchmark's windows as sorted hashes, and its words to verify hits by."""
 
     def __init__(self, items: list[tuple[str, bytes]], n: int = N) -> None:
-        self.n = n
-        self.windows: dict[bytes, list[str]] = {}
-        self.vocab = WordHash()
-        by_len: dict[int, set[bytes]] = {}
-        for item_id, text in items:
-            words = words_of(text)
-            size = min(n, len(words))
-            for i in range(len(words) - size + 1 if words else 0):
-                key = b" ".join(words[i : i + size])
-                ids = self.windows.setdefault(key, [])
-                if item_id not in ids:
-                    ids.append(item_id)
-                by_len.setdefault(size, set()).add(key)
-        for keys in by_len.values():
-            for key in keys:
-                for w in key.split(b" "):
-                    self.vocab[w]  # noqa: B018  remembers its hash
-        self.vocab = dict(self.vocab)
-        self.hashes = {size: np.array(sorted(self._hash(np.array([self.vocab[w] for w in k.split(b" ")], np.uint64)[:, None])[0] for k in keys), np.uint64) for size, keys in by_len.items()}
-
-    @staticmethod
-    def _hash(rows: np.ndarray) -> np.ndarray:
-        """rows[k]: the k-th words' hashes of all windows."""
-        up = powers(BASE_1, 64)[0]
-        out = np.zeros(rows.shape[1], np.uint64)
-        for k in range(len(rows)):
-            out += rows[k] * up[k]
-        return mix(out)
-
-    def scan(self, words: list[bytes]) -> tuple[np.ndarray, set[str]]:
-        """A mask of the words inside occurring windows, and the items that have one."""
+        self.n, self.ids = n, [i for i, _ in items]
+        flat = [_flat(t) for _, t in items]
+        h, counts = word_hashes(flat)
+        self.first = np.concatenate(([0], np.cumsum(counts)))  # of each item's words
+        self.text = b" ".join(f for f in flat if f)
+        space = np.flatnonzero(np.frombuffer(self.text, np.uint8) == 32).astype(np.int32)
+        self.at = np.concatenate(([0], space + 1, [len(self.text) + 1])).astype(np.int32)  # of each word's text
+        self.hashes: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        size = np.minimum(counts, n)
+        for k in np.unique(size[size > 0]).tolist():
+            of = np.flatnonzero(size == k)
+            lo = np.concatenate([np.arange(self.first[i], self.first[i + 1] - k + 1) for i in of])
+            keys = range_hash(h, lo, lo + k, BASE_1)
+            order = np.argsort(keys, kind="stable")
+            self.hashes[k] = keys[order], lo[order].astype(np.int32)
+
+    @property
+    def nbytes(self) -> int:
+        return len(self.text) + self.at.nbytes + self.first.nbytes + sum(x.nbytes + y.nbytes for x, y in self.hashes.values())
+
+    def scan(self, words: list[bytes], h: np.ndarray) -> tuple[np.ndarray, set[str]]:
+        """A mask of the words inside occurring windows, and the items that have one; h: the words' hashes."""
         total, items = len(words), set()
         hit = np.zeros(total, bool)
-        get = self.vocab.get
-        h = np.fromiter((get(w, 0) for w in words), np.uint64, total)
-        known = np.zeros(total + 1, np.int64)
-        np.cumsum(h != 0, out=known[1:])
-        for size, hashes in self.hashes.items():
+        for size, (keys, places) in self.hashes.items():
             if total < size:
                 continue
-            at = np.flatnonzero(known[size:] - known[:-size] == size)
-            if not len(at):
-                continue
-            mine = self._hash(h[at + np.arange(size)[:, None]])
-            near = hashes[np.minimum(np.searchsorted(hashes, mine), len(hashes) - 1)]
-            for i in at[near == mine]:
-                found = self.windows.get(b" ".join(words[i : i + size]))  # the hit is verified word by word
-                if found:
-                    hit[i : i + size] = True
-                    items.update(found)
+            lo = np.arange(total - size + 1)
+            mine = range_hash(h, lo, lo + size, BASE_1)
+            left = np.searchsorted(keys, mine)
+            for i in np.flatnonzero(keys[np.minimum(left, len(keys) - 1)] == mine).tolist():
+                window, k = b" ".join(words[i : i + size]), int(left[i])
+                while k < len(keys) and keys[k] == mine[i]:
+                    w = int(places[k])
+                    if self.text[self.at[w] : self.at[w + size] - 1] == window:  # the hit is verified word by word
+                        hit[i : i + size] = True
+                        items.add(self.ids[int(np.searchsorted(self.first, w, "right")) - 1])
+                    k += 1
         return hit, items
 
+    def scan_all(self, texts: list[bytes | None]) -> Iterator[tuple[int, np.ndarray, set[str]]]:
+        """(number of words, mask, items) of each text."""
+        flat = [_flat(t) for t in texts]
+        h, counts = word_hashes(flat)
+        end = np.cumsum(counts)
+        for f, e, k in zip(flat, end.tolist(), counts.tolist(), strict=True):
+            yield k, *self.scan(f.split(), h[e - k : e])
+
 
-def _blocks(benchmark: DataFrame, item_id: str, text: str, bound: int) -> Iterator[list[tuple[str, bytes]]]:
+def _pieces(rows: DataFrame, n: int, piece_words: int) -> DataFrame:
+    """(i, t): items of many words as pieces of them that share n - 1 words, so that no window is lost or added."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, texts = [], []
+            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                ws = words_of(t)
+                for at in range(0, max(1, len(ws) - n + 1), piece_words):
+                    ids.append(i)
+                    texts.append(b" ".join(ws[at : at + piece_words + n - 1]))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(texts, pa.binary())], names=["i", "t"])
+
+    return rows.mapInArrow(run, "i string, t binary")
+
+
+def _blocks(benchmark: DataFrame, item_id: str, text: str, bound: int, n: int, piece_words: int) -> tuple[int, Iterator[list[tuple[str, bytes]]]]:
+    """The number of blocks, and the blocks one after another."""
     rows = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("i"), F.col(text).cast("binary").alias("t")).filter("t IS NOT NULL")
     size = rows.agg(F.sum(F.length("t") + F.length("i"))).first()[0] or 0
     k = -(-size // bound) or 1
-    for b in range(k):
-        part = rows if k == 1 else rows.filter(F.pmod(F.xxhash64("i", "t"), F.lit(k)) == b)
-        yield [(r.i, bytes(r.t)) for r in part.collect()]
+    if k > 1:
+        rows = materialize(_pieces(rows, n, piece_words), "pieces")
+    parts = (rows if k == 1 else rows.filter(F.pmod(F.xxhash64("i", "t"), F.lit(k)) == b) for b in range(k))
+    return k, ([(r.i, bytes(r.t)) for r in part.collect()] for part in parts)
+
 
+def _spans(mask: np.ndarray) -> list[dict]:
+    edge = np.flatnonzero(np.diff(np.concatenate(([0], mask.view(np.int8), [0])))).tolist()
+    return [{"start": a, "end": b} for a, b in zip(edge[::2], edge[1::2], strict=True)]
 
-def mark(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", n: int = N, max_broadcast_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
+
+_HIT = T.StructType().add("start", "long").add("end", "long")
+ADDED = T.StructType().add("n_words", "long").add("hit_spans", T.ArrayType(_HIT)).add("hit_items", T.ArrayType(T.StringType()))
+_KINDS = [pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.list_(pa.string())]
+
+
+def _scan(rows: DataFrame, items: list[tuple[str, bytes]], n: int, only_hit: bool = False) -> DataFrame:
+    """rows (the last column is the text, binary) with the columns of ADDED in its place."""
+    grams = rows.sparkSession.sparkContext.broadcast(NgramSet(items, n))
+    schema = T.StructType(rows.schema.fields[:-1] + ADDED.fields)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = list(grams.value.scan_all(b.column(b.num_columns - 1).to_pylist()))
+            at = [i for i, x in enumerate(found) if x[2] or not only_hit]
+            cols = [c.take(pa.array(at, pa.int64())) for c in b.columns[:-1]]
+            added = zip(*[(found[i][0], _spans(found[i][1]), sorted(found[i][2])) for i in at], strict=True) if at else ((), (), ())
+            yield pa.RecordBatch.from_arrays([*cols, *[pa.array(list(x), t) for x, t in zip(added, _KINDS, strict=True)]], names=schema.names)
+
+    return rows.mapInArrow(run, schema)
+
+
+def _united(hits: DataFrame) -> DataFrame:
+    """(k, n_words, hit_spans, hit_items) of all blocks to one row a text."""
+    lists = hits.groupBy("k").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_set("hit_spans")).alias("s"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("hit_items")))).alias("hit_items"))
+    # spans in order: one that begins within those before makes the last one longer
+    step = lambda a, s: F.when((F.size(a) > 0) & (F.element_at(a, -1)["end"] >= s["start"]), F.concat(F.slice(a, 1, F.size(a) - 1), F.array(F.struct(F.element_at(a, -1)["start"].alias("start"), F.greatest(F.element_at(a, -1)["end"], s["end"]).alias("end"))))).otherwise(F.concat(a, F.array(s)))
+    spans = F.aggregate(F.array_sort("s"), F.array().cast(ADDED["hit_spans"].dataType), lambda a, s: F.when(F.size(a) == 0, F.array(s)).otherwise(step(a, s)))
+    return lists.select("k", "n_words", spans.alias("hit_spans"), "hit_items")
+
+
+def mark(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", n: int = N, max_block_bytes: int = MAX_BLOCK_BYTES, piece_words: int = PIECE_WORDS) -> DataFrame:
     """docs with `n_words`, `hit_spans` (array of (start, end) in words) and `hit_items` (sorted ids)."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    span = T.StructType().add("start", T.LongType()).add("end", T.LongType())
-    added = T.StructType().add("n_words", T.LongType()).add("hit_spans", T.ArrayType(span)).add("hit_items", T.ArrayType(T.StringType()))
-    own = [c for c in docs.columns if c not in added.names]
-    schema = T.StructType([docs.schema[c] for c in own] + added.fields)
-    out = docs.select(*own, F.lit(0).cast("long").alias("n_words"), F.array().cast(added["hit_spans"].dataType).alias("hit_spans"), F.array().cast("array<string>").alias("hit_items"))
-    for items in _blocks(benchmark, item_id, item_text, max_broadcast_bytes):
-        held = spark.sparkContext.broadcast(items)
-
-        def scan(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            grams = NgramSet(held.value, n)
-            for batch in batches:
-                n_words, spans, found = [], [], []
-                t, before, ids = (batch.column(batch.schema.get_field_index(c)) for c in (text, "hit_spans", "hit_items"))
-                for i in range(batch.num_rows):
-                    words = words_of(v.encode() if isinstance(v := t[i].as_py(), str) else v)
-                    mask, items = grams.scan(words)
-                    if len(before[i]):
-                        for s in before[i].as_py():
-                            mask[s["start"] : s["end"]] = True
-                        items |= set(ids[i].as_py())
-                    edge = np.flatnonzero(np.diff(np.concatenate(([0], mask.view(np.int8), [0]))))
-                    n_words.append(len(words))
-                    spans.append([{"start": int(a), "end": int(b)} for a, b in zip(edge[::2], edge[1::2], strict=True)])
-                    found.append(sorted(items))
-                cols = [batch.column(batch.schema.get_field_index(c)) for c in own]
-                types = [batch.schema.field(c).type for c in ("hit_spans", "hit_items")]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(n_words, pa.int64()), pa.array(spans, types[0]), pa.array(found, types[1])], names=[*own, *added.names])
-
-        out = out.mapInArrow(scan, schema)
-    return out
+    small_batches(docs.sparkSession)
+    own = [c for c in docs.columns if c not in ADDED.names]
+    mine, back = [F.col(c).alias(f"c{i}") for i, c in enumerate(own)], [F.col(f"c{i}").alias(c) for i, c in enumerate(own)]
+    n_blocks, blocks = _blocks(benchmark, item_id, item_text, max_block_bytes, n, piece_words)
+    if n_blocks == 1:
+        return _scan(docs.select(*mine, F.col(text).cast("binary").alias("_text")), next(blocks), n).select(*back, *ADDED.names)
+    key = F.md5(F.coalesce(F.col(text), F.lit(""))).alias("k")
+    hits = None
+    for items in blocks:
+        found = materialize(_scan(docs.select(key, F.col(text).cast("binary").alias("_text")), items, n, only_hit=True), "hits")
+        hits = found if hits is None else hits.unionByName(found)
+    hits = materialize(_united(hits), "hits")
+    joined = docs.select(*mine, key, F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit("[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+")).cast("long").alias("n")).join(hits.drop("n_words"), "k", "left")
+    none = [F.coalesce(c, F.array().cast(ADDED[c].dataType)).alias(c) for c in ADDED.names[1:]]
+    return joined.select(*back, F.col("n").alias("n_words"), *none)
 
 
 def n_hit():

@@ -10,7 +10,9 @@ probabilities of all texts sum to one.
 Pretrained scoring is distributed. The trie is a set of tables (gram, count), one for each order;
 all grams of the corpus get their log-probability by joins of those tables. Documents are dealt
 into groups of bounded size by a hash; a group asks for the distinct grams and words it holds,
-buckets of the model answer them, and the group sums the answers per document. No table of the
+buckets of the model answer them, and the group sums the answers per document. Buckets are as many
+as the model's keys and the corpus' bytes ask for, so that neither a bucket's keys nor the questions
+to it grow with the corpus. No table of the
 corpus is broadcast or collected. Words of the base model are told apart by 64-bit hashes.
 
 `adaptive_code_length` is the other mode: each text is coded by a trie that starts empty and learns
@@ -36,7 +38,9 @@ from leafmill.llm.common import materialize, read, small_batches, word_hashes
 
 ORDER = 5
 PAD = b"\xff" * ORDER
-GROUP_BYTES, SLICE, MERGE_KEYS, BUCKET_KEYS = 8 << 20, 1 << 18, 1 << 20, 200_000
+GROUP_BYTES, SLICE, MERGE_KEYS, BUCKET_KEYS, BUCKET_BYTES = 8 << 20, 1 << 18, 1 << 20, 200_000, 4 << 20
+#: Buckets to a task: enough for sums of their sizes to be even.
+TASK_BUCKETS = 6
 #: The end of a text among the hashes of words.
 END = 0
 _NONE = (np.empty(0, np.int64), np.empty(0, np.int64))
@@ -286,7 +290,7 @@ def _answer(asked: DataFrame, models: dict[str, DataFrame], n_buckets: dict[str,
     both = asked.select("kind", "bucket", "part", "asked", none("long").alias("key"), none("double").alias("value"))
     for kind, m in models.items():
         both = both.unionByName(m.select(F.lit(kind).alias("kind"), F.pmod("key", F.lit(n_buckets[kind])).alias("bucket"), none("long").alias("part"), none("binary").alias("asked"), "key", F.col("value").cast("double").alias("value")))
-    n = max(sum(n_buckets.values()), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    n = max(sum(n_buckets.values()) // TASK_BUCKETS, int(spark.conf.get("spark.sql.shuffle.partitions")))
     both = both.repartition(n, "kind", "bucket").sortWithinPartitions("kind", "bucket", F.col("part").asc_nulls_first())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -354,8 +358,8 @@ def score(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", test:
     vocab = materialize(count_words(slim), "words")
     n_tokens, n_types = vocab.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     models = {"g": log_probabilities(counted).select(F.col("g").alias("key"), F.col("lp").alias("value")), "w": vocab.select(F.col("w").alias("key"), F.col("c").alias("value"))}
-    n_buckets = {"g": _prime(1 + counted.count() // BUCKET_KEYS), "w": _prime(1 + n_types // BUCKET_KEYS)}
     size = slim.agg(F.sum(F.length("text"))).first()[0] or 0
+    n_buckets = {"g": _prime(1 + max(counted.count() // BUCKET_KEYS, size // BUCKET_BYTES)), "w": _prime(1 + max(n_types // BUCKET_KEYS, size // (4 * BUCKET_BYTES)))}
     parts = 1 + size // group_bytes
     dealt = slim.withColumn("part", F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)))
     answers = _answer(_ask(dealt, n_buckets), models, n_buckets)

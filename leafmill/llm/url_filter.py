@@ -3,7 +3,11 @@
 The rules' own verdicts label the training URLs. A bounded sample of them (`sample`, by hash order)
 is binned by SQL expressions and summed to distinct feature cells; the trees are grown from those
 cells on the driver and become one nested CASE expression, so that scoring is a projection: no
-shuffle, no Python on the executors.
+shuffle, no Python on the executors. Both verdicts have the same total weight in training, so that a
+URL unlike all labelled ones isn't judged by which rules happen to fit more URLs. Features are of the
+URL's form: lengths, depth, ratios, entropy, counts, and the rates of its suffix and of its first path
+segment; the host's own name is none, as it would only repeat the rules. At a split by a suffix or
+segment that no labelled URL has, both branches count, by their shares of the training weight.
 
 Edge cases: a null URL or one without `://` has empty host and path, fits no rule and is judged by
 the trees from its empty features; repeated URLs are judged alike; without labelled URLs, or with
@@ -73,8 +77,9 @@ def features(url: str = "url") -> dict[str, Column]:
         "entropy": entropy,
         "parameters": F.when(query == "", F.lit(0.0)).otherwise(F.size(F.split(query, "&")).cast("double")),
         "fragment": F.contains(u, F.lit("#")).cast("double"),
+        "hyphens": (F.length(host) - F.length(F.replace(host, F.lit("-"), F.lit("")))).cast("double"),
+        "label_length": F.array_max(F.transform(labels, lambda x: F.length(x))).cast("double"),
         "suffix": _cell(F.element_at(labels, -1)),
-        "domain": _cell(F.array_join(F.slice(labels, F.greatest(F.size(labels) - 1, F.lit(1)), 2), ".")),
         "path_head": _cell(F.regexp_extract(path, "^/([^/]*)/", 1)),
     }
 
@@ -113,7 +118,9 @@ def _grow(cells: list[tuple[list[int], float, float]], names: list[str]) -> list
                     score[i] += value
                 return value
             _, f, b = best
-            return (f, b, node([i for i in rows if cells[i][0][f] <= b], depth - 1), node([i for i in rows if cells[i][0][f] > b], depth - 1))
+            left, right = [i for i in rows if cells[i][0][f] <= b], [i for i in rows if cells[i][0][f] > b]
+            share = sum(cells[i][1] for i in left) / sum(cells[i][1] for i in rows)
+            return (f, b, node(left, depth - 1), node(right, depth - 1), share)
 
         trees.append(node(list(range(len(cells))), DEPTH))
     return trees
@@ -125,7 +132,7 @@ class UrlModel:
     def __init__(self, labelled: DataFrame, url: str = "url", sample: int = SAMPLE) -> None:
         """labelled: columns url, host, path, blocked (0 or 1). sample bounds what is collected."""
         names = list(features())
-        self.numeric, self.suffixes = names[:-3], names[-3:]
+        self.numeric, self.suffixes = names[:-2], names[-2:]
         rows = labelled.select(F.xxhash64(url).alias("o"), "blocked", *[c.alias(k) for k, c in features(url).items()]).orderBy("o", *self.numeric, "blocked").limit(sample)
         got = rows.collect()  # at most `sample` rows of numbers
         self.cuts = {}
@@ -133,32 +140,33 @@ class UrlModel:
             values = sorted(r[k] for r in got)
             at = [values[len(values) * q // BINS] for q in range(1, BINS)] if values else []
             self.cuts[k] = sorted(set(at))
-        base = (sum(r.blocked for r in got) + 1) / (len(got) + 2)
+        n_bad = sum(r.blocked for r in got)
+        weight = {1: len(got) / (2 * n_bad) if n_bad else 1.0, 0: len(got) / (2 * (len(got) - n_bad)) if n_bad < len(got) else 1.0}
+        base = 0.5
         self.rates = {}
         for k in self.suffixes:
             n, bad = [0] * SUFFIX_CELLS, [0] * SUFFIX_CELLS
             for r in got:
-                n[r[k]] += 1
-                bad[r[k]] += r.blocked
-            self.rates[k] = [min(BINS - 1, int(BINS * (b + 4 * base) / (m + 4))) for m, b in zip(n, bad, strict=True)]
+                n[r[k]] += weight[r.blocked]
+                bad[r[k]] += r.blocked * weight[1]
+            self.rates[k] = [min(BINS - 1, int(BINS * (b + 4 * base) / (m + 4))) if m else None for m, b in zip(n, bad, strict=True)]
         self.names = names
         cells: dict[tuple, list[float]] = defaultdict(lambda: [0.0, 0.0])
         for r in got:
             key = tuple([sum(r[k] > c for c in self.cuts[k]) for k in self.numeric] + [self.rates[k][r[k]] for k in self.suffixes])
-            cells[key][0] += 1
-            cells[key][1] += r.blocked
+            cells[key][0] += weight[r.blocked]
+            cells[key][1] += r.blocked * weight[1]
         self.trees = _grow([(list(k), n, b) for k, (n, b) in sorted(cells.items())], names)
 
-    def _test(self, f: int, b: int) -> Column:
-        k = self.names[f]
-        if k in self.cuts:
-            return F.col(f"_f.{k}") <= F.lit(float(self.cuts[k][b])) if b < len(self.cuts[k]) else F.lit(True)
-        return F.col(f"_f.{k}").isin([i for i, r in enumerate(self.rates[k]) if r <= b]) if min(self.rates[k]) <= b else F.lit(False)
-
     def _tree(self, t) -> Column:
         if not isinstance(t, tuple):
             return F.lit(float(t))
-        return F.when(self._test(t[0], t[1]), self._tree(t[2])).otherwise(self._tree(t[3]))
+        f, b, left, right, share = t
+        k, left, right = self.names[f], self._tree(left), self._tree(right)
+        if k in self.cuts:
+            return F.when(F.col(f"_f.{k}") <= F.lit(float(self.cuts[k][b])), left).otherwise(right)
+        cells = [[i for i, r in enumerate(self.rates[k]) if r is not None and (r <= b) == side] for side in (True, False)]
+        return F.when(F.col(f"_f.{k}").isin(cells[0]), left).when(F.col(f"_f.{k}").isin(cells[1]), right).otherwise(F.lit(share) * left + F.lit(1 - share) * right)
 
     def probability(self, pages: DataFrame, url: str = "url") -> DataFrame:
         """pages (with host and path) with block_probability."""
@@ -166,7 +174,9 @@ class UrlModel:
         total = F.lit(0.0)
         for t in self.trees:
             total = total + self._tree(t)
-        return pages.withColumn("_f", f).withColumn("block_probability", 1 / (1 + F.exp(-total))).drop("_f")
+        own = [c for c in pages.columns if c != "block_probability"]
+        scored = pages.select(F.struct(*own).alias("row"), f.alias("_f"))
+        return scored.select("row.*", (1 / (1 + F.exp(-total))).alias("block_probability"))
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, url: str = "url", sample: int = SAMPLE) -> DataFrame:

@@ -113,7 +113,7 @@ def test_decontaminate(spark, docs, rows, bound):
     passages = [" ".join(rows[85][1].split()[5:40]).upper(), "One!", "", None, "A b-c d E", "never seen before", rows[85][1][:60]]
     items = [(i if i < 6 else None, t) for i, t in enumerate(passages)] + [(1, "One!")]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = decontaminate.mark(docs, bench, max_broadcast_bytes=bound).withColumn("n_hit", decontaminate.n_hit())
+    got = decontaminate.mark(docs, bench, max_block_bytes=bound, piece_words=7).withColumn("n_hit", decontaminate.n_hit())
     for r in got.collect():
         assert (r.n_words, r.n_hit, list(r.hit_items)) == brute_hits(r.text, items)
     kept = decontaminate.remove_documents(docs, bench)
@@ -122,6 +122,15 @@ def test_decontaminate(spark, docs, rows, bound):
     assert decontaminate.mark(docs, bench.limit(0)).filter(decontaminate.contaminated()).count() == 0
 
 
+def test_benchmark_set_is_small():
+    rng = random.Random(3)
+    items = [(str(i), " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9))) for _ in range(400)).encode()) for i in range(500)]
+    grams = decontaminate.NgramSet(items)
+    assert grams.nbytes <= 5 * sum(len(t) for _, t in items)
+    mask, found = grams.scan(*(lambda ws: (ws, decontaminate.word_hashes([b" ".join(ws)])[0]))(b"x y".split() + items[7][1].split()[100:120] + [b"z"]))
+    assert mask.tolist() == [False] * 2 + [True] * 20 + [False] and found == {"7"}
+
+
 def test_decontaminate_splits_words_like_the_definition(spark):
     assert decontaminate.words_of("Été-1 A_b\x7fc".encode()) == ["Été".encode(), b"1", b"a", b"b", b"c"]
 
@@ -206,6 +215,56 @@ def test_url_trees_learn(spark):
     assert right > 0.98
 
 
+def plain_features(url):
+    """The features of a URL by plain Python."""
+    from xxhash import xxh64_intdigest
+
+    u = url or ""
+    rest = u.split("://", 1)[1] if "://" in u else ""
+    host = rest[: min([rest.find(c) for c in "/?#" if c in rest], default=len(rest))]
+    path = rest[len(host) :]
+    path = path[: min([path.find(c) for c in "?#" if c in path], default=len(path))]
+    host = lower(host)
+    query = u.split("?", 1)[1].split("#")[0] if "?" in u else ""
+    labels = host.split(".")
+    head = path.split("/")[1] if path.startswith("/") and path.count("/") > 1 else ""
+    cell = lambda x: ((xxh64_intdigest(x.encode(), 42) + (1 << 63)) % (1 << 64) - (1 << 63)) % url_filter.SUFFIX_CELLS
+    share = [c / len(u) for c in Counter(u).values()]
+    return {
+        "length": len(u), "host_length": len(host), "path_length": len(path), "depth": path.count("/"), "host_labels": len(labels), "digit_ratio": sum(c in "0123456789" for c in u) / len(u) if u else 0,
+        "entropy": -sum(p * (math.log(p) / math.log(2)) for p in share), "parameters": len(query.split("&")) if query else 0, "fragment": int("#" in u), "hyphens": host.count("-"), "label_length": max(map(len, labels)), "suffix": cell(labels[-1]), "path_head": cell(head),
+    }
+
+
+def test_url_trees_are_those_of_a_plain_scorer(spark):
+    rng = random.Random(12)
+    word = lambda n: "".join(rng.choice("abcdefg-0123") for _ in range(rng.randint(1, n)))
+    make = lambda: f"http://{rng.choice(['', 'www.', 'm.'])}{word(9)}.{rng.choice(['example.com', 'a.net', 'b.org', 'Site.COM'])}/{rng.choice(['en', 'es', 'fr', 'de', word(3)])}/{word(20)}{rng.choice(['', '?a=1', '?a=1&b=2#t', '#x?y'])}"
+    urls = [make() for _ in range(1500)] + [None, "", "no scheme", "x://é.zz/q/ü?", "http://h"]
+    pages = spark.createDataFrame([(i, u, "clash") for i, u in enumerate(urls)], "page_id long, url string, _f string")
+    judged = url_filter.judge(pages).collect()
+    parts = url_filter.with_parts(pages)
+    rule, verdict = url_filter.rule_columns(url_filter.RULES)
+    labelled = parts.withColumn("verdict", verdict).filter("verdict IS NOT NULL").withColumn("blocked", (F.col("verdict") == "block").cast("int"))
+    model = url_filter.UrlModel(labelled)
+
+    def value(t, f):
+        if not isinstance(t, tuple):
+            return t
+        k, b, left, right, share = model.names[t[0]], *t[1:]
+        if k in model.cuts:
+            return value(left if f[k] <= model.cuts[k][b] else right, f)
+        r = model.rates[k][f[k]]
+        return share * value(left, f) + (1 - share) * value(right, f) if r is None else value(left if r <= b else right, f)
+
+    for r in judged:
+        p = 1 / (1 + math.exp(-sum(value(t, plain_features(r.url)) for t in model.trees)))
+        assert r.block_probability == pytest.approx(p, abs=1e-9) and r._f == "clash"
+        if r.rule is None:
+            assert r.verdict == ("block" if p > 0.5 else "allow")
+    assert {r.verdict for r in judged if r.rule is None} == {"allow", "block"}
+
+
 # -- 5 ------------------------------------------------------------------------------------------------
 
 
