@@ -74,7 +74,7 @@ def features(url: str = "url") -> dict[str, Column]:
         "depth": (F.length(path) - F.length(F.replace(path, F.lit("/"), F.lit("")))).cast("double"),
         "host_labels": F.size(labels).cast("double"),
         "digit_ratio": F.when(n == 0, F.lit(0.0)).otherwise((n - F.length(F.translate(u, "0123456789", ""))) / n),
-        "entropy": entropy,
+        "entropy": F.round(entropy, 6),
         "parameters": F.when(query == "", F.lit(0.0)).otherwise(F.size(F.split(query, "&")).cast("double")),
         "fragment": F.contains(u, F.lit("#")).cast("double"),
         "hyphens": (F.length(host) - F.length(F.replace(host, F.lit("-"), F.lit("")))).cast("double"),

@@ -232,7 +232,7 @@ def plain_features(url):
     share = [c / len(u) for c in Counter(u).values()]
     return {
         "length": len(u), "host_length": len(host), "path_length": len(path), "depth": path.count("/"), "host_labels": len(labels), "digit_ratio": sum(c in "0123456789" for c in u) / len(u) if u else 0,
-        "entropy": -sum(p * (math.log(p) / math.log(2)) for p in share), "parameters": len(query.split("&")) if query else 0, "fragment": int("#" in u), "hyphens": host.count("-"), "label_length": max(map(len, labels)), "suffix": cell(labels[-1]), "path_head": cell(head),
+        "entropy": round(-sum(p * math.log2(p) for p in share), 6), "parameters": len(query.split("&")) if query else 0, "fragment": int("#" in u), "hyphens": host.count("-"), "label_length": max(map(len, labels)), "suffix": cell(labels[-1]), "path_head": cell(head),
     }
 
 
