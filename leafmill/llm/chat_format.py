@@ -32,7 +32,6 @@ from __future__ import annotations
 import json
 import math
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -301,15 +300,23 @@ def _ranks(rows: DataFrame, calls: DataFrame, first: DataFrame, in_task: int) ->
     if edges.isEmpty():
         return None
 
-    def run(e: pd.DataFrame) -> pd.DataFrame:
-        turns, needs = {}, {}
-        for node, own, need, need_turn in zip(e["node"].tolist(), e["own"].tolist(), e["need"].tolist(), e["need_turn"].tolist(), strict=True):
-            turns[node], turns[need] = own, need_turn
-            needs.setdefault(node, set()).add(need)
-        got = rank_references(turns, needs)
-        return pd.DataFrame({"conv": e["conv"].iat[0], "node": list(got), "at": [v[0] for v in got.values()], "rank": [v[1] for v in got.values()]})
-
-    few = edges.join(large, "conv", "left_anti").groupBy("conv").applyInPandas(run, "conv long, node long, at long, rank long")
+    def run(batches):
+        for b in batches:
+            convs, nodes, ats, ranks = [], [], [], []
+            for conv, group in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                turns, needs = {}, {}
+                for e in group:
+                    turns[e["node"]], turns[e["need"]] = e["own"], e["need_turn"]
+                    needs.setdefault(e["node"], set()).add(e["need"])
+                for node, (at, rank) in rank_references(turns, needs).items():
+                    convs.append(conv)
+                    nodes.append(node)
+                    ats.append(at)
+                    ranks.append(rank)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (convs, nodes, ats, ranks)], names=["conv", "node", "at", "rank"])
+
+    few = edges.join(large, "conv", "left_anti").groupBy("conv").agg(F.collect_list(F.struct("node", "own", "need", "need_turn")).alias("e"))
+    few = few.mapInArrow(run, "conv long, node long, at long, rank long")
     if not large.isEmpty():
         few = few.unionByName(_rank_by_joins(materialize(edges.join(large, "conv", "left_semi"), "references")))
     return materialize(few, "ranks")
