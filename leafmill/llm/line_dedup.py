@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -102,7 +103,8 @@ def repeated_chunks(keyed: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
     often = materialize(chunks.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1"), "often")
     wanted = join_uneven(chunks, often, ["h"]).groupBy(*_KEY).agg(F.collect_list(F.struct("pos", "start", "size")).alias("wanted"))
     wanted = materialize(wanted, "wanted")
-    texts = keyed.join(wanted, _KEY).dropDuplicates(_KEY)
+    # texts are sorted to what is asked of them at any size: no table that grows is broadcast
+    texts = keyed.join(wanted.hint("merge"), _KEY).dropDuplicates(_KEY)
     bodies = texts.select(*_KEY, "text", F.explode("wanted").alias("w")).select(*_KEY, F.col("w.pos").alias("pos"), F.expr("substring(text, w.start + 1, w.size)").alias("body"))
     first = bodies.groupBy("body").agg(F.min(F.struct(*_KEY, "pos")).alias("p")).select("p.*")
     kept = first.groupBy(*_KEY).agg(F.collect_list("pos").alias("kept"))
@@ -117,7 +119,7 @@ def dedup_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     keyed = docs.select(*row_key(doc_id, text), F.col(text).cast("binary").alias("text"))
     drop = repeated_chunks(keyed, min_lines)
     mine = docs.select(*row_key(doc_id, text), *[F.col(c).alias(f"c{i}") for i, c in enumerate(own)])
-    joined = mine.join(drop, _KEY, "left").drop(*_KEY)
+    joined = mine.join(drop.hint("merge"), _KEY, "left").drop(*_KEY)
     at = own.index(text)
 
     def cut(t: str, gone: list[int]) -> tuple[str, int]:
@@ -130,18 +132,17 @@ def dedup_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
         for b in batches:
             gone = b.column(len(own)).to_pylist()
             texts, removed = b.column(at), [0] * b.num_rows
+            lines = pc.add(pc.count_substring(texts, "\n"), 1).cast(pa.int64())
+            lines = pc.if_else(pc.fill_null(pc.equal(texts, ""), True), 0, lines)
             if any(gone):
                 new = texts.to_pylist()
                 for i, g in enumerate(gone):
                     if g:
                         new[i], removed[i] = cut(new[i], g)
                 texts = pa.array(new, texts.type)
-            yield pa.RecordBatch.from_arrays([*b.columns[:at], texts, *b.columns[at + 1 : len(own)], b.column(len(own) + 1), pa.array(removed, pa.int64())], names=[*[f"c{i}" for i in range(len(own))], "n_lines", "n_removed"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:at], texts, *b.columns[at + 1 : len(own)], lines, pa.array(removed, pa.int64())], names=[*[f"c{i}" for i in range(len(own))], "n_lines", "n_removed"])
 
-    whole = F.coalesce(F.col(f"c{at}"), F.lit(""))
-    n_lines = F.when(whole == "", F.lit(0)).otherwise(1 + F.length(whole) - F.length(F.translate(whole, "\n", ""))).cast("long")
-    joined = joined.select(*[f"c{i}" for i in range(len(own))], "drop", n_lines.alias("n_lines"))
-    out = joined.mapInArrow(run, joined.drop("drop").schema.add("n_removed", "long"))
+    out = joined.mapInArrow(run, joined.drop("drop").schema.add("n_lines", "long").add("n_removed", "long"))
     return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(own)], "n_lines", "n_removed")
 
 
