@@ -136,9 +136,9 @@ def dedup_substrings(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "te
     own = [c for c in docs.columns if c not in ("n_words", "dup_spans", "factors", "kept_text")]
     keyed = docs.select(*row_key(doc_id, text), F.col(text).cast("binary").alias("_text"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(own)])
     # the reference: phrases of anchors that occur more than once
-    index = _index(keyed.select("rk_id", "rk_hash", "_text"))
-    twice = index.groupBy("a").agg(F.count("*").alias("n")).filter("n > 1").select("a")
-    live = materialize(index.join(twice, "a"), "phrases")
+    index = materialize(_index(keyed.select("rk_id", "rk_hash", "_text")), "index")
+    twice = materialize(index.groupBy("a").agg(F.count("*").alias("n")).filter("n > 1"), "anchors")
+    live = materialize(join_uneven(index, twice, ["a"]).drop("n"), "phrases")
     place = F.struct("rk_id", "rk_hash", "i")
     by_phrase = live.groupBy("a", "c").agg(F.count("*").alias("n"), F.min(place).alias("one"))
     by_anchor = by_phrase.groupBy("a").agg(F.count("*").alias("kinds"))
