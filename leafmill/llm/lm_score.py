@@ -40,7 +40,7 @@ ORDER = 5
 PAD = b"\xff" * ORDER
 GROUP_BYTES, SLICE, MERGE_KEYS, BUCKET_KEYS, BUCKET_BYTES = 8 << 20, 1 << 18, 1 << 20, 200_000, 4 << 20
 #: Buckets to a task: enough for sums of their sizes to be even.
-TASK_BUCKETS = 6
+TASK_BUCKETS, TASK_PARTS = 6, 2
 #: The end of a text among the hashes of words.
 END = 0
 _NONE = (np.empty(0, np.int64), np.empty(0, np.int64))
@@ -361,8 +361,9 @@ def score(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", test:
     size = slim.agg(F.sum(F.length("text"))).first()[0] or 0
     n_buckets = {"g": _prime(1 + max(counted.count() // BUCKET_KEYS, size // BUCKET_BYTES)), "w": _prime(1 + max(n_types // BUCKET_KEYS, size // (4 * BUCKET_BYTES)))}
     parts = 1 + size // group_bytes
-    dealt = slim.withColumn("part", F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)))
-    answers = _answer(_ask(dealt, n_buckets), models, n_buckets)
+    tasks = max(parts // TASK_PARTS, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    dealt = slim.withColumn("part", F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts))).repartition(tasks, "part")
+    answers = _answer(_ask(dealt, n_buckets), models, n_buckets).repartition(tasks, "part")
     log_all = math.log10(n_tokens + n_types + 1)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
