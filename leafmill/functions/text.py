@@ -30,8 +30,14 @@ URL = r"(?:https?://|www\.)\S+"
 # -- normal forms ----------------------------------------------------------------------------------
 
 
+#: Names of columns whose text is collapsed already.
+COLLAPSED = {"clean", "whole", "body", "readable"}
+
+
 def collapse(c: E) -> E:
     """Runs of whitespace become one space; none at the ends."""
+    if c.s in COLLAPSED:
+        return c
     return t("trim(<r>)", r=replace(c, r"\s+", " "))
 
 
@@ -125,17 +131,19 @@ def comparable(c: E) -> E:
     return replace(t("lower(<c>)", c=collapse(c)), r"[\s\-_:：.,，。()\[\]{}（）【】\x22\x27“”‘’]", "")
 
 
-def title_tokens(c: E) -> E:
+def title_tokens(c: E, key: E | None = None) -> E:
     stop = ", ".join(f"'{w}'" for w in TITLE_STOP_WORDS)
-    key = letters_key(c)
+    key = key if key is not None else letters_key(c)
     return E(f"filter(split({key.s}, ' '), v -> length(v) >= 2 AND v NOT IN ({stop}))", f"list_filter(string_split({key.d}, ' '), lambda v: length(v) >= 2 AND v NOT IN ({stop}))")
 
 
-def is_title_header(c: E, title: E, page: E) -> E:
-    """The document's title repeated at the head of a later page: equal or contained, or four tokens and 0.78 of all shared."""
-    clean, name = paragraph(c), paragraph(title)
-    a, b = title_tokens(clean), title_tokens(name)
-    ka, kb = letters_key(clean), letters_key(name)
+def is_title_header(c: E, title: E, page: E, given: tuple[E, E, E, E] | None = None) -> E:
+    """The document's title repeated at the head of a later page: equal or contained, or four tokens and 0.78 of all shared.
+
+    given: columns with the letters_key of both and their title_tokens, where c and title are paragraphs already.
+    """
+    clean, name = (c, title) if given else (paragraph(c), paragraph(title))
+    ka, kb, a, b = given or (letters_key(clean), letters_key(name), title_tokens(clean), title_tokens(name))
     shared = E(f"size(filter({a.s}, v -> array_contains({b.s}, v)))", f"len(list_filter({a.d}, lambda v: list_contains({b.d}, v)))")
     na, nb = size(a), size(b)
     return t(

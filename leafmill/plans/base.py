@@ -29,6 +29,8 @@ class Plan:
         self.tables = [n for n in TABLES if re.search(rf"\b{n}\b", self.sql.s)]
 
     def __call__(self, spark: SparkSession, sf_dir: str) -> DataFrame:
+        sql = self.sql.s
         for n in self.tables:
-            spread(spark.read.parquet(f"{sf_dir}/{n}.parquet"), n).createOrReplaceTempView(n)
-        return spark.sql(self.sql.s)
+            spread(spark.read.parquet(f"{sf_dir}/{n}.parquet"), n).createOrReplaceTempView(f"leafmill_{n}")
+            sql = re.sub(rf"(?<=\bFROM |\bJOIN ){n}\b", f"leafmill_{n}", sql)
+        return spark.sql(sql)

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from leafmill.plans import folds, layout, relational, rules, sections, textual
+from leafmill.plans import context, folds, layout, relational, rules, sections, textual
 
-PLANS = textual.QUERIES | relational.QUERIES | rules.QUERIES | layout.QUERIES
+PLANS = textual.QUERIES | relational.QUERIES | rules.QUERIES | layout.QUERIES | context.QUERIES
 QUERIES = dict(PLANS) | sections.QUERIES | folds.QUERIES
 ORACLES = {k: p.sql.d for k, p in PLANS.items()} | sections.ORACLES | folds.ORACLES

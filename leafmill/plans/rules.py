@@ -22,7 +22,6 @@ QUERIES = {
         "SELECT doc_id, pos, CASE WHEN prev LIKE '%-' AND <low> THEN 'hyphen' WHEN NOT <pe> AND <low> AND length(prev) + length(line) <= 2200 THEN 'open' ELSE 'no' END AS decision FROM (SELECT doc_id, pos, line, coalesce(lag(line) OVER (PARTITION BY doc_id ORDER BY pos), '') AS prev FROM <blocks> b) w",
         low=matches(LINE, "^[a-z]"), pe=matches(x("prev"), r"[.!?。！？][\x22\x27)\]]*$"),
     ),
-    "latex_risk": Plan(f"SELECT doc_id, pos, {_risk} FROM (SELECT doc_id, pos, concat(line, CASE WHEN pos % 2 = 0 THEN ' $x_{{1}}' ELSE ' \\\\begin{{a}}' END) AS line FROM <blocks> b) q".replace("{{", "{").replace("}}", "}").replace("\\\\", "#"), a=count(LINE, r"\$"), b=count(LINE, r"\{"), c=count(LINE, r"\}"), d=count(LINE, "#begin"), e=count(LINE, "#end")),
     "needs_analysis": Plan("SELECT d.doc_id, l.quality IS NULL AS needs, coalesce(l.quality = 0, false) AS weak, coalesce(l.quality = 1 AND l.toxic = 0, false) AS complete FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id"),
     "weak_repair": Plan("SELECT doc_id, attempts FROM (SELECT doc_id, quality, doc_id % 4 AS attempts FROM labels) s WHERE quality = 0 AND attempts < 2"),
     "limit_guard": Plan("SELECT source, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars, count(*) > 420 OR sum(length(text)) > 360000 AS exceeded FROM documents GROUP BY source"),

@@ -21,7 +21,6 @@ def _list(array: E, sep: str = ",") -> E:
 
 
 QUERIES = {
-    "noise_audit": Plan(f"SELECT source, reason, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM (SELECT doc_id, source, {_first} AS reason FROM <blocks> b) r GROUP BY source, reason", **_noise),
     "noise_flags": Plan(f"SELECT doc_id, count(*) AS n_lines, {_sums} FROM (SELECT doc_id, {_flags} FROM <blocks> b) f GROUP BY doc_id", **_noise),
     "text_normalize": Plan(
         "SELECT doc_id, pos, sha1(<a>) AS collapsed, sha1(<b>) AS paragraph, sha1(<c>) AS heading, sha1(<d>) AS coverage, sha1(<e>) AS letters, <q> AS query FROM <blocks> b",
