@@ -1,0 +1,98 @@
+"""Page geometry on literal pages."""
+
+import random
+
+import pytest
+
+from leafmill.operators.page import Block, Box, Line, Page, caption_crops, joined_text, line_groups, merge_artifacts, reading_groups
+
+W, H = 600.0, 800.0
+
+
+def test_figure_above_its_caption():
+    cap = Block(3, Box(60, 400, 200, 12), caption=True)
+    blocks = [Block(0, Box(60, 80, 480, 60), body=True), Block(1, Box(80, 300, 90, 40), of_figure=True), Block(2, Box(150, 345, 90, 40), of_figure=True), cap, Block(4, Box(60, 500, 480, 60), body=True)]
+    page = Page(W, H, blocks)
+    bounds = page.column_bounds(cap)
+    assert page.boundary(cap, bounds, below=False, captions=False) == 144 and page.boundary(cap, bounds, below=True, captions=False) == 496
+    assert page.boundary(cap, bounds, below=True, captions=True) is None
+    assert [b.index for b in page.candidates(cap, bounds)] == [1, 2] and [b.index for b in page.grown(cap, page.candidates(cap, bounds))] == [1, 2]
+    crop = page.caption_crop(cap)
+    assert crop == pytest.approx((80 - 10.8, 300 - 11.2, 160 + 21.6, 385 + 11.2 - 288.8))
+
+
+def test_growth_stops_at_gaps():
+    cap = Block(9, Box(60, 700, 480, 12), caption=True)
+    # 52 points at most between parts: the third is too far from the second
+    parts = [Block(0, Box(60, 640, 480, 40), of_figure=True), Block(1, Box(60, 550, 480, 40), of_figure=True), Block(2, Box(60, 450, 480, 40), of_figure=True)]
+    page = Page(W, H, [*parts, cap])
+    assert [b.index for b in page.grown(cap, parts)] == [0, 1]
+    assert [b.index for b in page.grown(cap, parts[::-1])] == [1, 0]
+
+
+def test_figure_below_its_caption_ends_at_the_next():
+    cap, after = Block(0, Box(60, 100, 480, 12), caption=True), Block(2, Box(60, 300, 480, 12), caption=True)
+    page = Page(W, H, [cap, Block(1, Box(60, 120, 480, 250), of_figure=True), after])
+    crop = page.caption_crop(cap)
+    assert crop.y == pytest.approx(112 + 4.8) and crop.bottom == pytest.approx(296)
+
+
+def test_tables_stand_below_or_inside_their_caption():
+    cap = Block(0, Box(60, 100, 480, 12), caption=True, is_table=True)
+    page = Page(W, H, [cap, Block(1, Box(60, 130, 480, 80), of_table=True)])
+    assert page.caption_crop(cap) == pytest.approx((60 - 10.8, 112 + 4.8, 480 + 21.6, 210 + 11.2 - 116.8))
+    tall = Block(0, Box(60, 100, 480, 100), n_lines=6, caption=True, is_table=True)
+    assert Page(W, H, [tall]).caption_crop(tall) == pytest.approx((60 - 8.4, 100 - 9.6, 480 + 16.8, 100 + 19.2))
+
+
+def test_captions_without_anything_near():
+    cap = Block(0, Box(60, 400, 480, 12), caption=True)
+    page = Page(W, H, [cap])
+    assert page.caption_crop(cap) == pytest.approx((48, 400 - 0.26 * H, 504, 0.26 * H - 4.8))
+    assert Page(W, H, [Block(0, None, caption=True)]).caption_crop(Block(0, None, caption=True)) is None and Page(0, 0, [cap]).caption_crop(cap) is None
+
+
+def test_columns_bound_a_caption():
+    left, right = [Block(i, Box(50, 100 * i + 50, 230, 60), column=1) for i in range(3)], [Block(3 + i, Box(320, 100 * i + 50, 230, 60), column=2) for i in range(3)]
+    cap = Block(6, Box(50, 700, 230, 12), column=1, caption=True)
+    assert Page(W, H, [*left, *right, cap]).column_bounds(cap) == pytest.approx((41, 289 - 41))
+    assert Page(W, H, [*left, cap]).column_bounds(cap) == pytest.approx((41, 248))
+    bare = cap._replace(column=0)
+    assert Page(W, H, [b._replace(column=0) for b in [*left, *right]] + [bare]).column_bounds(bare) == pytest.approx((41, 248))
+
+
+def test_merged_artifacts():
+    box = Box(10, 10, 100, 50)
+    one = {"type": "formula", "region": "", "box": box, "text": "a  b", "n_lines": 2, "label": "", "confidence": "low"}
+    rows = [one, {**one, "box": Box(11, 10, 100, 50), "text": "c", "label": "L", "n_lines": 5, "confidence": "high"}, {**one, "type": "code"}, {**one, "box": None, "region": "r"}, {**one, "box": Box(500, 0, 1, 1), "region": "r", "text": "b"}, {**one, "box": Box(40, 10, 100, 50)}]
+    got = merge_artifacts(rows)
+    assert [(r["type"], r["text"], r["n_lines"], r["label"], r["confidence"], r["merged"]) for r in got] == [("formula", "a b c", 5, "L", "high", 2), ("code", "a  b", 2, "", "low", 1), ("formula", "a b", 2, "", "low", 2), ("formula", "a  b", 2, "", "low", 1)]
+    assert joined_text("ab c", " c") == "ab c" and joined_text(None, "x") == "x" and joined_text("x", "x y") == "x"
+
+
+def test_reading_groups():
+    line = lambda i, x, y, w=230, **k: Line(i, Box(x, y, w, 10), **k)
+    column = [line(0, 50, 100), line(1, 50, 112, ends=True), line(2, 50, 150, starts=True), line(3, 50, 162), line(4, 50, 174, formula=True), line(5, 50, 186)]
+    assert reading_groups(column, W) == [[0, 1], [2, 3], [5]]
+    assert reading_groups([line(0, 50, 100), line(1, 50, 140)], W) == [[0, 1]]  # a gap without a cue
+    both = [line(0, 50, 100), line(1, 330, 100), line(2, 50, 112), line(3, 330, 112), line(4, 50, 60, w=500)]
+    assert reading_groups(both, W) == [[4], [0, 2], [1, 3]] and reading_groups([], W) == []
+
+
+def test_pages_in_spark(spark):
+    rng = random.Random(3)
+    rows = [(d, p, i, float(rng.randint(0, 400)), float(rng.randint(0, 700)), float(rng.randint(-5, 200)), 20.0, rng.randint(0, 2), 1, i % 4 == 0, i % 8 == 0, i % 3 == 0, i % 2 == 0, i % 2 == 1, False) for d in (1, None) for p in range(3) for i in range(12)]
+    names = ["x", "y", "width", "height", "column", "n_lines", "caption", "is_table", "body", "of_table", "of_figure", "panel"]
+    df = spark.createDataFrame(rows, "doc long, page long, pos long, " + ", ".join(f"{n} {t}" for n, t in zip(names, ["double"] * 4 + ["int"] * 2 + ["boolean"] * 6, strict=True)))
+    got = {(r.doc, r.page, r.pos): (r.left, r.top, r.width, r.height) for r in caption_crops(df, ["doc", "page"], "pos", W, H).collect()}
+    for d in (1, None):
+        for p in range(3):
+            mine = [r for r in rows if r[:2] == (d, p)]
+            page = Page(W, H, [Block(r[2], Box(*r[3:7]) if r[5] > 0 else None, *r[7:]) for r in mine])
+            for b in page.blocks:
+                if b.caption:
+                    crop = page.caption_crop(b)
+                    assert got.get((d, p, b.index)) == (pytest.approx(crop) if crop else None)
+    assert caption_crops(df.limit(0), ["doc", "page"], "pos").count() == 0
+    lines = df.selectExpr("*", "pos % 5 = 0 AS formula", "pos % 2 = 0 AS ends", "true AS starts")
+    assert line_groups(lines, ["doc", "page"], "pos").filter("pos % 5 = 0").count() == 0
