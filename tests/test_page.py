@@ -18,7 +18,7 @@ def test_figure_above_its_caption():
     assert page.boundary(cap, bounds, below=True, captions=True) is None
     assert [b.index for b in page.candidates(cap, bounds)] == [1, 2] and [b.index for b in page.grown(cap, page.candidates(cap, bounds))] == [1, 2]
     crop = page.caption_crop(cap)
-    assert crop == pytest.approx((80 - 10.8, 300 - 11.2, 160 + 21.6, 385 + 11.2 - 288.8))
+    assert crop == pytest.approx((80 - 10.8, 300 - 11.2, 160 + 21.6, 400 - 4.8 - 288.8))
 
 
 def test_growth_stops_at_gaps():
