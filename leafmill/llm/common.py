@@ -72,17 +72,19 @@ HOT_SHARE = 10_000
 
 
 def join_uneven(rows: DataFrame, keys: DataFrame, on: list[str], n: str = "n") -> DataFrame:
-    """Inner join of rows with keys, one row for each value of `on`, where keys[n] is how many rows have it.
+    """Inner join of rows with keys (a written table), one row for each value of `on`, where keys[n] is how many rows have it.
 
-    Keys of more than a HOT_SHARE-th of all rows, at most HOT_SHARE of them, are broadcast; for the others
-    no task gets more than that share by one key. Both sides must be written tables: each is read twice.
+    A key of more than a HOT_SHARE-th of all rows is dealt to so many parts that none has more. There are at
+    most HOT_SHARE such keys; they alone are broadcast, to tell the rows which part they go to.
     """
-    total = keys.agg(F.sum(n)).first()[0] or 0
-    is_hot = F.col(n) > F.lit(max(1000, total // HOT_SHARE))
-    hot = F.broadcast(keys.filter(is_hot))
-    if keys.filter(is_hot).isEmpty():
+    most = max(1000, (keys.agg(F.sum(n)).first()[0] or 0) // HOT_SHARE)
+    hot = keys.filter(F.col(n) > most).select(*on, F.ceil(F.col(n) / most).cast("int").alias("_parts"))
+    if hot.isEmpty():
         return rows.join(keys, on)
-    return rows.join(hot, on).unionByName(rows.join(hot.select(*on), on, "left_anti").join(keys.filter(~is_hot), on))
+    part = F.coalesce(F.pmod(F.xxhash64(*rows.columns), F.col("_parts")), F.lit(0)).cast("int")
+    dealt = rows.join(F.broadcast(hot), on, "left").withColumn("_part", part).drop("_parts")
+    last = F.when(F.col(n) > most, F.ceil(F.col(n) / most) - 1).otherwise(F.lit(0)).cast("int")
+    return dealt.join(keys.withColumn("_part", F.explode(F.sequence(F.lit(0), last))), [*on, "_part"]).drop("_part")
 
 
 def row_key(doc_id: str = "doc_id", text: str = "text") -> list[Column]:

@@ -15,8 +15,7 @@ that anchor. Words covered by a repeated window are removed. Results are those o
 windows with all others (up to collisions of 128 bits of hashes), but only phrases, about one in
 thirteen words, are shuffled.
 
-Anchors and phrases that are common in many documents are joined by broadcast: only those with more
-than a `HOT_SHARE`-th of all rows, so at most that many.
+Anchors and phrases that are common in many documents are dealt to many tasks in joins.
 
 Edge cases: null and empty texts have no words; texts of fewer than `WINDOW` words have no window
 and lose nothing; repeated rows repeat each other, so their windows are removed from both; other
@@ -136,7 +135,7 @@ def dedup_substrings(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "te
     own = [c for c in docs.columns if c not in ("n_words", "dup_spans", "factors", "kept_text")]
     keyed = docs.select(*row_key(doc_id, text), F.col(text).cast("binary").alias("_text"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(own)])
     # the reference: phrases of anchors that occur more than once
-    index = materialize(_index(keyed.select("rk_id", "rk_hash", "_text")), "index")
+    index = _index(keyed.select("rk_id", "rk_hash", "_text"))
     twice = materialize(index.groupBy("a").agg(F.count("*").alias("n")).filter("n > 1"), "anchors")
     live = materialize(join_uneven(index, twice, ["a"]).drop("n"), "phrases")
     place = F.struct("rk_id", "rk_hash", "i")

@@ -10,7 +10,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from leafmill.llm import chat_format, components, decontaminate, language_id, line_dedup, lm_score, mixing, ngram_join, quality_rules, substring_dedup, url_filter
+from leafmill.llm import chat_format, common, components, decontaminate, language_id, line_dedup, lm_score, mixing, ngram_join, quality_rules, substring_dedup, url_filter
 from leafmill.llm.common import drop_scratch
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -138,6 +138,15 @@ def test_decontaminate_splits_words_like_the_definition(spark):
 # -- 3 ------------------------------------------------------------------------------------------------
 
 
+def test_uneven_joins(spark):
+    rows = [(i, 0 if i % 3 else i % 40) for i in range(9000)]
+    df = spark.createDataFrame(rows, "i long, k long")
+    keys = df.filter("k <> 9").groupBy("k").agg(F.count("*").alias("n"))
+    got = common.join_uneven(df, keys, ["k"])
+    n = Counter(k for _, k in rows)
+    assert Counter((r.i, r.k, r.n) for r in got.collect()) == Counter((i, k, n[k]) for i, k in rows if k != 9)
+
+
 def test_substring_dedup(docs, rows, empty):
     where = Counter()
     split = [(r[0], (r[1] or "").split()) for r in rows]
