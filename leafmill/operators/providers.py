@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 Call = Callable[[pd.DataFrame], pd.DataFrame]
@@ -57,3 +58,39 @@ def latest_results(stored: DataFrame, new: DataFrame, key: str) -> DataFrame:
     done = new.filter("status = 'done'")
     shared = [c for c in stored.columns if c in done.columns]
     return done.select(*shared).unionByName(stored.join(done.select(key), key, "left_anti").select(*shared))
+
+
+def call_by_chunks(rows: DataFrame, keys: list[str], order: str, size: int, call: Call, fallback: Call, result: str, recoverable: tuple[type[BaseException], ...] = (TimeoutError, ValueError)) -> DataFrame:
+    """Pages of a document in chunks of `size`: a chunk that fails is called page by page, a page that fails goes to `fallback`.
+
+    Both functions take the frame of a chunk (keys, order and all other columns) and return rows of `result` (a DDL
+    string). Columns keys, first and last (order of the chunk's ends), those of result, source (call or fallback) and
+    reason (why the fallback took over). An error that isn't recoverable fails the job, as a wrong setting would
+    fail every chunk. A document's chunks are bounded by size, so they are made without gathering the document.
+    """
+    names = [part.split()[0] for part in result.split(",")]
+    by = W.partitionBy(*keys).orderBy(order)
+    chunked = rows.withColumn("_chunk", F.floor((F.row_number().over(by) - 1) / size))
+    schema = ", ".join([*(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys), *(f"{n} {rows.schema[order].dataType.simpleString()}" for n in ("first", "last")), result, "source string", "reason string"])
+
+    def one(frame: pd.DataFrame) -> list[pd.DataFrame]:
+        try:
+            return [call(frame)[names].assign(source="call", reason=None)]
+        except recoverable as e:
+            if len(frame) > 1:
+                return [r for i in range(len(frame)) for r in one(frame.iloc[i : i + 1])]
+            return [fallback(frame)[names].assign(source="fallback", reason=f"{type(e).__name__}: {e}"[:220])]
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(order)
+        got = pd.concat(one(frame.drop(columns="_chunk").reset_index(drop=True)))
+        head = {k: frame[k].iloc[0] for k in keys} | {"first": frame[order].iloc[0], "last": frame[order].iloc[-1]}
+        return got.assign(**head)[[*head, *names, "source", "reason"]]
+
+    return chunked.groupBy(*keys, "_chunk").applyInPandas(run, schema)
+
+
+def merge_chunks(stored: DataFrame, again: DataFrame, keys: list[str]) -> DataFrame:
+    """Stored results of chunks (keys, first, last) without those that were run again, and the new ones."""
+    chunk = [*keys, "first", "last"]
+    return stored.join(again.select(*chunk).distinct(), chunk, "left_anti").unionByName(again)

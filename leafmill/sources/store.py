@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import json
 import time
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-KEEP = 8
+KEEP, FILES = 8, "_files.json"
 
 
 def _fs(spark: SparkSession, path: str):
@@ -16,34 +17,70 @@ def _fs(spark: SparkSession, path: str):
 
 
 def snapshots(spark: SparkSession, path: str) -> list[str]:
-    """Complete snapshots, oldest first; those without the committer's mark are skipped."""
+    """Complete snapshots, oldest first; those without the list of their files are skipped."""
     fs, p = _fs(spark, path)
     if not fs.exists(p):
         return []
     names = sorted(str(s.getPath().getName()) for s in fs.listStatus(p))
-    return [f"{path}/{n}" for n in names if n.startswith("v=") and fs.exists(_fs(spark, f"{path}/{n}/_SUCCESS")[1])]
+    return [f"{path}/{n}" for n in names if n.startswith("v=") and fs.exists(_fs(spark, f"{path}/{n}/{FILES}")[1])]
 
 
-def save(df: DataFrame, path: str, keep: int = KEEP) -> str:
-    """Write a new snapshot and drop all but the newest `keep`; readers see whole snapshots only."""
+def _listed(spark: SparkSession, at: str) -> dict[str, int]:
+    fs, p = _fs(spark, at)
+    return {s.getPath().getName(): s.getLen() for s in fs.listStatus(p) if s.getPath().getName().endswith(".parquet")}
+
+
+def _text(spark: SparkSession, path: str) -> str:
+    fs, p = _fs(spark, path)
+    stream = fs.open(p)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def save(df: DataFrame, path: str, keep: int = KEEP, least_seconds: float = 0) -> str:
+    """Write a new snapshot and drop all but the newest `keep`; readers see whole snapshots only.
+
+    A snapshot's last file lists its others with their sizes. With least_seconds, a snapshot younger than
+    that against the one before it is replaced by the new one, so that those kept lie apart.
+    """
     spark = df.sparkSession
     at = f"{path}/v={time.time_ns():020d}"
     df.write.parquet(at)
-    for old in snapshots(spark, path)[:-keep]:
+    fs, p = _fs(spark, f"{at}/{FILES}")
+    out = fs.create(p)
+    out.write(bytearray(json.dumps(_listed(spark, at), sort_keys=True).encode()))
+    out.close()
+    there = snapshots(spark, path)
+    when = lambda s: int(s.rsplit("=", 1)[1]) / 1e9
+    gone = there[:-keep]
+    if len(there) >= 3 and when(there[-2]) - when(there[-3]) < least_seconds:
+        gone = gone + [there[-2]]
+    for old in dict.fromkeys(gone):
         fs, p = _fs(spark, old)
         fs.delete(p, True)
     return at
 
 
-def load(spark: SparkSession, path: str) -> DataFrame:
-    """The newest snapshot that can be read; raises FileNotFoundError if there is none."""
+def is_whole(spark: SparkSession, at: str, read_all: bool = False) -> bool:
+    """Has a snapshot all its files, in their sizes? With read_all all its columns are read, too."""
+    try:
+        if json.loads(_text(spark, f"{at}/{FILES}")) != _listed(spark, at):
+            return False
+        df = spark.read.parquet(at)
+        if read_all:
+            df.select(F.xxhash64(*df.columns).alias("h")).agg(F.bit_xor("h")).first()
+    except Exception:  # noqa: BLE001  whatever can't be read is damaged
+        return False
+    return True
+
+
+def load(spark: SparkSession, path: str, read_all: bool = False) -> DataFrame:
+    """The newest whole snapshot; raises FileNotFoundError if there is none."""
     for at in reversed(snapshots(spark, path)):
-        try:
-            df = spark.read.parquet(at)
-            df.limit(1).count()
-        except Exception:  # noqa: BLE001  a damaged snapshot: the one before it counts
-            continue
-        return df
+        if is_whole(spark, at, read_all):
+            return spark.read.parquet(at)
     raise FileNotFoundError(path)
 
 

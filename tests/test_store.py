@@ -1,4 +1,5 @@
 import glob
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -21,6 +22,30 @@ def test_snapshots_retention_and_recovery(spark, tmp_path):
     assert store.load(spark, path).count() == 3
 
 
+def test_damage_in_any_file(spark, tmp_path):
+    path = str(tmp_path / "t")
+    store.save(spark.range(10), path)
+    store.save(spark.range(1000).repartition(4), path)
+    newest = store.snapshots(spark, path)[-1]
+    last = sorted(glob.glob(f"{newest}/part-*"))[-1]
+    raw = open(last, "rb").read()
+    for crc in glob.glob(f"{newest}/.part-*.crc"):
+        os.remove(crc)
+    open(last, "wb").write(raw[:-9])
+    assert store.load(spark, path).count() == 10
+    open(last, "wb").write(raw)
+    assert store.load(spark, path).count() == 1000
+    open(last, "wb").write(raw[:4] + b"\xff" * (len(raw) - 12) + raw[-8:])  # the size is kept
+    assert store.load(spark, path, read_all=True).count() == 10
+
+
+def test_snapshots_lie_apart(spark, tmp_path):
+    path = str(tmp_path / "t")
+    for i in range(5):
+        store.save(spark.range(i + 1), path, least_seconds=3600)
+    assert len(store.snapshots(spark, path)) == 2 and store.load(spark, path).count() == 5
+
+
 def test_manifest_and_round_trip(spark, tmp_path):
     df = spark.range(50).withColumn("t", F.concat(F.lit("é\n"), F.col("id").cast("string")))
     store.export_json(df, str(tmp_path / "j"))
