@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from leafmill.plans import context, folds, layout, pages, quality, relational, rules, sections, textual
+from leafmill.plans import context, documents, folds, layout, pages, quality, relational, rules, sections, textual
 
 PLANS = textual.QUERIES | relational.QUERIES | rules.QUERIES | layout.QUERIES | context.QUERIES | pages.QUERIES | quality.QUERIES
-QUERIES = dict(PLANS) | sections.QUERIES | folds.QUERIES | pages.FOLDS
-ORACLES = {k: p.sql.d for k, p in PLANS.items()} | sections.ORACLES | folds.ORACLES
+QUERIES = dict(PLANS) | sections.QUERIES | folds.QUERIES | pages.FOLDS | documents.QUERIES
+ORACLES = {k: p.sql.d for k, p in PLANS.items()} | sections.ORACLES | folds.ORACLES | documents.ORACLES
