@@ -12,6 +12,8 @@ share as many as the smaller l of the two asks for.
   stays only if an exact bound from parity bitmaps allows the similarity.
 - Surviving pairs form clusters. Inside a cluster, in blocks of bounded size, pairs are verified on
   the whole sets, and the links kept are those needed to connect what links.
+- Blocks of one list or cluster are first connected inside, then by one row of each component, and
+  only rows outside the largest component are shown to all other blocks.
 - Components of the links over classes, and membership of documents in classes, give the result.
 
 Edge cases: null, empty and blank texts have no shingles and link with nothing; fewer than five
@@ -31,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import materialize, read, row_key, shingle_hashes, small_batches, split_words
+from leafmill.llm.common import join_uneven, materialize, read, row_key, shingle_hashes, small_batches, split_words
 from leafmill.llm.components import Forest, components
 
 N, PERCENT = 5, 80
@@ -205,66 +207,99 @@ def _edges(cls: np.ndarray, forest: Forest) -> pa.Table:
     return pa.table({"u": cls[at], "v": cls[root[at]]})
 
 
-def _crossing(i: int, block: np.ndarray, split: bool) -> np.ndarray:
-    """Row numbers below i to compare with row i: all, or in a pair of different blocks those of the other."""
-    js = np.arange(i)
-    return js[block[:i] != block[i]] if split else js
+def _likely(t: pa.Table, percent: int):
+    """Of rows js those that may link with row i, one of each component is enough."""
+    maps = Bitmaps(t)
 
+    def linked(i: int, js: np.ndarray, forest: Forest) -> Iterator[int]:
+        found = maps.maybe(i, js, percent)
+        if len(found):
+            _, first = np.unique(forest.roots()[found], return_index=True)
+            yield from found[first].tolist()
 
-def _in_blocks(rows: DataFrame, key: str, size: str, block: int | None = None) -> DataFrame:
-    """rows dealt to pairs of blocks of their group: columns b1 <= b2 and own; `size`: blocks of the group."""
-    own = F.pmod(F.xxhash64("cls"), F.col(size)).cast("int")
-    rows = rows.withColumn("own", own)
-    other = F.explode(F.sequence(F.lit(0), (F.col(size) - 1).cast("int")))
-    return rows.withColumn("other", other).withColumn("b1", F.least("own", "other")).withColumn("b2", F.greatest("own", "other")).drop("other", size)
+    return linked
 
 
-def _long_lists(lists: DataFrame, percent: int) -> DataFrame:
-    """(token, cls, n, bitmap, blocks) to candidate edges: a forest of what may link, for each list and pair of blocks."""
+def _certain(t: pa.Table, percent: int):
+    """Of rows js those that link with row i, by their whole sets; rows of components that are joined meanwhile are left out."""
+    maps, sizes, raw = Bitmaps(t), t.column("n").to_numpy(), t.column("hashes")
+    sets: dict[int, np.ndarray] = {}
 
-    def run(t: pa.Table) -> pa.Table:
-        cls, maps = t.column("cls").to_numpy(), Bitmaps(t)
-        block, forest = t.column("own").to_numpy(), Forest(len(cls))
-        split = t.column("b1")[0].as_py() != t.column("b2")[0].as_py()
-        for i in range(1, len(cls)):
-            js = _crossing(i, block, split)
-            js = js[forest.roots()[js] != forest.root(i)]
-            found = maps.maybe(i, js, percent)
-            if len(found):
-                _, first = np.unique(forest.roots()[found], return_index=True)
-                for j in found[first]:
-                    forest.join(i, int(j))
-        return _edges(cls, forest)
-
-    return _in_blocks(lists, "token", "blocks").groupBy("token", "b1", "b2").applyInArrow(run, "u long, v long")
+    def of(i: int) -> np.ndarray:
+        if i not in sets:
+            sets[i] = np.frombuffer(raw[i].as_buffer(), np.uint64)
+        return sets[i]
 
+    def linked(i: int, js: np.ndarray, forest: Forest) -> Iterator[int]:
+        for j in maps.maybe(i, js, percent).tolist():
+            if forest.root(i) != forest.root(j):
+                both = len(np.intersect1d(of(i), of(j), assume_unique=True))
+                if 100 * both >= percent * (sizes[i] + sizes[j] - both):
+                    yield j
 
-def _verify(rows: DataFrame, percent: int) -> DataFrame:
-    """(cls, cluster, blocks, n, bitmap, hashes) to verified links, enough to connect what links."""
+    return linked
 
-    def run(t: pa.Table) -> pa.Table:
-        cls, maps, sizes = t.column("cls").to_numpy(), Bitmaps(t), t.column("n").to_numpy()
-        block, forest = t.column("own").to_numpy(), Forest(len(cls))
-        split = t.column("b1")[0].as_py() != t.column("b2")[0].as_py()
-        raw = t.column("hashes")
-        sets: list = [None] * len(cls)
 
-        def of(i: int) -> np.ndarray:
-            if sets[i] is None:
-                sets[i] = np.frombuffer(raw[i].as_buffer(), np.uint64)
-            return sets[i]
+def _compare(rows: DataFrame, keys: list[str], percent: int, links) -> DataFrame:
+    """Edges of a forest of what links, for each group of rows (cls, side, root): pairs of one side are passed by
+    where a group has two, and pairs of one root always."""
 
+    def run(t: pa.Table) -> pa.Table:
+        cls, side = t.column("cls").to_numpy(), t.column("side").to_numpy()
+        root, forest, linked = t.column("root").to_numpy(), Forest(len(cls)), links(t, percent)
+        two = len(side) > 0 and side.min() != side.max()
         for i in range(1, len(cls)):
-            js = _crossing(i, block, split)
+            js = np.flatnonzero(root[:i] != root[i])
+            if two:
+                js = js[side[js] != side[i]]
             js = js[forest.roots()[js] != forest.root(i)]
-            for j in maps.maybe(i, js, percent):
-                if forest.root(i) != forest.root(int(j)):
-                    both = len(np.intersect1d(of(i), of(int(j)), assume_unique=True))
-                    if 100 * both >= percent * (sizes[i] + sizes[j] - both):
-                        forest.join(i, int(j))
+            for j in linked(i, js, forest) if len(js) else ():
+                forest.join(i, j)
         return _edges(cls, forest)
 
-    return _in_blocks(rows, "cluster", "blocks").groupBy("cluster", "b1", "b2").applyInArrow(run, "u long, v long")
+    return rows.groupBy(*keys).applyInArrow(run, "u long, v long")
+
+
+def _links(rows: DataFrame, key: str, percent: int, links, several: bool) -> DataFrame:
+    """Edges that connect what links among the rows (key, cls, blocks and what links reads) of each key.
+
+    A key's rows are dealt to blocks and compared inside them. What is connected then stands for itself by
+    one row: these are compared between all blocks. At last the rows outside a key's largest component are
+    compared with those of all other blocks, so that no link is lost. A list of near copies is so met
+    about once, however long it is; rows that link with nothing in a long list still meet all others, in pairs of blocks.
+    several: does any key have more than one block?
+    """
+    rows = materialize(rows, "dealt") if several else rows
+    own = F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")
+    rows = rows.withColumn("own", own)
+    alone = rows.withColumns({"side": F.lit(0), "root": F.col("cls")})
+    found = _compare(alone, [key, "own"], percent, links)
+    if not several:
+        return found
+    found = materialize(found, "links")
+    many = rows.filter("blocks > 1")
+
+    def rooted() -> DataFrame:
+        roots = components(found).withColumnRenamed("u", "cls")
+        return materialize(many.join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls")), "rooted")
+
+    rows = rooted()
+    heads = rows.dropDuplicates([key, "root"])
+    n = rows.groupBy(key).agg(F.count("*").alias("m"), F.count_distinct("root").alias("m_heads"))
+    parts = F.greatest(F.lit(1), F.ceil(F.col("blocks") * F.col("m_heads") / F.col("m")).cast("int"))
+    dealt = heads.join(n, key).withColumn("parts", parts).withColumn("side", F.pmod(F.xxhash64("cls", F.lit(2)), F.col("parts")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumns({"b1": F.least("side", "other"), "b2": F.greatest("side", "other")})
+    found = materialize(found.unionByName(_compare(dealt.drop("m", "m_heads", "parts", "other"), [key, "b1", "b2"], percent, links)), "links")
+    rows = rooted()
+    sizes = rows.groupBy(key, "root").agg(F.count("*").alias("m"))
+    rows = rows.join(sizes.groupBy(key).agg(F.max_by("root", F.struct("m", "root")).alias("top")), key)
+    at = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    guests = rows.filter(F.col("root") != F.col("top")).withColumn("at", at).filter("at <> own").withColumn("side", F.lit(1))
+    met = materialize(guests.select(key, "at", "own").distinct(), "met")
+    if not met.isEmpty():
+        hosts = rows.withColumnRenamed("own", "at").withColumn("side", F.lit(0)).join(met, [key, "at"])
+        found = found.unionByName(_compare(hosts.drop("top").unionByName(guests.drop("top")), [key, "at", "own"], percent, links))
+    return found
 
 
 def components_by_row(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", n: int = N, percent: int = PERCENT, small: int = SMALL, block: int = BLOCK, group_bytes: int = GROUP_BYTES) -> DataFrame:
@@ -302,21 +337,23 @@ def components_by_row(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "t
     overlap = F.least(F.floor((F.col("n") + F.col("vn") - differ) / 2), F.col("n"), F.col("vn"))
     pairs = pairs.withColumn("o", overlap).filter(100 * F.col("o") >= percent * (F.col("n") + F.col("vn") - F.col("o"))).select("u", "v")
     many = lists.filter(F.col("m") > small).select("token", "cls", F.ceil(F.col("m") / block).cast("int").alias("blocks")).join(maps, "cls")
-    clusters = components(pairs.unionByName(_long_lists(many, percent)))
+    clusters = components(pairs.unionByName(_links(many, "token", percent, _likely, not lists.filter(F.col("m") > block).isEmpty())))
 
     # links inside the clusters
     inside = clusters.select(F.col("u").alias("cls"), F.col("root").alias("cluster")).unionByName(clusters.select(F.col("root").alias("cls"), F.col("root").alias("cluster")).distinct())
     sized = inside.join(maps.select("cls", "n"), "cls")
-    blocks = sized.groupBy("cluster").agg(F.ceil(F.sum(9 * F.col("n") + LEAST_BITS // 8) / group_bytes).cast("int").alias("blocks"))
+    blocks = materialize(sized.groupBy("cluster").agg(F.ceil(F.sum(9 * F.col("n") + LEAST_BITS // 8) / group_bytes).cast("int").alias("blocks")), "blocks")
     wanted = inside.join(blocks, "cluster").join(one, "cls")
     picked = keyed.join(wanted, ["rk_id", "rk_hash"]).dropDuplicates(["rk_id", "rk_hash"])
-    links = components(_verify(_sets(picked, n), percent))
+    links = components(_links(_sets(picked, n), "cluster", percent, _certain, not blocks.filter("blocks > 1").isEmpty()))
 
     # back to documents
     ids = members.join(links.withColumnRenamed("u", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     ids = ids.withColumn("id", F.nullif("rk_id", F.lit(-(2**63))))
-    least = ids.filter("root IS NOT NULL").groupBy("root").agg(F.min("id").alias("component_id"))
-    by_row = ids.join(least, "root", "left").groupBy("rk_id", "rk_hash").agg(F.first("n_shingles").alias("n_shingles"), F.first(F.coalesce("component_id", "id")).alias("component_id"), F.first("root").alias("root"))
+    ids = materialize(ids, "ids")
+    least = materialize(ids.filter("root IS NOT NULL").groupBy("root").agg(F.min("id").alias("component_id"), F.count("*").alias("n")), "least")
+    named = join_uneven(ids.filter("root IS NOT NULL"), least, ["root"]).drop("n")
+    by_row = named.unionByName(ids.filter("root IS NULL").withColumn("component_id", F.lit(None).cast("long"))).groupBy("rk_id", "rk_hash").agg(F.first("n_shingles").alias("n_shingles"), F.first(F.coalesce("component_id", "id")).alias("component_id"), F.first("root").alias("root"))
     return materialize(by_row, "joined")
 
 
