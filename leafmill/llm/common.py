@@ -54,13 +54,22 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
         atexit.register(drop_scratch)
     _SCRATCH.append((spark, path))
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
 
 
-def drop_scratch() -> None:
-    """Delete all scratch tables written so far; results that read them must have been used."""
-    while _SCRATCH:
-        spark, path = _SCRATCH.pop()
+def scratch_mark() -> int:
+    """How many scratch tables there are: what is written later can be dropped by itself."""
+    return len(_SCRATCH)
+
+
+def drop_scratch(since: int = 0, but: DataFrame | None = None) -> None:
+    """Delete the scratch tables written since a mark, but for the one of `but`; results that read them must have been used."""
+    kept = [x for x in _SCRATCH[since:] if but is not None and x[1] == getattr(but, "scratch_path", None)]
+    gone, _SCRATCH[since:] = [x for x in _SCRATCH[since:] if x not in kept], kept
+    while gone:
+        spark, path = gone.pop()
         try:
             p = spark._jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)

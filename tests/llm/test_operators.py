@@ -413,9 +413,9 @@ def cut_by_rule(text, mean=4, least=2):
     return out
 
 
-def test_line_dedup(docs, rows, empty):
-    first, keep = {}, {}
-    places = sorted({(r[0] if r[0] is not None else -(2**63), r[1] or "") for r in rows})
+def brute_lines(rows):
+    """(id or the least long, text) to the chunks that stay."""
+    first, places = {}, sorted({(r[0] if r[0] is not None else -(2**63), r[1] or "") for r in rows})
 
     def bodies(text):
         chunks = cut_by_rule(text) if text else []
@@ -426,8 +426,11 @@ def test_line_dedup(docs, rows, empty):
     for doc, text in places:
         for i, (_, body) in enumerate(bodies(text)):
             first.setdefault(body, (doc, text, i))
-    for key in places:
-        keep[key] = [c for i, (c, body) in enumerate(bodies(key[1])) if body is None or first[body] == (*key, i)]
+    return {key: [c for i, (c, body) in enumerate(bodies(key[1])) if body is None or first[body] == (*key, i)] for key in places}
+
+
+def test_line_dedup(docs, rows, empty):
+    keep = brute_lines(rows)
     out = line_dedup.dedup_lines(docs.withColumn("n_removed", F.lit("clash"))).collect()
     assert len(out) == len(rows) and sum(r.n_removed for r in out) > 0
     texts = {r[0]: r[1] for r in rows}
@@ -765,5 +768,35 @@ def test_pipeline_stages(spark, rows, docs, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
 
 
+def test_pipeline_is_brute_force(spark, rows, tmp_path):
+    import corpus_pipeline
+
+    distinct = [(r[0], r[1], "en", r[3], r[4]) for r in {r[0]: r for r in rows if r[0] is not None}.values()]
+    docs = spark.createDataFrame(distinct, DOCS)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    items = [(1, " ".join(rows[85][1].split()[:40])), (2, "never seen")]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    crf = language_id.train(docs)
+    at = [r for r in distinct for lang, score in [[v[0] for v in crf.predict([r[1]])]] if lang != "und" and score >= 0.5]
+    assert 0 < len(at) < len(distinct)
+    kept = brute_lines(at)
+    at = [(r[0], "\n".join(x for c in kept[r[0], r[1] or ""] for x in c) if r[1] else r[1], *r[2:]) for r in at]
+    groups = defaultdict(list)
+    for r, (_, n, component) in zip(at, brute_components(at), strict=True):
+        groups[component if n else ("none", r[0])].append(r)
+    at = [min(g) for g in groups.values()]
+    clean = []
+    for r in at:
+        n_words, n_hit, _ = brute_hits(r[1], items)
+        if not (n_hit > 0 and 20 * n_hit >= n_words):
+            clean.append(r)
+    assert 0 < len(clean) < len(at)
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    texts = {r[0]: r[1] for r in clean}
+    assert all(texts[r.doc_id] == r.text and 1 <= r.copies <= 2 for r in got) and len({r.doc_id for r in got}) == len(got)
+    mixed = mixing.mix_sources(spark.createDataFrame([(r[0], r[1], r[2], r[3], len(r[1] or "")) for r in clean], DOCS)).collect()
+    assert {(r.doc_id, r.copies) for r in got} == {(r.doc_id, r.copies) for r in mixed if r.copies}
+
+
 def test_sha_of_nothing(spark):
     assert decontaminate.EMPTY_SHA == hashlib.sha256(b"").hexdigest()
