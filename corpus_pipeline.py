@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmill.llm import decontaminate, language_id, line_dedup, mixing, ngram_join
-from leafmill.llm.common import materialize, read
+from leafmill.llm.common import drop_scratch, materialize, read, scratch_mark
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: A document is rejected if no language gets this mean probability of its words.
@@ -57,7 +57,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
+    docs, mark = read(spark, sf_dir, "documents"), scratch_mark()
     for name, stage in STAGES:
         docs = materialize(stage(spark, docs, sf_dir), name)
+        drop_scratch(mark, but=docs)  # the stage's own tables, and its input
     return docs
