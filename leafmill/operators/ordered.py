@@ -1,64 +1,61 @@
 """Order-dependent folds: state runs over the rows of one document, in order.
 
-A document's rows are gathered (they are bounded by the document), folded by a JVM-side aggregate
-and exploded again; documents are spread over the cluster by their key.
+What depends on neighbours alone is written as windows. What needs a running state streams through tasks
+that hold a document's rows in order; the state is a few numbers, so no document is gathered.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
-
+from collections.abc import Iterator
 
-def fold(df: DataFrame, key: list[str], order: str, cols: list[str], zero: Column, step) -> DataFrame:
-    """Rows of key in order of `order`, folded: column `folded`."""
-    rows = df.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(order, *cols))).alias("rows"))
-    return rows.select(*key, F.aggregate("rows", zero, step).alias("folded"))
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
 
 def greedy_chunks(df: DataFrame, key: list[str], order: str, size: str, max_rows: int, max_size: int) -> DataFrame:
-    """Chunk number of each row: a new chunk starts when it would exceed max_rows rows or max_size in all."""
-    kind = f"struct<chunk:bigint,n:bigint,size:bigint,out:array<struct<{order}:bigint,chunk:bigint>>>"
-    zero = F.struct(F.lit(0).cast("long").alias("chunk"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("size"), F.array().cast(f"array<struct<{order}:bigint,chunk:bigint>>").alias("out")).cast(kind)
-
-    def step(a: Column, r: Column) -> Column:
-        new = (a["n"] > 0) & ((a["n"] + 1 > max_rows) | (a["size"] + r[size] > max_size))
-        one = F.lit(1).cast("long")
-        chunk = F.when(new, a["chunk"] + one).otherwise(a["chunk"])
-        return F.struct(
-            chunk.alias("chunk"), F.when(new, one).otherwise(a["n"] + one).alias("n"), F.when(new, r[size].cast("long")).otherwise(a["size"] + r[size]).alias("size"),
-            F.concat(a["out"], F.array(F.struct(r[order].cast("long").alias(order), chunk.alias("chunk")))).alias("out"),
-        ).cast(kind)
+    """Chunk number of each row: a new chunk starts when it would exceed max_rows rows or max_size in all.
 
-    out = fold(df, key, order, [size], zero, step)
-    return out.select(*key, F.explode("folded.out").alias("r")).select(*key, f"r.{order}", "r.chunk")
+    Rows without a size count as 0; of rows with equal order the smaller comes first.
+    """
+    rows = df.select(*key, order, F.coalesce(F.col(size).cast("long"), F.lit(0)).alias("_size")).repartition(*key).sortWithinPartitions(*key, order, "_size")
+    schema = rows.drop("_size").schema.add("chunk", "long")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, chunk, n, total = None, 0, 0, 0
+        for b in batches:
+            out = np.empty(b.num_rows, np.int64)
+            keys = zip(*(c.to_pylist() for c in b.columns[: len(key)]), strict=True)
+            for i, (k, v) in enumerate(zip(keys, b.column(len(key) + 1).to_pylist(), strict=True)):
+                if k != at:
+                    at, chunk, n, total = k, 0, 0, 0
+                if n and (n + 1 > max_rows or total + v > max_size):
+                    chunk, n, total = chunk + 1, 0, 0
+                n, total = n + 1, total + v
+                out[i] = chunk
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(out)], names=schema.names)
+
+    return rows.mapInArrow(run, schema)
 
 
 def merge_fragments(df: DataFrame, key: list[str], order: str, text: str, page: str) -> DataFrame:
-    """Paragraphs from fragments: a fragment joins the last paragraph, as merged so far, if that is open.
+    """Paragraphs from fragments: a fragment joins the paragraph before it if that is open, and at most a page away.
 
-    Open: it ends in a hyphen, or without sentence end while the next begins in lower case. Columns:
+    Open: it ends in a hyphen, or without sentence end, while the fragment begins in lower case. The end of a paragraph
+    is the end of its last fragment, so that neighbours decide. Blank fragments are left out. Columns:
     order and page of the first fragment, page_end, merged text, n fragments.
     """
-    item = f"struct<{order}:bigint,page:bigint,page_end:bigint,text:string,n:bigint>"
-    kind = f"array<{item}>"
-
-    def step(a: Column, r: Column) -> Column:
-        last = F.element_at(a, -1)
-        clean = F.trim(F.regexp_replace(r[text], "\\s+", " "))
-        hyphen = F.endswith(last["text"], F.lit("-")) & F.rlike(clean, F.lit("^[a-z]"))
-        opened = ~F.rlike(last["text"], F.lit("[.!?。！？:]$")) & F.rlike(clean, F.lit("^[a-z]"))
-        near = r[page] - last["page_end"] <= 1
-        joined = F.when(hyphen, F.concat(F.substring(last["text"], F.lit(1), F.length(last["text"]) - 1), clean)).otherwise(F.concat(last["text"], F.lit(" "), clean))
-        one = F.struct(r[order].cast("long").alias(order), r[page].cast("long").alias("page"), r[page].cast("long").alias("page_end"), clean.alias("text"), F.lit(1).cast("long").alias("n"))
-        merged = F.struct(last[order].alias(order), last["page"].alias("page"), r[page].cast("long").alias("page_end"), joined.alias("text"), (last["n"] + 1).alias("n"))
-        add = F.concat(a, F.array(one)).cast(kind)
-        into = F.concat(F.slice(a, F.lit(1), F.size(a) - 1), F.array(merged)).cast(kind)
-        return F.when(clean == "", a).when((F.size(a) > 0) & near & (hyphen | opened), into).otherwise(add)
-
-    zero = F.array().cast(kind)
-    out = fold(df, key, order, [text, page], zero, step)
-    return out.select(*key, F.explode("folded").alias("r")).select(*key, f"r.{order}", "r.page", "r.page_end", "r.text", "r.n")
+    by = W.partitionBy(*key).orderBy(order)
+    rows = df.select(*key, F.col(order).cast("long").alias(order), F.col(page).cast("long").alias("page"), F.trim(F.regexp_replace(text, "\\s+", " ")).alias("_t")).filter("_t <> ''")
+    before, low = F.lag("_t").over(by), F.rlike("_t", F.lit("^[a-z]"))
+    joins = low & (F.endswith(before, F.lit("-")) | ~F.rlike(before, F.lit("[.!?。！？:]$"))) & (F.col("page") - F.lag("page").over(by) <= 1)
+    rows = rows.withColumn("_joins", F.coalesce(joins, F.lit(False)))
+    rows = rows.withColumns({"_group": F.sum(F.when(F.col("_joins"), 0).otherwise(1)).over(by), "_cut": F.coalesce(F.lead("_joins").over(by), F.lit(False)) & F.endswith("_t", F.lit("-")), "_more": F.coalesce(F.lead("_joins").over(by), F.lit(False))})
+    piece = F.when(F.col("_cut"), F.expr("substring(_t, 1, length(_t) - 1)")).when(F.col("_more"), F.concat("_t", F.lit(" "))).otherwise(F.col("_t"))
+    parts = rows.groupBy(*key, "_group").agg(F.min(order).alias(order), F.min_by("page", order).alias("page"), F.max_by("page", order).alias("page_end"), F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), piece.alias("t")))).alias("p"), F.count("*").alias("n"))
+    return parts.select(*key, order, "page", "page_end", F.array_join(F.transform("p", lambda v: v["t"]), "").alias("text"), "n")
 
 
 def rolling_terms(df: DataFrame, key: list[str], order: str, terms: str, most: int = 12) -> DataFrame:
