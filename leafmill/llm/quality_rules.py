@@ -95,11 +95,12 @@ MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words
 
 def ledger(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with the measurements and `bits`: bit i is set where rule i of RULES fails."""
-    m = docs.withColumn("_m", measure(F.col(text)))
-    out = m.withColumns({
-        "n_words": F.col("_m.n_words"), "word_chars": F.col("_m.word_chars"), "n_symbols": F.col("_m.n_symbols"),
-        "n_dup_lines": F.col("_m.lines.dup"), "n_lines": F.col("_m.lines.n"), "n_repeat_words": F.col("_m.n_repeat_words"), "has_letter": F.col("_m.has_letter"),
-    }).drop("_m")
+    own = [c for c in docs.columns if c not in [*MEASURES, "bits"]]
+    m = docs.select(F.struct(*own).alias("row"), measure(F.col(text)).alias("m"))
+    out = m.select(
+        "row.*", F.col("m.n_words").alias("n_words"), F.col("m.word_chars").alias("word_chars"), F.col("m.n_symbols").alias("n_symbols"),
+        F.col("m.lines.dup").alias("n_dup_lines"), F.col("m.lines.n").alias("n_lines"), F.col("m.n_repeat_words").alias("n_repeat_words"), F.col("m.has_letter").alias("has_letter"),
+    )
     bits = F.lit(0).cast("long")
     for name, fails in RULES:
         bits = bits + F.when(F.expr(fails), F.lit(BIT[name])).otherwise(F.lit(0))

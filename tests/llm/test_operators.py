@@ -726,7 +726,8 @@ def test_chat_query_is_brute_force(spark, tmp_path):
 
 
 def test_quality_rules(docs, rows, empty):
-    led = quality_rules.ledger(docs.withColumn("bits", F.lit("clash")))
+    led = quality_rules.ledger(docs.withColumn("bits", F.lit("clash")).withColumn("_m", F.lit("kept")))
+    assert led.select("_m").distinct().collect()[0]._m == "kept"
     got = counted(led, "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
     want = Counter()
     for r in rows:
