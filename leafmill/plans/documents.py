@@ -9,7 +9,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.operators import edits, providers
+from leafmill.functions import text as T
+from leafmill.functions.dual import x
+from leafmill.operators import edits, providers, search
 from leafmill.sources import packages, regions
 
 
@@ -121,3 +123,43 @@ u AS (SELECT *, unnest(CASE WHEN state = 'split' THEN [0, 1] ELSE [0] END) AS pa
 SELECT conv_id AS doc, turn AS ord, part, state, CASE WHEN state = 'set-section' THEN 'moved' ELSE role END AS section, state <> 'mark-noise' AS eligible, state NOT IN ('', 'refused') AS reset,
   sha1(CASE WHEN state = 'merge-next' AND text LIKE '%-' AND regexp_matches(next_text, '^[a-z]') THEN substr(text, 1, length(text) - 1) || next_text WHEN state = 'merge-next' THEN trim(text || ' ' || next_text) WHEN state = 'split' AND part = 0 THEN f WHEN state = 'split' THEN g ELSE text END) AS text_sha FROM u""",
 }
+
+
+# -- search and glossaries: the terms are words of the benchmark's items ------------------------------------
+
+_WORDS = "[^a-z]+"
+
+
+def _glossary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), _WORDS), lambda v: F.length(v) >= 6)
+    rows = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(w.alias("w")).filter("size(w) >= 2")
+    return rows.select(F.get("w", F.lit(0)).alias("term"), F.get("w", F.lit(1)).alias("alias")).groupBy("term").agg(F.array_sort(F.collect_set("alias")).alias("aliases"))
+
+
+def terminology(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return search.glossary_matches(docs, ["doc_id"], _glossary(spark, sf_dir))
+
+
+def unused_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Terms of a document that its first 200 characters, as its output, don't have."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return search.dropped_terms(docs, docs.withColumn("text", F.substring("text", 1, 200)), ["doc_id"], _glossary(spark, sf_dir))
+
+
+def corpus_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return search.search(docs, ["source", "lang", "text"], " Tion").select("doc_id", "at", F.sha1("snippet").alias("snippet_sha"))
+
+
+QUERIES |= {"terminology": terminology, "unused_terms": unused_terms, "corpus_search": corpus_search}
+
+_COMPARABLE = T.comparable
+_GLOSSARY = f"""
+g AS (SELECT w[1] AS term, w[2] AS alias FROM (SELECT list_filter(string_split_regex(lower(coalesce(text, '')), '{_WORDS}'), lambda v: length(v) >= 6) AS w FROM benchmark) q WHERE len(w) >= 2),
+v AS (SELECT term, {_COMPARABLE(x("term")).d} AS v FROM g UNION SELECT term, {_COMPARABLE(x("alias")).d} FROM g)"""
+ORACLES |= {
+    "terminology": f"WITH {_GLOSSARY}, d AS (SELECT doc_id, {_COMPARABLE(x('text')).d} AS c FROM documents) SELECT DISTINCT d.doc_id, v.term FROM d JOIN v ON contains(d.c, v.v)",
+    "unused_terms": f"WITH {_GLOSSARY}, d AS (SELECT doc_id, {_COMPARABLE(x('text')).d} AS c FROM documents), o AS (SELECT doc_id, {_COMPARABLE(x('substr(text, 1, 200)')).d} AS c FROM documents) SELECT DISTINCT d.doc_id, v.term FROM d JOIN v ON contains(d.c, v.v) EXCEPT SELECT o.doc_id, v.term FROM o JOIN v ON contains(o.c, v.v)",
+    "corpus_search": "SELECT doc_id, at_ AS \"at\", sha1(CASE WHEN at_ > 57 THEN '...' || substr(w, CAST(at_ - 56 AS INT), 180) ELSE substr(w, 1, 180) END) AS snippet_sha FROM (SELECT doc_id, w, instr(lower(w), 'tion') AS at_ FROM (SELECT doc_id, concat_ws(' ', source, lang, text) AS w FROM documents) q) r WHERE at_ > 0",
+}

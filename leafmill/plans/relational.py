@@ -69,7 +69,6 @@ QUERIES = {
     # sorts, limits, search
     "library_order": Plan("SELECT c_custkey, c_name, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_mktsegment = 'BUILDING' DESC, c_acctbal DESC, c_custkey) AS place FROM customer"),
     "top_n_per_group": Plan("SELECT o_custkey, o_orderkey, rn FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS rn FROM orders) r WHERE rn <= 3"),
-    "corpus_search": Plan("SELECT doc_id, CAST(instr(lower(text), 'tion') AS BIGINT) AS at, CASE WHEN instr(lower(text), 'tion') > 57 THEN concat('...', substring(text, CAST(instr(lower(text), 'tion') - 56 AS INT), 180)) ELSE substring(text, 1, 180) END AS snippet FROM documents WHERE instr(lower(text), 'tion') > 0"),
     "facet_filter": Plan("SELECT doc_id, source, n_chars FROM documents WHERE lower(source) = 'src3' AND lang = 'en'"),
     # sets and arrays
     "union_distinct": Plan("SELECT doc_id FROM documents WHERE n_chars > 1000 UNION SELECT doc_id FROM labels WHERE quality = 1"),

@@ -31,8 +31,6 @@ QUERIES = {
     "referential_integrity": Plan("SELECT e.doc_id, e.ref, CASE WHEN l.doc_id IS NULL THEN 'missing' WHEN l.toxic = 1 THEN 'hidden' ELSE 'ok' END AS state FROM (SELECT doc_id, doc_id + 1 AS ref FROM documents UNION ALL SELECT doc_id, doc_id + 7 FROM documents) e LEFT JOIN labels l ON e.ref = l.doc_id"),
     "digest_join": Plan("SELECT doc_id, pos, digest FROM (SELECT b.doc_id, b.pos, g.k AS digest, row_number() OVER (PARTITION BY b.doc_id, b.pos ORDER BY CASE WHEN b.pos % 5 = g.k THEN 0 WHEN b.page BETWEEN g.a AND g.z THEN 1 ELSE 2 END, g.k) AS rn FROM <blocks> b JOIN (SELECT 0 AS k, 1 AS a, 1 AS z UNION ALL SELECT 1, 2, 3 UNION ALL SELECT 2, 4, 99) g ON b.page BETWEEN g.a AND g.z OR b.pos % 5 = g.k) r WHERE rn = 1"),
     "reference_window": Plan("SELECT conv_id, turn, other FROM (SELECT a.conv_id, a.turn, b.turn AS other, row_number() OVER (PARTITION BY a.conv_id, a.turn ORDER BY abs(a.turn - b.turn), b.turn) AS rn FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND a.turn <> b.turn AND a.role = b.role) r WHERE rn <= 3"),
-    "terminology": Plan("SELECT d.source, g.term, count(*) AS n, CAST(sum(CASE WHEN contains(lower(d.text), g.alias) THEN 1 ELSE 0 END) AS BIGINT) AS with_alias FROM documents d JOIN (SELECT 'en' AS lang, 'tion' AS term, 'ing' AS alias UNION ALL SELECT 'de', 'und', 'keit' UNION ALL SELECT 'fr', 'de', 'eau') g ON d.lang = g.lang AND contains(lower(d.text), g.term) GROUP BY d.source, g.term"),
-    "unused_terms": Plan("SELECT d.doc_id, g.term FROM documents d JOIN (SELECT 'en' AS lang, 'with' AS term UNION ALL SELECT 'de', 'nicht' UNION ALL SELECT 'es', 'para') g ON d.lang = g.lang WHERE NOT contains(lower(d.text), g.term)"),
     "cache_probe": Plan("SELECT d.doc_id, c.digest IS NOT NULL AS hit FROM (SELECT doc_id, <f> AS digest FROM documents) d LEFT JOIN (SELECT DISTINCT <f> AS digest FROM documents WHERE n_chars > 1500) c ON d.digest = c.digest", f=T.fingerprint(T.TEXT)),
     "before_after": Plan("SELECT doc_id, CASE WHEN before = after THEN 'same' WHEN after = '' THEN 'removed' ELSE 'changed' END AS state FROM (SELECT doc_id, line AS before, <p> AS after FROM <blocks> b) q", p=T.paragraph(LINE)),
     "issue_summary": Plan("SELECT category, severity, n, first_doc FROM (SELECT CASE WHEN n_chars < 80 THEN 'short' WHEN n_chars > 10000 THEN 'long' ELSE 'other' END AS category, CASE WHEN n_chars < 80 THEN 0 WHEN n_chars > 10000 THEN 1 ELSE 2 END AS severity, count(*) AS n, min(doc_id) AS first_doc FROM documents GROUP BY 1, 2) s"),
