@@ -46,13 +46,19 @@ def scratch_dir(spark: SparkSession) -> str:
     return base
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared scratch folder and read it back: lineage is cut, executors may be lost."""
-    spark = df.sparkSession
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared scratch folder, for one table; drop_scratch deletes it."""
     path = f"{scratch_dir(spark)}/leafmill/{name}-{uuid.uuid4().hex}"
     if not _SCRATCH:
         atexit.register(drop_scratch)
     _SCRATCH.append((spark, path))
+    return path
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write df to the shared scratch folder and read it back: lineage is cut, executors may be lost."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch_path = path
