@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from leafmill.llm import chat_format, decontaminate, language_id, line_dedup, lm_score, mixing, ngram_join, quality_rules, substring_dedup, token_ids, url_filter
+from leafmill.llm import centroid_clustering, chat_format, decontaminate, language_id, line_dedup, lm_score, mixing, ngram_join, quality_rules, substring_dedup, token_ids, url_filter
 
 QUERIES = {
     "op1_lm_score": lm_score.op1_lm_score,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_language_id": language_id.op8_language_id,
     "op9_chat_format": chat_format.op9_chat_format,
     "op10_quality_rules": quality_rules.op10_quality_rules,
+    "op11_centroid_clustering": centroid_clustering.op11_centroid_clustering,
     "op13_token_ids": token_ids.op13_token_ids,
 }
 
@@ -24,4 +25,5 @@ ORACLES = {
     "op5_ngram_join": ngram_join.ORACLE,
     "op6_mix_sources": mixing.ORACLE,
     "op10_quality_rules": quality_rules.ORACLE,
+    "op11_centroid_clustering": centroid_clustering.ORACLE,
 }
