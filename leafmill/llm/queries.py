@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from leafmill.llm import centroid_clustering, chat_format, decontaminate, language_id, line_dedup, lm_score, mixing, ngram_join, quality_rules, substring_dedup, token_ids, url_filter
+from leafmill.llm import centroid_clustering, chat_format, decontaminate, divergence_audit, language_id, line_dedup, lm_score, mixing, ngram_join, quality_rules, substring_dedup, token_ids, url_filter
 
 QUERIES = {
     "op1_lm_score": lm_score.op1_lm_score,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_chat_format": chat_format.op9_chat_format,
     "op10_quality_rules": quality_rules.op10_quality_rules,
     "op11_centroid_clustering": centroid_clustering.op11_centroid_clustering,
+    "op12_divergence_audit": divergence_audit.op12_divergence_audit,
     "op13_token_ids": token_ids.op13_token_ids,
 }
 
@@ -26,4 +27,5 @@ ORACLES = {
     "op6_mix_sources": mixing.ORACLE,
     "op10_quality_rules": quality_rules.ORACLE,
     "op11_centroid_clustering": centroid_clustering.ORACLE,
+    "op12_divergence_audit": divergence_audit.ORACLE,
 }
