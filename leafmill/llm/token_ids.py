@@ -9,10 +9,10 @@ groups of `index_stride` rows by the least and greatest doc_id of each and by th
 The start of a document in the whole sequence is the sum of what the parts before hold (one row a
 part, the only thing that meets in one task and is broadcast) plus its start in its own part.
 
-Encoding is the library's own, word by word: a text can be cut before each space between two
+Encoding is the library's own, by words: a text can be cut before each space between two
 characters that are no white space, as a byte-level pre-tokenizer starts a piece there whatever stands
-around; what lies between is pre-tokenized and merged by the library once per worker and remembered, up to
-MOST_WORDS of them. Texts that hold an added token's string, and tokenizers of another kind, go
+around. The words of a batch that a worker doesn't know yet are joined and encoded by the library in
+groups, and remembered, MOST_WORDS of them at most. Texts that hold an added token's string, and tokenizers of another kind, go
 through the library whole.
 
 Edge cases: a null or empty text has no ids but the end id; null doc_ids stand first; rows with equal
@@ -41,8 +41,8 @@ TOKENIZER, END_ID = "byte_bpe_50k.json", 2
 STRIPE_BYTES, INDEX_STRIDE, FALSE_HITS = 16 << 20, 1000, 0.01
 #: A writer looks at the size of its stripe after so many rows; rows can be long.
 CHECK_ROWS = 100
-#: Words that a worker remembers at most, and the longest it remembers, in characters.
-MOST_WORDS, MOST_CHARS = 300_000, 64
+#: Words that a worker remembers at most, the longest it remembers, in characters, and how many it encodes at once.
+MOST_WORDS, MOST_CHARS, GROUP = 1_000_000, 64, 200
 SCHEMA = "doc_id long, part int, start_in_part long, end_in_part long, ids array<int>"
 
 
@@ -55,44 +55,68 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-_BESIDE_SPACE = re.compile(r"^ | $|\s | \s")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
-class Encoder(dict):
-    """Texts to ids as bytes (int32); as a dict, it holds the ids of words that follow a space."""
+def _bytes(ids: list[int]) -> bytes:
+    return np.array(ids, np.int32).tobytes()
+
+
+class Encoder:
+    """Texts to ids as bytes (int32). `known` holds the ids of words with the space before them."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         with open(path) as f:
             spec = json.load(f)
-        self.whole = Tokenizer.from_file(path)
-        self.model, self.cutter = self.whole.model, self.whole.pre_tokenizer
+        self.whole, self.known = Tokenizer.from_file(path), {}
         pre = spec.get("pre_tokenizer") or {}
-        self.by_word = spec["model"]["type"] == "BPE" and not spec["model"].get("ignore_merges") and not spec.get("normalizer") and not spec.get("truncation") and not spec.get("padding")
-        self.by_word &= pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
+        self.by_word = not any(spec.get(k) for k in ("normalizer", "truncation", "padding")) and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
         added = [x["content"] for x in spec.get("added_tokens") or []]
         self.added = re.compile("|".join(map(re.escape, added))) if added else None
 
-    def pieces(self, chunk: str) -> bytes:
-        return np.array([t.id for piece, _ in self.cutter.pre_tokenize_str(chunk) for t in self.model.tokenize(piece)], np.int32).tobytes()
-
-    def __missing__(self, word: str) -> bytes:
-        ids = self.pieces(" " + word)
-        if len(word) <= MOST_CHARS:
-            if len(self) >= MOST_WORDS:
-                self.clear()
-            self[word] = ids
-        return ids
-
-    def encode(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        if not self.by_word or self.added and self.added.search(text):
-            return np.array(self.whole.encode(text, add_special_tokens=False).ids, np.int32).tobytes()
-        first, *words = _CUT.split(text) if _BESIDE_SPACE.search(text) else text.split(" ")
-        return self.pieces(first) + b"".join(map(self.__getitem__, words))
+    def plain(self, text: str) -> bytes:
+        return _bytes(self.whole.encode(text, add_special_tokens=False).ids)
+
+    def learn(self, words: list[str]) -> None:
+        """Encode words GROUP at a time as one text; ids belong to the word in which their characters begin."""
+        for at in range(0, len(words), GROUP):
+            group = words[at : at + GROUP]
+            e = self.whole.encode(" " + " ".join(group), add_special_tokens=False)
+            begins = np.cumsum([0, *map(len, group)]) + np.arange(len(group) + 1)
+            cuts = (4 * np.searchsorted(np.array(e.offsets)[:, 0], begins)).tolist()
+            ids = _bytes(e.ids)
+            for w, i, j in zip(group, cuts, cuts[1:], strict=False):
+                self.known[w] = ids[i:j]
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        out, at = [b""] * len(texts), []
+        for i, t in enumerate(texts):
+            if t and self.by_word and not (self.added and self.added.search(t)):
+                at.append(i)
+            elif t:
+                out[i] = self.plain(t)
+        words = [texts[i].split(" ") for i in at]
+        fresh = self.unknown(words)
+        if odd := {w for w in fresh if not w or w.strip() != w}:
+            words = [_CUT.split(texts[i]) if not odd.isdisjoint(ws) else ws for i, ws in zip(at, words, strict=True)]
+            fresh = self.unknown(words)
+        if len(self.known) + len(fresh) > MOST_WORDS:
+            self.known = {}
+            fresh = self.unknown(words)
+        last = [w for w in fresh if w[-1].isspace()] if odd else []  # at the end of a text only: nothing may follow them
+        self.learn([w for w in fresh if not w[-1].isspace()] if last else fresh)
+        self.known.update((w, self.plain(" " + w)) for w in last)
+        for i, ws in zip(at, words, strict=True):
+            out[i] = self.plain(ws[0]) + b"".join(map(self.known.__getitem__, ws[1:]))
+        for w in fresh:
+            if len(w) > MOST_CHARS:
+                del self.known[w]
+        return out
+
+    def unknown(self, words: list[list[str]]) -> list[str]:
+        return [w for w in set().union(*(ws[1:] for ws in words)) if w not in self.known]
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -113,7 +137,7 @@ def write_ids(docs: DataFrame, path: str, *, doc_id: str = "doc_id", text: str =
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part, start = encoder(tokenizer), TaskContext.get().partitionId(), 0
         for b in batches:
-            rows = [enc.encode(t.as_py()) + end for t in b.column(1)]
+            rows = [ids + end for ids in enc.encode(b.column(1).to_pylist())]
             at = np.cumsum([0, *(len(r) // 4 for r in rows)])
             ids = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(np.frombuffer(b"".join(rows), np.int32)))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.full(len(rows), part, np.int32)), pa.array(start + at[:-1]), pa.array(start + at[1:]), ids], schema=schema)
