@@ -55,6 +55,8 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+#: How byte-level vocabularies write a space.
+SPACE = "\u0120"
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -73,6 +75,9 @@ class Encoder:
         self.whole, self.known = Tokenizer.from_file(path), {}
         pre = spec.get("pre_tokenizer") or {}
         self.by_word = not any(spec.get(k) for k in ("normalizer", "truncation", "padding")) and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
+        vocab = self.whole.get_vocab()
+        self.spaced = np.zeros(1 + max(vocab.values()), bool)
+        self.spaced[[i for token, i in vocab.items() if token.startswith(SPACE)]] = True
         added = [x["content"] for x in spec.get("added_tokens") or []]
         self.added = re.compile("|".join(map(re.escape, added))) if added else None
 
@@ -80,15 +85,15 @@ class Encoder:
         return _bytes(self.whole.encode(text, add_special_tokens=False).ids)
 
     def learn(self, words: list[str]) -> None:
-        """Encode words GROUP at a time as one text; ids belong to the word in which their characters begin."""
+        """Encode words GROUP at a time as one text; a word begins with the one of its tokens that begins with a space."""
         for at in range(0, len(words), GROUP):
             group = words[at : at + GROUP]
-            e = self.whole.encode(" " + " ".join(group), add_special_tokens=False)
-            begins = np.cumsum([0, *map(len, group)]) + np.arange(len(group) + 1)
-            cuts = (4 * np.searchsorted(np.array(e.offsets)[:, 0], begins)).tolist()
-            ids = _bytes(e.ids)
-            for w, i, j in zip(group, cuts, cuts[1:], strict=False):
-                self.known[w] = ids[i:j]
+            (e,) = self.whole.encode_batch_fast([" " + " ".join(group)], add_special_tokens=False)
+            ids = np.array(e.ids, np.int32)
+            cuts = [*(4 * np.flatnonzero(self.spaced[ids])).tolist(), 4 * len(ids)]
+            flat = ids.tobytes()
+            for w, i, j in zip(group, cuts[:-1], cuts[1:], strict=True):
+                self.known[w] = flat[i:j]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         out, at = [b""] * len(texts), []
@@ -105,9 +110,9 @@ class Encoder:
         if len(self.known) + len(fresh) > MOST_WORDS:
             self.known = {}
             fresh = self.unknown(words)
-        last = [w for w in fresh if w[-1].isspace()] if odd else []  # at the end of a text only: nothing may follow them
-        self.learn([w for w in fresh if not w[-1].isspace()] if last else fresh)
-        self.known.update((w, self.plain(" " + w)) for w in last)
+        alone = {w for w in fresh if " " in w or w[-1].isspace()} if odd else set()  # uncut runs of white space
+        self.learn([w for w in fresh if w not in alone])
+        self.known.update((w, self.plain(" " + w)) for w in alone)
         for i, ws in zip(at, words, strict=True):
             out[i] = self.plain(ws[0]) + b"".join(map(self.known.__getitem__, ws[1:]))
         for w in fresh:
