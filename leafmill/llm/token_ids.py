@@ -59,6 +59,8 @@ def tokenizer_path(name: str) -> str:
 
 #: How byte-level vocabularies write a space.
 SPACE = "\u0120"
+#: Marks that no letter before them goes together with, and letters that every version of Unicode takes for such.
+MARKS, LAST_LETTER = ".,;:!?)\"'#$%&*|<>", "\u0250"
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -67,35 +69,62 @@ def _bytes(ids: list[int]) -> bytes:
 
 
 class Encoder:
-    """Texts to ids as bytes (int32). `known` holds the ids of words with the space before them."""
+    """Texts to ids as bytes (int32). `known` holds the ids of words with the space before them, `bare` those of others."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         with open(path) as f:
             spec = json.load(f)
-        self.whole, self.known = Tokenizer.from_file(path), {}
+        self.whole, self.known, self.bare = Tokenizer.from_file(path), {}, {}
         pre = spec.get("pre_tokenizer") or {}
         self.by_word = not any(spec.get(k) for k in ("normalizer", "truncation", "padding")) and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
         vocab = self.whole.get_vocab()
         self.spaced = np.zeros(1 + max(vocab.values()), bool)
         self.spaced[[i for token, i in vocab.items() if token.startswith(SPACE)]] = True
         added = [x["content"] for x in spec.get("added_tokens") or []]
+        self.breaks = self.plain("\n")
+        self.break_id = np.frombuffer(self.breaks, np.int32)[0] if self.breaks else -1
         self.added = re.compile("|".join(map(re.escape, added))) if added else None
 
     def plain(self, text: str) -> bytes:
         return _bytes(self.whole.encode(text, add_special_tokens=False).ids)
 
     def learn(self, words: list[str]) -> None:
-        """Encode words GROUP at a time as one text; a word begins with the one of its tokens that begins with a space."""
+        """Words that end in marks, or hold line breaks, are put together from what lies between, so that fewer are encoded."""
+        whole, made = [], {}
+        for w in words:
+            cut = self.cut(w) if "\n" in w or w[-1] in MARKS else None
+            if cut:
+                made[w] = cut
+            else:
+                whole.append(w)
+        new = lambda found, known: [w for w in found if w not in known]
+        self.encode_between(" ", new({*whole, *(c[0][0] for c in made.values())}, self.known), self.known)
+        self.encode_between("\n", new({line for c in made.values() for line, _ in c[1:]}, self.bare), self.bare)
+        self.bare.update((tail, self.plain(tail)) for tail in new({tail for c in made.values() for _, tail in c}, self.bare))
+        for w, ((first, tail), *rest) in made.items():
+            self.known[w] = self.known[first] + self.bare[tail] + b"".join([self.breaks + self.bare[line] + self.bare[t] for line, t in rest])
+
+    def cut(self, word: str) -> list[tuple[str, str]] | None:
+        """Lines of a word, each as what ends in a letter and the marks behind it; None if it can't be cut there."""
+        lines = word.split("\n")
+        if not all(line and line.strip() == line for line in lines):
+            return None
+        cores = [line.rstrip(MARKS) for line in lines]
+        return [(c, line[len(c) :]) if c and c[-1] < LAST_LETTER and c[-1].isalpha() else (line, "") for c, line in zip(cores, lines, strict=True)]
+
+    def encode_between(self, mark: str, words: list[str], known: dict[str, bytes]) -> None:
+        """Encode words GROUP at a time as one text, each after mark: by their own space, or by a line break that isn't theirs."""
+        own = mark == " "
         for at in range(0, len(words), GROUP):
             group = words[at : at + GROUP]
-            (e,) = self.whole.encode_batch_fast([" " + " ".join(group)], add_special_tokens=False)
+            (e,) = self.whole.encode_batch_fast([mark + mark.join(group)], add_special_tokens=False)
             ids = np.array(e.ids, np.int32)
-            cuts = [*(4 * np.flatnonzero(self.spaced[ids])).tolist(), 4 * len(ids)]
+            cuts = [*(4 * np.flatnonzero(self.spaced[ids] if own else ids == self.break_id)).tolist(), 4 * len(ids)]
             flat = ids.tobytes()
             for w, i, j in zip(group, cuts[:-1], cuts[1:], strict=True):
-                self.known[w] = flat[i:j]
+                known[w] = flat[i:j] if own else flat[i + 4 : j]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         out, at = [b""] * len(texts), []
@@ -110,16 +139,16 @@ class Encoder:
             words = [_CUT.split(texts[i]) if not odd.isdisjoint(ws) else ws for i, ws in zip(at, words, strict=True)]
             fresh = self.unknown(words)
         if len(self.known) + len(fresh) > MOST_WORDS:
-            self.known = {}
+            self.known, self.bare = {}, {}
             fresh = self.unknown(words)
         alone = {w for w in fresh if " " in w or w[-1].isspace()} if odd else set()  # uncut runs of white space
         self.learn([w for w in fresh if w not in alone])
         self.known.update((w, self.plain(" " + w)) for w in alone)
         for i, ws in zip(at, words, strict=True):
             out[i] = self.plain(ws[0]) + b"".join(map(self.known.__getitem__, ws[1:]))
-        for w in fresh:
-            if len(w) > MOST_CHARS:
-                del self.known[w]
+        for kept in (self.known, self.bare):
+            for w in [w for w in kept if len(w) > MOST_CHARS] if any(len(w) > MOST_CHARS for w in fresh) else ():
+                del kept[w]
         return out
 
     def unknown(self, words: list[list[str]]) -> list[str]:
@@ -182,7 +211,7 @@ def digests(rows: DataFrame) -> DataFrame:
         for b in batches:
             ids = b.column(2)
             at, flat = ids.offsets.to_numpy(), ids.values.to_numpy(zero_copy_only=False).astype("<u4", copy=False)
-            crc = [zlib.crc32(flat[i:j].tobytes()) for i, j in zip(at[:-1], at[1:], strict=True)]
+            crc = [zlib.crc32(flat[i:j]) for i, j in zip(at[:-1], at[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.diff(at).astype(np.int64)), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     small_batches(rows.sparkSession)

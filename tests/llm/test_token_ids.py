@@ -39,7 +39,7 @@ def test_encoder_forgets(plain, monkeypatch):
     for i in range(5):
         t = f"one two three{i} four{i} five{i} six{i} one two "
         assert encoded(enc, [t, None, t]) == [plain.encode(t, add_special_tokens=False).ids, [], plain.encode(t, add_special_tokens=False).ids]
-        assert len(enc.known) <= 9
+        assert len(enc.known) <= 12
 
 
 def test_another_tokenizer_goes_whole():
