@@ -31,16 +31,20 @@ def provider_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _text = x("text")
-_oracle_sections = t(
-    "WITH RECURSIVE f AS (SELECT doc_id, page, pos, <title> AS title, regexp_extract(text, '^\\s*([1-9](?:\\.\\d+)*)\\.?\\s+', 1) AS number, <h> AS h, <r> AS r FROM (<titled>) b), "
-    "w AS (SELECT doc_id, min(page) AS a, max(page) AS z, min(CASE WHEN r THEN page END) AS refs FROM f GROUP BY doc_id), e AS (SELECT doc_id, CASE WHEN refs IS NULL THEN z ELSE greatest(a, refs - 1) END AS body_end FROM w), "
-    "g AS (SELECT f.doc_id, lower(f.title) AS name, f.page, arg_min(f.title, f.pos) AS title, arg_min(f.number, f.pos) AS number, min(f.pos) AS pos, any_value(e.body_end) AS body_end FROM f JOIN e ON e.doc_id = f.doc_id WHERE f.h AND NOT f.r AND f.title <> '' AND f.page <= e.body_end GROUP BY f.doc_id, lower(f.title), f.page), "
-    "n AS (SELECT *, row_number() OVER (PARTITION BY doc_id, name ORDER BY page) AS rn FROM g), k AS (SELECT doc_id, name, page, rn, page AS last, true AS keep FROM n WHERE rn = 1 UNION ALL "
-    "SELECT n.doc_id, n.name, n.page, n.rn, CASE WHEN n.page - k.last > 1 THEN n.page ELSE k.last END, n.page - k.last > 1 FROM k JOIN n ON n.doc_id = k.doc_id AND n.name = k.name AND n.rn = k.rn + 1), "
-    "o AS (SELECT n.*, CASE WHEN min(CASE WHEN n.number <> '' THEN 1 ELSE 0 END) OVER (PARTITION BY n.doc_id, n.page) = 1 THEN list_transform(string_split(n.number, '.'), lambda v: CAST(v AS BIGINT)) END AS parts FROM n JOIN k ON k.doc_id = n.doc_id AND k.name = n.name AND k.rn = n.rn WHERE k.keep) "
-    "SELECT doc_id, row_number() OVER v - 1 AS ord, title, page AS start_page, greatest(page, coalesce(lead(page) OVER v - 1, body_end)) AS end_page FROM o WINDOW v AS (PARTITION BY doc_id ORDER BY page, parts NULLS FIRST, pos)",
-    title=T.heading_text(_text), h=T.is_heading(_text), r=T.is_references_title(_text), titled=t(_TITLED, blocks=BLOCKS),
-).d.replace("AS STRING", "AS VARCHAR")
+
+
+def sections_sql(titled: str) -> str:
+    """Sections of a DuckDB subquery of lines (doc_id, page, pos, text), by recursion."""
+    return t(
+        "WITH RECURSIVE f AS (SELECT doc_id, page, pos, <title> AS title, regexp_extract(text, '^\\s*([1-9](?:\\.\\d+)*)\\.?\\s+', 1) AS number, <h> AS h, <r> AS r FROM (<titled>) b), "
+        "w AS (SELECT doc_id, min(page) AS a, max(page) AS z, min(CASE WHEN r THEN page END) AS refs FROM f GROUP BY doc_id), e AS (SELECT doc_id, CASE WHEN refs IS NULL THEN z ELSE greatest(a, refs - 1) END AS body_end FROM w), "
+        "g AS (SELECT f.doc_id, lower(f.title) AS name, f.page, arg_min(f.title, f.pos) AS title, arg_min(f.number, f.pos) AS number, min(f.pos) AS pos, any_value(e.body_end) AS body_end FROM f JOIN e ON e.doc_id = f.doc_id WHERE f.h AND NOT f.r AND f.title <> '' AND f.page <= e.body_end GROUP BY f.doc_id, lower(f.title), f.page), "
+        "n AS (SELECT *, row_number() OVER (PARTITION BY doc_id, name ORDER BY page) AS rn FROM g), k AS (SELECT doc_id, name, page, rn, page AS last, true AS keep FROM n WHERE rn = 1 UNION ALL "
+        "SELECT n.doc_id, n.name, n.page, n.rn, CASE WHEN n.page - k.last > 1 THEN n.page ELSE k.last END, n.page - k.last > 1 FROM k JOIN n ON n.doc_id = k.doc_id AND n.name = k.name AND n.rn = k.rn + 1), "
+        "o AS (SELECT n.*, CASE WHEN min(CASE WHEN n.number <> '' THEN 1 ELSE 0 END) OVER (PARTITION BY n.doc_id, n.page) = 1 THEN list_transform(string_split(n.number, '.'), lambda v: CAST(v AS BIGINT)) END AS parts FROM n JOIN k ON k.doc_id = n.doc_id AND k.name = n.name AND k.rn = n.rn WHERE k.keep) "
+        "SELECT doc_id, row_number() OVER v - 1 AS ord, title, page AS start_page, greatest(page, coalesce(lead(page) OVER v - 1, body_end)) AS end_page FROM o WINDOW v AS (PARTITION BY doc_id ORDER BY page, parts NULLS FIRST, pos)",
+        title=T.heading_text(_text), h=T.is_heading(_text), r=T.is_references_title(_text), titled=E("", titled),
+    ).d.replace("AS STRING", "AS VARCHAR")
 
 _numbers = E("regexp_extract_all(spec, r'([0-9]+)', 1)", "regexp_extract_all(spec, '([0-9]+)', 1)")
 _spec_pages = E(f"explode(sequence(CAST({_numbers.s}[0] AS INT), CAST(element_at({_numbers.s}, -1) AS INT)))", f"unnest(range(CAST({_numbers.d}[1] AS INT), CAST({_numbers.d}[-1] AS INT) + 1))")
@@ -70,6 +74,6 @@ PLANS = {
 }
 QUERIES = PLANS | {"infer_sections": infer_sections, "provider_batches": provider_batches}
 ORACLES = {k: p.sql.d for k, p in PLANS.items()} | {
-    "infer_sections": _oracle_sections,
+    "infer_sections": sections_sql(t(_TITLED, blocks=BLOCKS).d),
     "provider_batches": "SELECT doc_id, CASE WHEN doc_id % 97 <> 0 THEN CAST(len(list_filter(regexp_split_to_array(coalesce(text, ''), '\\s+'), lambda v: v <> '')) AS BIGINT) END AS n_words, CASE WHEN doc_id % 97 = 0 THEN 'error' ELSE 'done' END AS status, CASE WHEN doc_id % 97 = 0 THEN 'ValueError: rejected' END AS error FROM documents",
 }
