@@ -1,8 +1,8 @@
 """Chat formatting: tool-call linking, ordering, argument checks and canonical JSON.
 
 Messages are rows (conv_id, turn, role, text). A message whose text is a JSON object may carry
-`tool_calls` ([{"id", "name", "arguments"}]), and one of role `tool`, or with a `tool_call_id`,
-is a result. Calls and results are hash-joined by (conversation, identifier); a result is placed
+`tool_calls` ([{"id", "name", "arguments"}], name and arguments also in a `function`), and one with a `tool_call_id`
+is a result. Fields of messages and calls that aren't named here are written through under `extra`. Calls and results are hash-joined by (conversation, identifier); a result is placed
 directly after the message of its call, even if it was stored before it; a message with calls whose
 arguments quote the identifier of another call (`"$ref:<id>"`) comes after that call's results, over
 chains of any length. Arguments are checked against the tool's schema, nested objects and lists
@@ -18,7 +18,7 @@ Edge cases: null text is the empty string, a null role is `unknown`; text that i
 or holds NaN, an infinite number, half a surrogate pair or more than `NESTING` levels, is plain
 content, and arguments given as such a string stay a string (a fault);
 a result without call is kept at its own place with status `orphan`; a call
-without result is `unanswered`; results that share an identifier keep the order of their turns,
+without result is `unanswered`, one without identifier `unlinked`; results that share an identifier keep the order of their turns,
 messages of one turn are ordered by a hash of the row; the first of several calls with one identifier
 is linked, the others are `duplicate`; rows equal in all columns share a place and a status; references
 within a cycle, or on a way from one cycle to another, don't count, so such
@@ -79,8 +79,10 @@ def _is(value, kind: str) -> bool:
 
 
 def _faults(value, schema: dict, path: str) -> list[str]:
+    """Keywords of a schema that are null count as absent."""
     if isinstance(value, str) and value.startswith("$ref:"):
         return []  # known only when the quoted call is answered
+    schema = {k: v for k, v in schema.items() if v is not None}
     kinds = schema.get("type")
     if kinds is not None and not any(_is(value, k) for k in ([kinds] if isinstance(kinds, str) else kinds)):
         return [f"type of {path}"]
@@ -96,7 +98,7 @@ def _faults(value, schema: dict, path: str) -> list[str]:
         at = f"{path}." if path else ""
         found += [f"missing {at}{k}" for k in schema.get("required", []) if k not in value]
         for k, v in value.items():
-            found += _faults(v, props[k], f"{at}{k}") if k in props else [f"unknown {at}{k}"]
+            found += _faults(v, props[k] or {}, f"{at}{k}") if k in props else [f"unknown {at}{k}"]
     if isinstance(value, list) and "items" in schema:
         found += [f for i, v in enumerate(value) for f in _faults(v, schema["items"], f"{path}[{i}]")]
     return found
@@ -108,7 +110,7 @@ def argument_faults(arguments, schema: dict | None) -> list[str]:
         return ["unknown tool"]
     if not isinstance(arguments, dict):
         return ["arguments are no object"]
-    return sorted(_faults(arguments, {"properties": {}} | schema, ""))
+    return sorted(_faults(arguments, {"properties": {}} | {k: v for k, v in schema.items() if v is not None}, ""))
 
 
 def _refs(value) -> list[str]:
@@ -118,42 +120,59 @@ def _refs(value) -> list[str]:
     return [r for v in parts for r in _refs(v)]
 
 
-def parse_message(role: str | None, text: str | None, schemas: dict[str, dict]) -> tuple[str, str, list[dict], str | None]:
-    """(role, content, calls, identifier that it answers)."""
+def parse_call(call: dict, schemas: dict[str, dict]) -> dict:
+    """A call with its JSON; name and arguments may stand in `function`, and what isn't named goes to `extra`."""
+    call = dict(call)
+    inner = call["function"] if isinstance(call.get("function"), dict) else {}
+    inner = dict(inner)
+    name, arguments = ((call if k in call else inner).pop(k, default) for k, default in (("name", ""), ("arguments", {})))
+    own = call.pop("id", None)
+    if isinstance(call.get("function"), dict):
+        call["function"] = inner
+        if not inner:
+            del call["function"]
+    if isinstance(arguments, str):
+        try:
+            arguments = load(arguments)
+        except ValueError:
+            pass
+    name, own = _name(name), _name(own) if own is not None else None
+    shown = {"arguments": arguments, "name": name} | ({"id": own} if own is not None else {}) | ({"extra": call} if call else {})
+    return {"id": own, "name": canonical(name), "refs": sorted(set(_refs(arguments))), "faults": argument_faults(arguments, schemas.get(name)), "json": canonical(shown)}
+
+
+def parse_message(role: str | None, text: str | None, schemas: dict[str, dict]) -> tuple[str, str, list[dict], str | None, dict]:
+    """(role, content, calls, identifier that it answers, fields that aren't named)."""
     role, text = role if role is not None else "unknown", text or ""
     try:
         body = load(text) if text.lstrip().startswith("{") else None
     except ValueError:
         body = None
     if not isinstance(body, dict):
-        return role, text, [], None
-    calls = []
-    for c in body.get("tool_calls") or () if isinstance(body.get("tool_calls"), list) else ():
-        if isinstance(c, dict) and c.get("id") is not None:
-            arguments = c.get("arguments", {})
-            if isinstance(arguments, str):
-                try:
-                    arguments = load(arguments)
-                except ValueError:
-                    pass
-            name, own = _name(c.get("name", "")), _name(c["id"])
-            calls.append({"id": own, "name": canonical(name), "refs": sorted(set(_refs(arguments))), "faults": argument_faults(arguments, schemas.get(name)), "json": canonical({"arguments": arguments, "id": own, "name": name})})
-    of = body.get("tool_call_id")
+        return role, text, [], None, {}
+    said = body.pop("tool_calls", None)
+    listed = said if isinstance(said, list) else []
+    calls = [parse_call(c, schemas) for c in listed if isinstance(c, dict)]
+    of = body.pop("tool_call_id", None)
     if not calls and of is None:
-        return role, text, [], None
-    content = body.get("content", "")
-    return role, content if isinstance(content, str) else canonical(content), calls, _name(of) if of is not None else None
+        return role, text, [], None, {}
+    odd = [c for c in listed if not isinstance(c, dict)] if isinstance(said, list) else said
+    if odd:
+        body["tool_calls"] = odd
+    content = body.pop("content", "")
+    return role, content if isinstance(content, str) else canonical(content), calls, _name(of) if of is not None else None, body
 
 
 def _name(value) -> str:
     return value if isinstance(value, str) else canonical(value)
 
 
-def _parts(role: str, content: str, calls: list[dict], of: str | None) -> list[str | None]:
+def _parts(role: str, content: str, calls: list[dict], of: str | None, extra: dict) -> list[str | None]:
     """The message's JSON before and after the name of the tool it answers, which only the join tells."""
     head = ['"calls":[' + ",".join(c["json"] for c in calls) + "]"] if calls else []
+    more = ['"extra":' + canonical(extra)] if extra else []
     tail = ['"role":' + canonical(role)] + (['"tool_call_id":' + canonical(of)] if of is not None else [])
-    return [",".join([*head, '"content":' + canonical(content)]), ",".join(tail)]
+    return [",".join([*head, '"content":' + canonical(content), *more]), ",".join(tail)]
 
 
 def parse(messages: DataFrame, schemas: dict[str, dict]) -> DataFrame:
@@ -164,7 +183,7 @@ def parse(messages: DataFrame, schemas: dict[str, dict]) -> DataFrame:
         kinds = pa.list_(pa.struct([("id", pa.string()), ("name", pa.string()), ("refs", pa.list_(pa.string())), ("faults", pa.list_(pa.string())), ("json", pa.string())]))
         for b in batches:
             got = [parse_message(r, t, schemas) for r, t in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
-            role, content, calls, of = zip(*got, strict=True) if got else ((), (), (), ())
+            role, content, calls, of, _ = zip(*got, strict=True) if got else ((), (), (), (), ())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(role, pa.string()), pa.array(content, pa.string()), pa.array(calls, kinds), pa.array(of, pa.string()), pa.array([_parts(*g) for g in got], pa.list_(pa.string()))], names=["conv_id", "turn", "role", "content", "calls", "result_of", "parts"])
 
     return messages.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), F.col("text").cast("string")).mapInArrow(run, MESSAGE)
@@ -174,12 +193,12 @@ def link(messages: DataFrame, schemas: dict[str, dict], in_task: int = TASK_REFE
     """(conv_id, turn, role, order_key, status, n_calls, n_faults, json), one row for each message.
 
     status: plain, call, unanswered (a call of it has no result), duplicate (else, a call of it repeats
-    an identifier), linked (a result), orphan.
+    an identifier), unlinked (else, a call of it has no identifier), linked (a result), orphan.
     order_key: the last turn it must not come before, its rank among what it refers to, its own turn.
     """
     node = F.xxhash64("turn", "role", "content", "calls", "result_of")
     rows = materialize(parse(messages, schemas), "messages").select("*", F.coalesce("conv_id", F.lit(-(2**63))).alias("conv"), node.alias("node"), F.coalesce("turn", F.lit(-1)).alias("own"))
-    calls = rows.select("conv", "node", "own", F.posexplode("calls").alias("k", "c")).select("conv", "node", "own", "k", F.col("c.id").alias("id"), F.col("c.name").alias("name"), F.col("c.refs").alias("refs"))
+    calls = rows.select("conv", "node", "own", F.posexplode("calls").alias("k", "c")).filter("c.id IS NOT NULL").select("conv", "node", "own", "k", F.col("c.id").alias("id"), F.col("c.name").alias("name"), F.col("c.refs").alias("refs"))
     first = calls.groupBy("conv", "id").agg(F.min(F.struct("own", "node", "k", "name")).alias("first"))
     first = materialize(first.select("conv", "id", F.col("first.node").alias("call_node"), F.col("first.own").alias("call_turn"), F.col("first.k").alias("call_k"), F.col("first.name").alias("call_name")), "calls")
     ranks = _ranks(rows, calls, first, in_task)
@@ -201,7 +220,8 @@ def link(messages: DataFrame, schemas: dict[str, dict], in_task: int = TASK_REFE
     joined = joined.withColumn("order_key", F.struct(F.coalesce("at", "base").alias("at"), F.coalesce("rank", F.lit(0)).alias("rank"), F.col("base").alias("turn"), after.cast("int").alias("after"), F.col("own").alias("own"), F.col("node").alias("row")))
     status = (
         F.when(is_linked, "linked").when(F.col("result_of").isNotNull(), "orphan")
-        .when(F.size("calls") == 0, "plain").when(F.col("n_open") > 0, "unanswered").when(F.col("n_again") > 0, "duplicate").otherwise("call")
+        .when(F.size("calls") == 0, "plain").when(F.col("n_open") > 0, "unanswered").when(F.col("n_again") > 0, "duplicate")
+        .when(F.exists("calls", lambda c: c["id"].isNull()), "unlinked").otherwise("call")
     )
     n_faults = F.aggregate("calls", F.lit(0).cast("long"), lambda a, c: a + F.size(c["faults"]))
     told = joined.select("conv_id", "turn", "role", "order_key", status.alias("status"), F.size("calls").cast("long").alias("n_calls"), n_faults.alias("n_faults"), _json().alias("json"))
@@ -323,7 +343,7 @@ def _ranks(rows: DataFrame, calls: DataFrame, first: DataFrame, in_task: int) ->
 
 
 def _json():
-    """Canonical JSON of a message, keys in order: calls, content, name, role, tool_call_id."""
+    """Canonical JSON of a message, keys in order: calls, content, extra, name, role, tool_call_id."""
     name = F.when(F.col("call_name").isNotNull(), F.concat(F.lit('"name":'), F.col("call_name")))
     return F.concat(F.lit("{"), F.concat_ws(",", F.get("parts", 0), name, F.get("parts", 1)), F.lit("}"))
 

@@ -1,9 +1,10 @@
 """Benchmark decontamination: a broadcast hash set of benchmark n-grams, scanned against all windows.
 
-The set is arrays: the sorted 64-bit hashes of all windows by their length, for each the place of its
-words, and the benchmark's text: 16 bytes a word besides the text itself, some four bytes for each byte of
-a block of at most `max_block_bytes`. It is built once, on the driver, and broadcast. Hash hits are
-verified word by word against the benchmark's text.
+The set is arrays: the sorted 64-bit hashes of all different windows by their length, for each the place of one
+occurrence and the items that hold it, and the benchmark's text: at most 24 bytes a word besides the text itself, some
+five bytes for each byte of a block of at most `max_block_bytes`. It is built once, on the driver, and broadcast. Hash hits are
+verified word by word against the benchmark's text; equal windows are one, so a window is verified once wherever it
+stands, and a text that repeats itself takes no longer than another.
 
 The benchmark's size is measured before it is collected; beyond `max_block_bytes` it is dealt
 into blocks of at most about that size (by hash of its text; items of more than `piece_words` words are cut
@@ -23,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -56,38 +58,63 @@ class NgramSet:
         self.text = b" ".join(f for f in flat if f)
         space = np.flatnonzero(np.frombuffer(self.text, np.uint8) == 32).astype(np.int32)
         self.at = np.concatenate(([0], space + 1, [len(self.text) + 1])).astype(np.int32)  # of each word's text
-        self.hashes: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        # by length of window: sorted hashes, for each the place of one occurrence, and where its items begin in the last array
+        self.hashes: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
         size = np.minimum(counts, n)
         for k in np.unique(size[size > 0]).tolist():
             of = np.flatnonzero(size == k)
             lo = np.concatenate([np.arange(self.first[i], self.first[i + 1] - k + 1) for i in of])
             keys = range_hash(h, lo, lo + k, BASE_1)
             order = np.argsort(keys, kind="stable")
-            self.hashes[k] = keys[order], lo[order].astype(np.int32)
+            self.hashes[k] = self._grouped(keys[order], lo[order], k)
+
+    def _grouped(self, keys: np.ndarray, places: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Equal windows as one with its distinct items; windows of one hash but other words are groups of their own."""
+        fresh = np.concatenate(([True], keys[1:] != keys[:-1]))
+        group = np.cumsum(fresh) - 1
+        first = np.flatnonzero(fresh)
+        moved: dict[tuple[int, bytes], int] = {}
+        for i in np.flatnonzero(~fresh).tolist():
+            if (text := self.window(places[i], size)) != self.window(places[first[group[i]]], size):
+                group[i] = moved.setdefault((int(keys[i]), text), len(first) + len(moved))
+        items = np.searchsorted(self.first, places, "right") - 1
+        pairs = np.unique(np.stack([group, items]), axis=1)
+        one = np.unique(group, return_index=True)[1]  # an occurrence of each group
+        order = np.argsort(keys[one], kind="stable")
+        rank = np.argsort(order)  # of each group
+        at = np.argsort(rank[pairs[0]], kind="stable")
+        begins = np.searchsorted(rank[pairs[0]][at], np.arange(len(one) + 1))
+        return keys[one][order], places[one][order].astype(np.int32), begins.astype(np.int32), pairs[1][at].astype(np.int32)
+
+    def window(self, place: int, size: int) -> bytes:
+        return self.text[self.at[place] : self.at[place + size] - 1]
 
     @property
     def nbytes(self) -> int:
-        return len(self.text) + self.at.nbytes + self.first.nbytes + sum(x.nbytes + y.nbytes for x, y in self.hashes.values())
+        return len(self.text) + self.at.nbytes + self.first.nbytes + sum(x.nbytes for arrays in self.hashes.values() for x in arrays)
 
     def scan(self, words: list[bytes], h: np.ndarray) -> tuple[np.ndarray, set[str]]:
         """A mask of the words inside occurring windows, and the items that have one; h: the words' hashes."""
         total, items = len(words), set()
-        hit = np.zeros(total, bool)
-        for size, (keys, places) in self.hashes.items():
+        edge = np.zeros(total + 1, np.int64)
+        for size, (keys, places, begins, owners) in self.hashes.items():
             if total < size:
                 continue
             lo = np.arange(total - size + 1)
             mine = range_hash(h, lo, lo + size, BASE_1)
             left = np.searchsorted(keys, mine)
+            found = set()
             for i in np.flatnonzero(keys[np.minimum(left, len(keys) - 1)] == mine).tolist():
                 window, k = b" ".join(words[i : i + size]), int(left[i])
                 while k < len(keys) and keys[k] == mine[i]:
-                    w = int(places[k])
-                    if self.text[self.at[w] : self.at[w + size] - 1] == window:  # the hit is verified word by word
-                        hit[i : i + size] = True
-                        items.add(self.ids[int(np.searchsorted(self.first, w, "right")) - 1])
+                    if self.window(places[k], size) == window:  # the hit is verified word by word
+                        edge[i] += 1
+                        edge[i + size] -= 1
+                        found.add(k)
+                        break
                     k += 1
-        return hit, items
+            items.update(self.ids[o] for k in found for o in owners[begins[k] : begins[k + 1]].tolist())
+        return np.cumsum(edge[:-1]) > 0, items
 
     def scan_all(self, texts: list[bytes | None]) -> Iterator[tuple[int, np.ndarray, set[str]]]:
         """(number of words, mask, items) of each text."""
@@ -135,9 +162,8 @@ ADDED = T.StructType().add("n_words", "long").add("hit_spans", T.ArrayType(_HIT)
 _KINDS = [pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.list_(pa.string())]
 
 
-def _scan(rows: DataFrame, items: list[tuple[str, bytes]], n: int, only_hit: bool = False) -> DataFrame:
-    """rows (the last column is the text, binary) with the columns of ADDED in its place."""
-    grams = rows.sparkSession.sparkContext.broadcast(NgramSet(items, n))
+def _scan(rows: DataFrame, grams: Broadcast, only_hit: bool = False) -> DataFrame:
+    """rows (the last column is the text, binary) with the columns of ADDED in its place; grams: a broadcast NgramSet."""
     schema = T.StructType(rows.schema.fields[:-1] + ADDED.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,13 +191,16 @@ def mark(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id:
     small_batches(docs.sparkSession)
     own = [c for c in docs.columns if c not in ADDED.names]
     mine, back = [F.col(c).alias(f"c{i}") for i, c in enumerate(own)], [F.col(f"c{i}").alias(c) for i, c in enumerate(own)]
+    context = docs.sparkSession.sparkContext
     n_blocks, blocks = _blocks(benchmark, item_id, item_text, max_block_bytes, n, piece_words)
     if n_blocks == 1:
-        return _scan(docs.select(*mine, F.col(text).cast("binary").alias("_text")), next(blocks), n).select(*back, *ADDED.names)
+        return _scan(docs.select(*mine, F.col(text).cast("binary").alias("_text")), context.broadcast(NgramSet(next(blocks), n))).select(*back, *ADDED.names)
     key = F.md5(F.coalesce(F.col(text), F.lit(""))).alias("k")
     hits = None
     for items in blocks:
-        found = materialize(_scan(docs.select(key, F.col(text).cast("binary").alias("_text")), items, n, only_hit=True), "hits")
+        grams = context.broadcast(NgramSet(items, n))
+        found = materialize(_scan(docs.select(key, F.col(text).cast("binary").alias("_text")), grams, only_hit=True), "hits")
+        grams.destroy()  # the hits are written
         hits = found if hits is None else hits.unionByName(found)
     hits = materialize(_united(hits), "hits")
     joined = docs.select(*mine, key, F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit("[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+")).cast("long").alias("n")).join(hits.drop("n_words"), "k", "left")

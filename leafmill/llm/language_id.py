@@ -28,6 +28,8 @@ from pyspark.sql import types as T
 from leafmill.llm.common import BASE_1, mix, powers, read, small_batches
 
 DIM, SEGMENT, PER_LANG, EPOCHS, RATE, L2 = 1 << 16, 256, 250, 3, 0.2, 1e-6
+#: Bounds of the training sample: characters of a text, and languages.
+MAX_TEXT, MAX_LANGS = 200_000, 256
 _CACHE = 300_000
 
 
@@ -291,19 +293,23 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")), F.lit(3)) == 1
 
 
-def train(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", per_lang: int = PER_LANG, max_bytes: int = 8 << 20) -> Crf:
-    """Learn from rows that aren't held out. Collected: about per_lang rows a language, max_bytes at most a language."""
-    rows = docs.filter(~held_out(doc_id)).filter(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(lang).alias("l"), F.col(text).alias("t"), F.xxhash64(F.col(doc_id), F.lit("crf")).alias("u"))
-    counts = {r.l: (r.n, r.b) for r in rows.groupBy("l").agg(F.count("*").alias("n"), F.sum(F.octet_length("t")).alias("b")).collect()}
+def train(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", per_lang: int = PER_LANG, max_bytes: int = 8 << 20, max_text: int = MAX_TEXT, max_langs: int = MAX_LANGS) -> Crf:
+    """Learn from rows that aren't held out, on a bounded sample: about per_lang rows a language and max_bytes in all of each, of the max_langs
+    most frequent languages; of a text, training reads max_text characters. Rows are taken by a hash of id and text, equal ones once."""
+    rows = docs.filter(~held_out(doc_id)).filter(F.col(text).isNotNull() & F.col(lang).isNotNull())
+    rows = rows.select(F.col(lang).alias("l"), F.substring(text, 1, max_text).alias("t"), F.xxhash64(F.col(doc_id), F.col(text), F.lit("crf")).alias("u"))
+    sizes = rows.groupBy("l").agg(F.approx_count_distinct("u").alias("n"), F.avg(F.octet_length("t")).alias("b"), F.count("*").alias("all"))
+    counts = {r.l: (max(r.n, 1), r.b) for r in sizes.orderBy(F.col("all").desc(), "l").limit(max_langs).collect()}
     labels = sorted(counts)
     crf = Crf(labels)
     if not labels:
         return crf
     keep = F.lit(False)
     for name, (n, size) in counts.items():
-        share = min(1.0, per_lang / n, max_bytes / max(size, 1))
+        share = min(1.0, per_lang / n, max_bytes / max(size * n, 1))
         keep = keep | ((F.col("l") == name) & (F.pmod(F.col("u"), F.lit(1_000_000)) < int(share * 1_000_000) + 1))
-    got = rows.filter(keep).orderBy("u", "l", "t").limit(2 * per_lang * len(labels)).collect()
+    some = rows.filter(keep).dropDuplicates(["l", "u"])
+    got = some.orderBy("u", "l").limit(2 * per_lang * len(labels)).collect()
     return crf.fit([(r.t, labels.index(r.l)) for r in got])
 
 
