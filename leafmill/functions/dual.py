@@ -82,6 +82,12 @@ def extract_all(c: E, pattern: str, group: int = 0) -> E:
     return E(f"regexp_extract_all({c.s}, r'{p.s}', {group})", f"regexp_extract_all({c.d}, '{p.d}', {group})")
 
 
+def split(c: E, pattern: str) -> E:
+    """What stands around the matches of a pattern, empty parts included."""
+    p = _pattern(pattern)
+    return E(f"split({c.s}, r'{p.s}', -1)", f"regexp_split_to_array({c.d}, '{p.d}')")
+
+
 def any_of(*parts: E) -> E:
     return E("(" + " OR ".join(p.s for p in parts) + ")", "(" + " OR ".join(p.d for p in parts) + ")")
 
