@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from leafmill.plans import context, documents, folds, layout, pages, quality, relational, rescue, rules, sections, segmentation, textual
+from leafmill.plans import context, documents, folds, latex, layout, pages, quality, relational, rescue, rules, sections, segmentation, textual
 
 PLANS = textual.QUERIES | relational.QUERIES | rules.QUERIES | layout.QUERIES | context.QUERIES | pages.QUERIES | quality.QUERIES
-QUERIES = dict(PLANS) | sections.QUERIES | folds.QUERIES | pages.FOLDS | documents.QUERIES | segmentation.QUERIES | rescue.QUERIES
-ORACLES = {k: p.sql.d for k, p in PLANS.items()} | sections.ORACLES | folds.ORACLES | documents.ORACLES | segmentation.ORACLES | rescue.ORACLES
+QUERIES = dict(PLANS) | sections.QUERIES | folds.QUERIES | pages.FOLDS | documents.QUERIES | segmentation.QUERIES | rescue.QUERIES | latex.QUERIES
+ORACLES = {k: p.sql.d for k, p in PLANS.items()} | sections.ORACLES | folds.ORACLES | documents.ORACLES | segmentation.ORACLES | rescue.ORACLES | latex.ORACLES
