@@ -92,19 +92,26 @@ class Encoder:
 
     def learn(self, words: list[str]) -> None:
         """Words that end in marks, or hold line breaks, are put together from what lies between, so that fewer are encoded."""
-        whole, made = [], {}
+        whole, marked, broken = [], [], []
         for w in words:
-            cut = self.cut(w) if "\n" in w or w[-1] in MARKS else None
-            if cut:
-                made[w] = cut
-            else:
-                whole.append(w)
+            if "\n" in w:
+                cut = self.cut(w)
+                if cut:
+                    broken.append((w, cut))
+                    continue
+            elif w[-1] in MARKS and (core := w.rstrip(MARKS)) and core[-1] < LAST_LETTER and core[-1].isalpha():
+                marked.append((w, core, w[len(core) :]))
+                continue
+            whole.append(w)
         new = lambda found, known: [w for w in found if w not in known]
-        self.encode_between(" ", new({*whole, *(c[0][0] for c in made.values())}, self.known), self.known)
-        self.encode_between("\n", new({line for c in made.values() for line, _ in c[1:]}, self.bare), self.bare)
-        self.bare.update((tail, self.plain(tail)) for tail in new({tail for c in made.values() for _, tail in c}, self.bare))
-        for w, ((first, tail), *rest) in made.items():
-            self.known[w] = self.known[first] + self.bare[tail] + b"".join([self.breaks + self.bare[line] + self.bare[t] for line, t in rest])
+        self.encode_between(" ", new({*whole, *(core for _, core, _ in marked), *(c[0][0] for _, c in broken)}, self.known), self.known)
+        self.encode_between("\n", new({line for _, c in broken for line, _ in c[1:]}, self.bare), self.bare)
+        self.bare.update((tail, self.plain(tail)) for tail in new({tail for _, _, tail in marked} | {tail for _, c in broken for _, tail in c}, self.bare))
+        known, bare = self.known, self.bare
+        for w, core, tail in marked:
+            known[w] = known[core] + bare[tail]
+        for w, ((first, tail), *rest) in broken:
+            known[w] = known[first] + bare[tail] + b"".join([self.breaks + bare[line] + bare[t] for line, t in rest])
 
     def cut(self, word: str) -> list[tuple[str, str]] | None:
         """Lines of a word, each as what ends in a letter and the marks behind it; None if it can't be cut there."""
