@@ -6,4 +6,4 @@ from leafmill.plans import context, documents, folds, latex, layout, pages, qual
 
 PLANS = textual.QUERIES | relational.QUERIES | rules.QUERIES | layout.QUERIES | context.QUERIES | pages.QUERIES | quality.QUERIES
 QUERIES = dict(PLANS) | sections.QUERIES | folds.QUERIES | pages.FOLDS | documents.QUERIES | segmentation.QUERIES | rescue.QUERIES | latex.QUERIES | reading.QUERIES
-ORACLES = {k: p.sql.d for k, p in PLANS.items()} | sections.ORACLES | folds.ORACLES | documents.ORACLES | segmentation.ORACLES | rescue.ORACLES | latex.ORACLES | reading.ORACLES
+ORACLES = {k: p.sql.d for k, p in PLANS.items()} | sections.ORACLES | folds.ORACLES | documents.ORACLES | pages.FOLD_ORACLES | segmentation.ORACLES | rescue.ORACLES | latex.ORACLES | reading.ORACLES
