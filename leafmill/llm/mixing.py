@@ -9,7 +9,8 @@ taken until the source's remaining words are reached. Random numbers come from a
 doc_id, text), so reruns agree.
 
 The cut in the ranking is found without sorting a source in one place: words are summed by
-(source, rank bucket) with partial aggregation, and only the bucket that holds the cut is sorted.
+(source, rank bucket) with partial aggregation, and only the bucket that holds the cut is sorted; while
+that has more than `edge_rows` rows, it is cut into buckets again.
 Targets are found without one either: sources are numbered by range partitions, and the level to
 which they fill rises by sums over all of them until no further source is full.
 
@@ -28,6 +29,8 @@ from pyspark.sql import functions as F
 from leafmill.llm.common import materialize, read, row_key
 
 SEED, BUCKETS = "mix-2", 4096
+#: A cut's bucket is cut again while it has more rows than one task should sort, so often at most.
+EDGE_ROWS, LEVELS = 100_000, 4
 WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2
 
 
@@ -83,7 +86,7 @@ def expected_copies(steps: DataFrame, most: int = MOST) -> DataFrame:
     return steps.withColumn("copies", F.least(F.lit(float(most)), F.col("weight") * F.coalesce(level, F.lit(float(most))))).drop("level", "is_open")
 
 
-def mix_sources(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", weight: Column | None = None, seed: str = SEED, most: int = MOST, keys: bool = False, **shares) -> DataFrame:
+def mix_sources(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", weight: Column | None = None, seed: str = SEED, most: int = MOST, keys: bool = False, edge_rows: int = EDGE_ROWS, **shares) -> DataFrame:
     """One row per document: doc_id, size, source, source_size, target, copies, taken; with keys also rk_id, rk_hash.
 
     weight: of a document, by the column `step` alone (default: 1 + step, so long texts are preferred).
@@ -100,18 +103,28 @@ def mix_sources(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     steps = materialize(steps.select(F.col("source").alias("s"), F.col("step").alias("st"), "source_size", "target", "whole", "p", rest.alias("rest")), "odds")
     ranked = slim.join(steps, slim.source.eqNullSafe(steps.s) & (slim.step == steps.st), "left").drop("s", "st", "step")
     odds = (F.col("u") / (1 - F.col("u"))) / (F.col("p") / (1 - F.col("p")))
-    ranked = ranked.withColumn("rank", F.when(F.col("p") > 0, odds / (1 + odds))).withColumn("bucket", F.when(F.col("p") > 0, F.least(F.floor(F.col("rank") * BUCKETS), F.lit(BUCKETS - 1))))
-    sums = ranked.filter("p > 0").groupBy("source", "bucket").agg(F.sum("size").alias("words"), F.max("rest").alias("rest"))
-    upto = F.sum("words").over(W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, 0))
-    cut = sums.withColumn("upto", upto).filter(F.col("upto") >= F.col("rest")).groupBy(F.col("source").alias("s")).agg(F.min(F.struct("bucket", (F.col("upto") - F.col("words")).alias("before"))).alias("cut"))
-    cut = cut.select("s", F.col("cut.bucket").alias("cut_bucket"), F.col("cut.before").alias("before"))
-    marked = ranked.join(cut, ranked.source.eqNullSafe(cut.s), "left").drop("s")
-    on_edge = F.coalesce(F.col("bucket") == F.col("cut_bucket"), F.lit(False))
-    sure = marked.filter(~on_edge).withColumn("extra", F.coalesce(F.col("bucket") < F.coalesce("cut_bucket", F.lit(BUCKETS)), F.lit(False)).cast("int"))
+    open_ = F.col("p") > 0
+    out = ranked.filter(~open_).withColumn("extra", F.lit(0))
+    inside = ranked.filter(open_).withColumns({"rank": odds / (1 + odds), "before": F.lit(0).cast("long")}).withColumn("part", F.col("rank"))
+    for level in range(LEVELS):
+        # the rank's digits to the base BUCKETS, a power of two, so that they are exact
+        inside = inside.withColumn("bucket", F.least(F.floor(F.col("part") * BUCKETS), F.lit(BUCKETS - 1))).withColumn("part", F.col("part") * BUCKETS - F.col("bucket"))
+        sums = inside.groupBy("source", "bucket").agg(F.sum("size").alias("words"), F.count("*").alias("n"), F.max("rest").alias("rest"), F.max("before").alias("before"))
+        upto = F.col("before") + F.sum("words").over(W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, 0))
+        cut = sums.withColumn("upto", upto).filter(F.col("upto") >= F.col("rest")).groupBy(F.col("source").alias("s")).agg(F.min(F.struct("bucket", (F.col("upto") - F.col("words")).alias("before"), "n")).alias("cut"))
+        cut = materialize(cut.select("s", F.col("cut.bucket").alias("cut_bucket"), F.col("cut.before").alias("cut_before"), "cut.n"), "cut")
+        marked = inside.join(cut, inside.source.eqNullSafe(cut.s), "left").drop("s")
+        on_edge = F.coalesce(F.col("bucket") == F.col("cut_bucket"), F.lit(False))
+        sure = marked.filter(~on_edge).withColumn("extra", (F.col("bucket") < F.coalesce("cut_bucket", F.lit(BUCKETS))).cast("int"))
+        out = out.unionByName(sure.select(*out.columns))
+        inside = marked.filter(on_edge).withColumn("before", F.col("cut_before")).drop("bucket", "cut_bucket", "cut_before", "n")
+        if (cut.agg(F.max("n")).first()[0] or 0) <= edge_rows:
+            break
+        out, inside = materialize(out, "decided"), materialize(inside, "edge")
     w = W.partitionBy("source").orderBy("rank", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
-    edge = marked.filter(on_edge)
-    edge = edge.withColumn("extra", (F.col("before") + F.coalesce(F.sum("size").over(w), F.lit(0)) + F.col("size") / 2 <= F.col("rest")).cast("int"))
-    out = sure.unionByName(edge).withColumn("copies", (F.col("whole") + F.col("extra")).cast("int"))
+    edge = inside.withColumn("extra", (F.col("before") + F.coalesce(F.sum("size").over(w), F.lit(0)) + F.col("size") / 2 <= F.col("rest")).cast("int"))
+    sure = out
+    out = sure.unionByName(edge.select(*sure.columns)).withColumn("copies", (F.col("whole") + F.col("extra")).cast("int"))
     return out.select("doc_id", "size", "source", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"), *(["rk_id", "rk_hash"] if keys else []))
 
 

@@ -6,7 +6,7 @@ import time
 
 import numpy as np
 
-from leafmill.llm import chat_format, decontaminate, language_id, url_filter
+from leafmill.llm import chat_format, decontaminate, language_id, mixing, url_filter
 from leafmill.llm.common import drop_scratch, word_hashes
 
 
@@ -82,3 +82,11 @@ def test_nothing_of_a_message_is_lost(spark):
     assert json.loads(orphan.json)["extra"] == {"tool_calls": "none"}
     assert all(chat_format.canonical(json.loads(r.json)) == r.json for r in got.values())
     drop_scratch()
+
+
+def test_mix_cuts_large_buckets_again(spark):
+    rows = [(i, "w " * (1 + i % 9), f"s{i % 3}" if i % 7 else None) for i in range(4000)]
+    docs = spark.createDataFrame(rows + rows[:50], "doc_id long, text string, source string")
+    cut = lambda n: sorted(map(str, mixing.mix_sources(docs, edge_rows=n).collect()))
+    assert cut(100_000) == cut(0)
+    drop_scratch()
