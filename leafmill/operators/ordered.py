@@ -59,9 +59,13 @@ def merge_fragments(df: DataFrame, key: list[str], order: str, text: str, page:
 
 
 def rolling_terms(df: DataFrame, key: list[str], order: str, terms: str, most: int = 12) -> DataFrame:
-    """The first `most` distinct terms of the rows before each row."""
+    """The first `most` distinct terms of the rows before each row.
+
+    Terms are listed by the row that has them first, so only the first `most` of a key can be in any list: a key keeps no more.
+    """
     exploded = df.select(*key, order, F.explode(terms).alias("term"))
     first = exploded.groupBy(*key, "term").agg(F.min(order).alias("seen"))
-    before = df.select(*key, order).join(first, key).filter(F.col("seen") < F.col(order))
-    listed = before.groupBy(*key, order).agg(F.array_sort(F.collect_list(F.struct("seen", "term"))).alias("all"))
-    return df.join(listed, [*key, order], "left").select(*df.columns, F.coalesce(F.slice(F.transform("all", lambda x: x["term"]), 1, most), F.array().cast("array<string>")).alias("prior_terms"))
+    few = first.withColumn("nth", F.row_number().over(W.partitionBy(*key).orderBy("seen", "term"))).filter(F.col("nth") <= most)
+    listed = few.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("nth", "seen", "term"))).alias("all"))
+    before = F.transform(F.filter("all", lambda v: v["seen"] < F.col(order)), lambda v: v["term"])
+    return df.join(listed, key, "left").select(*df.columns, F.coalesce(before, F.array().cast("array<string>")).alias("prior_terms"))

@@ -29,7 +29,7 @@ QUERIES = {
     "interval_semi": Plan(f"SELECT b.doc_id, b.page, count(*) AS n FROM <blocks> b WHERE EXISTS (SELECT 1 FROM {_plan_rows} p WHERE p.doc_id = b.doc_id AND p.role <> 'body' AND b.page BETWEEN p.start_page AND p.end_page) GROUP BY b.doc_id, b.page"),
     "interval_anti": Plan(f"SELECT b.doc_id, count(*) AS kept FROM <blocks> b WHERE NOT EXISTS (SELECT 1 FROM {_plan_rows} p WHERE p.doc_id = b.doc_id AND p.role <> 'body' AND b.page BETWEEN p.start_page AND p.end_page) GROUP BY b.doc_id"),
     "nearest_row": Plan(
-        "SELECT doc_id, pos, near FROM (SELECT a.doc_id, a.pos, b.pos AS near, row_number() OVER (PARTITION BY a.doc_id, a.pos ORDER BY 1000 * abs(a.page - b.page) + abs(a.y - b.y), b.pos) AS rn FROM (SELECT * FROM <blocks> q WHERE length(line) < 40) a JOIN (SELECT * FROM <blocks> q WHERE length(line) >= 200) b ON a.doc_id = b.doc_id AND abs(a.page - b.page) <= 1) r WHERE rn = 1",
+        "SELECT doc_id, pos, near FROM (SELECT a.doc_id, a.pos, b.pos AS near, row_number() OVER (PARTITION BY a.doc_id, a.pos ORDER BY 1000 * abs(a.page - b.page) + abs(a.y - b.y), b.pos) AS rn FROM (SELECT * FROM <blocks> q WHERE length(line) < 40) a JOIN (SELECT q.*, page + d AS near_page FROM <blocks> q CROSS JOIN (SELECT -1 AS d UNION ALL SELECT 0 UNION ALL SELECT 1) ds WHERE length(line) >= 200) b ON a.doc_id = b.doc_id AND a.page = b.near_page) r WHERE rn = 1",
     ),
     "artifact_links": Plan(
         "SELECT r.doc_id, r.k AS ref_key, coalesce(e.art, f.art) AS artifact, CASE WHEN e.art IS NOT NULL THEN 0 WHEN f.art IS NOT NULL THEN 1 END AS penalty FROM (SELECT doc_id, <k> AS k, <p> AS parent FROM documents) r "

@@ -15,7 +15,7 @@ _TITLED = "SELECT doc_id, page, pos, CASE WHEN pos % 5 = 0 THEN concat(CAST(1 +
 
 def infer_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     spread(spark.read.parquet(f"{sf_dir}/documents.parquet"), "documents").createOrReplaceTempView("leafmill_documents")
-    return structure.infer_sections(spark.sql(t(_TITLED, blocks=BLOCKS).s.replace("FROM documents", "FROM leafmill_documents")), ["doc_id"], most=1000)
+    return structure.infer_sections(spark.sql(t(_TITLED, blocks=BLOCKS).s.replace("FROM documents", "FROM leafmill_documents")), ["doc_id"])
 
 
 def provider_batches(spark: SparkSession, sf_dir: str) -> DataFrame:

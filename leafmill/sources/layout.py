@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from leafmill.sources.store import CORRUPT, parsed
+
 LINE = T.StructType([T.StructField(n, k) for n, k in (("text", T.StringType()), ("x", T.DoubleType()), ("y", T.DoubleType()), ("width", T.DoubleType()), ("height", T.DoubleType()))])
 PAPER = T.StructType([
     T.StructField("id", T.StringType()), T.StructField("title", T.StringType()), T.StructField("favorite", T.BooleanType()), T.StructField("tags", T.ArrayType(T.StringType())), T.StructField("updatedAt", T.StringType()),
@@ -39,10 +41,13 @@ def parse_layout(files: DataFrame, key: str = "path", xml: str = "xml") -> DataF
     return kept.select(key, "page_number", "width", "height", "block_idx", F.array_join("lines", " ").alias("text"), x.alias("x"), y.alias("y"), (r - x).alias("w"), (b - y).alias("h"), F.size("lines").alias("line_count"))
 
 
-def read_papers(spark: SparkSession, path: str) -> DataFrame:
-    """Document JSON files; unreadable files and those without id or paragraphs are skipped."""
-    got = spark.read.schema(PAPER).option("multiLine", True).option("mode", "DROPMALFORMED").json(path)
-    return got.filter("id IS NOT NULL AND paragraphs IS NOT NULL")
+def read_papers(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Document JSON files, one a file, and the files that give none: (file, reason), `unreadable` or `incomplete` (without id or paragraphs)."""
+    files = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("file"), "value")
+    told = parsed(files, PAPER, "value")
+    reason = F.when(F.col(CORRUPT).isNotNull(), "unreadable").when(F.col("row.id").isNull() | F.col("row.paragraphs").isNull(), "incomplete")
+    told = told.withColumn("reason", reason)
+    return told.filter("reason IS NULL").select(*[F.col(f"row.{f.name}").alias(f.name) for f in PAPER.fields]), told.filter("reason IS NOT NULL").select("file", "reason")
 
 
 def flatten(papers: DataFrame) -> tuple[DataFrame, DataFrame]:

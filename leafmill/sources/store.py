@@ -5,8 +5,9 @@ from __future__ import annotations
 import json
 import time
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 KEEP, FILES = 8, "_files.json"
 
@@ -97,6 +98,33 @@ def export_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
-def import_json(spark: SparkSession, path: str, schema) -> DataFrame:
-    """Rows of JSON files; lines that don't parse are dropped."""
-    return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
+CORRUPT = "_corrupt_record"
+
+
+def parsed(lines: DataFrame, schema: T.StructType, json_text: str) -> DataFrame:
+    """lines with `row`, what schema reads in their JSON text, and CORRUPT: the text where it doesn't parse or a field has another type, else null."""
+    read = F.from_json(json_text, T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())]), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
+    out = lines.withColumn("row", read)
+    return out.withColumn(CORRUPT, F.when(F.col("row").isNull(), F.col(json_text)).otherwise(F.col(f"row.{CORRUPT}")))
+
+
+def import_json(spark: SparkSession, path: str, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
+    """Rows of JSON files, and the damaged lines, (file, line), that give no row: together all lines that aren't blank."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("line")).filter("trim(line) <> ''")
+    told = parsed(lines, schema, "line")
+    rows = told.filter(F.col(CORRUPT).isNull()).select(*[F.col(f"row.`{f.name}`").alias(f.name) for f in schema.fields])
+    return rows, told.filter(F.col(CORRUPT).isNotNull()).select("file", "line")
+
+
+def upgraded(rows: DataFrame, steps: list[tuple[int, dict[str, Column]]], version: str = "version") -> DataFrame:
+    """rows brought to the newest version: for each (version, columns) in order, rows of an older one get these columns anew.
+
+    Rows of that version or a newer one stay as they are, so a second run changes nothing; a null version is the oldest. A column
+    that isn't there yet is null in rows that don't get it.
+    """
+    rows = rows.withColumn(version, F.coalesce(F.col(version).cast("int"), F.lit(0)))
+    for to, columns in sorted(steps, key=lambda s: s[0]):
+        old = F.col(version) < to
+        new = {c: F.when(old, e).otherwise(F.col(c) if c in rows.columns else F.lit(None)) for c, e in columns.items()}
+        rows = rows.withColumns(new | {version: F.greatest(version, F.lit(to))})
+    return rows

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from leafmill.sources.stages import new_table
+
 #: Statuses that a job can have, by the events that set them (fixed values).
 STATUS = {"view": "queued", "click": "running", "purchase": "done"}
 
@@ -51,9 +53,17 @@ def latest_status_batch(log: DataFrame) -> DataFrame:
     return last.select("user_id", "m.event_id", "m.status")
 
 
-def drain(stream: DataFrame, name: str, mode: str) -> DataFrame:
-    """Run the stream over what is there now; its result as a table (of bounded size: aggregates only)."""
+def drain(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
+    """Run the stream over what is there now; its result as tables that executors write in the shared folder: the last batch's in complete mode, else those of all."""
     spark = stream.sparkSession
-    q = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+    paths: list[str] = []
+
+    def keep(batch: DataFrame, _: int) -> None:
+        paths.append(new_table(spark, name))
+        batch.write.parquet(paths[-1])
+
+    q = stream.writeStream.outputMode(mode).foreachBatch(keep).trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.table(name)
+    if not paths:
+        return spark.createDataFrame([], stream.schema)
+    return spark.read.schema(stream.schema).parquet(*(paths[-1:] if mode == "complete" else paths))

@@ -28,7 +28,7 @@ def test_papers(spark, tmp_path):
     (tmp_path / "a.json").write_text(json.dumps(paper))
     (tmp_path / "b.json").write_text("{broken")
     (tmp_path / "c.json").write_text(json.dumps({"id": "no paragraphs"}))
-    head, body = layout.flatten(layout.read_papers(spark, str(tmp_path)))
+    head, body = layout.flatten(layout.read_papers(spark, str(tmp_path))[0])
     assert [(r.paper_id, r.paragraph_count, r.analyzed_count) for r in head.collect()] == [("p", 2, 1)]
     assert [(r.paragraph_id, r.ord, r.kind) for r in body.orderBy("ord").collect()] == [("1", 0, "heading"), ("2", 7, "paragraph")]
     assert layout.markdown(body).first().markdown == "## H\n\nx"
