@@ -2,6 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and returns what it keeps; run() writes each result to the
 shared scratch folder and reads it back for the next stage.
+
+Edge cases: documents without text, or without a letter in it, have no language and go in the first stage; texts of any
+length are read whole; null ids, languages and sources stay null, and a null source is a source of the mix; repeated rows
+are near duplicates of each other, so one stays; of equal candidates the stage's operator tells which one, by
+id and hash, and reruns agree; an empty table gives an empty mix; columns other than those of documents are
+left out, so none can clash.
 """
 
 from __future__ import annotations

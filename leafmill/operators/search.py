@@ -1,7 +1,7 @@
 """Search over documents and matches of a glossary, with their terms as parameters or tables.
 
-A glossary is a table of terms; it is measured before it becomes part of a plan, and dealt to blocks of
-at most `most` terms beyond that, each a scan of the texts.
+A glossary is a table of terms; it is measured before it is broadcast as an automaton, and dealt to blocks
+of a stated size beyond that, each a scan of the texts.
 """
 
 from __future__ import annotations
@@ -9,8 +9,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T_
 
 from leafmill.functions import text as T
 from leafmill.functions.dual import x
@@ -46,26 +49,51 @@ def _comparable(name: str) -> Column:
     return T.comparable(x(name)).col()
 
 
-def _blocks(glossary: DataFrame, most: int) -> Iterator[list[tuple[str, list[str]]]]:
-    """(term, variants of two characters or more, comparable) in blocks of at most about `most` terms."""
+def _blocks(glossary: DataFrame, max_chars: int) -> Iterator[dict[str, list[str]]]:
+    """Variants of two characters or more, comparable, with the terms that have them; blocks of at most about max_chars characters."""
     rows = glossary.select("term", F.explode(F.concat(F.array("term"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("v"))
-    rows = rows.withColumn("v", _comparable("v")).filter("length(v) >= 2").groupBy("term").agg(F.array_sort(F.collect_set("v")).alias("v"))
-    k = -(-rows.count() // most) or 1
+    rows = rows.withColumn("v", _comparable("v")).filter("length(v) >= 2 AND term IS NOT NULL").distinct()
+    k = -(-(rows.agg(F.sum(F.length("v"))).first()[0] or 0) // max_chars) or 1
     for b in range(k):
-        yield [(r.term, list(r.v)) for r in rows.filter(F.pmod(F.xxhash64("term"), F.lit(k)) == b).orderBy("term").collect()]
+        block: dict[str, list[str]] = {}
+        for r in rows.filter(F.pmod(F.xxhash64("term"), F.lit(k)) == b).collect():
+            block.setdefault(r.v, []).append(r.term)
+        yield block
 
 
-def glossary_matches(texts: DataFrame, keys: list[str], glossary: DataFrame, text: str = "text", most: int = 500) -> DataFrame:
-    """(keys, term): each term of the glossary (term, aliases: array) that a text holds by itself or by an alias, as substrings without case, spaces and punctuation."""
-    rows = texts.select(*keys, F.col(text).alias("_t")).select(*keys, _comparable("_t").alias("_t"))
+def glossary_matches(texts: DataFrame, keys: list[str], glossary: DataFrame, text: str = "text", max_chars: int = 1 << 20) -> DataFrame:
+    """(keys, term): each term of the glossary (term, aliases: array) that a text holds by itself or by an alias, as substrings without case, spaces and punctuation.
+
+    A text is read once, by an automaton of all variants, whatever their number; glossaries of more than max_chars characters are dealt to blocks, a
+    scan each. Null texts hold nothing; a row for each term of each row of texts.
+    """
+    rows = texts.select(*keys, F.coalesce(F.col(text), F.lit("")).alias("_t")).select(*keys, _comparable("_t").alias("_t"))
+    schema = T_.StructType([rows.schema[k] for k in keys]).add("term", "string")
     out = None
-    for block in _blocks(glossary, most):
-        held = [F.when(reduce(Column.__or__, [F.contains("_t", F.lit(v)) for v in variants]), F.lit(term)) for term, variants in block]
-        found = rows.select(*keys, F.explode(F.array_compact(F.array(*held) if held else F.array().cast("array<string>"))).alias("term"))
-        out = found if out is None else out.unionByName(found)
+    for block in _blocks(glossary, max_chars):
+        held = rows.sparkSession.sparkContext.broadcast(block)
+
+        def run(batches: Iterator[pa.RecordBatch], held: Broadcast = held) -> Iterator[pa.RecordBatch]:
+            import ahocorasick
+
+            automaton = ahocorasick.Automaton()
+            for variant, terms in held.value.items():
+                automaton.add_word(variant, terms)
+            automaton.make_automaton()
+            for b in batches:
+                at, found = [], []
+                for i, t in enumerate(b.column(len(keys)).to_pylist() if held.value else ()):
+                    terms = {term for _, named in automaton.iter(t) for term in named}
+                    at += [i] * len(terms)
+                    found += sorted(terms)
+                idx = pa.array(at, pa.int64())
+                yield pa.RecordBatch.from_arrays([*[b.column(k).take(idx) for k in range(len(keys))], pa.array(found, pa.string())], names=schema.names)
+
+        part = rows.mapInArrow(run, schema)
+        out = part if out is None else out.unionByName(part)
     return out
 
 
-def dropped_terms(sources: DataFrame, outputs: DataFrame, keys: list[str], glossary: DataFrame, text: str = "text", most: int = 500) -> DataFrame:
+def dropped_terms(sources: DataFrame, outputs: DataFrame, keys: list[str], glossary: DataFrame, text: str = "text") -> DataFrame:
     """(keys, term): terms that a source holds and its output doesn't, by any variant."""
-    return glossary_matches(sources, keys, glossary, text, most).join(glossary_matches(outputs, keys, glossary, text, most), [*keys, "term"], "left_anti")
+    return glossary_matches(sources, keys, glossary, text).join(glossary_matches(outputs, keys, glossary, text), [*keys, "term"], "left_anti")

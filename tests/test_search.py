@@ -23,8 +23,8 @@ def test_glossary(spark):
     texts = spark.createDataFrame([(1, "A Graph-Net and an LSTM."), (2, None), (3, "graph  net"), (4, "x")], "id long, text string")
     terms = spark.createDataFrame([("graph net", None), ("memory", ["LSTM", "l"]), ("x", ["y"]), (None, ["graph"])], "term string, aliases array<string>")
     want = {(1, "graph net"), (1, "memory"), (3, "graph net")}
-    for most in (500, 1):
-        assert {(r.id, r.term) for r in search.glossary_matches(texts, ["id"], terms, most=most).filter("term IS NOT NULL").collect()} == want
+    for most in (1 << 20, 3):
+        assert {(r.id, r.term) for r in search.glossary_matches(texts, ["id"], terms, max_chars=most).filter("term IS NOT NULL").collect()} == want
     out = spark.createDataFrame([(1, "memory cells"), (3, "Graph net")], "id long, text string")
     assert {(r.id, r.term) for r in search.dropped_terms(texts, out, ["id"], terms).collect()} == {(1, "graph net")}
     assert search.glossary_matches(texts, ["id"], terms.limit(0)).count() == 0
