@@ -104,27 +104,26 @@ def mix_sources(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     ranked = slim.join(steps, slim.source.eqNullSafe(steps.s) & (slim.step == steps.st), "left").drop("s", "st", "step")
     odds = (F.col("u") / (1 - F.col("u"))) / (F.col("p") / (1 - F.col("p")))
     open_ = F.col("p") > 0
-    out = ranked.filter(~open_).withColumn("extra", F.lit(0))
-    inside = ranked.filter(open_).withColumns({"rank": odds / (1 + odds), "before": F.lit(0).cast("long")}).withColumn("part", F.col("rank"))
+    inside, out = ranked.withColumns({"rank": F.when(open_, odds / (1 + odds)), "before": F.lit(0).cast("long")}).withColumn("part", F.col("rank")), None
     for level in range(LEVELS):
         # the rank's digits to the base BUCKETS, a power of two, so that they are exact
         inside = inside.withColumn("bucket", F.least(F.floor(F.col("part") * BUCKETS), F.lit(BUCKETS - 1))).withColumn("part", F.col("part") * BUCKETS - F.col("bucket"))
-        sums = inside.groupBy("source", "bucket").agg(F.sum("size").alias("words"), F.count("*").alias("n"), F.max("rest").alias("rest"), F.max("before").alias("before"))
+        sums = inside.filter(open_).groupBy("source", "bucket").agg(F.sum("size").alias("words"), F.count("*").alias("n"), F.max("rest").alias("rest"), F.max("before").alias("before"))
         upto = F.col("before") + F.sum("words").over(W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, 0))
         cut = sums.withColumn("upto", upto).filter(F.col("upto") >= F.col("rest")).groupBy(F.col("source").alias("s")).agg(F.min(F.struct("bucket", (F.col("upto") - F.col("words")).alias("before"), "n")).alias("cut"))
         cut = materialize(cut.select("s", F.col("cut.bucket").alias("cut_bucket"), F.col("cut.before").alias("cut_before"), "cut.n"), "cut")
         marked = inside.join(cut, inside.source.eqNullSafe(cut.s), "left").drop("s")
-        on_edge = F.coalesce(F.col("bucket") == F.col("cut_bucket"), F.lit(False))
-        sure = marked.filter(~on_edge).withColumn("extra", (F.col("bucket") < F.coalesce("cut_bucket", F.lit(BUCKETS))).cast("int"))
-        out = out.unionByName(sure.select(*out.columns))
+        on_edge = F.coalesce(open_ & (F.col("bucket") == F.col("cut_bucket")), F.lit(False))
+        taken = F.coalesce(open_ & (F.col("bucket") < F.coalesce("cut_bucket", F.lit(BUCKETS))), F.lit(False))
+        sure = marked.filter(~on_edge).withColumn("extra", taken.cast("int")).drop("bucket", "part", "before", "cut_bucket", "cut_before", "n")
+        out = sure if out is None else out.unionByName(sure)
         inside = marked.filter(on_edge).withColumn("before", F.col("cut_before")).drop("bucket", "cut_bucket", "cut_before", "n")
         if (cut.agg(F.max("n")).first()[0] or 0) <= edge_rows:
             break
         out, inside = materialize(out, "decided"), materialize(inside, "edge")
     w = W.partitionBy("source").orderBy("rank", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
     edge = inside.withColumn("extra", (F.col("before") + F.coalesce(F.sum("size").over(w), F.lit(0)) + F.col("size") / 2 <= F.col("rest")).cast("int"))
-    sure = out
-    out = sure.unionByName(edge.select(*sure.columns)).withColumn("copies", (F.col("whole") + F.col("extra")).cast("int"))
+    out = out.unionByName(edge.select(*out.columns)).withColumn("copies", (F.col("whole") + F.col("extra")).cast("int"))
     return out.select("doc_id", "size", "source", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"), *(["rk_id", "rk_hash"] if keys else []))
 
 
