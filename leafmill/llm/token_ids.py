@@ -44,7 +44,7 @@ CHECK_ROWS = 100
 #: Packed ids hardly shrink any further; a fast codec does.
 COMPRESSION = "snappy"
 #: Words that a worker remembers at most, the longest it remembers, in characters, and how many it encodes at once.
-MOST_WORDS, MOST_CHARS, GROUP = 1_500_000, 64, 100
+MOST_WORDS, MOST_CHARS, GROUP = 800_000, 64, 100
 SCHEMA = "doc_id long, part int, start_in_part long, end_in_part long, ids array<int>"
 
 
