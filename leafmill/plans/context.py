@@ -33,8 +33,8 @@ _JUDGED = context.nested(_ROWS)
 _EACH = E("LATERAL VIEW OUTER explode(audit_reasons) e AS reason", ", unnest(audit_reasons) e(reason)")
 
 _FORMULA_ROWS = blocks.nested(t("(SELECT doc_id, pos, 1 AS n_lines, <raw> AS raw, pos % 7 = 0 AS manual, pos % 5 = 0 AS generated, pos % 3 = 0 AS ocr, pos % 2 = 0 AS has_crop FROM <blocks> b)", raw=E(
-    r"concat(CASE pos % 9 WHEN 0 THEN 'L(x) = \\sum_i $a_i$ ' WHEN 1 THEN '\\[ y = x + 1 \\]' WHEN 2 THEN 'loss = max(a, b) ' WHEN 3 THEN '\\begin{align} x \\end{matrix} = 2' WHEN 4 THEN 'x = 1 + 2 - 3 * 4 / 5 ' WHEN 5 THEN 'Model formula 3' WHEN 6 THEN 'price \\$5 = $x' ELSE '' END, CASE WHEN pos % 9 IN (1, 5) THEN '' ELSE substring(line, 1, 20 * (pos % 4)) END)",
-    r"concat(CASE pos % 9 WHEN 0 THEN 'L(x) = \sum_i $a_i$ ' WHEN 1 THEN '\[ y = x + 1 \]' WHEN 2 THEN 'loss = max(a, b) ' WHEN 3 THEN '\begin{align} x \end{matrix} = 2' WHEN 4 THEN 'x = 1 + 2 - 3 * 4 / 5 ' WHEN 5 THEN 'Model formula 3' WHEN 6 THEN 'price \$5 = $x' ELSE '' END, CASE WHEN pos % 9 IN (1, 5) THEN '' ELSE substring(line, 1, 20 * (pos % 4)) END)",
+    r"concat(CASE pos % 9 WHEN 0 THEN 'L(x) = \\sum_i $a_i$ ' WHEN 1 THEN '\\[ y = x + 1 \\]' WHEN 2 THEN 'loss = max(a, b) ' WHEN 3 THEN '\\begin{align} x \\end{matrix} = 2' WHEN 4 THEN 'x = 1 + 2 - 3 * 4 / 5 ' WHEN 5 THEN 'Model formula 3' WHEN 6 THEN 'price \\$5 = $x' ELSE '' END, CASE WHEN pos % 9 IN (1, 5) THEN '' ELSE line END)",
+    r"concat(CASE pos % 9 WHEN 0 THEN 'L(x) = \sum_i $a_i$ ' WHEN 1 THEN '\[ y = x + 1 \]' WHEN 2 THEN 'loss = max(a, b) ' WHEN 3 THEN '\begin{align} x \end{matrix} = 2' WHEN 4 THEN 'x = 1 + 2 - 3 * 4 / 5 ' WHEN 5 THEN 'Model formula 3' WHEN 6 THEN 'price \$5 = $x' ELSE '' END, CASE WHEN pos % 9 IN (1, 5) THEN '' ELSE line END)",
 )))
 _FORMULAS = formulas.nested(_FORMULA_ROWS)
 

@@ -59,6 +59,15 @@ def _div(e: str) -> E:
     return E(e, e.replace("pos DIV 24", "pos // 24"))
 
 
+#: Lines with the first one of their document as its title; keys and words once a line.
+_TITLED_LINES = scoring.layered(
+    x("(SELECT doc_id, pos, page, line, first_value(line) OVER (PARTITION BY doc_id ORDER BY pos) AS title FROM <blocks> b)"),
+    [
+        {"body": T.paragraph(LINE), "name": T.paragraph(x("title"))}, {"body_key": T.letters_key(x("body")), "name_key": T.letters_key(x("name"))},
+        {"body_words": T.title_tokens(x("body"), x("body_key")), "name_words": T.title_tokens(x("name"), x("name_key"))},
+    ],
+)
+
 QUERIES = {
     "block_classes": _plan_over("doc_id, page, is_code, formula, is_table, is_diagram, useful_formula, artifact_type, labels, math, table_words", _PAGE_TEXT, blocks.LAYERS),
     "artifact_counts": Plan("SELECT artifact_type, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM <layers> q GROUP BY artifact_type", layers=scoring.layered(_PAGE_TEXT, blocks.LAYERS)),
@@ -75,10 +84,10 @@ QUERIES = {
         s=T.strip_metadata(LINE), m=T.is_publication_metadata(LINE),
     ),
     "title_headers": Plan(
-        "SELECT doc_id, pos, <h> AS header, <o> AS opening, <l> AS resource FROM (SELECT doc_id, pos, page, substring(line, 1, CAST(30 + pos % 60 AS INT)) AS line, substring(first_value(line) OVER (PARTITION BY doc_id ORDER BY pos), 1, 80) AS title FROM <blocks> b) q",
-        h=T.is_title_header(LINE, x("title"), x("page")), o=T.is_section_opening(LINE), l=T.is_resource_link(LINE),
+        "SELECT doc_id, pos, <h> AS header, <o> AS opening, <l> AS resource FROM <rows> q", rows=_TITLED_LINES, o=T.is_section_opening(LINE), l=T.is_resource_link(LINE),
+        h=T.is_title_header(x("body"), x("name"), x("page"), (x("body_key"), x("name_key"), x("body_words"), x("name_words"))),
     ),
-    "keyword_lists": Plan("SELECT doc_id, <k> AS keywords, <g> AS tags, <h> AS hint, <c> AS comparable FROM (SELECT doc_id, text AS line FROM documents) q", k=_listed(T.keywords(LINE), "|"), g=_listed(T.tags(LINE), "|"), h=T.section_hint(x("substring(line, 1, 60)")), c=T.comparable(LINE)),
+    "keyword_lists": Plan("SELECT doc_id, <k> AS keywords, <g> AS tags, <h> AS hint, <c> AS comparable FROM (SELECT doc_id, text AS line FROM documents) q", k=_listed(T.keywords(LINE), "|"), g=_listed(T.tags(LINE), "|"), h=T.section_hint(LINE), c=T.comparable(LINE)),
     "reference_tokens": Plan(
         "SELECT doc_id, <r> AS refs, <k> AS cue FROM (SELECT doc_id, concat(text, ' as Figure ', CAST(doc_id % 7 AS STRING), 'a, fig. 2 and FIG. 2; eq. (', CAST(doc_id % 3 AS STRING), ') see [1, 2]', CASE doc_id % 4 WHEN 0 THEN ' shown above' WHEN 1 THEN ' table' ELSE '' END) AS line FROM documents) q",
         r=_listed(T.reference_tokens(LINE), "|"), k=T.cue_kind(LINE),
@@ -92,7 +101,7 @@ QUERIES = {
     ),
     "nearest_artifact": Plan(
         "SELECT doc_id, pos, artifact, round(score, 6) AS score FROM (SELECT p.doc_id, p.pos, a.pos AS artifact, 1000 * abs(a.page - p.page) + <gap> + 0.12 * abs(a.w - p.w) / 2 AS score, row_number() OVER (PARTITION BY p.doc_id, p.pos ORDER BY 1000 * abs(a.page - p.page) + <gap> + 0.12 * abs(a.w - p.w) / 2, a.pos) AS rn FROM "
-        "(SELECT doc_id, pos, page, y, CAST(length(line) AS DOUBLE) AS w, <cue> AS kind FROM (SELECT doc_id, pos, page, y, concat(substring(line, 1, 50), CASE pos % 6 WHEN 0 THEN ' see the plot' WHEN 1 THEN ' this table' ELSE '' END) AS line FROM <blocks> b) t) p "
+        "(SELECT doc_id, pos, page, y, CAST(length(line) AS DOUBLE) AS w, <cue> AS kind FROM (SELECT doc_id, pos, page, y, concat(line, CASE pos % 6 WHEN 0 THEN ' see the plot' WHEN 1 THEN ' this table' ELSE '' END) AS line FROM <blocks> b) t) p "
         "JOIN (SELECT *, page + d AS near FROM <arts> t CROSS JOIN (SELECT -1 AS d UNION ALL SELECT 0 UNION ALL SELECT 1) ds) a ON a.doc_id = p.doc_id AND a.near = p.page AND a.kind = p.kind) r WHERE rn = 1",
         gap=x(_gap), cue=T.cue_kind(LINE), arts=x(_arts),
     ),

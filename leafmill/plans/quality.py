@@ -35,7 +35,7 @@ _PARAGRAPHS = t(
 )
 _ARTIFACTS = t(
     "(SELECT *, <conflict> AS conflict FROM (SELECT doc_id, source, doc_id % 5 <> 0 AS has_crop, doc_id % 7 <> 1 AS has_asset, CASE doc_id % 3 WHEN 0 THEN 'low' WHEN 1 THEN 'medium' ELSE 'high' END AS confidence, n_chars > 2000 AS oversized, CASE doc_id % 4 WHEN 0 THEN 'image' WHEN 1 THEN 'image-latex' ELSE 'latex' END AS render_mode, "
-    "<risks> AS latex_risks, CASE doc_id % 6 WHEN 0 THEN 'formula' WHEN 1 THEN 'code' WHEN 2 THEN 'figure-text' WHEN 3 THEN 'other' ELSE 'caption' END AS type, CASE doc_id % 8 WHEN 0 THEN 'formula' WHEN 1 THEN 'table' WHEN 2 THEN 'figure' ELSE '' END AS visual, substring(text, 1, 60) AS label, "
+    "<risks> AS latex_risks, CASE doc_id % 6 WHEN 0 THEN 'formula' WHEN 1 THEN 'code' WHEN 2 THEN 'figure-text' WHEN 3 THEN 'other' ELSE 'caption' END AS type, CASE doc_id % 8 WHEN 0 THEN 'formula' WHEN 1 THEN 'table' WHEN 2 THEN 'figure' ELSE '' END AS visual, text AS label, "
     "doc_id % 9 = 4 AS manual, doc_id % 10 = 3 AS split, doc_id % 11 = 2 AS hidden, doc_id % 2 = 0 AS in_context, doc_id % 12 = 5 AS pixel_refined, doc_id % 13 = 6 AS generated FROM documents) d)",
     risks=_RISKS, conflict=formulas.type_conflict(x("type"), x("visual"), x("label")),
 )
@@ -52,7 +52,7 @@ _SPOKEN = "(SELECT conv_id, turn, role, text, CASE WHEN role = 'system' THEN 'he
 
 _TITLE = T.section_hint(x("title"))
 _PLAN_ROWS = t(
-    "(SELECT doc_id, pos, <title> AS title, start_page, end_page, first_page, last_page FROM (SELECT doc_id, pos, CASE pos % 6 WHEN 0 THEN '1. Introduction' WHEN 1 THEN 'Method:' WHEN 2 THEN 'introduction' WHEN 3 THEN 'References' WHEN 4 THEN 'x' ELSE concat('Results ', substring(line, 1, 9)) END AS title, CASE WHEN pos % 5 = 4 THEN NULL ELSE page - pos % 2 END AS start_page, page + pos % 3 AS end_page, "
+    "(SELECT doc_id, pos, <title> AS title, start_page, end_page, first_page, last_page FROM (SELECT doc_id, pos, CASE pos % 6 WHEN 0 THEN '1. Introduction' WHEN 1 THEN 'Method:' WHEN 2 THEN 'introduction' WHEN 3 THEN 'References' WHEN 4 THEN 'x' ELSE concat('Results ', line) END AS title, CASE WHEN pos % 5 = 4 THEN NULL ELSE page - pos % 2 END AS start_page, page + pos % 3 AS end_page, "
     "min(page) OVER (PARTITION BY doc_id) AS first_page, max(page) OVER (PARTITION BY doc_id) AS last_page FROM <blocks> b) r)", title=_TITLE,
 )
 _PLANNED = t(
@@ -101,14 +101,14 @@ QUERIES = {
     ),
     "page_image": Plan("SELECT p.page_id, coalesce(p.image, i.image) AS image, CASE WHEN p.image IS NOT NULL THEN p.width ELSE coalesce(p.width, i.width) END AS width FROM (SELECT page_id, CASE WHEN page_id % 4 = 0 THEN url END AS image, CASE WHEN page_id % 3 = 0 THEN 900 END AS width FROM pages) p "
                        "LEFT JOIN (SELECT page_id, image, width FROM (SELECT page_id, concat('img-', CAST(page_id AS STRING)) AS image, 612 AS width, row_number() OVER (PARTITION BY page_id ORDER BY url) AS rn FROM pages WHERE page_id % 5 <> 0) f WHERE rn = 1) i ON p.page_id = i.page_id"),
-    "unique_ids": Plan("SELECT doc_id, pos, CASE WHEN rn = 1 THEN slug ELSE concat(slug, '-', CAST(rn AS STRING)) END AS id FROM (SELECT doc_id, pos, slug, row_number() OVER (PARTITION BY doc_id, slug ORDER BY pos) AS rn FROM (SELECT doc_id, pos, <slug> AS slug FROM <blocks> b) s) r", slug=T.slug(x("substring(line, 1, 12)"))),
-    "markdown_escape": Plan("SELECT doc_id, pos, <e> AS escaped FROM (SELECT doc_id, pos, concat('a*b_[c](d) #1 ', substring(line, 1, 40)) AS line FROM <blocks> b) s", e=checks.escape_markdown(x("line"))),
+    "unique_ids": Plan("SELECT doc_id, pos, CASE WHEN rn = 1 THEN slug ELSE concat(slug, '-', CAST(rn AS STRING)) END AS id FROM (SELECT doc_id, pos, slug, row_number() OVER (PARTITION BY doc_id, slug ORDER BY pos) AS rn FROM (SELECT doc_id, pos, <slug> AS slug FROM <blocks> b) s) r", slug=T.slug(x("line"))),
+    "markdown_escape": Plan("SELECT doc_id, pos, <e> AS escaped FROM (SELECT doc_id, pos, concat('a*b_[c](d) #1 ', line) AS line FROM <blocks> b) s", e=checks.escape_markdown(x("line"))),
     "visual_types": Plan("SELECT page_id, <v> AS visual FROM (SELECT page_id, CASE page_id % 8 WHEN 0 THEN ' Chart' WHEN 1 THEN 'equation' WHEN 2 THEN 'LISTING' WHEN 3 THEN 'table' WHEN 4 THEN 'map' WHEN 5 THEN NULL WHEN 6 THEN 'fig' ELSE 'code' END AS name FROM pages) p", v=checks.visual_type(x("name"))),
     "items_by_page": Plan(
         "SELECT conv_id, turn FROM (SELECT conv_id, turn, page, lo, hi, sum(CASE WHEN page IS NULL OR page BETWEEN lo AND hi THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id) AS n_in FROM (SELECT conv_id, turn, CASE WHEN turn % 4 = 3 AND conv_id % 2 = 0 THEN NULL ELSE turn END AS page, 2 + conv_id % 7 AS lo, 4 + conv_id % 7 AS hi FROM conversations) c) q WHERE n_in = 0 OR page IS NULL OR page BETWEEN lo AND hi",
     ),
     "window_state": Plan(
-        f"SELECT conv_id, turn, <title> AS active_title, <sums> AS summaries FROM (SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN substring(text, 1, 24) END AS title, concat('p. ', CAST(turn AS STRING), ': ', substring(text, 1, 20)) AS summary FROM {_SPOKEN} s) q",
+        f"SELECT conv_id, turn, <title> AS active_title, <sums> AS summaries FROM (SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN text END AS title, concat('p. ', CAST(turn AS STRING), ': ', text) AS summary FROM {_SPOKEN} s) q",
         title=E("coalesce(last(title, true) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), '')", "coalesce(last_value(title IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), '')"),
         sums=E("array_join(collect_list(summary) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 3 PRECEDING AND CURRENT ROW), ' / ')", "string_agg(summary, ' / ') OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 3 PRECEDING AND CURRENT ROW)"),
     ),

@@ -57,7 +57,7 @@ QUERIES = {
     "neighbour_context": Plan("SELECT conv_id, turn, lag(turn, 1) OVER w AS prev_1, lag(turn, 2) OVER w AS prev_2, lag(turn, 3) OVER w AS prev_3, lead(turn, 1) OVER w AS next_1 FROM conversations WHERE role <> 'system' WINDOW w AS (PARTITION BY conv_id ORDER BY turn)"),
     "rows_window": Plan("SELECT conv_id, turn, n_near, chars_near FROM (SELECT conv_id, turn, role, count(*) OVER w AS n_near, CAST(sum(length(text)) OVER w AS BIGINT) AS chars_near FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)) r WHERE role = 'assistant'"),
     "section_runs": Plan("SELECT conv_id, run, min(turn) AS first_turn, count(*) AS n FROM (SELECT conv_id, turn, sum(CASE WHEN p IS NULL OR p <> role THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run FROM (SELECT conv_id, turn, role, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS p FROM conversations) a) b GROUP BY conv_id, run".replace("conv_id, run, min", "conv_id, CAST(run AS BIGINT) AS run, min")),
-    "first_wins_dedupe": Plan("SELECT source, doc_id, pos, k FROM (SELECT source, doc_id, pos, k, row_number() OVER (PARTITION BY source, k ORDER BY doc_id, pos) AS rn FROM (SELECT source, doc_id, pos, substring(line, 1, 160) AS k FROM <blocks> b) s) r WHERE rn = 1"),
+    "first_wins_dedupe": Plan("SELECT source, doc_id, pos, k FROM (SELECT source, doc_id, pos, k, row_number() OVER (PARTITION BY source, k ORDER BY doc_id, pos) AS rn FROM (SELECT source, doc_id, pos, <key> AS k FROM <blocks> b) s) r WHERE rn = 1", key=T.dedupe_key(x("'paragraph'"), x("page"), x("line"))),
     "exact_duplicate_docs": Plan("SELECT substring(sha1(text), 1, 24) AS digest, min(doc_id) AS first_doc, count(*) AS n FROM documents GROUP BY substring(sha1(text), 1, 24)"),
     "running_renumber": Plan("SELECT doc_id, pos, row_number() OVER (PARTITION BY doc_id ORDER BY page, y, pos) - 1 AS ord, CAST(round(100.0 * row_number() OVER (PARTITION BY doc_id ORDER BY page, y, pos) / count(*) OVER (PARTITION BY doc_id)) AS BIGINT) AS percent FROM <blocks> b WHERE length(line) >= 20"),
     "section_ends": Plan("SELECT doc_id, start_pos, coalesce(lead(start_pos) OVER (PARTITION BY doc_id ORDER BY start_pos) - 1, last_pos) AS end_pos FROM (SELECT doc_id, pos AS start_pos, max(pos) OVER (PARTITION BY doc_id) AS last_pos, length(line) AS n FROM <blocks> b) s WHERE n < 60"),

@@ -32,7 +32,7 @@ QUERIES = {
     ),
     "text_edges": Plan(
         "SELECT doc_id, pos, <t> AS truncated, <e> AS escaped, <j> AS joined FROM (SELECT doc_id, pos, line, coalesce(lead(line) OVER (PARTITION BY doc_id ORDER BY pos), '') AS nxt FROM <blocks> b) w",
-        t=T.truncate(LINE, 60), e=T.escape_xml(T.truncate(LINE, 100)), j=T.truncate(T.join_fragments(x("concat(substring(line, 1, 20), '-')"), x("lower(nxt)")), 80),
+        t=T.truncate(LINE, 60), e=T.escape_xml(T.truncate(LINE, 100)), j=t("sha1(<v>)", v=T.join_fragments(x("concat(line, '-')"), x("lower(nxt)"))),
     ),
     "script_counts": Plan("SELECT doc_id, " + ", ".join(f"<{k}> AS {k}" for k in _scripts) + " FROM documents", **T.script_counts(T.TEXT)),
     "lang_detect": Plan(
@@ -52,7 +52,7 @@ QUERIES = {
     ),
     "label_parse": Plan(
         "SELECT doc_id, <a> AS figure, <b> AS tab, <c> AS equation, <d> AS none FROM documents",
-        a=T.label_key(x("concat('Fig. ', CAST(doc_id % 9 AS STRING), '(b) ', substring(text, 1, 20))")), b=T.label_key(x("concat('TABLE ', CAST(doc_id % 5 AS STRING), ': ', text)")), c=T.label_key(x("concat('Equation (', CAST(doc_id % 7 AS STRING), ')')")), d=T.label_key(T.TEXT),
+        a=T.label_key(x("concat('Fig. ', CAST(doc_id % 9 AS STRING), '(b) ', text)")), b=T.label_key(x("concat('TABLE ', CAST(doc_id % 5 AS STRING), ': ', text)")), c=T.label_key(x("concat('Equation (', CAST(doc_id % 7 AS STRING), ')')")), d=T.label_key(T.TEXT),
     ),
     "headings": Plan("SELECT doc_id, pos, <h> AS heading, <r> AS reading FROM <blocks> b", h=T.is_heading(LINE), r=t("(length(<c>) >= 20 AND NOT <h> AND NOT <t>)", c=T.collapse(LINE), h=T.is_heading(LINE), t=T.is_references_title(LINE))),
     "markdown_export": Plan(
