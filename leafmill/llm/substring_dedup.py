@@ -1,4 +1,7 @@
-"""Substring dedup by relative Lempel-Ziv parsing against an index of the corpus' repeated phrases.
+"""Substring dedup by counting anchored phrases, with the factors of a relative Lempel-Ziv parse as a report.
+
+What is removed follows from the counts of phrases and windows alone. The factors show to which earlier text a repeated
+passage refers; they replace the word-by-word parse, whose matches begin and end up to a phrase further out.
 
 The reference is the corpus itself with every repeated phrase once. Of each window of `WINDOW` words
 the 12-word gram with the least hash (the leftmost of equals) is its anchor, so equal windows have

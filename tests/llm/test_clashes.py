@@ -7,7 +7,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from leafmill.llm import chat_format, common, components, decontaminate, language_id, line_dedup, lm_score, mixing, ngram_join, quality_rules, substring_dedup, url_filter
+from leafmill.llm import chat_format, common, components, decontaminate, divergence_audit, language_id, line_dedup, lm_score, mixing, ngram_join, quality_rules, substring_dedup, url_filter
 
 TEXT = " ".join(f"w{i % 37}" for i in range(200))
 DOCS = [(i, f"{TEXT} x{i}" if i % 3 else TEXT, "en" if i % 2 else "fr", f"s{i % 3}", 100) for i in range(12)] + [(50, None, None, None, None), (None, "a b", None, None, None), (51, "", "en", "s", 0), (3, TEXT, "en", "s0", 100)]
@@ -22,6 +22,7 @@ ON_DOCS = {
     "mixing": (mixing, lambda d, b: mixing.mixed_documents(d)),
     "line_dedup": (line_dedup, lambda d, b: line_dedup.dedup_lines(d)),
     "language_id": (language_id, lambda d, b: language_id.predict(d, language_id.train(d))),
+    "divergence_audit": (divergence_audit, lambda d, b: divergence_audit.audit(d, least_docs=2)),
     "quality_rules": (quality_rules, lambda d, b: quality_rules.apply_policy(quality_rules.ledger(d))),
 }
 
