@@ -1,7 +1,7 @@
 """Audit of how far the sources of a language diverge, by tiles of group blocks.
 
 A group is a (lang, source). Documents are counted into (lang, source, term) rows with occurrences and
-documents at once, by partial aggregation; a language keeps the terms in at least `least_docs` of its
+documents at once: tasks count the bytes of Arrow batches and hand on partial counts, an aggregation sums them; a language keeps the terms in at least `least_docs` of its
 documents. Groups are numbered within a language and cut into blocks of `block_groups`; kept terms are
 dealt by hash to vocabulary chunks of about `chunk_terms`. One packed row holds the counts of a block
 of groups in one chunk. Each packed row is replicated to the tiles (block, other block) that it takes
@@ -24,6 +24,7 @@ texts of any length are counted whole; an empty table gives an empty result; oth
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,9 +33,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import ascii_lower, materialize, read
+from leafmill.llm.common import materialize, read, small_batches
 
-TERM = "[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
+#: Bytes of text: terms are runs of letters and of bytes beyond ASCII (all of a character's bytes are), A-Z in lower case; all else is a space.
+_PLAIN = bytes(c + 32 if 0x41 <= c <= 0x5A else c if c >= 0x80 or 0x61 <= c <= 0x7A else 0x20 for c in range(256))
+#: Terms that a task's partial counts hold at most (but for one batch), rows handed on at once, and bytes of a text that are cut into terms at once.
+HELD_TERMS, OUT_ROWS, PIECE = 300_000, 20_000, 4 << 20
 LEAST_DOCS, TOP, BILLION = 10, 10, 1_000_000_000
 BLOCK_GROUPS, CHUNK_TERMS, SPAN_CHUNKS = 32, 8192, 16
 
@@ -42,10 +46,47 @@ BLOCK_GROUPS, CHUNK_TERMS, SPAN_CHUNKS = 32, 8192, 16
 def count_terms(docs: DataFrame, *, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """(lang, source, term) with n (occurrences) and docs (documents that hold it)."""
     blank = lambda c, name: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(name)
-    slim = docs.select(blank(lang, "lang"), blank(source, "source"), F.sort_array(F.regexp_extract_all(ascii_lower(F.coalesce(F.col(text), F.lit(""))), F.lit(TERM), F.lit(0))).alias("ts"))
-    firsts = F.transform("ts", lambda t, i: F.struct(t.alias("term"), ((i == 0) | (F.get("ts", i - 1) != t)).cast("int").alias("new")))
-    each = slim.select("lang", "source", F.explode(firsts).alias("t"))
-    return each.groupBy("lang", "source", "t.term").agg(F.count("*").alias("n"), F.sum("t.new").alias("docs"))
+    small_batches(docs.sparkSession)
+    slim = docs.select(blank(lang, "lang"), blank(source, "source"), F.make_valid_utf8(F.coalesce(F.col(text).cast("string"), F.lit(""))).cast("binary").alias("text"))
+    parts = slim.mapInArrow(_counted, "lang string, source string, term string, n long, docs long")
+    return parts.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+
+
+def _pieces(text: bytes) -> Iterator[list[bytes]]:
+    """Terms of a text, of about PIECE bytes of it at a time."""
+    flat, at = text.translate(_PLAIN), 0
+    while at < len(flat):
+        end = flat.find(b" ", at + PIECE) if len(flat) - at > PIECE else -1
+        end = len(flat) if end < 0 else end
+        yield flat[at:end].split()
+        at = end
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Partial counts of lang, source, text (bytes): what a task has counted is handed on when it holds HELD_TERMS."""
+    held: dict[tuple[str, str], tuple[Counter, Counter]] = {}
+
+    def flushed() -> Iterator[pa.RecordBatch]:
+        for (lang, source), (n, docs) in held.items():
+            terms = list(n)
+            for at in range(0, len(terms), OUT_ROWS):
+                part = terms[at : at + OUT_ROWS]
+                same = [pa.repeat(pa.scalar(v, pa.string()), len(part)) for v in (lang, source)]
+                found = [pa.array([of[w] for w in part], pa.int64()) for of in (n, docs)]
+                yield pa.RecordBatch.from_arrays([*same, pa.array(part, pa.binary()).cast(pa.string()), *found], names=["lang", "source", "term", "n", "docs"])
+        held.clear()
+
+    for b in batches:
+        for lang, source, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            n, docs = held.get((lang, source)) or held.setdefault((lang, source), (Counter(), Counter()))
+            seen: set[bytes] = set()
+            for terms in _pieces(text):
+                n.update(terms)
+                seen.update(terms)
+            docs.update(seen)
+        if sum(len(n) + 1 for n, _ in held.values()) > HELD_TERMS:
+            yield from flushed()
+    yield from flushed()
 
 
 def per_billion(count: Column, whole: Column) -> Column:

@@ -81,3 +81,26 @@ def test_query_is_its_sql(spark):
     got = da.op12_divergence_audit(spark, path)
     assert Counter(tuple(x[n] for n in names) for x in got.collect()) == Counter(r.fetchall()) and got.schema["rank"].dataType.simpleString() == "int"
     drop_scratch()
+
+
+def test_terms_are_counted_before_they_are_rows(spark, monkeypatch):
+    """No row for each occurrence in the plan; partial counts of pieces and flushes add up."""
+    texts = ["Ab ab.AB é", "éa b" * 50, None, "", "1_2", "x" * 40, "日本 É É"]
+    df = spark.createDataFrame([(i, v, "en", None) for i, v in enumerate(texts)], DOCS)
+    assert "Generate" not in da.count_terms(df)._jdf.queryExecution().executedPlan().toString()
+    want, held = Counter(), Counter()
+    for v in texts:
+        words = re.findall("[^\x00-\x40\x5b-\x60\x7b-\x7f]+", (v or "").translate({i: i + 32 for i in range(65, 91)}))
+        want.update(words)
+        held.update(set(words))
+    monkeypatch.setattr(da, "PIECE", 7)
+    monkeypatch.setattr(da, "HELD_TERMS", 2)
+    monkeypatch.setattr(da, "OUT_ROWS", 2)
+    n, docs = Counter(), Counter()
+    for v in texts:
+        one = da.pa.RecordBatch.from_arrays([da.pa.array(["en"]), da.pa.array([""]), da.pa.array([(v or "").encode()])], names=["lang", "source", "text"])
+        for b in da._counted(iter([one])):
+            for r in b.to_pylist():
+                n[r["term"]] += r["n"]
+                docs[r["term"]] += r["docs"]
+    assert (n, docs) == (want, held) and {(r.term, r.n, r.docs) for r in da.count_terms(df).collect()} == {(w, want[w], held[w]) for w in want}
