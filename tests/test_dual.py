@@ -33,3 +33,9 @@ def test_places_are_told_apart_quickly():
     assert D.count(raw, r"(?i)[A-Z]+@[A-Z]+").s.startswith("(CASE WHEN NOT contains(raw, '@') THEN 0")
     assert D.matches(raw, T.VENUE_DATE_PLACE).s.startswith("((raw rlike '[0-9]') AND ")
     assert D.matches(raw, "a=b|c").s == "(raw rlike r'(?=[ac])(?:a=b|c)')"
+
+
+def test_noise_of_merged_text_is_searched_by_need():
+    """The folds judge the text merged so far at every fragment: e-mails and links are looked for only where their signs are."""
+    noise = merging.is_noise(D.x("a.cur.text"), D.x("a.cur.page")).s
+    assert "contains(clean, '@')" in noise and "contains(a.cur.text, ':')" in noise
