@@ -25,8 +25,8 @@ FILLED = t(
 _KEYED = t("(SELECT *, first_value(line) OVER (PARTITION BY doc_id ORDER BY pos) AS title, <key> AS rep FROM <filled> f)", key=T.repeated_key(LINE), filled=FILLED)
 _ONCE = t("(SELECT *, CASE WHEN rep <> '' AND row_number() OVER (PARTITION BY doc_id, rep, page ORDER BY pos) = 1 THEN 1 ELSE 0 END AS once FROM <keyed> k)", keyed=_KEYED)
 _ROWS = t(
-    "(SELECT doc_id, source, pos, line AS raw, 1 AS n_lines, page, y, hint, title, sum(once) OVER (PARTITION BY doc_id, rep) AS n_pages, page BETWEEN 9 AND 12 AS in_zone, page % 5 = 0 AND y BETWEEN 36 AND 71 AS covered, <note> AS suppressed FROM <once> k)",
-    once=_ONCE, note=context.any_note(x("page"), T.collapse(LINE), _NOTES),
+    "(SELECT doc_id, source, pos, line AS raw, 1 AS n_lines, page, y, hint, title, sum(once) OVER (PARTITION BY doc_id, rep) AS n_pages, page BETWEEN 9 AND 12 AS in_zone, page % 5 = 0 AND y BETWEEN 36 AND 71 AS covered, <note> AS suppressed FROM <told> k)",
+    told=E(f"(SELECT *, {T.collapse(LINE).s} AS told FROM {_ONCE.s} o)", _ONCE.d), note=context.any_note(x("page"), E("told", T.collapse(LINE).d), _NOTES),
 )
 _JUDGED = context.nested(_ROWS)
 # OUTER: else the whole list would be computed a second time, as a filter before it is made

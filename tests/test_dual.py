@@ -39,3 +39,25 @@ def test_noise_of_merged_text_is_searched_by_need():
     """The folds judge the text merged so far at every fragment: e-mails and links are looked for only where their signs are."""
     noise = merging.is_noise(D.x("a.cur.text"), D.x("a.cur.page")).s
     assert "contains(clean, '@')" in noise and "contains(a.cur.text, ':')" in noise
+
+
+@pytest.mark.parametrize("p", [r"(?i)\b(?:data\s+type|data|type|dog|end\s+for|end|ei)\b", r"\b(?:in|int|into|is|a)(?:s|to)?\b", r"(?i)\b(?:for|Forest|fo|x)\b", r"(?:ab|a|b|c)+"])
+def test_words_by_their_first_letters_find_the_same(spark, p):
+    texts = ["data type, data  TYPE database data", "end for ends end dog ei e", "into ints in int intos isto a", "FOREST for fo forests x", "aabbcab", "", None]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(texts)], "i int, v string")
+    plain = D._spelled(p).replace(r"\b", LOOK)
+    assert [r for r in df.selectExpr(f"regexp_replace(v, r'{plain}', '<$0>') AS a", f"{D.replace(D.x('v'), p, '<$0>').s} AS b").collect() if r.a != r.b] == []
+
+
+def test_words_are_tried_by_their_first_letters():
+    assert D._parsed(r"\b(?:agent|ai|token|x)\b").spark.endswith("(?:a(?:gent|i)|token|x)(?!\\w)")
+    assert "c(?:hunk|o(?:ntroller|arse|de))" in D._parsed(blocks.DIAGRAM).spark
+
+
+def test_a_computed_text_is_computed_once():
+    """What a rule reads often is one value: the collapsed text of a note's rule, a key and a cleaned line."""
+    from leafmill.plans import context as plans
+
+    assert plans._ROWS.s.count(T.collapse(plans.LINE).s) <= 4
+    for e in (T.strip_metadata(T.TEXT), T.repeated_key(T.TEXT), T.is_publication_metadata(T.paragraph(T.TEXT))):
+        assert e.s.count("regexp_replace(text, ") <= 2, e.s
