@@ -13,6 +13,8 @@ first fragment of a paragraph; an empty table gives an empty result; columns oth
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -29,11 +31,11 @@ def fingerprints(paragraphs: DataFrame, key: list[str]) -> DataFrame:
     return free.groupBy(*key).agg(F.concat_ws(":", F.count("*").cast("string"), F.bit_xor(one).cast("string"), F.sum(F.pmod(one, F.lit(1 << 31))).cast("string")).alias("fingerprint"))
 
 
-def repair(paragraphs: DataFrame, plan: DataFrame, zone: DataFrame, key: list[str], last: DataFrame | None = None) -> DataFrame:
+def repair(paragraphs: DataFrame, plan: DataFrame, zone: DataFrame, key: list[str], last: DataFrame | None = None, write: Callable[[DataFrame, str], DataFrame] = lambda df, name: df) -> DataFrame:
     """paragraphs (key, id, ord, kind, page, page_end, text, hidden, manual) with status, numbered anew in order.
 
     status: same, changed, hidden (by this repair), and untouched (hidden or manual before, or a document whose fingerprint, in last, still holds).
-    plan and zone: as of segmentation.planned_sections.
+    plan and zone: as of segmentation.planned_sections. write: makes a table of the kept paragraphs, which are read twice, and reads it back.
     """
     flags = {c: F.coalesce(F.col(c), F.lit(False)) for c in ("hidden", "manual")}
     rows = paragraphs.select(*key, "id", F.col("ord").cast("long").alias("ord"), "kind", F.col("page").cast("long").alias("page"), F.coalesce("page_end", "page").cast("long").alias("page_end"), F.coalesce("text", F.lit("")).alias("text"), *[v.alias(c) for c, v in flags.items()])
@@ -42,7 +44,7 @@ def repair(paragraphs: DataFrame, plan: DataFrame, zone: DataFrame, key: list[st
         fresh = fingerprints(rows, key).join(last.withColumnRenamed("fingerprint", "_last"), key, "left").filter("_last IS NULL OR _last <> fingerprint").select(*key, F.lit(True).alias("_fresh"))
         rows = rows.join(fresh, key, "left").withColumn("free", F.col("free") & F.coalesce("_fresh", F.lit(False))).drop("_fresh")
     free, still = rows.filter("free"), rows.filter("NOT free")
-    kept = segmentation.kept_paragraphs(free.select(*key, "ord", *CONTENT), plan, zone, key)
+    kept = write(segmentation.kept_paragraphs(free.select(*key, "ord", *CONTENT), plan, zone, key), "kept")
     merged = segmentation.merge_paragraphs(kept, key, scored=True)
     before = free.select(*key, "ord", "id", F.col("text").alias("_text"), F.col("page").alias("_page"), F.col("page_end").alias("_end"), F.col("kind").alias("_kind"))
     same = (F.col("text") == F.col("_text")) & (F.col("page") == F.col("_page")) & (F.col("page_end") == F.col("_end")) & (F.col("kind") == F.col("_kind"))

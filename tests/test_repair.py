@@ -48,3 +48,17 @@ def test_a_second_run_changes_nothing(spark, rows):
 def test_empty(spark):
     empty = spark.createDataFrame([], STORED)
     assert run(spark, empty).collect() == [] and repair.fingerprints(empty, ["doc"]).collect() == []
+
+
+def test_kept_paragraphs_are_written_once(spark, rows, tmp_path):
+    """They are merged, and what isn't among them is hidden: both read one table."""
+    pages = spark.createDataFrame([("a", 1, "1 Introduction\ntext"), ("a", 2, "more")], "doc string, page long, text string")
+    df, names = spark.createDataFrame(rows, STORED), []
+
+    def write(kept, name):
+        names.append(name)
+        kept.write.parquet(f"{tmp_path}/{name}")
+        return spark.read.parquet(f"{tmp_path}/{name}")
+
+    got = repair.repair(df, *segmentation.planned_sections(pages, ["doc"]), ["doc"], write=write)
+    assert names == ["kept"] and listed(got) == listed(run(spark, df))

@@ -42,3 +42,13 @@ def test_reuse_of_results(spark):
     assert sorted(r.id for r in providers.unanswered(rows, stored, "id", "fp").collect()) == [2, 3]
     new = spark.createDataFrame([(2, "f2", "Y", "done"), (1, "f9", None, "error")], "id long, fp string, answer string, status string")
     assert sorted(tuple(r) for r in providers.latest_results(stored, new, "id").collect()) == [(1, "f1", "x"), (2, "f2", "Y")]
+
+
+def test_references_titles_are_found_behind_the_quick_look(spark):
+    from leafmill.functions import text as T
+    from leafmill.functions.dual import x
+
+    texts = ["References", "7. REFERENCES :", " 3.1  Bibliography.", "参考文献：", "References and notes", "Reference s", "see references", "9 References", "", None, "1 2 References"]
+    got = [r.v for r in spark.createDataFrame([(v,) for v in texts], "c string").select(T.is_references_title(x("c")).col().alias("v")).collect()]
+    assert got == [True, True, True, True, False, False, False, True, False, None, False]
+    assert T.is_references_title(x("c")).s.count("regexp_replace(c,") <= 1
