@@ -9,10 +9,11 @@ groups of `index_stride` rows by the least and greatest doc_id of each and by th
 The start of a document in the whole sequence is the sum of what the parts before hold (one row a
 part, the only thing that meets in one task and is broadcast) plus its start in its own part.
 
-Encoding is the library's own, by words: a text can be cut before each space between two
-characters that are no white space, as a byte-level pre-tokenizer starts a piece there whatever stands
-around. The words of a batch that a worker doesn't know yet are joined and encoded by the library in
-groups, and remembered, MOST_WORDS of them at most. Texts that hold an added token's string, and tokenizers of another kind, go
+Encoding is the library's own, by pieces: a text can be cut before a space or line break between two
+characters that are no white space, and between a letter and a mark, as a byte-level pre-tokenizer starts
+a piece there whatever stands around. Places to cut are found in the bytes of a whole Arrow batch, whose pieces Arrow
+tells apart. The distinct pieces that a worker doesn't know yet are joined and encoded by the library in groups,
+and remembered, MOST_WORDS of them at most. Texts that hold an added token's string, and tokenizers of another kind, go
 through the library whole.
 
 Edge cases: a null or empty text has no ids but the end id; null doc_ids stand first; rows with equal
@@ -27,9 +28,11 @@ import json
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -43,8 +46,10 @@ STRIPE_BYTES, INDEX_STRIDE, FALSE_HITS = 16 << 20, 1000, 0.01
 CHECK_ROWS = 100
 #: Packed ids hardly shrink any further; a fast codec does.
 COMPRESSION = "snappy"
-#: Words that a worker remembers at most, the longest it remembers, in characters, and how many it encodes at once.
+#: Pieces that a worker remembers at most, the longest it remembers, in bytes, and how many it encodes at once.
 MOST_WORDS, MOST_CHARS, GROUP = 800_000, 64, 100
+#: Documents encoded at once: the more, the fewer lookups of the same piece.
+BATCH_ROWS = 1024
 SCHEMA = "doc_id long, part int, start_in_part long, end_in_part long, ids array<int>"
 
 
@@ -59,107 +64,145 @@ def tokenizer_path(name: str) -> str:
 
 #: How byte-level vocabularies write a space.
 SPACE = "\u0120"
-#: Marks that no letter before them goes together with, and letters that every version of Unicode takes for such.
-MARKS, LAST_LETTER = ".,;:!?)\"'#$%&*|<>", "\u0250"
-_CUT = re.compile(r"(?<=\S) (?=\S)")
+#: Marks that no letter before them goes together with.
+MARKS = ".,;:!?)\"'#$%&*|<>"
+#: Kinds of bytes: white space, ASCII letters, marks, first bytes of two that make a letter (but for SIGNS), first bytes of what may be white space.
+WHITE, LETTER, MARK, LATIN, WIDE = range(1, 6)
+KIND = np.zeros(256, np.uint8)
+KIND[list(b"\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f ")] = WHITE
+KIND[[*range(65, 91), *range(97, 123)]] = LETTER
+KIND[list(MARKS.encode())] = MARK
+KIND[0xC3:0xC9] = LATIN
+KIND[[0xC2, 0xE1, 0xE2, 0xE3]] = WIDE
+SIGNS = np.array([int.from_bytes(c.encode()) for c in "\u00d7\u00f7"])
+WIDE_2 = np.array([int.from_bytes(c.encode()) for c in "\x85\xa0"])
+WIDE_3 = np.array([int.from_bytes(c.encode()) for c in "\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"])
 
 
 def _bytes(ids: list[int]) -> bytes:
     return np.array(ids, np.int32).tobytes()
 
 
+def cut_places(a: np.ndarray) -> np.ndarray:
+    """Where UTF-8 text (bytes) can be cut, as a mask of the bytes that begin a piece.
+
+    That is before a space or line break between two characters that are no white space, and between a letter
+    and a mark: there a byte-level pre-tokenizer ends a piece and starts another whatever stands around.
+    """
+    cut = np.zeros(len(a), bool)
+    if len(a) < 2:
+        return cut
+    kind = KIND[a]
+    solid = kind != WHITE
+    wide = np.flatnonzero(kind == WIDE)
+    if len(wide):
+        two = a[wide].astype(np.int64) << 8 | a[np.minimum(wide + 1, len(a) - 1)]
+        three = two << 8 | a[np.minimum(wide + 2, len(a) - 1)]
+        of_two, of_three = wide[np.isin(two, WIDE_2)], wide[np.isin(three, WIDE_3)]
+        for at in (of_two, of_two + 1, of_three, of_three + 1, of_three + 2):
+            solid[at] = False
+    letter = kind == LETTER
+    latin = np.flatnonzero(kind[:-1] == LATIN)
+    letter[latin + 1] = ~np.isin(a[latin].astype(np.int64) << 8 | a[latin + 1], SIGNS)
+    cut[1:-1] = ((a[1:-1] == 0x20) | (a[1:-1] == 0x0A)) & solid[:-2] & solid[2:]
+    cut[1:] |= (kind[1:] == MARK) & letter[:-1]
+    return cut
+
+
 class Encoder:
-    """Texts to ids as bytes (int32). `known` holds the ids of words with the space before them, `bare` those of others."""
+    """Texts to ids as bytes (int32). `known` holds the ids of pieces (UTF-8, with the space or line break before them)."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         with open(path) as f:
             spec = json.load(f)
-        self.whole, self.known, self.bare = Tokenizer.from_file(path), {}, {}
+        self.whole, self.known = Tokenizer.from_file(path), {}
         pre = spec.get("pre_tokenizer") or {}
-        self.by_word = not any(spec.get(k) for k in ("normalizer", "truncation", "padding")) and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
+        self.added = [x["content"] for x in spec.get("added_tokens") or []]
+        self.by_piece = not any(spec.get(k) for k in ("normalizer", "truncation", "padding")) and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not any(map(re.compile(r"\s").search, self.added))
         vocab = self.whole.get_vocab()
         self.spaced = np.zeros(1 + max(vocab.values()), bool)
         self.spaced[[i for token, i in vocab.items() if token.startswith(SPACE)]] = True
-        added = [x["content"] for x in spec.get("added_tokens") or []]
-        self.breaks = self.plain("\n")
-        self.break_id = np.frombuffer(self.breaks, np.int32)[0] if self.breaks else -1
-        self.added = re.compile("|".join(map(re.escape, added))) if added else None
+        breaks = self.plain("\n")
+        self.break_id = np.frombuffer(breaks, np.int32)[0] if len(breaks) == 4 else -1
+        self.by_piece = self.by_piece and self.break_id >= 0
 
     def plain(self, text: str) -> bytes:
         return _bytes(self.whole.encode(text, add_special_tokens=False).ids)
 
-    def learn(self, words: list[str]) -> None:
-        """Words that end in marks, or hold line breaks, are put together from what lies between, so that fewer are encoded."""
-        whole, marked, broken = [], [], []
-        for w in words:
-            if "\n" in w:
-                cut = self.cut(w)
-                if cut:
-                    broken.append((w, cut))
-                    continue
-            elif w[-1] in MARKS and (core := w.rstrip(MARKS)) and core[-1] < LAST_LETTER and core[-1].isalpha():
-                marked.append((w, core, w[len(core) :]))
-                continue
-            whole.append(w)
-        new = lambda found, known: [w for w in found if w not in known]
-        self.encode_between(" ", new({*whole, *(core for _, core, _ in marked), *(c[0][0] for _, c in broken)}, self.known), self.known)
-        self.encode_between("\n", new({line for _, c in broken for line, _ in c[1:]}, self.bare), self.bare)
-        self.bare.update((tail, self.plain(tail)) for tail in new({tail for _, _, tail in marked} | {tail for _, c in broken for _, tail in c}, self.bare))
-        known, bare = self.known, self.bare
-        for w, core, tail in marked:
-            known[w] = known[core] + bare[tail]
-        for w, ((first, tail), *rest) in broken:
-            known[w] = known[first] + bare[tail] + b"".join([self.breaks + bare[line] + bare[t] for line, t in rest])
-
-    def cut(self, word: str) -> list[tuple[str, str]] | None:
-        """Lines of a word, each as what ends in a letter and the marks behind it; None if it can't be cut there."""
-        lines = word.split("\n")
-        if not all(line and line.strip() == line for line in lines):
-            return None
-        cores = [line.rstrip(MARKS) for line in lines]
-        return [(c, line[len(c) :]) if c and c[-1] < LAST_LETTER and c[-1].isalpha() else (line, "") for c, line in zip(cores, lines, strict=True)]
-
-    def encode_between(self, mark: str, words: list[str], known: dict[str, bytes]) -> None:
-        """Encode words GROUP at a time as one text, each after mark: by their own space, or by a line break that isn't theirs."""
-        own = mark == " "
-        for at in range(0, len(words), GROUP):
-            group = words[at : at + GROUP]
-            (e,) = self.whole.encode_batch_fast([mark + mark.join(group)], add_special_tokens=False)
-            ids = np.array(e.ids, np.int32)
-            cuts = [*(4 * np.flatnonzero(self.spaced[ids] if own else ids == self.break_id)).tolist(), 4 * len(ids)]
-            flat = ids.tobytes()
-            for w, i, j in zip(group, cuts[:-1], cuts[1:], strict=True):
-                known[w] = flat[i:j] if own else flat[i + 4 : j]
+    def learn(self, pieces: list[bytes], alone: set[bytes]) -> dict[bytes, bytes]:
+        """Ids of pieces. Those without white space but at their start are encoded together, the others and `alone` one by one."""
+        found, spaced, broken, bare = {}, [], [], []
+        for p in pieces:
+            text = p.decode()
+            kind = spaced if text[0] == " " else broken if text[0] == "\n" else bare
+            if text.split() == [text if kind is bare else text[1:]] and p not in alone:
+                kind.append(p)
+            else:
+                found[p] = self.plain(text)
+        for kind, mark in ((spaced, b""), (broken, b""), (bare, b"\n")):
+            for at in range(0, len(kind), GROUP):
+                self.encode_together(kind[at : at + GROUP], mark, found)
+        return found
+
+    def encode_together(self, pieces: list[bytes], mark: bytes, found: dict[bytes, bytes]) -> None:
+        """Encode pieces as one text, each by its own space or line break, or after a mark (a line break) that isn't its own."""
+        (e,) = self.whole.encode_batch_fast([(mark + mark.join(pieces)).decode()], add_special_tokens=False)
+        ids = np.array(e.ids, np.int32)
+        starts = self.spaced[ids] if pieces[0][:1] == b" " else ids == self.break_id
+        cuts = [*(4 * np.flatnonzero(starts)).tolist(), 4 * len(ids)]
+        flat, skip = ids.tobytes(), 4 * len(mark)
+        for p, i, j in zip(pieces, cuts[:-1], cuts[1:], strict=True):
+            found[p] = flat[i + skip : j]
+
+    def encode_array(self, texts: pa.Array, end: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of each text begin and end, and the ids (int32) of all, each text's with `end` behind.
+
+        Pieces are offsets into the array's bytes; Python sees the distinct ones of the array only.
+        """
+        texts = texts.cast(pa.large_string()).fill_null("")
+        if not len(texts):
+            return np.zeros(1, np.int32), np.zeros(0, np.int32)
+        _, at, data = texts.buffers()
+        at = np.frombuffer(at, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        a = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if at[-1] > at[0] else np.zeros(0, np.uint8)
+        at = at - at[0]
+        cut, alone = cut_places(a), set()
+        for i in np.flatnonzero(self.uncut(texts)):
+            cut[at[i] : at[i + 1]] = False
+            alone.add(a[at[i] : at[i + 1]].tobytes())
+        cut[at[:-1][at[:-1] < at[1:]]] = True
+        starts = np.flatnonzero(cut)
+        pieces = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(np.append(starts, len(a))), pa.py_buffer(a)]).dictionary_encode()
+        ids = [*self.ids_of(pieces.dictionary.to_numpy(zero_copy_only=False).tolist(), alone), end]
+        last = np.searchsorted(starts, at[1:])
+        codes = np.insert(pieces.indices.to_numpy(), last, len(ids) - 1)
+        sizes = np.fromiter(map(len, ids), np.int32, len(ids)) // 4
+        first, sizes = (np.cumsum(sizes, dtype=np.int32) - sizes)[codes], sizes[codes]
+        ends = np.cumsum(sizes, dtype=np.int32)
+        flat = np.frombuffer(b"".join(ids), np.int32)
+        return np.append(0, ends[last + np.arange(len(last))]), flat[np.repeat(first - (ends - sizes), sizes) + np.arange(ends[-1], dtype=np.int32)]
+
+    def uncut(self, texts: pa.Array) -> np.ndarray:
+        """Which texts go through the library whole."""
+        if not self.by_piece:
+            return np.ones(len(texts), bool)
+        return np.logical_or.reduce([np.zeros(len(texts), bool), *(pc.match_substring(texts, token).to_numpy(zero_copy_only=False) for token in self.added)])
+
+    def ids_of(self, pieces: list[bytes], alone: set[bytes]) -> list[bytes]:
+        """Ids of distinct pieces; what is new is remembered, if it isn't long."""
+        ids = list(map(self.known.get, pieces))
+        fresh = [p for p, x in zip(pieces, ids, strict=True) if x is None]
+        found = self.learn(fresh, alone)
+        if len(self.known) + len(fresh) > MOST_WORDS:
+            self.known = {}
+        self.known.update(islice(((p, x) for p, x in found.items() if len(p) <= MOST_CHARS), MOST_WORDS))
+        return [found[p] if x is None else x for p, x in zip(pieces, ids, strict=True)]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        out, at = [b""] * len(texts), []
-        for i, t in enumerate(texts):
-            if t and self.by_word and not (self.added and self.added.search(t)):
-                at.append(i)
-            elif t:
-                out[i] = self.plain(t)
-        words = [texts[i].split(" ") for i in at]
-        fresh = self.unknown(words)
-        if odd := {w for w in fresh if not w or w.strip() != w}:
-            words = [_CUT.split(texts[i]) if not odd.isdisjoint(ws) else ws for i, ws in zip(at, words, strict=True)]
-            fresh = self.unknown(words)
-        if len(self.known) + len(fresh) > MOST_WORDS:
-            self.known, self.bare = {}, {}
-            fresh = self.unknown(words)
-        alone = {w for w in fresh if " " in w or w[-1].isspace()} if odd else set()  # uncut runs of white space
-        self.learn([w for w in fresh if w not in alone])
-        self.known.update((w, self.plain(" " + w)) for w in alone)
-        for i, ws in zip(at, words, strict=True):
-            out[i] = self.plain(ws[0]) + b"".join(map(self.known.__getitem__, ws[1:]))
-        for kept in (self.known, self.bare):
-            for w in [w for w in kept if len(w) > MOST_CHARS] if any(len(w) > MOST_CHARS for w in fresh) else ():
-                del kept[w]
-        return out
-
-    def unknown(self, words: list[list[str]]) -> list[str]:
-        return [w for w in set().union(*(ws[1:] for ws in words)) if w not in self.known]
+        at, flat = self.encode_array(pa.array(texts, pa.large_string()))
+        return [flat[i:j].tobytes() for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -180,13 +223,12 @@ def write_ids(docs: DataFrame, path: str, *, doc_id: str = "doc_id", text: str =
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part, start = encoder(tokenizer), TaskContext.get().partitionId(), 0
         for b in batches:
-            rows = [ids + end for ids in enc.encode(b.column(1).to_pylist())]
-            at = np.cumsum([0, *(len(r) // 4 for r in rows)])
-            ids = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(np.frombuffer(b"".join(rows), np.int32)))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.full(len(rows), part, np.int32)), pa.array(start + at[:-1]), pa.array(start + at[1:]), ids], schema=schema)
+            at, flat = enc.encode_array(b.column(1), end)
+            ids = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(flat))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.full(len(b), part, np.int32)), pa.array(start + at[:-1].astype(np.int64)), pa.array(start + at[1:].astype(np.int64)), ids], schema=schema)
             start += int(at[-1])
 
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, BATCH_ROWS)
     slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).withColumn("at", F.monotonically_increasing_id())
     order = [F.col("doc_id").asc_nulls_first(), F.col("at")]
     ranged = slim.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")

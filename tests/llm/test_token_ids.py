@@ -4,6 +4,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.orc
 import pytest
 from tokenizers import Tokenizer
@@ -42,6 +43,53 @@ def test_encoder_forgets(plain, monkeypatch):
         assert len(enc.known) <= 12
 
 
+class Counting(dict):
+    asked = 0
+
+    def count(name):
+        def asking(self, *args):
+            self.asked += 1
+            return getattr(dict, name)(self, *args)
+
+        return asking
+
+    get, __getitem__, __contains__ = count("get"), count("__getitem__"), count("__contains__")
+
+
+def test_words_of_a_batch_are_looked_up_once(plain):
+    enc = token_ids.Encoder(token_ids.tokenizer_path(token_ids.TOKENIZER))
+    enc.known = Counting()
+    t = "one two three. Four,\nfive " * 200
+    assert encoded(enc, [t] * 20) == [plain.encode(t, add_special_tokens=False).ids] * 20
+    assert 0 < enc.known.asked <= 20
+
+
+def test_every_character_around_cuts(plain):
+    enc = token_ids.Encoder(token_ids.tokenizer_path(token_ids.TOKENIZER))
+    chars = [chr(i) for i in [*range(0x3100), *range(0x3100, 0x30000, 97)] if not 0xD800 <= i < 0xE000]
+    texts = [f"ab{c} {c}cd\n{c}.{c}! a{c}\nb'{c}{c} \n {c}" for c in chars]
+    assert encoded(enc, texts) == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+@pytest.mark.parametrize("kind", [pa.string(), pa.large_string()])
+def test_arrays(plain, kind):
+    enc, texts = token_ids.Encoder(token_ids.tokenizer_path(token_ids.TOKENIZER)), ["left out", *ODD, " starts", "ends ", ".", "\n", "left out"]
+    want = [plain.encode(t or "", add_special_tokens=False).ids + [2] for t in texts[1:-1]]
+    for _ in range(2):
+        at, flat = enc.encode_array(pa.array(texts, kind)[1:-1], np.array([2], np.int32).tobytes())
+        assert [flat[i:j].tolist() for i, j in zip(at[:-1], at[1:], strict=True)] == want
+    at, flat = enc.encode_array(pa.array([None, ""], kind), np.array([2], np.int32).tobytes())
+    assert at.tolist() == [0, 1, 2] and flat.tolist() == [2, 2]
+    assert enc.encode_array(pa.array([None, ""], kind))[0].tolist() == [0, 0, 0] and enc.encode_array(pa.array([], kind))[0].tolist() == [0]
+
+
+def test_added_tokens_go_whole(plain):
+    enc = token_ids.Encoder(token_ids.tokenizer_path(token_ids.TOKENIZER))
+    texts = ["<|endoftext|>", "a b<|endoftext|> c. d", "<|endoftext", "|> <|endof", "text|>", "x <|endoftext|>\n<|endoftext|> y", "a b c. d"]
+    want = [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert encoded(enc, texts) == want and encoded(enc, texts[::-1]) == want[::-1]
+
+
 def test_another_tokenizer_goes_whole():
     path = token_ids.tokenizer_path("word_bpe_49k.json")
     t = "Hello  WORLD, it's 12 o'clock"
